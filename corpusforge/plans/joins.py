@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_rows: int) -> DataFrame:
+    """Join ``small`` into ``big``, broadcasting it only if it holds at most ``max_rows`` rows.
+
+    The small side is checkpointed to the reliable checkpoint folder first, so
+    counting it and joining it do not compute it twice and a lost executor does
+    not replay its lineage.  Past the bound both sides shuffle on the keys
+    (sort-merge join; AQE splits skewed partitions).
+    """
+    small = small.checkpoint(eager=True)
+    rows = small.count()
+    if rows <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)
