@@ -220,7 +220,7 @@ def scored_predictions(spark: SparkSession, sf_dir: str, width: int = SCORE_WIDT
 
 def scored_predictions_sql(width: int = SCORE_WIDTH) -> str:
     return f"""
-SELECT vec_id, list_transform(embedding[1:{width}], v -> CAST(v AS DOUBLE)) AS scores,
+SELECT vec_id, list_transform(embedding[1:{width}], lambda v: CAST(v AS DOUBLE)) AS scores,
   CAST(label % {width} AS INTEGER) AS ref, CAST(label % 3 AS INTEGER) AS grp
 FROM embeddings
 """
@@ -237,7 +237,7 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORD_TOKENS_SQL = """
-SELECT doc_id, list_transform(string_split(text, ' '), w -> CAST(length(w) AS INTEGER)) AS input_ids FROM documents
+SELECT doc_id, list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTEGER)) AS input_ids FROM documents
 """
 
 
