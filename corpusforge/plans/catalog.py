@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusforge.plans import q_crawl, q_metrics, q_text  # noqa: F401
+from corpusforge.plans import q_batching, q_crawl, q_metrics, q_text  # noqa: F401
 from corpusforge.plans.registry import QUERIES
 
 
