@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusforge.plans import q_batching, q_crawl, q_exchange, q_metrics, q_text, q_trials  # noqa: F401
+from corpusforge.plans import q_batching, q_charset, q_crawl, q_exchange, q_metrics, q_text, q_trials  # noqa: F401
 from corpusforge.plans.registry import QUERIES
 
 

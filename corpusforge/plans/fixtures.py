@@ -247,3 +247,26 @@ def sql_with(views: dict[str, str], body: str) -> str:
         return body
     ctes = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in views.items())
     return f"WITH {ctes}\n{body}"
+
+
+# ---------------------------------------------------------------- F-CHARSET
+def charset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as UTF-8 bytes behind a Content-Type whose charset varies by rule:
+    UTF-8, ISO-8859-1 (mismatching), an unknown label, or none."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id") % 4
+    ctype = (
+        F.when(k == 0, F.lit("text/html; charset=UTF-8"))
+        .when(k == 1, F.lit('text/html; charset="ISO-8859-1"'))
+        .when(k == 2, F.lit("text/html; charset=x-unknown-label"))
+        .otherwise(F.lit("text/html"))
+    )
+    return p.select("page_id", ctype.alias("content_type"), F.encode("html", "UTF-8").alias("body"))
+
+
+CHARSET_PAGES_SQL = """
+SELECT page_id, html,
+  CASE page_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso8859-1' WHEN 2 THEN 'x-unknown-label' END AS ctype_codec,
+  CASE page_id % 4 WHEN 1 THEN true ELSE false END AS ctype_known_other
+FROM pages
+"""
