@@ -84,12 +84,18 @@ def archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     its exchange (generation 2).  Fetch time is absent for page_id % 10 = 3 and
     empty for page_id % 10 = 7.
     """
-    p = table(spark, sf_dir, "pages")
-    kinds = spark.createDataFrame(_REC_TYPES, "k INT, rec_type STRING")
-    gens = spark.createDataFrame([(0,), (1,)], "g INT")
+    return records_of_pages(table(spark, sf_dir, "pages"))
+
+
+def records_of_pages(p: DataFrame) -> DataFrame:
+    """The F-REC rule applied to any pages frame (batch or streaming): each page
+    expands in place into its records by a generator, no join."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("rec_type")) for k, t in _REC_TYPES])
+    gens = F.array(F.lit(0), F.lit(1))
     rows = (
-        p.join(F.broadcast(kinds), how="cross")
-        .join(F.broadcast(gens), how="cross")
+        p.select("*", F.explode(kinds).alias("_kt"))
+        .select("*", F.col("_kt.k").alias("k"), F.col("_kt.rec_type").alias("rec_type"))
+        .select("*", F.explode(gens).alias("g"))
         .where(~((F.col("page_id") % 11 == 0) & (F.col("rec_type") == "metadata")))
         .where((F.col("g") == 0) | (F.col("page_id") % 13 == 0))
     )
