@@ -25,10 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream (one file, picked by glob filter)."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
+
+
 # ---------------------------------------------------------------- F-IDX
 def crawl_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl index over ``pages``: every fifth page is a root page, one ninth is not subset ``warc``."""
-    p = table(spark, sf_dir, "pages")
+    return index_of_pages(table(spark, sf_dir, "pages"))
+
+
+def index_of_pages(p: DataFrame) -> DataFrame:
+    """The F-IDX rule over any pages frame (batch or streaming)."""
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     return p.select(
         F.col("page_id"),
