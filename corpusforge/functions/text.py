@@ -22,23 +22,35 @@ def _digits(x: Column) -> Column:
     return F.length(x.cast("string"))
 
 
-def strim(text, size) -> Column:
-    """Cut the middle out of ``text`` so it is ``size`` code points long, marking ``…cut…``."""
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    Spark does not share common subexpressions inside higher-order lambdas; a
+    one-element ``transform`` binds the value instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strim(text, size, n=None) -> Column:
+    """Cut the middle out of ``text`` so it is ``size`` code points long, marking ``…cut…``.
+
+    ``n`` may carry an already computed ``length(text)``.
+    """
     t = as_col(text)
     s = as_col(size)
-    n = F.length(t)
+    n = F.length(t) if n is None else n
     cut0 = n - s + 2
     cut = cut0 + _digits(cut0 + _digits(cut0))
-    sep = F.concat(F.lit(ELLIPSIS), cut.cast("string"), F.lit(ELLIPSIS))
-    off = F.floor((s - F.length(sep) + 1) / 2).cast("int")
-    marked = F.concat(t.substr(F.lit(1), off), sep, t.substr(off + cut + 1, n))
+    sep_len = _digits(cut) + 2
+    off = F.floor((s - sep_len + 1) / 2).cast("int")
+    marked = F.concat(t.substr(F.lit(1), off), F.lit(ELLIPSIS), cut.cast("string"), F.lit(ELLIPSIS), t.substr(off + cut + 1, n))
     cut_short = n - s + 1
     off_short = F.floor(s / 2).cast("int")
     short = F.concat(t.substr(F.lit(1), off_short), F.lit(ELLIPSIS), t.substr(off_short + cut_short + 1, n))
     return (
         F.when(s <= 0, F.lit(""))
         .when(n <= s, t)
-        .when(s >= F.length(sep) + 2, marked)
+        .when(s >= sep_len + 2, marked)
         .otherwise(short)
     )
 
@@ -53,32 +65,36 @@ def btrim(text, size: int, mode: str = "compat", rounds: int = 24) -> Column:
     ``tight`` keeps the largest ``s`` whose strim fits (binary search).
     """
     t = as_col(text)
-    size_c = F.lit(int(size))
-    n = F.length(t)
-    nbytes = F.octet_length(t)
     if mode == "tight":
         return _btrim_tight(t, int(size))
     if mode != "compat":
         raise ValueError(f"unknown btrim mode {mode!r}")
-    e = nbytes - size_c
-    # closed-form start: s = size - ceil((size - n + 1) / e) * e when size >= n, else size
-    jumps = F.ceil((size_c - n + 1) / F.greatest(e, F.lit(1)))
-    s0 = F.when((size_c >= n) & (e > 0), size_c - jumps * e).otherwise(size_c).cast("int")
+    size_c = F.lit(int(size))
 
-    def step(acc, _i):
-        u = strim(t, acc["s"])
-        ex = F.octet_length(u) - size_c
-        return F.when(acc["done"], acc).otherwise(
-            F.when(ex > 0, F.struct((acc["s"] - ex).cast("int").alias("s"), F.lit(None).cast("string").alias("out"), F.lit(False).alias("done")))
-            .otherwise(F.struct(acc["s"].alias("s"), u.alias("out"), F.lit(True).alias("done")))
+    def trim_long(r):
+        tt, n, nbytes = r["t"], r["n"], r["b"]
+        e = nbytes - size_c
+        # closed-form start: s = size - ceil((size - n + 1) / e) * e when size >= n, else size
+        jumps = F.ceil((size_c - n + 1) / F.greatest(e, F.lit(1)))
+        s0 = F.when((size_c >= n) & (e > 0), size_c - jumps * e).otherwise(size_c).cast("int")
+
+        def step(acc, _i):
+            def advance(u):
+                ex = F.octet_length(u) - size_c
+                return F.when(ex > 0, F.struct((acc["s"] - ex).cast("int").alias("s"), F.lit(None).cast("string").alias("out"), F.lit(False).alias("done"))).otherwise(
+                    F.struct(acc["s"].alias("s"), u.alias("out"), F.lit(True).alias("done"))
+                )
+
+            return F.when(acc["done"], acc).otherwise(let(strim(tt, acc["s"], n), advance))
+
+        init = F.struct(s0.alias("s"), F.lit(None).cast("string").alias("out"), F.lit(False).alias("done"))
+        loop = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), init, step)
+        return F.when(loop["done"], loop["out"]).otherwise(
+            F.raise_error(F.lit(f"btrim did not converge in {rounds} rounds")).cast("string")
         )
 
-    init = F.struct(s0.alias("s"), F.lit(None).cast("string").alias("out"), F.lit(False).alias("done"))
-    loop = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), init, step)
-    converged = F.when(loop["done"], loop["out"]).otherwise(
-        F.raise_error(F.lit(f"btrim did not converge in {rounds} rounds")).cast("string")
-    )
-    return F.when(t.isNull(), F.lit(None).cast("string")).when(nbytes <= size_c, t).otherwise(converged)
+    bound = F.struct(t.alias("t"), F.length(t).alias("n"), F.octet_length(t).alias("b"))
+    return F.when(t.isNull(), F.lit(None).cast("string")).when(F.octet_length(t) <= size_c, t).otherwise(let(bound, trim_long))
 
 
 def _btrim_tight(t: Column, size: int) -> Column:

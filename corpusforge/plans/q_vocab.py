@@ -110,3 +110,16 @@ def q_classification_dataset(spark, sf):
     batched = B.with_batches(tok, "doc_id", buckets=LM_BUCKETS)
     padded = B.truncate_pad(batched.drop("attention_mask"), CLS_MAX_LEN, pad_to="batch", pad_id=3)
     return padded.select("doc_id", "label", "label_name", "split", "input_ids", "attention_mask")
+
+
+@register("text_classifier", "M3 A11 C5")
+def q_text_classifier(spark, sf):
+    from corpusforge.operators import metrics as M
+    from corpusforge.operators.classifier import fit_text_classifier, predict_scores
+
+    data, _dictionary = labelled_dataset(_labelled_src(spark, sf), "doc_id", "text", "label_name")
+    tok = V.tokenize(data, learned_vocab(spark, sf), SPEC, text="sentence", max_length=SEQ_LEN).drop("sentence")
+    tok = tok.checkpoint(eager=True)
+    model = fit_text_classifier(tok.where(F.col("split") == "train"))
+    scored = predict_scores(model, tok)
+    return M.evaluate(scored, scores="scores", ref="label", by=["split"])
