@@ -161,18 +161,26 @@ def _decode_candidates(body: pd.Series, codecs_: pd.Series, scoring: pd.Series)
                 sc = _score(txt)
             except (TypeError, LookupError):
                 txt, sc = "", float("inf")
-            key = (sc, rank) if mode == "compat" else (txt.count(REPLACEMENT) if sc != float("inf") else float("inf"), -len(txt), rank)
+            if mode == "compat":
+                key = (sc, rank)
+            else:  # fewest replacement marks, then the shorter (less mojibake), then detector order
+                key = (txt.count(REPLACEMENT) if sc != float("inf") else float("inf"), len(txt), rank)
             if best is None or key < best[0]:
                 best = (key, txt, codec, sc)
         texts.append(best[1]), names.append(best[2]), scores.append(best[3])
     return pd.DataFrame({"text": texts, "charset": names, "score": scores})
 
 
+# Marked non-deterministic so the optimizer never copies the call into a pushed-down
+# filter (which would run the Python decode twice per row).
+_DECODE = _decode_candidates.asNondeterministic()
+
+
 def resolve_text(body, content_type=None, scoring: str = "compat") -> Column:
     """struct<text, charset, score>: the lowest-scoring decode over the distinct candidates.
 
     Unknown labels keep an infinite score; equal scores go to the earlier detector.
-    ``scoring='fewest_replacements'`` orders by replacement count, then longest.
+    ``scoring='fewest_replacements'`` orders by replacement count, then shortest.
     """
     if scoring not in ("compat", "fewest_replacements"):
         raise ValueError(f"unknown scoring {scoring!r}")
@@ -184,5 +192,5 @@ def resolve_text(body, content_type=None, scoring: str = "compat") -> Column:
     native = F.struct(txt.alias("text"), F.lit("utf-8").alias("charset"), decode_score(txt).alias("score"))
     # distinct names in detector order; unknown labels stay (they score +inf)
     names = F.array_distinct(F.transform(cands, lambda c: F.coalesce(c["codec"], c["label"])))
-    slow = _decode_candidates(F.when(~fast, b), F.when(~fast, names), F.lit(scoring))
+    slow = _DECODE(F.when(~fast, b), F.when(~fast, names), F.lit(scoring))
     return F.when(b.isNull(), F.lit(None)).when(fast, native).otherwise(slow)
