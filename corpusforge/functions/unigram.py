@@ -1,9 +1,10 @@
 """Unigram-LM lattice helpers (Kudo, 2018) used inside Arrow-batched tasks:
-Viterbi segmentation and forward-backward expected counts over one word.
+Viterbi segmentation and forward-backward expected counts over one unit.
 
 The piece table is a plain dict ``piece -> (id, score)`` shipped once per
 executor through a broadcast variable; its size is bounded by the vocabulary
-size the caller asked for.
+size the caller asked for.  Edges are found by walking a prefix set, so a
+start position stops extending as soon as no piece begins that way.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ def _lse(a: float, b: float) -> float:
         return b
     if b == NEG_INF:
         return a
-    m = a if a > b else b
-    return m + math.log1p(math.exp(-abs(a - b)))
+    if a > b:
+        return a + math.log1p(math.exp(b - a))
+    return b + math.log1p(math.exp(a - b))
 
 
 class Lattice:
-    """Segmenter over a piece dict; unknown characters cost ``unk_score``."""
+    """Segmenter over a piece dict; an unknown character costs ``unk_score``."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], unk_id: int = 0, unk_penalty: float = 10.0,
                  max_len: int | None = None):
@@ -31,35 +33,52 @@ class Lattice:
         self.unk_id = unk_id
         scores = [s for _, s in pieces.values()]
         self.unk_score = (min(scores) if scores else 0.0) - unk_penalty
-        self.max_len = max_len or max((len(p) for p in pieces), default=1)
+        longest = max((len(p) for p in pieces), default=1)
+        self.max_len = min(max_len or longest, longest)
+        prefixes: set[str] = set()
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                prefixes.add(p[:k])
+        self.prefixes = prefixes
         self._memo: dict[str, tuple[list[str], list[int]]] = {}
 
-    def _edges(self, w: str, end: int, exclude: str | None = None):
-        """(start, piece, id, score) for pieces ending at ``end``."""
-        lo = max(0, end - self.max_len)
-        for s in range(lo, end):
-            p = w[s:end]
-            hit = self.pieces.get(p)
-            if hit is not None and p != exclude:
-                yield s, p, hit[0], hit[1]
-        if w[end - 1:end] not in self.pieces:
-            # an unknown single character is always a way through
-            yield end - 1, w[end - 1:end], self.unk_id, self.unk_score
+    def edges(self, w: str, exclude: str | None = None) -> list[list[tuple[int, str, int, float]]]:
+        """For each end position, the (start, piece, id, score) edges ending there."""
+        n = len(w)
+        ends: list[list[tuple[int, str, int, float]]] = [[] for _ in range(n + 1)]
+        get = self.pieces.get
+        pre = self.prefixes
+        ml = self.max_len
+        for s in range(n):
+            ch = w[s]
+            if ch not in self.pieces or ch == exclude:
+                # an unknown single character is always a way through
+                ends[s + 1].append((s, ch, self.unk_id, self.unk_score))
+            if ch not in pre:
+                continue
+            stop = min(n, s + ml)
+            for e in range(s + 1, stop + 1):
+                sub = w[s:e]
+                if sub not in pre:
+                    break
+                hit = get(sub)
+                if hit is not None and sub != exclude:
+                    ends[e].append((s, sub, hit[0], hit[1]))
+        return ends
 
-    def viterbi(self, w: str, exclude: str | None = None) -> tuple[list[str], list[int], float]:
-        """Best segmentation; ``exclude`` removes one piece from the table for this call."""
+    def _best(self, w: str, ends) -> tuple[list[str], list[int], float]:
         n = len(w)
         best = [NEG_INF] * (n + 1)
         back: list[tuple[int, str, int]] = [(0, "", 0)] * (n + 1)
         best[0] = 0.0
         for e in range(1, n + 1):
-            for s, p, pid, sc in self._edges(w, e, exclude):
-                if best[s] == NEG_INF:
-                    continue
+            be = NEG_INF
+            for s, p, pid, sc in ends[e]:
                 v = best[s] + sc
-                if v > best[e]:
-                    best[e] = v
+                if v > be:
+                    be = v
                     back[e] = (s, p, pid)
+            best[e] = be
         toks, ids = [], []
         e = n
         while e > 0:
@@ -71,6 +90,10 @@ class Lattice:
         ids.reverse()
         return toks, ids, best[n]
 
+    def viterbi(self, w: str, exclude: str | None = None) -> tuple[list[str], list[int], float]:
+        """Best segmentation; ``exclude`` removes one piece from the table for this call."""
+        return self._best(w, self.edges(w, exclude))
+
     def encode_word(self, w: str) -> tuple[list[str], list[int]]:
         hit = self._memo.get(w)
         if hit is None:
@@ -83,35 +106,40 @@ class Lattice:
     def expected_counts(self, w: str, weight: float, acc: dict[str, list[float]]) -> float:
         """Add weight * E[count(piece)] and the Viterbi counts to ``acc``; return weight * log Z."""
         n = len(w)
-        edges = [list(self._edges(w, e)) for e in range(n + 1)] if n else [[]]
+        if n == 0:
+            return 0.0
+        ends = self.edges(w)
         alpha = [NEG_INF] * (n + 1)
         alpha[0] = 0.0
         for e in range(1, n + 1):
             a = NEG_INF
-            for s, _p, _pid, sc in edges[e]:
+            for s, _p, _pid, sc in ends[e]:
                 a = _lse(a, alpha[s] + sc)
             alpha[e] = a
         beta = [NEG_INF] * (n + 1)
         beta[n] = 0.0
         for e in range(n, 0, -1):
-            if beta[e] == NEG_INF:
+            be = beta[e]
+            if be == NEG_INF:
                 continue
-            for s, _p, _pid, sc in edges[e]:
-                beta[s] = _lse(beta[s], beta[e] + sc)
+            for s, _p, _pid, sc in ends[e]:
+                beta[s] = _lse(beta[s], be + sc)
         z = alpha[n]
         if z == NEG_INF:
             return 0.0
+        pieces = self.pieces
         for e in range(1, n + 1):
-            for s, p, pid, sc in edges[e]:
-                if pid == self.unk_id and p not in self.pieces:
+            be = beta[e] - z
+            for s, p, _pid, sc in ends[e]:
+                if p not in pieces:
                     continue
-                post = math.exp(alpha[s] + sc + beta[e] - z)
+                post = weight * math.exp(alpha[s] + sc + be)
                 slot = acc.get(p)
                 if slot is None:
-                    acc[p] = [weight * post, 0.0]
+                    acc[p] = [post, 0.0]
                 else:
-                    slot[0] += weight * post
-        toks, _ids, _ = self.viterbi(w)
+                    slot[0] += post
+        toks, _ids, _ = self._best(w, ends)
         for t in toks:
             slot = acc.get(t)
             if slot is not None:

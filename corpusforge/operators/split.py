@@ -64,8 +64,15 @@ def _le(h: F.Column, key: F.Column, th) -> F.Column:
     return (h < F.lit(th_h)) | ((h == F.lit(th_h)) & (key <= F.lit(th_k)))
 
 
-def holdout(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED, name: str = "test", rest: str = "train") -> DataFrame:
-    """Exactly ``n`` rows (the smallest salted hashes) labelled ``name``, the rest ``rest``."""
+def holdout(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED, name: str = "test", rest: str = "train",
+            materialize: bool = False) -> DataFrame:
+    """Exactly ``n`` rows (the smallest salted hashes) labelled ``name``, the rest ``rest``.
+
+    ``materialize`` checkpoints an expensive input first, so finding the threshold
+    and labelling the rows do not compute it twice.
+    """
+    if materialize:
+        df = df.checkpoint(eager=True)
     th = kth_smallest(_narrow(df, key, seed), n)
     h = row_hash(F.col(key), seed)
     if th is None:  # n >= row count: everything is held out

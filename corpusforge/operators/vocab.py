@@ -19,8 +19,10 @@ bounded by ``seed_factor * vocab_size``:
 
 from __future__ import annotations
 
+import logging
 import math
 import re
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -32,6 +34,7 @@ from pyspark.sql import types as T
 
 from corpusforge.functions.text import MAX_SENTENCE_BYTES, btrim, has_reserved_mark
 from corpusforge.functions.unigram import Lattice
+from corpusforge.plans.partitioning import spread_for_python
 
 # Fixed values from the reference: the vocabulary-name grammar (switches in this
 # order), pieces per "K", maximum piece length, the space marker, and the special
@@ -42,6 +45,8 @@ MAX_PIECE_LEN = 64
 SPACE = "▁"
 SPECIALS = [("<unk>", "UNKNOWN"), ("<s>", "CONTROL"), ("</s>", "CONTROL"), ("<pad>", "CONTROL"), ("<mask>", "USER_DEFINED")]
 
+log = logging.getLogger(__name__)
+
 CHAR_COVERAGE = 0.9995
 SHRINK = 0.75
 VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, type STRING"
@@ -118,7 +123,7 @@ def corpus_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def unit_counts(docs: DataFrame, spec: VocabSpec, text: str = "text") -> DataFrame:
-    units = corpus_text(docs, text).select(F.explode(presplit(F.col("text"), spec)).alias("unit"))
+    units = corpus_text(spread_for_python(docs.select(text)), text).select(F.explode(presplit(F.col("text"), spec)).alias("unit"))
     return units.where(F.length("unit") > 0).groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("c"))
 
 
@@ -216,7 +221,9 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
     chars = _chars(counts)
     if len(chars) > n_normal:
         raise ValueError(f"{len(chars)} characters needed for coverage exceed the vocabulary size {spec.size}")
+    t0 = time.perf_counter()
     freq = dict(seed_pieces(counts, seed_factor * spec.size))
+    log.info("seeded %d pieces, %d chars in %.1fs", len(freq), len(chars), time.perf_counter() - t0)
     freq.update({c: f for c, f in chars})
     total = sum(freq.values())
     scores = {p: math.log(f) - math.log(total) for p, f in freq.items()}
@@ -237,6 +244,7 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
             for c in char_set:
                 new.setdefault(c, floor - 1.0)
             scores = new
+            log.info("round %d EM: %d pieces at %.1fs", _round, len(scores), time.perf_counter() - t0)
         if len(scores) <= n_normal:
             break
         keep = max(n_normal, int(len(scores) * SHRINK))
@@ -246,9 +254,11 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
         ).repartition(tasks)
         losses = table.mapInPandas(_prune_task(bc), "piece string, loss double").collect()
         bc.unpersist()
-        ranked = sorted(losses, key=lambda r: (-r["loss"], r["piece"]))
-        kept = {r["piece"] for r in ranked[:keep]} | char_set
+        # characters always stay; the rest compete for the remaining places by loss
+        ranked = sorted((r for r in losses if r["piece"] not in char_set), key=lambda r: (-r["loss"], r["piece"]))
+        kept = {r["piece"] for r in ranked[: max(0, keep - len(char_set))]} | char_set
         scores = {p: s for p, s in scores.items() if p in kept}
+        log.info("round %d pruned to %d at %.1fs", _round, len(scores), time.perf_counter() - t0)
     normal = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
     chars_first = [kv for kv in normal if kv[0] in char_set]
     others = [kv for kv in normal if kv[0] not in char_set][: max(0, n_normal - len(chars_first))]
@@ -312,7 +322,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
         return pd.DataFrame({"tokens": toks, "ids": ids})
 
     enc = encode(presplit(t, spec))
-    out = docs.withColumn("_enc", enc)
+    out = spread_for_python(docs).withColumn("_enc", enc)
     ids = F.col("_enc.ids") if max_length is None else F.slice("_enc.ids", 1, max_length)
     toks = F.col("_enc.tokens") if max_length is None else F.slice("_enc.tokens", 1, max_length)
     return (

@@ -1,0 +1,17 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_for_python(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_tasks`` partitions before a CPU-bound Python stage.
+
+    Only inputs with fewer partitions than the cluster has cores are moved (a
+    large scan already has enough splits and is left as it is, with no shuffle).
+    """
+    target = min_tasks or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

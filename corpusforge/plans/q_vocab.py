@@ -99,7 +99,7 @@ def q_lm_blocks(spark, sf):
     blocks = B.pack_blocks(batched, SEQ_LEN)
     keyed = blocks.withColumn("block_key", F.concat_ws(":", "bucket", "batch", "block"))
     # P1's shuffle is the salted-hash order the batches are formed in; P2 holds out 4,096 blocks
-    out = S.holdout(keyed, "block_key", LM_HOLDOUT)
+    out = S.holdout(keyed, "block_key", LM_HOLDOUT, materialize=True)
     return out.select("bucket", "batch", "block", "input_ids", "attention_mask", "labels", "split")
 
 
