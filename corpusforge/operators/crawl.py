@@ -69,6 +69,23 @@ def crawl_size_dataset(index: DataFrame, records: DataFrame, limit: int | None =
     """(sentence, label, hostname): decoded root page of each host, label = record count."""
     hosts = first_root_page(index, **kw).select("hostname", "n", "warc_filename", "warc_record_offset")
     fetched = fetch_records(hosts, records.select("warc_filename", "warc_record_offset", "http_headers", "payload"))
+    return _accepted(fetched, limit)
+
+
+def crawl_size_from_archives(index: DataFrame, base: str, limit: int | None = None, **kw) -> DataFrame:
+    """Crawl-size dataset reading only the first root page of each host by byte range.
+
+    This is the late-materialization path for a real crawl: the index aggregate
+    is narrow, and archive bytes are read for one record per host.
+    """
+    from corpusforge.sources.warc import fetch_records as fetch_ranges
+
+    hosts = first_root_page(index, **kw).select("hostname", "n", "warc_filename", "warc_record_offset", "warc_record_length")
+    return _accepted(fetch_ranges(hosts, base), limit)
+
+
+def _accepted(fetched: DataFrame, limit: int | None) -> DataFrame:
+    """Sniff, decode, strip and filter fetched (hostname, n, http_headers, payload) rows."""
     sniffed = fetched.where(looks_like_html(F.col("payload")))
     ctype = F.regexp_extract(F.col("http_headers"), r"(?im)^content-type:[ \t]*([^\r\n]*)", 1)
     decoded = sniffed.select("hostname", "n", resolve_text(F.col("payload"), ctype)["text"].alias("raw"))

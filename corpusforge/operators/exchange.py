@@ -51,8 +51,10 @@ def _exact_generations(pdf: pd.DataFrame) -> pd.DataFrame:
 def _numbered(records: DataFrame, exact: bool) -> DataFrame:
     wanted = records.where(F.col("rec_type").isin(*REC_TYPES))
     if not exact:
+        # hash by (file, uri) once: the numbering window (file, uri, type) and the
+        # group-by (file, uri, generation) are both clustered by it, so one shuffle serves both
         w = Window.partitionBy("file", "target_uri", "rec_type").orderBy("ordinal")
-        return wanted.withColumn("generation", F.row_number().over(w))
+        return wanted.repartition("file", "target_uri").withColumn("generation", F.row_number().over(w))
     keys = wanted.select("file", "target_uri", "ordinal", "rec_type")
     gens = keys.groupBy("file", "target_uri").applyInPandas(
         _exact_generations, "file string, target_uri string, ordinal long, generation int"

@@ -158,12 +158,16 @@ def read_manifest(spark: SparkSession, path: str, first: int | None = None) -> D
     return df
 
 
-def _fetch_task(base: str):
+_FETCHED = (("rec_type", "string"), ("target_uri", "string"), ("warc_date", "string"),
+            ("http_headers", "string"), ("payload", "binary"))
+
+
+def _fetch_task(base: str, carry: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         handle, name = None, None
         try:
             for pdf in batches:
-                rows = []
+                recs = []
                 for fn, off, length in zip(pdf["warc_filename"], pdf["warc_record_offset"], pdf["warc_record_length"]):
                     if fn != name:
                         if handle is not None:
@@ -171,12 +175,11 @@ def _fetch_task(base: str):
                         name = fn
                         handle = open(os.path.join(base, fn), "rb")
                     handle.seek(int(off))
-                    data = zlib.decompress(handle.read(int(length)), 31)
-                    rec = parse_record(data) or {}
-                    rows.append((fn, int(off), int(length), rec.get("rec_type"), rec.get("target_uri"), rec.get("warc_date"),
-                                 rec.get("http_headers"), rec.get("payload")))
-                yield pd.DataFrame(rows, columns=["warc_filename", "warc_record_offset", "warc_record_length", "rec_type",
-                                                  "target_uri", "warc_date", "http_headers", "payload"])
+                    rec = parse_record(zlib.decompress(handle.read(int(length)), 31)) or {}
+                    recs.append([rec.get(f) for f, _ in _FETCHED])
+                out = pdf[carry].reset_index(drop=True)
+                fetched = pd.DataFrame(recs, columns=[f for f, _ in _FETCHED])
+                yield pd.concat([out, fetched], axis=1)
         finally:
             if handle is not None:
                 handle.close()
@@ -185,17 +188,20 @@ def _fetch_task(base: str):
 
 
 def fetch_records(locations: DataFrame, base: str, tasks: int | None = None) -> DataFrame:
-    """Read one record per (warc_filename, offset, length) by byte range."""
+    """Read one record per (warc_filename, warc_record_offset, warc_record_length) by byte range.
+
+    Locations are range-partitioned by (file, offset) and sorted, so a task opens
+    each file once and reads forward; every input column is carried through.
+    """
     spark = locations.sparkSession
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    locs = (
-        locations.select("warc_filename", "warc_record_offset", "warc_record_length")
-        .repartitionByRange(n, "warc_filename", "warc_record_offset")
-        .sortWithinPartitions("warc_filename", "warc_record_offset")
+    carry = locations.columns
+    locs = locations.repartitionByRange(n, "warc_filename", "warc_record_offset").sortWithinPartitions(
+        "warc_filename", "warc_record_offset"
     )
-    schema = ("warc_filename string, warc_record_offset long, warc_record_length long, rec_type string, target_uri string, "
-              "warc_date string, http_headers string, payload binary")
-    return locs.mapInPandas(_fetch_task(base), schema)
+    fields = {f.name: f.dataType.simpleString() for f in locations.schema.fields}
+    schema = ", ".join([f"{c} {fields[c]}" for c in carry] + [f"{f} {t}" for f, t in _FETCHED])
+    return locs.mapInPandas(_fetch_task(base, carry), schema)
 
 
 def write_archive(path: str, records: list[dict]) -> list[tuple[int, int]]:

@@ -97,3 +97,22 @@ def test_crawl_index_partition_and_column_pruning(spark):
     assert "ReadSchema: struct<url:string,url_host_name:string,warc_filename:string,warc_record_offset:bigint" in plan
     assert "page_id" not in plan
     assert df.count() == fx.crawl_index(spark, SF_SMALL).where("subset = 'warc'").count()
+
+
+def test_crawl_size_from_archives(spark):
+    from corpusforge.operators.crawl import crawl_size_from_archives
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    bodies = [b"<html>root a</html>", b"%PDF-1.4 not html", b"<p >b root</p>"]
+    recs = []
+    for i, b in enumerate(bodies):
+        recs.append({"type": "response", "headers": {"WARC-Target-URI": f"http://h{i}.com/", "Content-Type": "application/http; msgtype=response"},
+                     "block": b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b})
+    spans = W.write_archive(os.path.join(d, "x.warc.gz"), recs)
+    rows = []
+    for i, (off, ln) in enumerate(spans):
+        rows.append((f"http://h{i}.com/", f"h{i}.com", "x.warc.gz", off, ln))
+        rows.append((f"http://h{i}.com/page", f"h{i}.com", "x.warc.gz", 10_000 + i, 1))  # non-root rows are only counted
+    index = spark.createDataFrame(rows, "url string, url_host_name string, warc_filename string, warc_record_offset long, warc_record_length long")
+    got = {r["hostname"]: (r["sentence"], r["label"]) for r in crawl_size_from_archives(index, d).collect()}
+    assert got == {"h0.com": ("<html>root a</html>", 2.0), "h2.com": ("<p >b root</p>", 2.0)}
