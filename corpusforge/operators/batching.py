@@ -23,9 +23,15 @@ from corpusforge.functions.hashing import DEFAULT_SEED, row_hash
 BATCH_SIZE = 256
 
 
-def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets: int = 8,
+def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets: int | None = None,
                  seed: int = DEFAULT_SEED) -> DataFrame:
-    """Add (h, bucket, rn, batch): rn counts from 1 inside a bucket in (h, key) order."""
+    """Add (h, bucket, rn, batch): rn counts from 1 inside a bucket in (h, key) order.
+
+    ``buckets`` defaults to the session's shuffle partition count, so each bucket's
+    numbering sort is one task's share of the rows.
+    """
+    if buckets is None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = row_hash(F.col(key), seed)
     out = df.withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
     w = Window.partitionBy("bucket").orderBy("h", key)

@@ -49,10 +49,13 @@ def kth_smallest(keys: DataFrame, k: int, h: str = "h", key: str = "key"):
         else:
             return None
         shift = nxt
-    ties = keys.where(F.col(h) == F.lit(prefix)).select(key).orderBy(key).limit(rank).collect()
-    if len(ties) < rank:
-        return None
-    return prefix, ties[-1][key]
+    # rows sharing this exact hash: count them per key (duplicated keys collapse to one row)
+    ties = keys.where(F.col(h) == F.lit(prefix)).groupBy(key).agg(F.count(F.lit(1)).alias("c")).orderBy(key).collect()
+    for row in ties:
+        if rank <= row["c"]:
+            return prefix, row[key]
+        rank -= row["c"]
+    return None
 
 
 def _narrow(df: DataFrame, key: str, seed) -> DataFrame:

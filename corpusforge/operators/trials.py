@@ -8,9 +8,12 @@ in Python: one grouped Arrow call per cohort over one value per trial.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.functions.student_t import t_cdf, t_fit
 from corpusforge.plans.joins import join_checked
@@ -83,12 +86,83 @@ def _flag_cohort(mode: str, conf: float):
     return run
 
 
+_FLAGS = "cohort string, trial_id long, metric double, p double, outlier boolean"
+# log-spaced degrees of freedom searched by the distributed fit
+NU_GRID = [math.exp(math.log(0.1) + i * (math.log(1e4) - math.log(0.1)) / 47) for i in range(48)]
+
+
 def flag_outliers(series: DataFrame, mode: str = "max", conf: float = DEFAULT_CONF,
-                  roster: DataFrame | None = None) -> DataFrame:
-    """(cohort, trial_id, metric, p, outlier): fit Student t on the snapshot values of each cohort."""
-    snap = common_snapshot(series, roster).select("cohort", "trial_id", "metric")
-    return snap.groupBy("cohort").applyInPandas(
-        _flag_cohort(mode, conf), "cohort string, trial_id long, metric double, p double, outlier boolean"
+                  roster: DataFrame | None = None, max_in_task: int = 200_000) -> DataFrame:
+    """(cohort, trial_id, metric, p, outlier): fit Student t on the snapshot values of each cohort.
+
+    A cohort of up to ``max_in_task`` trials is fitted in one grouped Arrow call
+    (one value per trial).  Larger cohorts are fitted by distributed EM: each
+    iteration is one partial aggregate over the cohort's rows for every grid
+    value of the degrees of freedom at once, so no task holds a whole cohort.
+    """
+    snap = common_snapshot(series, roster).select("cohort", "trial_id", "metric").checkpoint(eager=True)
+    sizes = snap.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
+    big = [r["cohort"] for r in sizes.where(F.col("n") > max_in_task).select("cohort").collect()]
+    small = snap.where(~F.col("cohort").isin(big)) if big else snap
+    out = small.groupBy("cohort").applyInPandas(_flag_cohort(mode, conf), _FLAGS)
+    if big:
+        out = out.unionByName(_flag_distributed(snap.where(F.col("cohort").isin(big)), mode, conf))
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def _t_cdf_udf(x: pd.Series, nu: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
+    return pd.Series([None if n is None or math.isnan(n) else t_cdf(v, n, m, s) for v, n, m, s in zip(x, nu, loc, scale)])
+
+
+def _flag_distributed(rows: DataFrame, mode: str, conf: float, iters: int = 120, tol: float = 1e-9) -> DataFrame:
+    spark = rows.sparkSession
+    init = rows.groupBy("cohort").agg(F.avg("metric").alias("mu"), F.stddev_pop("metric").alias("sd")).collect()
+    params = {(r["cohort"], g): (r["mu"], r["sd"] or 0.0) for r in init for g in range(len(NU_GRID))}
+    live = {k for k, v in params.items() if v[1] > 0}
+
+    def with_params(keys):
+        p = spark.createDataFrame([(c, g, NU_GRID[g], *params[(c, g)]) for c, g in keys],
+                                  "cohort string, g int, nu double, mu double, sigma double")
+        return rows.join(F.broadcast(p), "cohort")  # bounded: (#large cohorts) x grid rows
+
+    y = F.col("metric")
+    for _ in range(iters):
+        if not live:
+            break
+        j = with_params(sorted(live))
+        z2 = ((y - F.col("mu")) / F.col("sigma")) ** 2
+        w = (F.col("nu") + 1) / (F.col("nu") + z2)
+        agg = j.groupBy("cohort", "g").agg(F.sum(w).alias("s0"), F.sum(w * y).alias("s1"), F.sum(w * y * y).alias("s2"),
+                                           F.count(F.lit(1)).alias("n")).collect()
+        for r in agg:
+            key = (r["cohort"], r["g"])
+            mu_old, sd_old = params[key]
+            mu = r["s1"] / r["s0"]
+            var = max((r["s2"] - 2 * mu * r["s1"] + mu * mu * r["s0"]) / r["n"], 1e-300)
+            params[key] = (mu, math.sqrt(var))
+            if abs(mu - mu_old) <= tol * (1 + abs(mu_old)) and abs(math.sqrt(var) - sd_old) <= tol * sd_old:
+                live.discard(key)
+    keys = sorted(k for k, v in params.items() if v[1] > 0)
+    best: dict[str, tuple[float, float, float, float]] = {}
+    if keys:
+        j = with_params(keys)
+        z2 = ((y - F.col("mu")) / F.col("sigma")) ** 2
+        sums = j.groupBy("cohort", "g").agg(F.sum(F.log1p(z2 / F.col("nu"))).alias("q"), F.count(F.lit(1)).alias("n")).collect()
+        for r in sums:
+            nu = NU_GRID[r["g"]]
+            mu, sd = params[(r["cohort"], r["g"])]
+            ll = r["n"] * (math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(sd)) \
+                - (nu + 1) / 2 * r["q"]
+            if r["cohort"] not in best or ll > best[r["cohort"]][0]:
+                best[r["cohort"]] = (ll, nu, mu, sd)
+    fits = spark.createDataFrame([(c, v[1], v[2], v[3]) for c, v in best.items()] or [("", None, None, None)],
+                                 "cohort string, nu double, loc double, scale double")
+    scored = rows.join(F.broadcast(fits), "cohort", "left")
+    p = _t_cdf_udf(F.col("metric"), F.col("nu"), F.col("loc"), F.col("scale"))
+    p = (F.lit(1.0) - p) if mode == "min" else p
+    return scored.select("cohort", "trial_id", "metric", p.alias("p")).withColumn(
+        "outlier", F.coalesce(F.col("p") <= F.lit(conf), F.lit(False))
     )
 
 

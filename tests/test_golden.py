@@ -173,3 +173,17 @@ def test_final_metrics_status(spark):
     )
     got = {r["run_id"]: (r["train_status"], r["eval_status"], r["eval_loss"]) for r in TR.final_metrics(log).collect()}
     assert got == {1: ("ok", "ok", 0.7), 2: ("ok", "missing", None), 3: ("ambiguous", "missing", None)}
+
+
+def test_distributed_t_fit_agrees_with_in_task_fit(spark):
+    from corpusforge.plans import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    series = fx.trial_series(spark, SF_SMALL)
+    local = {(r["cohort"], r["trial_id"]): (r["p"], r["outlier"]) for r in TR.flag_outliers(series).collect()}
+    dist = {(r["cohort"], r["trial_id"]): (r["p"], r["outlier"]) for r in TR.flag_outliers(series, max_in_task=10).collect()}
+    assert local.keys() == dist.keys()
+    close = sum(1 for k in local if local[k][0] is not None and abs(local[k][0] - dist[k][0]) < 0.02)
+    assert close >= 0.95 * len(local)
+    same = sum(1 for k in local if local[k][1] == dist[k][1])
+    assert same >= 0.95 * len(local)
