@@ -24,13 +24,9 @@ ROOT_PAGE_JAVA = r"^https?://[^/]+/?\z"
 ROOT_PAGE_RE2 = r"^https?://[^/]+/?$"
 
 
-def _sniff_regex() -> str:
-    alts = "|".join(t.replace("!", "!") for t in SNIFF_HTML_TAGS)
-    return f"^[{SNIFF_SPACE}]*(?i:{alts})[{SNIFF_TERMINATORS}]"
-
-
-SNIFF_JAVA = _sniff_regex()
-SNIFF_RE2 = f"^[\\t\\n\\f\\r ]*(?i:{'|'.join(SNIFF_HTML_TAGS)})[ >]"
+# the same pattern reads the same in Java regex (Spark) and RE2 (DuckDB)
+SNIFF_JAVA = f"^[{SNIFF_SPACE}]*(?i:{'|'.join(SNIFF_HTML_TAGS)})[{SNIFF_TERMINATORS}]"
+SNIFF_RE2 = SNIFF_JAVA
 
 
 def is_root_page(url) -> Column:

@@ -35,7 +35,6 @@ def host_summary(index: DataFrame, order_by: Sequence[str] = ("url", "warc_filen
     root row; it merges partially like ``count``, so no group is ever collected.
     """
     order = list(order_by)
-    rest = [c for c in LOCATION if c not in order]
     root = is_root_page(F.col("url"))
     first = F.min(F.when(root, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], *[F.col(c) for c in LOCATION])))
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.functions.hashing import row_hash, row_hash_sql
+from corpusforge.functions.hashing import row_hash_sql
 from corpusforge.operators import batching as B
 from corpusforge.operators import labels as L
 from corpusforge.operators import split as S

@@ -64,10 +64,7 @@ def q_exchange_unpaired(spark, sf):
 _FETCH = r"(?im)^fetchTimeMs:[ \t]*([^\r\n]*)"
 
 
-@register(
-    "exchange_projection",
-    "C2 B2 B3 B7 B8 B9 T1",
-    _GROUPS + f"""SELECT rtrim(res_body, chr(0)) AS html, uri,
+_PROJECTION_BODY = f"""SELECT rtrim(res_body, chr(0)) AS html, uri,
   coalesce(req_headers, '') || chr(13) || chr(10) || rtrim(req_body, chr(0)) AS req,
   coalesce(res_headers, '') AS res,
   strptime(req_date, '%Y-%m-%dT%H:%M:%SZ') AS "when",
@@ -75,8 +72,10 @@ _FETCH = r"(?im)^fetchTimeMs:[ \t]*([^\r\n]*)"
        WHEN trim(regexp_extract(meta_body, '{_FETCH}', 1)) = '' THEN NULL
        ELSE CAST(trim(regexp_extract(meta_body, '{_FETCH}', 1)) AS DOUBLE) / 1000.0 END AS duration
 FROM x WHERE {_COMPLETE} AND regexp_matches(substr(res_body, 1, 1445), '{SNIFF_RE2}')
-  AND NOT contains(rtrim(res_body, chr(0)), chr(0))""",
-)
+  AND NOT contains(rtrim(res_body, chr(0)), chr(0))"""
+
+
+@register("exchange_projection", "C2 B2 B3 B7 B8 B9 T1", _GROUPS + _PROJECTION_BODY)
 def q_exchange_projection(spark, sf):
     return X.html_exchange_dataset(_records(spark, sf), on_unpaired="drop")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.plans import fixtures as fx
 from corpusforge.plans.q_crawl import _FIRST_SQL, _with
-from corpusforge.plans.q_exchange import _COMPLETE, _GROUPS
+from corpusforge.plans.q_exchange import _COMPLETE, _GROUPS, _PROJECTION_BODY
 from corpusforge.plans.registry import register
 from corpusforge.sources.crawl_index import select_crawl
 from corpusforge.streaming import forms as W
@@ -32,6 +32,13 @@ def q_stream_exchange(spark, sf):
     )
 
 
+@register("stream_exchange_projection", "W2 C2", _GROUPS + _PROJECTION_BODY)
+def q_stream_exchange_projection(spark, sf):
+    recs = fx.records_of_pages(fx.table_stream(spark, sf, "pages"))
+    out = W.project_stream_exchanges(W.stream_exchanges(recs, timeout_ms=None))
+    return W.run_available_now(out, "exchange_rows", "append")
+
+
 @register("stream_trials", "W3")
 def q_stream_trials(spark, sf):
     events = fx.table_stream(spark, sf, "events")

@@ -6,7 +6,6 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from corpusforge.functions.hashing import row_hash, row_hash_sql
 from corpusforge.operators import batching as B
 from corpusforge.operators import split as S
 from corpusforge.operators import vocab as V

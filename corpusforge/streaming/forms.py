@@ -185,3 +185,19 @@ def stream_trials(series_stream: DataFrame, monitor: TrialMonitor) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+
+
+def project_stream_exchanges(exchanges_stream: DataFrame) -> DataFrame:
+    """(html, uri, req, res, when, duration) from streamed complete exchanges (C2 as a stream)."""
+    from corpusforge.operators.exchange import project_exchanges
+
+    def rec(prefix: str):
+        return F.struct(
+            F.col(f"{prefix}_ordinal").alias("ordinal"), F.col("uri").alias("target_uri"),
+            F.col(f"{prefix}_warc_date").alias("warc_date"), F.col(f"{prefix}_http_headers").alias("http_headers"),
+            F.col(f"{prefix}_payload").alias("payload"),
+        )
+
+    complete = exchanges_stream.where(F.col("status") == "complete")
+    shaped = complete.select(rec("req").alias("request"), rec("res").alias("response"), rec("meta").alias("metadata"))
+    return project_exchanges(shaped)
