@@ -142,6 +142,7 @@ def _substrings(unit: Column, max_len: int) -> Column:
 def _chars(counts: DataFrame) -> list[tuple[str, float]]:
     chars = (
         counts.select(F.explode(F.split(F.col("unit"), "(?!^)")).alias("ch"), "c")
+        .where(F.length("ch") == 1)
         .groupBy("ch").agg(F.sum("c").alias("f"))
         .orderBy(F.desc("f"), "ch").collect()
     )
@@ -310,13 +311,18 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
         if lat is None:
             lat = _LATTICES[key] = Lattice(bc.value, max_len=MAX_PIECE_LEN)
         toks, ids = [], []
+        unk = lat.unk_id
         for us in units:
             tk, ii = [], []
             if us is not None:
                 for u in us:
                     a, b = lat.encode_word(u)
-                    tk.extend(a)
-                    ii.extend(b)
+                    for piece, pid in zip(a, b):
+                        if pid == unk and ii and ii[-1] == unk:
+                            tk[-1] += piece  # consecutive unknown characters form one unknown token
+                        else:
+                            tk.append(piece)
+                            ii.append(pid)
             toks.append(tk)
             ids.append(ii)
         return pd.DataFrame({"tokens": toks, "ids": ids})
