@@ -187,3 +187,9 @@ def test_distributed_t_fit_agrees_with_in_task_fit(spark):
     assert close >= 0.95 * len(local)
     same = sum(1 for k in local if local[k][1] == dist[k][1])
     assert same >= 0.95 * len(local)
+
+
+def test_one_hot(spark):
+    from corpusforge.functions.arrays import one_hot
+
+    assert one(spark, one_hot(F.col("v"), 4), 2, "v int") == [0.0, 0.0, 1.0, 0.0]

@@ -116,3 +116,11 @@ def test_crawl_size_from_archives(spark):
     index = spark.createDataFrame(rows, "url string, url_host_name string, warc_filename string, warc_record_offset long, warc_record_length long")
     got = {r["hostname"]: (r["sentence"], r["label"]) for r in crawl_size_from_archives(index, d).collect()}
     assert got == {"h0.com": ("<html>root a</html>", 2.0), "h2.com": ("<p >b root</p>", 2.0)}
+
+
+def test_vocab_round_trip(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    voc = spark.createDataFrame([(0, "<unk>", 0.0, "UNKNOWN"), (1, "▁a", -1.5, "NORMAL")], "id int, piece string, score float, type string")
+    sinks.write_vocab(voc, os.path.join(d, "v"))
+    back = sinks.read_vocab(spark, os.path.join(d, "v")).orderBy("id").collect()
+    assert [tuple(r) for r in back] == [(0, "<unk>", 0.0, "UNKNOWN"), (1, "▁a", -1.5, "NORMAL")]
