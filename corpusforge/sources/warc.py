@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RECORD_SCHEMA = (
     "file string, ordinal long, offset long, length long, rec_type string, target_uri string, "
@@ -118,8 +118,40 @@ class _WarcReader(DataSourceReader):
         yield from _scan_file(partition.path, self.types)
 
 
+class _WarcStreamReader(DataSourceStreamReader):
+    """Archive files as a stream: the offset is the number of files listed so far.
+
+    Files are taken in name order, so new archives must sort after the ones
+    already read (the usual sequential naming of crawl segments).
+    """
+
+    def __init__(self, pattern: str, types):
+        self.pattern = pattern
+        self.types = types
+
+    def _files(self) -> list[str]:
+        return sorted(glob.glob(self.pattern))
+
+    def initialOffset(self) -> dict:
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(self._files())}
+
+    def partitions(self, start: dict, end: dict):
+        files = self._files()[start["files"]: end["files"]]
+        return [_FilePartition(p) for p in files]
+
+    def read(self, partition):
+        yield from _scan_file(partition.path, self.types)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").option("types", "request,response,metadata").load(glob)``."""
+    """``spark.read.format("warc").option("types", "request,response,metadata").load(glob)``;
+    ``spark.readStream.format("warc")`` reads archive files as they appear."""
 
     @classmethod
     def name(cls):
@@ -133,9 +165,14 @@ class WarcDataSource(DataSource):
         paths = sorted(glob.glob(path)) if path else []
         if path and not paths and os.path.exists(path):
             paths = [path]
+        return _WarcReader(paths, self._types())
+
+    def _types(self):
         types = self.options.get("types", ",".join(WANTED))
-        wanted = None if types == "*" else tuple(t for t in types.split(",") if t)
-        return _WarcReader(paths, wanted)
+        return None if types == "*" else tuple(t for t in types.split(",") if t)
+
+    def streamReader(self, schema):
+        return _WarcStreamReader(self.options.get("path"), self._types())
 
 
 def register(spark: SparkSession) -> None:
@@ -147,6 +184,12 @@ def read_archives(spark: SparkSession, path_glob: str, types: str = ",".join(WAN
     return spark.read.format("warc").option("types", types).load(path_glob)
 
 
+def stream_archives(spark: SparkSession, path_glob: str, types: str = ",".join(WANTED)) -> DataFrame:
+    """Archive records as a stream of files (S3 for W2)."""
+    register(spark)
+    return spark.readStream.format("warc").option("types", types).load(path_glob)
+
+
 def read_manifest(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """Archive paths listed one per line in a (gzip) text file (S2); ``first`` keeps the first n (L2).
 

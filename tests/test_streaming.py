@@ -35,3 +35,21 @@ def test_trial_monitor_flags_and_bounded_state(spark):
     n_trials = fx.trial_series(spark, SF_SMALL).select("cohort", "trial_id").distinct().count()
     assert flags.count() == n_trials
     assert mon.state().count() <= fx.trial_series(spark, SF_SMALL).count()
+
+
+def test_archive_stream_into_exchange_pairing(spark):
+    import os
+    import tempfile
+
+    from corpusforge.sources import warc as WS
+    from tests.test_sources import _exchange
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    WS.write_archive(os.path.join(d, "a-000.warc.gz"), _exchange("http://a.com/", b"<html>a</html>", 10) + _exchange("http://b.com/", b"<p >b</p>", 20)[:2])
+    WS.write_archive(os.path.join(d, "a-001.warc.gz"), _exchange("http://c.com/", b"<b>c</b>", 30))
+    stream = WS.stream_archives(spark, os.path.join(d, "*.warc.gz"))
+    got = W.run_available_now(W.stream_exchanges(stream, timeout_ms=None), "t_arc", "append")
+    rows = {(r["uri"], r["status"]) for r in got.collect()}
+    assert rows == {("http://a.com/", "complete"), ("http://c.com/", "complete")}
+    batch = X.assemble_exchanges(WS.read_archives(spark, os.path.join(d, "*.warc.gz")), on_unpaired="drop")
+    assert {r["uri"] for r in batch.collect()} == {"http://a.com/", "http://c.com/"}
