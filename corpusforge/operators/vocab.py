@@ -215,7 +215,7 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
     sc = spark.sparkContext
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
+    tasks = 2 * sc.defaultParallelism  # EM passes are CPU-bound Python: two tasks per core
     # spread the distinct units over all tasks: every EM pass is a Python map over them
     counts = unit_counts(docs, spec, text).repartition(tasks).checkpoint(eager=True)
     n_normal = spec.size - len(SPECIALS)
