@@ -47,7 +47,12 @@ def _norm_key(label: Column) -> Column:
     return F.regexp_replace(key, r"^_+|_+$", "")
 
 
+_CACHE: dict[str, dict[str, str]] = {}
+
+
 def _python_codec_names() -> dict[str, str]:
+    if "py" in _CACHE:
+        return _CACHE["py"]
     out: dict[str, str] = {}
     keys = set(encodings.aliases.aliases) | set(encodings.aliases.aliases.values())
     for k in sorted(keys):
@@ -57,20 +62,36 @@ def _python_codec_names() -> dict[str, str]:
             continue
     for k in list(out):
         out.setdefault(k.replace(".", "_"), out[k])
+    _CACHE["py"] = out
     return out
 
 
+_MAP_SQL: dict[int, str] = {}
+
+
+def _sql_str(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _map_literal(d: dict[str, str]) -> Column:
-    keys = sorted(d)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(d[k]) for k in keys]))
+    """One SQL map literal (a single expression, not one call per entry)."""
+    key = id(d)
+    sql = _MAP_SQL.get(key)
+    if sql is None:
+        sql = "map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(d[k])}" for k in sorted(d)) + ")"
+        _MAP_SQL[key] = sql
+    return F.expr(sql)
 
 
 def _whatwg_map() -> dict[str, str]:
+    if "whatwg" in _CACHE:
+        return _CACHE["whatwg"]
     out = {}
     for name, labels in WHATWG_OVERRIDES.items():
         for lab in labels:
             key = lab.lower()
             out[key] = name
+    _CACHE["whatwg"] = out
     return out
 
 
