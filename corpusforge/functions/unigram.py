@@ -103,8 +103,9 @@ class Lattice:
                 self._memo[w] = hit
         return hit
 
-    def expected_counts(self, w: str, weight: float, acc: dict[str, list[float]]) -> float:
-        """Add weight * E[count(piece)] and the Viterbi counts to ``acc``; return weight * log Z."""
+    def expected_counts(self, w: str, weight: float, acc: dict[str, list[float]], viterbi: bool = True) -> float:
+        """Add weight * E[count(piece)] (and, with ``viterbi``, the best-path counts) to ``acc``;
+        return weight * log Z."""
         n = len(w)
         if n == 0:
             return 0.0
@@ -139,6 +140,8 @@ class Lattice:
                     acc[p] = [post, 0.0]
                 else:
                     slot[0] += post
+        if not viterbi:
+            return weight * z
         toks, _ids, _ = self._best(w, ends)
         for t in toks:
             slot = acc.get(t)

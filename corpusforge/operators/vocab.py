@@ -172,14 +172,14 @@ def seed_pieces(counts: DataFrame, seed_size: int, seed_len: int = 16) -> list[t
 _STATS = "piece string, expected double, vfreq double, loglik double"
 
 
-def _em_task(bc):
+def _em_task(bc, viterbi: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = Lattice(bc.value, max_len=MAX_PIECE_LEN)
         acc: dict[str, list[float]] = {}
         ll = 0.0
         for pdf in batches:
             for u, c in zip(pdf["unit"], pdf["c"]):
-                ll += lat.expected_counts(u, float(c), acc)
+                ll += lat.expected_counts(u, float(c), acc, viterbi)
         if acc:
             yield pd.DataFrame({
                 "piece": list(acc), "expected": [v[0] for v in acc.values()],
@@ -231,9 +231,10 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
     char_set = {c for c, _ in chars}
     vfreq: dict[str, float] = {}
     for _round in range(max_rounds):
-        for _ in range(em_iters):
+        for it in range(em_iters):
             bc = sc.broadcast({p: (i, s) for i, (p, s) in enumerate(scores.items(), start=len(SPECIALS))})
-            stats = counts.mapInPandas(_em_task(bc), _STATS).groupBy("piece").agg(
+            # best-path counts feed only the pruning step: compute them on the last sub-iteration
+            stats = counts.mapInPandas(_em_task(bc, it == em_iters - 1), _STATS).groupBy("piece").agg(
                 F.sum("expected").alias("expected"), F.sum("vfreq").alias("vfreq")
             )
             rows = stats.where(F.col("expected") > 0).select("piece", F.log("expected").alias("le"), "vfreq").collect()
