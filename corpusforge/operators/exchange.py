@@ -6,10 +6,9 @@ Clean mode numbers the records of each (file, uri, type) by ordinal
 (``generation``) and groups by (file, uri, generation): one shuffle, and the
 group-by merges partially, so nothing is gathered per key.  Exact mode keeps
 the reference's overwrite rule (a repeated type before completion replaces the
-earlier record): the narrow (ordinal, type) columns of one (file, uri) go
-through a small grouped Arrow function that numbers the exchanges, and only
-those numbers are joined back.  One (file, uri) group is bounded by the
-records of one archive file.
+earlier record): the records of one (file, uri) go through one grouped Arrow
+call that numbers the exchanges in ordinal order, again one shuffle.  One
+(file, uri) group is bounded by the records of one archive file.
 """
 
 from __future__ import annotations
@@ -26,40 +25,62 @@ REC_TYPES = ("request", "response", "metadata")
 _RECORD = ("ordinal", "target_uri", "warc_date", "http_headers", "payload")
 
 
-def _exact_generations(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential pairing with overwrite; records replaced or left open get generation -1."""
+_EXACT_COLS = ("file", "target_uri", "rec_type", "ordinal", "warc_date", "http_headers", "payload")
+_SLOT_FIELDS = (("ordinal", "long"), ("warc_date", "string"), ("http_headers", "string"), ("payload", "binary"))
+_EXACT_SCHEMA = "file string, uri string, generation int, n_records long, " + ", ".join(
+    f"{t}_{f} {ty}" for t in REC_TYPES for f, ty in _SLOT_FIELDS
+)
+
+
+def _exact_exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sequential pairing with overwrite inside one (file, uri): one row per completed
+    exchange, plus one incomplete row for whatever is still open at the end."""
     pdf = pdf.sort_values("ordinal")
-    open_: dict[str, int] = {}
-    gen = 0
-    out_ord, out_gen = [], []
-    assigned: dict[int, int] = {}
-    for o, t in zip(pdf["ordinal"], pdf["rec_type"]):
-        open_[t] = o
+    file, uri = pdf["file"].iloc[0], pdf["target_uri"].iloc[0]
+    rows, open_, gen = [], {}, 0
+
+    def emit(slots: dict, generation: int):
+        row = {"file": file, "uri": uri, "generation": generation, "n_records": len(slots)}
+        for t in REC_TYPES:
+            rec = slots.get(t)
+            for f, _ in _SLOT_FIELDS:
+                row[f"{t}_{f}"] = None if rec is None else rec[f]
+        rows.append(row)
+
+    for rec in pdf.to_dict("records"):
+        open_[rec["rec_type"]] = rec  # a repeated type before completion overwrites
         if len(open_) == len(REC_TYPES):
             gen += 1
-            for v in open_.values():
-                assigned[v] = gen
+            emit(open_, gen)
             open_ = {}
-    for o in pdf["ordinal"]:
-        out_ord.append(o)
-        out_gen.append(assigned.get(o, -1))
-    file = pdf["file"].iloc[0]
-    uri = pdf["target_uri"].iloc[0]
-    return pd.DataFrame({"file": file, "target_uri": uri, "ordinal": out_ord, "generation": out_gen})
+    if open_:
+        emit(open_, gen + 1)
+    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _EXACT_SCHEMA.split(", ")])
 
 
-def _numbered(records: DataFrame, exact: bool) -> DataFrame:
+def _numbered(records: DataFrame) -> DataFrame:
+    # hash by (file, uri) once: the numbering window (file, uri, type) and the
+    # group-by (file, uri, generation) are both clustered by it, so one shuffle serves both
     wanted = records.where(F.col("rec_type").isin(*REC_TYPES))
-    if not exact:
-        # hash by (file, uri) once: the numbering window (file, uri, type) and the
-        # group-by (file, uri, generation) are both clustered by it, so one shuffle serves both
-        w = Window.partitionBy("file", "target_uri", "rec_type").orderBy("ordinal")
-        return wanted.repartition("file", "target_uri").withColumn("generation", F.row_number().over(w))
-    keys = wanted.select("file", "target_uri", "ordinal", "rec_type")
-    gens = keys.groupBy("file", "target_uri").applyInPandas(
-        _exact_generations, "file string, target_uri string, ordinal long, generation int"
-    )
-    return wanted.join(gens, ["file", "target_uri", "ordinal"], "inner")
+    w = Window.partitionBy("file", "target_uri", "rec_type").orderBy("ordinal")
+    return wanted.repartition("file", "target_uri").withColumn("generation", F.row_number().over(w))
+
+
+def _exact_groups(records: DataFrame) -> DataFrame:
+    """Exchanges in overwrite mode: the records of one (file, uri) go through one grouped
+    Arrow call in ordinal order, which emits the finished groups (one shuffle, no group-by after)."""
+    wanted = records.where(F.col("rec_type").isin(*REC_TYPES)).select(*_EXACT_COLS)
+    flat = wanted.groupBy("file", "target_uri").applyInPandas(_exact_exchanges, _EXACT_SCHEMA)
+
+    def rec(t: str):
+        return F.when(
+            F.col(f"{t}_ordinal").isNotNull(),
+            F.struct(F.col(f"{t}_ordinal").alias("ordinal"), F.col("uri").alias("target_uri"),
+                     F.col(f"{t}_warc_date").alias("warc_date"), F.col(f"{t}_http_headers").alias("http_headers"),
+                     F.col(f"{t}_payload").alias("payload")),
+        )
+
+    return flat.select("file", "uri", "generation", "n_records", *[rec(t).alias(t) for t in REC_TYPES])
 
 
 def assemble_exchanges(records: DataFrame, on_unpaired: str = "error", exact: bool = False) -> DataFrame:
@@ -71,15 +92,15 @@ def assemble_exchanges(records: DataFrame, on_unpaired: str = "error", exact: bo
     """
     if on_unpaired not in ("error", "drop", "report"):
         raise ValueError(f"unknown on_unpaired {on_unpaired!r}")
-    numbered = _numbered(records, exact)
-    rec = F.struct(*[F.col(c) for c in _RECORD])
-    aggs = [F.max(F.when(F.col("rec_type") == t, rec)).alias(t) for t in REC_TYPES]
-    groups = numbered.groupBy("file", F.col("target_uri").alias("uri"), "generation").agg(
-        F.count(F.lit(1)).alias("n_records"), *aggs
-    )
-    complete = F.col("request").isNotNull() & F.col("response").isNotNull() & F.col("metadata").isNotNull()
     if exact:
-        complete = complete & (F.col("generation") > 0)
+        groups = _exact_groups(records)
+    else:
+        rec = F.struct(*[F.col(c) for c in _RECORD])
+        aggs = [F.max(F.when(F.col("rec_type") == t, rec)).alias(t) for t in REC_TYPES]
+        groups = _numbered(records).groupBy("file", F.col("target_uri").alias("uri"), "generation").agg(
+            F.count(F.lit(1)).alias("n_records"), *aggs
+        )
+    complete = F.col("request").isNotNull() & F.col("response").isNotNull() & F.col("metadata").isNotNull()
     if on_unpaired == "report":
         missing = F.array_compact(F.array(*[F.when(F.col(t).isNull(), F.lit(t)) for t in REC_TYPES]))
         return groups.where(~complete).select("file", "uri", "generation", "n_records", missing.alias("missing"))
