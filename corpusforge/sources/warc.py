@@ -161,6 +161,9 @@ class WarcDataSource(DataSource):
         return RECORD_SCHEMA
 
     def reader(self, schema):
+        listed = self.options.get("paths")
+        if listed:  # an explicit, ordered list (e.g. the first n files of a manifest)
+            return _WarcReader([p for p in listed.split("\n") if p], self._types())
         path = self.options.get("path")
         paths = sorted(glob.glob(path)) if path else []
         if path and not paths and os.path.exists(path):
@@ -184,6 +187,12 @@ def read_archives(spark: SparkSession, path_glob: str, types: str = ",".join(WAN
     return spark.read.format("warc").option("types", types).load(path_glob)
 
 
+def read_archive_list(spark: SparkSession, paths: list[str], types: str = ",".join(WANTED)) -> DataFrame:
+    """Records of the given archive files, one partition per file."""
+    register(spark)
+    return spark.read.format("warc").option("types", types).option("paths", "\n".join(paths)).load()
+
+
 def stream_archives(spark: SparkSession, path_glob: str, types: str = ",".join(WANTED)) -> DataFrame:
     """Archive records as a stream of files (S3 for W2)."""
     register(spark)

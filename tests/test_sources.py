@@ -124,3 +124,32 @@ def test_vocab_round_trip(spark):
     sinks.write_vocab(voc, os.path.join(d, "v"))
     back = sinks.read_vocab(spark, os.path.join(d, "v")).orderBy("id").collect()
     assert [tuple(r) for r in back] == [(0, "<unk>", 0.0, "UNKNOWN"), (1, "▁a", -1.5, "NORMAL")]
+
+
+def test_api_builds_once(spark):
+    from corpusforge import api
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    arch = os.path.join(d, "crawl")
+    os.makedirs(arch)
+    recs = _exchange("http://a.com/", b"<html>a</html>", 1500) + _exchange("http://b.com/", b"<p >b</p>", 0)
+    W.write_archive(os.path.join(arch, "seg-0.warc.gz"), recs)
+    W.write_archive(os.path.join(arch, "seg-1.warc.gz"), _exchange("http://c.com/", b"<b>c</b>", 7))
+    manifest = os.path.join(d, "warc.paths.gz")
+    with gzip.open(manifest, "wt") as f:
+        f.write("seg-0.warc.gz\nseg-1.warc.gz\n")
+    out = api.html_exchanges(spark, manifest, arch, os.path.join(d, "html"))
+    assert sorted(r["uri"] for r in out.collect()) == ["http://a.com/", "http://b.com/"]  # first file only
+    files = [f for f in os.listdir(os.path.join(d, "html")) if f.endswith(".parquet")]
+    assert pq.ParquetFile(os.path.join(d, "html", files[0])).metadata.row_group(0).column(0).compression == "GZIP"
+    again = api.html_exchanges(spark, manifest, arch, os.path.join(d, "html"), first=2)
+    assert again.count() == 2  # existing output is returned as it is
+    # crawl-size from a partitioned index pointing at the same archive
+    spans = W.write_archive(os.path.join(arch, "seg-2.warc.gz"), [recs[1]])
+    idx = spark.createDataFrame(
+        [("http://a.com/", "a.com", "seg-2.warc.gz", spans[0][0], spans[0][1], "CC-X", "warc"),
+         ("http://a.com/x", "a.com", "seg-2.warc.gz", 999, 1, "CC-X", "warc")],
+        "url string, url_host_name string, warc_filename string, warc_record_offset long, warc_record_length long, crawl string, subset string")
+    idx.write.partitionBy("crawl", "subset").parquet(os.path.join(d, "index"))
+    cs = api.crawl_size(spark, os.path.join(d, "index"), "CC-X", arch, os.path.join(d, "cs")).collect()
+    assert [(r["hostname"], r["label"], r["sentence"]) for r in cs] == [("a.com", 2.0, "<html>a</html>")]
