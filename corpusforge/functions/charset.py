@@ -116,14 +116,39 @@ def bom_charset(body) -> Column:
 
 
 _COMMENT = r"<!--(?s:.*?)-->"
-_META_CHARSET = r"(?i)<meta[\s/][^>]*?charset\s*=\s*[\"']?\s*([^\s\"';>/]+)"
+_META_TAG = r"(?i)<meta[\s/][^>]*>"
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+_ATTR_CHARSET = r"(?i)[\s/]charset\s*=\s*[\"']?\s*([^\s\"';>/]+)"
+_HTTP_EQUIV_CT = r"(?i)[\s/]http-equiv\s*=\s*[\"']?\s*content-type"
+_CONTENT = r"(?i)[\s/]content\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
+_CONTENT_CHARSET = r"(?i)charset\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s;\"']+))"
+
+
+def _meta_charset(tag: Column) -> Column:
+    """Charset declared by one <meta> tag: its ``charset`` attribute, else the ``charset=``
+    inside ``content`` when ``http-equiv`` is content-type (WHATWG prescan rules)."""
+    bare = F.regexp_replace(tag, _QUOTED, '""')  # attribute names outside quoted values
+    direct_raw = F.regexp_extract(tag, _ATTR_CHARSET, 1)
+    content = F.regexp_extract(tag, _CONTENT, 1)
+    content = F.regexp_replace(content, r"^[\"']|[\"']$", "")
+    in_content = F.coalesce(
+        F.nullif(F.regexp_extract(content, _CONTENT_CHARSET, 1), F.lit("")),
+        F.nullif(F.regexp_extract(content, _CONTENT_CHARSET, 2), F.lit("")),
+        F.nullif(F.regexp_extract(content, _CONTENT_CHARSET, 3), F.lit("")),
+    )
+    return (
+        F.when(bare.rlike(r"(?i)[\s/]charset\s*="), F.nullif(direct_raw, F.lit("")))
+        .when(bare.rlike(r"(?i)[\s/]http-equiv\s*=") & tag.rlike(_HTTP_EQUIV_CT) & content.rlike(_CONTENT_CHARSET), in_content)
+    )
 
 
 def prescan_label(body) -> Column:
-    """Charset label declared by a ``<meta>`` in the first 1,024 bytes (comments skipped)."""
+    """Charset label declared by the first qualifying ``<meta>`` in the first 1,024 bytes (comments skipped)."""
     head = F.decode(F.substring(as_col(body), 1, PRESCAN_BYTES), "ISO-8859-1")
     head = F.regexp_replace(head, _COMMENT, "")
-    return F.when(head.rlike(_META_CHARSET), F.regexp_extract(head, _META_CHARSET, 1))
+    tags = F.regexp_extract_all(head, F.lit(_META_TAG), 0)
+    found = F.filter(F.transform(tags, _meta_charset), lambda x: x.isNotNull())
+    return F.try_element_at(found, F.lit(1))
 
 
 def detect_charsets(body, content_type=None) -> Column:

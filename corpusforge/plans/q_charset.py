@@ -35,7 +35,7 @@ def q_charset_detect(spark, sf):
     names = F.array_distinct(F.transform(c, lambda x: F.coalesce(x["codec"], x["label"])))
     prescan = F.filter(c, lambda x: x["rank"] == 1)
     return p.select(
-        "page_id", F.lower(F.element_at(prescan, 1)["label"]).alias("prescan_label"), F.array_join(names, ",").alias("candidates")
+        "page_id", F.lower(F.try_element_at(prescan, F.lit(1))["label"]).alias("prescan_label"), F.array_join(names, ",").alias("candidates")
     )
 
 

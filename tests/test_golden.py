@@ -193,3 +193,19 @@ def test_one_hot(spark):
     from corpusforge.functions.arrays import one_hot
 
     assert one(spark, one_hot(F.col("v"), 4), 2, "v int") == [0.0, 0.0, 1.0, 0.0]
+
+
+@pytest.mark.parametrize("head,want", [
+    ('<meta charset="utf-8">', "utf-8"),
+    ("<meta charset=windows-1251 >", "windows-1251"),
+    ('<meta http-equiv="Content-Type" content="text/html; charset=ISO-8859-2">', "ISO-8859-2"),
+    ('<meta content="text/html; charset=koi8-r" http-equiv=content-type>', "koi8-r"),
+    ('<meta name="x" content="charset=big5">', None),          # no http-equiv: content is ignored
+    ('<!-- <meta charset="gbk"> --><meta charset="utf-8">', "utf-8"),
+    ('<meta name="a"><meta charset="euc-jp">', "euc-jp"),
+    ("<html><body>no meta</body></html>", None),
+])
+def test_prescan(spark, head, want):
+    from corpusforge.functions.charset import prescan_label
+
+    assert one(spark, prescan_label(F.col("v")), head.encode(), "v binary") == want
