@@ -76,3 +76,17 @@ def test_learner_quality_close_to_sentencepiece_trainer(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     ours = V.vocab_triage(docs, {SPEC: learned_vocab(spark, SF_SMALL)}).collect()[0]["bits_per_char"]
     assert ours <= theirs * 1.05, (ours, theirs)
+
+
+def test_classifier_beats_majority(spark):
+    """M3 property: on held-out rows the classifier beats always predicting the majority class."""
+    from corpusforge.plans.catalog import all_queries
+    from tests.conftest import SF_MID
+
+    qs = all_queries()
+    metrics = {r["split"]: r for r in qs["text_classifier"].build(spark, SF_MID).collect()}
+    data = qs["labelled_dataset"].build(spark, SF_MID)
+    for split in ("validation", "test"):
+        counts = [r["count"] for r in data.where(F.col("split") == split).groupBy("label").count().collect()]
+        majority = max(counts) / sum(counts)
+        assert metrics[split]["acc"] > majority and metrics[split]["mcc"] > 0
