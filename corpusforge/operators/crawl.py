@@ -97,14 +97,18 @@ def _accepted(fetched: DataFrame, limit: int | None) -> DataFrame:
     return out
 
 
-def limit_by_host(df: DataFrame, n: int, key: str = "hostname") -> DataFrame:
+def limit_by_host(df: DataFrame, n: int, key: str = "hostname", materialize: bool = False) -> DataFrame:
     """First ``n`` rows in key order without moving bodies through one task (L1).
 
     The n-th key is found by a TakeOrdered over the key column only, then a plain
-    filter keeps rows up to it.
+    filter keeps rows up to it.  Finding the key evaluates ``df`` once more;
+    ``materialize`` checkpoints it first when recomputing it (fetch, decode)
+    costs more than writing it.
     """
     if n <= 0:
         return df.limit(0)
+    if materialize:
+        df = df.checkpoint(eager=True)
     keys = df.select(key).orderBy(key).limit(n)
     threshold = keys.agg(F.max(key).alias("t")).collect()[0]["t"]
     if threshold is None:

@@ -54,6 +54,12 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def write_blocks(blocks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """LM blocks of several lengths, one folder per ``block_size`` (E4) so each model size reads only its own."""
+    blocks.select("block_size", "input_ids", "attention_mask", "labels", *[c for c in ("split",) if c in blocks.columns]) \
+        .write.mode(mode).partitionBy("block_size").parquet(path)
+
+
 def write_vocab(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
     vocab.select("id", "piece", "score", "type").write.mode(mode).parquet(path)
 

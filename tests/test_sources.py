@@ -153,3 +153,15 @@ def test_api_builds_once(spark):
     idx.write.partitionBy("crawl", "subset").parquet(os.path.join(d, "index"))
     cs = api.crawl_size(spark, os.path.join(d, "index"), "CC-X", arch, os.path.join(d, "cs")).collect()
     assert [(r["hostname"], r["label"], r["sentence"]) for r in cs] == [("a.com", 2.0, "<html>a</html>")]
+
+
+def test_write_blocks_partitioned(spark):
+    from corpusforge.operators import batching as B
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    df = spark.createDataFrame([(0, 0, i, list(range(300))) for i in range(4)], "bucket int, batch int, rn int, input_ids array<int>")
+    df = df.withColumn("attention_mask", F.transform("input_ids", lambda _x: F.lit(1)))
+    sinks.write_blocks(B.pack_blocks(df, [256, 512]), os.path.join(d, "blocks"))
+    assert {"block_size=256", "block_size=512"} <= set(os.listdir(os.path.join(d, "blocks")))
+    back = spark.read.parquet(os.path.join(d, "blocks")).where("block_size = 512")
+    assert back.count() == 2 and "PartitionFilters: [isnotnull(block_size" in back._jdf.queryExecution().executedPlan().toString()
