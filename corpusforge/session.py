@@ -7,8 +7,10 @@ On a cluster the operator never invents a checkpoint folder: it reads
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,10 +31,45 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusforge`` importable in the Python workers (once per SparkContext).
+
+    Task-side functions (Arrow UDFs, grouped maps, the archive source) import the
+    package on executors; the driver's ``sys.path`` does not reach them, so the
+    package is zipped from its source files and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusforge-py-"), "corpusforge.zip")
+    with open(path, "wb") as f:
+        f.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
+def prepare(spark: SparkSession) -> str:
+    """Ship the package to the workers and make sure a reliable checkpoint folder is set."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only for local sessions."""
     sc = spark.sparkContext
