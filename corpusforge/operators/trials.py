@@ -49,12 +49,19 @@ def common_snapshot(series: DataFrame, roster: DataFrame | None = None) -> DataF
     """Forward as-of snapshot per cohort.
 
     x = the smallest of the trials' newest times; each trial contributes its
-    earliest point at or after x (equal times: the earlier inserted).  A cohort
-    where a roster trial has no point yet has no snapshot.
+    earliest point at or after x (equal times: the earlier inserted).  With a
+    roster (cohort, trial_id[, active]), only active roster trials count, and a
+    cohort where one of them has no point yet has no snapshot.
     """
+    if roster is not None:
+        # trials that errored or were removed (active = false) leave the cohort; completed ones stay
+        if "active" in roster.columns:
+            roster = roster.where(F.col("active"))
+        roster = roster.select("cohort", "trial_id")
+        series = join_checked(series, roster, ["cohort", "trial_id"], "left_semi", MAX_COHORTS)
     last = series.groupBy("cohort", "trial_id").agg(F.max("t").alias("last_t"))
     if roster is not None:
-        last = roster.select("cohort", "trial_id").join(last, ["cohort", "trial_id"], "left")
+        last = roster.join(last, ["cohort", "trial_id"], "left")
     x = last.groupBy("cohort").agg(
         F.min("last_t").alias("x"), F.count_if(F.col("last_t").isNull()).alias("waiting")
     ).where(F.col("waiting") == 0).select("cohort", "x")

@@ -209,3 +209,11 @@ def test_prescan(spark, head, want):
     from corpusforge.functions.charset import prescan_label
 
     assert one(spark, prescan_label(F.col("v")), head.encode(), "v binary") == want
+
+
+def test_asof_roster_active(spark):
+    rows = [("c", 1, 1, 1.0, 0.1), ("c", 1, 2, 5.0, 0.5), ("c", 2, 3, 3.0, 0.4), ("c", 3, 4, 0.5, 9.0)]
+    s = spark.createDataFrame(rows, "cohort string, trial_id long, seq long, t double, metric double")
+    roster = spark.createDataFrame([("c", 1, True), ("c", 2, True), ("c", 3, False)], "cohort string, trial_id long, active boolean")
+    got = {r["trial_id"]: (r["x"], r["metric"]) for r in TR.common_snapshot(s, roster).collect()}
+    assert got == {1: (3.0, 0.5), 2: (3.0, 0.4)}  # trial 3 left the cohort, so x is not pulled down to 0.5
