@@ -84,12 +84,20 @@ def crawl_size_from_archives(index: DataFrame, base: str, limit: int | None = No
 
 
 def _accepted(fetched: DataFrame, limit: int | None) -> DataFrame:
-    """Sniff, decode, strip and filter fetched (hostname, n, http_headers, payload) rows."""
-    sniffed = fetched.where(looks_like_html(F.col("payload")))
+    """Sniff, decode, strip and filter fetched (hostname, n, http_headers, payload) rows.
+
+    The sniff is computed in the same projection as the decode (a non-deterministic
+    Arrow UDF), which keeps Catalyst from pushing it below the join onto every
+    record: it runs on the one fetched row per host.
+    """
     ctype = F.regexp_extract(F.col("http_headers"), r"(?im)^content-type:[ \t]*([^\r\n]*)", 1)
-    decoded = sniffed.select("hostname", "n", resolve_text(F.col("payload"), ctype)["text"].alias("raw"))
+    decoded = fetched.select(
+        "hostname", "n", looks_like_html(F.col("payload")).alias("is_html"),
+        resolve_text(F.col("payload"), ctype)["text"].alias("raw"),
+    )
     out = (
-        decoded.select(strip_trailing_nul(F.col("raw")).alias("sentence"), F.col("n").cast("double").alias("label"), "hostname")
+        decoded.where(F.col("is_html"))
+        .select(strip_trailing_nul(F.col("raw")).alias("sentence"), F.col("n").cast("double").alias("label"), "hostname")
         .where(~F.contains(F.col("sentence"), F.lit("\u0000")))
     )
     if limit is not None:
