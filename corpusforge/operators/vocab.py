@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 
 from corpusforge.functions.text import MAX_SENTENCE_BYTES, btrim, has_reserved_mark
 from corpusforge.functions.unigram import Lattice
+from corpusforge.plans.joins import join_checked
+from corpusforge.operators.vocab_stats import avg_token_len as vocab_avg_token_len
 from corpusforge.plans.partitioning import spread_for_python
 
 # Fixed values from the reference: the vocabulary-name grammar (switches in this
@@ -299,11 +301,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     key = uuid.uuid4().hex
     t = F.col(text)
     if max_length is not None:
-        hint = avg_token_len
-        if hint is None:
-            from corpusforge.operators.vocab_stats import avg_token_len as _avg
-
-            hint = _avg(vocab)
+        hint = avg_token_len if avg_token_len is not None else vocab_avg_token_len(vocab)
         t = t.substr(F.lit(1), F.ceil(F.lit(float(max_length) * hint)).cast("int"))
 
     @F.pandas_udf(_ENCODED)
@@ -347,8 +345,6 @@ def pieces_to_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "toke
     Pieces are exploded with their position, joined to the size-checked
     vocabulary, and re-assembled per key in position order.
     """
-    from corpusforge.plans.joins import join_checked
-
     ex = df.select(key, F.posexplode(tokens).alias("pos", "piece"))
     j = join_checked(ex, vocab.select("piece", F.col("id").alias("pid")), ["piece"], "left", max_pieces)
     return j.groupBy(key).agg(
@@ -359,8 +355,6 @@ def pieces_to_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "toke
 
 def ids_to_pieces(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", max_pieces: int = 2_000_000) -> DataFrame:
     """(key, pieces): id outside the vocabulary gives a null piece."""
-    from corpusforge.plans.joins import join_checked
-
     ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
     j = join_checked(ex, vocab.select("id", "piece"), ["id"], "left", max_pieces)
     return j.groupBy(key).agg(
@@ -414,8 +408,6 @@ def vocab_triage(docs: DataFrame, vocabs: dict[str, DataFrame], text: str = "tex
         scores = voc.select("id", F.col("score").cast("double").alias("score"))
         ex = toks.select(F.length(text).alias("chars"), "input_ids")
         per_doc = ex.select("chars", F.explode("input_ids").alias("id"))
-        from corpusforge.plans.joins import join_checked
-
         scored = join_checked(per_doc, scores, ["id"], "left", 2_000_000)
         chars = ex.agg(F.sum("chars")).collect()[0][0] or 1
         r = scored.agg(
