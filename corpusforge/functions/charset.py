@@ -222,6 +222,17 @@ def _decode_candidates(body: pd.Series, codecs_: pd.Series, scoring: pd.Series)
 _DECODE = _decode_candidates.asNondeterministic()
 
 
+DETECTORS = ("bom", "prescan", "content-type")
+
+
+def winning_detector(body, charset, content_type=None) -> Column:
+    """Name of the first detector whose candidate is the winning charset."""
+    cands = detect_charsets(as_col(body), content_type)
+    hit = F.filter(cands, lambda c: F.coalesce(c["codec"], c["label"]) == as_col(charset))
+    names = F.array(*[F.lit(d) for d in DETECTORS])
+    return F.try_element_at(names, F.try_element_at(hit, F.lit(1))["rank"] + 1)
+
+
 def resolve_text(body, content_type=None, scoring: str = "compat") -> Column:
     """struct<text, charset, score>: the lowest-scoring decode over the distinct candidates.
 

