@@ -11,7 +11,7 @@ from corpusforge.operators import split as S
 from corpusforge.plans import fixtures as fx
 from corpusforge.plans.registry import register
 
-BUCKETS = 4
+BUCKETS = 4  # pinned so the oracle SQL can spell the bucket rule; the library default follows the session
 BLOCK = 512
 SIZES = (256, 512, 1024, 2048)
 MAX_LEN = 128

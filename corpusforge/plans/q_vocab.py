@@ -20,7 +20,7 @@ SPEC = "cc-html1K"
 TRIAGE_SPECS = ("cc-html1K", "cc-html1K,sd=t")
 SEQ_LEN = 512
 CLS_MAX_LEN = 128
-LM_BUCKETS = 4
+LM_BUCKETS = None  # the session's shuffle partition count (no oracle pins these queries)
 LM_HOLDOUT = 4096
 
 

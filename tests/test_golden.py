@@ -217,3 +217,9 @@ def test_asof_roster_active(spark):
     roster = spark.createDataFrame([("c", 1, True), ("c", 2, True), ("c", 3, False)], "cohort string, trial_id long, active boolean")
     got = {r["trial_id"]: (r["x"], r["metric"]) for r in TR.common_snapshot(s, roster).collect()}
     assert got == {1: (3.0, 0.5), 2: (3.0, 0.4)}  # trial 3 left the cohort, so x is not pulled down to 0.5
+
+
+def test_final_metrics_strict_fails_on_ambiguous_run(spark):
+    log = spark.createDataFrame([(3, 2, 0.3, None), (3, 2, 0.2, None)], "run_id long, step int, train_loss double, eval_loss double")
+    with pytest.raises(Exception, match="no single final train row"):
+        TR.final_metrics(log, strict=True).collect()
