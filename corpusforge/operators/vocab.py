@@ -281,7 +281,9 @@ def _vocab_dict(vocab: DataFrame, max_pieces: int) -> dict[str, tuple[int, float
     n = vocab.count()
     if n > max_pieces:
         raise ValueError(f"vocabulary of {n} pieces exceeds the broadcast bound {max_pieces}")
-    return {r["piece"]: (int(r["id"]), float(r["score"])) for r in vocab.where(F.col("type") != "CONTROL").collect()}
+    # control and unknown pieces are never matched from text; user-defined ones are
+    usable = vocab.where(~F.col("type").isin("CONTROL", "UNKNOWN"))
+    return {r["piece"]: (int(r["id"]), float(r["score"])) for r in usable.collect()}
 
 
 def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str = "text",
