@@ -85,17 +85,27 @@ _SCRIPTS = [r"\p{IsLatin}", r"\p{IsHan}", r"\p{IsHiragana}\p{IsKatakana}", r"\p{
             r"\p{IsArabic}", r"\p{IsHangul}", r"\p{IsHebrew}", r"\p{IsThai}", r"\p{IsDevanagari}"]
 
 
-def unit_pattern(spec: VocabSpec) -> str:
-    """Java regex whose matches are the pre-split units of normalized text."""
+def unit_pattern(spec: VocabSpec, user_symbols: Sequence[str] = ()) -> str:
+    """Java regex whose matches are the pre-split units of normalized text.
+
+    ``user_symbols`` (user-defined pieces such as ``<mask>``) become units of their
+    own wherever they occur, and a space marker right before one stands alone, as
+    the SentencePiece encoder matches them.
+    """
     num = r"\p{N}" if spec.split_digits else r"\p{N}+"
     named = "".join(_SCRIPTS)
+    guard = ""
+    if user_symbols:
+        alts_u = "|".join(f"\\Q{u}\\E" for u in sorted(user_symbols, key=len, reverse=True))
+        guard = f"(?!{alts_u})"
     if spec.split_by_unicode_script:
         letters = [f"[{s}\\p{{M}}]" for s in _SCRIPTS] + [f"[\\p{{L}}&&[^{named}]]"]
         if not spec.split_by_number and not spec.split_digits:
             letters = [c[:-1] + r"\p{N}]" for c in letters]
-        classes = [c + "+" for c in letters] + [r"[^\p{L}\p{M}\p{N}\s▁]+"]
+        classes = [f"(?:{guard}{c})+" for c in letters] + [f"(?:{guard}[^\\p{{L}}\\p{{M}}\\p{{N}}\\s▁])+"]
     else:
-        classes = [r"[^\p{N}\s▁]+"] if (spec.split_by_number or spec.split_digits) else [r"[^\s▁]+"]
+        cls = r"[^\p{N}\s▁]" if (spec.split_by_number or spec.split_digits) else r"[^\s▁]"
+        classes = [f"(?:{guard}{cls})+"]
     if spec.split_by_number or spec.split_digits or spec.split_by_unicode_script:
         classes.append(num)
     if not spec.split_by_whitespace:
@@ -105,6 +115,8 @@ def unit_pattern(spec: VocabSpec) -> str:
         alts = [f"{c}{SPACE}?" for c in classes]
     else:
         alts = [f"{SPACE}?{c}" for c in classes]
+    if user_symbols:
+        alts = [alts_u, f"{SPACE}(?={alts_u})"] + alts
     return "|".join(alts)
 
 
@@ -114,8 +126,8 @@ def normalize(text: Column, spec: VocabSpec) -> Column:
     return F.concat(t, F.lit(SPACE)) if spec.whitespace_as_suffix else F.concat(F.lit(SPACE), t)
 
 
-def presplit(text: Column, spec: VocabSpec) -> Column:
-    return F.regexp_extract_all(normalize(text, spec), F.lit(unit_pattern(spec)), 0)
+def presplit(text: Column, spec: VocabSpec, user_symbols: Sequence[str] = ()) -> Column:
+    return F.regexp_extract_all(normalize(text, spec), F.lit(unit_pattern(spec, user_symbols)), 0)
 
 
 def corpus_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -299,6 +311,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
     pieces = _vocab_dict(vocab, max_pieces)
+    user_defined = {r["piece"] for r in vocab.where(F.col("type") == "USER_DEFINED").select("piece").collect()}
     bc = spark.sparkContext.broadcast(pieces)
     key = uuid.uuid4().hex
     t = F.col(text)
@@ -328,7 +341,8 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
             ids.append(ii)
         return pd.DataFrame({"tokens": toks, "ids": ids})
 
-    enc = encode(presplit(t, spec))
+    user = [p for p, (i, sc) in pieces.items() if p in user_defined]
+    enc = encode(presplit(t, spec, user))
     out = spread_for_python(docs).withColumn("_enc", enc)
     ids = F.col("_enc.ids") if max_length is None else F.slice("_enc.ids", 1, max_length)
     toks = F.col("_enc.tokens") if max_length is None else F.slice("_enc.tokens", 1, max_length)

@@ -90,3 +90,13 @@ def test_classifier_beats_majority(spark):
         counts = [r["count"] for r in data.where(F.col("split") == split).groupBy("label").count().collect()]
         majority = max(counts) / sum(counts)
         assert metrics[split]["acc"] > majority and metrics[split]["mcc"] > 0
+
+
+def test_parity_on_special_and_unknown_text(spark):
+    voc = learned_vocab(spark, SF_SMALL)
+    sp = _sp_model(voc.orderBy("id").collect())
+    texts = ["a <unk> b", "x<mask>y <mask>", "ÿÿ ÆØ ŁŁŁ end", "12345 67", "<s> </s> <pad>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ours = {r["doc_id"]: r["input_ids"] for r in V.tokenize(df, voc, SPEC).collect()}
+    for i, t in enumerate(texts):
+        assert ours[i] == sp.encode(t), (t, ours[i], sp.encode(t))
