@@ -11,6 +11,8 @@ def spread_for_python(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     Only inputs with fewer partitions than the cluster has cores are moved (a
     large scan already has enough splits and is left as it is, with no shuffle).
     """
+    if df.isStreaming:  # micro-batches are planned per trigger; leave them as they come
+        return df
     target = min_tasks or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

@@ -53,3 +53,14 @@ def test_archive_stream_into_exchange_pairing(spark):
     assert rows == {("http://a.com/", "complete"), ("http://c.com/", "complete")}
     batch = X.assemble_exchanges(WS.read_archives(spark, os.path.join(d, "*.warc.gz")), on_unpaired="drop")
     assert {r["uri"] for r in batch.collect()} == {"http://a.com/", "http://c.com/"}
+
+
+def test_tokenize_a_stream(spark):
+    from corpusforge.operators import vocab as V
+    from corpusforge.plans.q_vocab import SPEC, learned_vocab
+
+    voc = learned_vocab(spark, SF_SMALL)
+    docs = fx.table_stream(spark, SF_SMALL, "documents").select("doc_id", "text")
+    got = W.run_available_now(V.tokenize(docs, voc, SPEC, max_length=64).select("doc_id", "input_ids"), "t_tok", "append")
+    batch = V.tokenize(fx.table(spark, SF_SMALL, "documents").select("doc_id", "text"), voc, SPEC, max_length=64)
+    assert sorted((r["doc_id"], r["input_ids"]) for r in got.collect()) == sorted((r["doc_id"], r["input_ids"]) for r in batch.collect())
