@@ -50,6 +50,17 @@ SPECIALS = [("<unk>", "UNKNOWN"), ("<s>", "CONTROL"), ("</s>", "CONTROL"), ("<pa
 log = logging.getLogger(__name__)
 
 CHAR_COVERAGE = 0.9995
+MIN_EXPECTED = 0.5  # pieces expected less often than this are dropped after an M-step (characters stay)
+
+
+def _digamma(x: float) -> float:
+    """psi(x) for x > 0: recurrence up to 6, then the asymptotic series."""
+    r = 0.0
+    while x < 6.0:
+        r -= 1.0 / x
+        x += 1.0
+    f = 1.0 / (x * x)
+    return r + math.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
 SHRINK = 0.75
 VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, type STRING"
 
@@ -251,10 +262,11 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
             stats = counts.mapInPandas(_em_task(bc, it == em_iters - 1), _STATS).groupBy("piece").agg(
                 F.sum("expected").alias("expected"), F.sum("vfreq").alias("vfreq")
             )
-            rows = stats.where(F.col("expected") > 0).select("piece", F.log("expected").alias("le"), "vfreq").collect()
+            rows = stats.where(F.col("expected") >= MIN_EXPECTED).select("piece", "expected", "vfreq").collect()
             bc.unpersist()
-            log_total = math.log(sum(math.exp(r["le"]) for r in rows) or 1.0)
-            new = {r["piece"]: r["le"] - log_total for r in rows}
+            # Bayesian M-step: score = digamma(count) - digamma(total)
+            d_total = _digamma(sum(r["expected"] for r in rows) or 1.0)
+            new = {r["piece"]: _digamma(r["expected"]) - d_total for r in rows}
             vfreq = {r["piece"]: r["vfreq"] for r in rows}
             floor = min(new.values()) if new else -30.0
             for c in char_set:
