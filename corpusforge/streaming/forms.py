@@ -6,7 +6,8 @@ W2  incremental exchange assembly: ``applyInPandasWithState`` keyed by
     (file, uri); open exchanges live in state, complete ones are emitted, and
     an exchange left open past the timeout is emitted as ``unpaired``.
 W3  trial monitor: ``foreachBatch`` merges the new points into a state table,
-    recomputes snapshot, flags and best trial, and appends them.  Points older
+    recomputes snapshot, flags and best trial, and writes them per epoch
+    (idempotent on retry, resumable after a driver restart).  Points older
     than the cohort's snapshot time can never be chosen again (that time only
     grows), so the state table is pruned to them and stays bounded.
 
@@ -124,23 +125,47 @@ def stream_exchanges(records_stream: DataFrame, timeout_ms: int | None = 10 * 60
 
 
 # ------------------------------------------------------------------ W3
+def _committed_epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epoch numbers of ``path/epoch=N`` folders holding a complete write (``_SUCCESS``)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if name.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
+
 class TrialMonitor:
-    """foreachBatch sink keeping a bounded series state and appending flags per micro-batch."""
+    """foreachBatch sink keeping a bounded series state and writing flags per micro-batch.
+
+    Everything an epoch produces goes to ``.../epoch=N`` folders written in
+    overwrite mode, state last: a retried micro-batch rewrites the same folders
+    (idempotent), and a restarted driver resumes from the newest committed state.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, mode: str = "max", conf: float = 0.15):
         self.spark = spark
         self.root = root or _stream_dir(spark, "trials")
         self.mode = mode
         self.conf = conf
-        self.version = 0
 
-    def _state_path(self, v: int) -> str:
-        return f"{self.root}/state/v{v}"
+    def _latest(self, before: int | None = None) -> int | None:
+        done = [e for e in _committed_epochs(self.spark, f"{self.root}/state") if before is None or e < before]
+        return done[-1] if done else None
+
+    def state(self, before: int | None = None) -> DataFrame | None:
+        e = self._latest(before)
+        return None if e is None else self.spark.read.parquet(f"{self.root}/state/epoch={e}")
 
-    def state(self) -> DataFrame | None:
-        if self.version == 0:
-            return None
-        return self.spark.read.parquet(self._state_path(self.version))
+    def _removed(self, before: int) -> DataFrame | None:
+        e = self._latest(before)
+        return None if e is None else self.spark.read.schema("cohort string, trial_id long").parquet(f"{self.root}/removed/epoch={e}")
 
     def flags(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/flags")
@@ -148,11 +173,10 @@ class TrialMonitor:
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         cols = ["cohort", "trial_id", "seq", "t", "metric"]
         new = batch.select(*cols)
-        prev = self.state()
+        prev = self.state(before=epoch)
+        removed = self._removed(before=epoch)
         if prev is not None:
-            removed = self.spark.read.schema("cohort string, trial_id long").parquet(f"{self.root}/removed")
-            if removed is not None:
-                new = new.join(removed, ["cohort", "trial_id"], "left_anti")
+            new = new.join(removed, ["cohort", "trial_id"], "left_anti")
             last = prev.groupBy("cohort", "trial_id").agg(F.max("t").alias("prev_t"))
             bad = new.join(last, ["cohort", "trial_id"]).where(F.col("t") < F.col("prev_t")).limit(1).collect()
             if bad:
@@ -163,17 +187,16 @@ class TrialMonitor:
         series = series.checkpoint(eager=True)
         flags = flag_outliers(series, self.mode, self.conf).withColumn("epoch", F.lit(epoch))
         best = best_trial(series, self.mode).select("cohort", F.col("trial_id").alias("best_trial_id"))
-        flags = flags.join(best, "cohort", "left").checkpoint(eager=True)
-        flags.write.mode("append").parquet(f"{self.root}/flags")
+        flags = flags.join(best, "cohort", "left").drop("epoch").checkpoint(eager=True)
+        flags.write.mode("overwrite").parquet(f"{self.root}/flags/epoch={epoch}")
         flagged = flags.where("outlier").select("cohort", "trial_id")
-        removed_path = f"{self.root}/removed"
-        flagged.write.mode("append").parquet(removed_path)
-        # bounded state: keep points at or after the snapshot time, and each trial's newest point
+        gone = flagged if removed is None else removed.unionByName(flagged).distinct()
+        gone.write.mode("overwrite").parquet(f"{self.root}/removed/epoch={epoch}")
+        # bounded state: keep points at or after the snapshot time (each trial's newest point included)
         snap = common_snapshot(series).select("cohort", "x").distinct()
         kept = series.join(flagged, ["cohort", "trial_id"], "left_anti").join(snap, "cohort", "left")
         kept = kept.where(F.col("x").isNull() | (F.col("t") >= F.col("x"))).drop("x")
-        self.version += 1
-        kept.write.mode("overwrite").parquet(self._state_path(self.version))
+        kept.write.mode("overwrite").parquet(f"{self.root}/state/epoch={epoch}")
 
 
 def stream_trials(series_stream: DataFrame, monitor: TrialMonitor) -> None:

@@ -64,3 +64,15 @@ def test_tokenize_a_stream(spark):
     got = W.run_available_now(V.tokenize(docs, voc, SPEC, max_length=64).select("doc_id", "input_ids"), "t_tok", "append")
     batch = V.tokenize(fx.table(spark, SF_SMALL, "documents").select("doc_id", "text"), voc, SPEC, max_length=64)
     assert sorted((r["doc_id"], r["input_ids"]) for r in got.collect()) == sorted((r["doc_id"], r["input_ids"]) for r in batch.collect())
+
+
+def test_trial_monitor_is_idempotent_and_resumes(spark):
+    rows = [("c", i % 4, i, i * 1.0, float(i % 7)) for i in range(40)]
+    batch = spark.createDataFrame(rows, "cohort string, trial_id long, seq long, t double, metric double")
+    mon = W.TrialMonitor(spark)
+    mon(batch, 0)
+    mon(batch.limit(0), 1)
+    mon(batch.limit(0), 1)  # a retried epoch rewrites the same folders
+    assert mon.flags().count() == 2 * 4
+    again = W.TrialMonitor(spark, root=mon.root)  # a restarted driver resumes from the files
+    assert again.state().count() == mon.state().count()
