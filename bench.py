@@ -33,6 +33,7 @@ HEADLINE = [
     "trial_outliers",
     "vocab_learn",
     "tokenize",
+    "vocab_learn_html",
     "lm_blocks",
 ]
 

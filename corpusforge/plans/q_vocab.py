@@ -37,6 +37,12 @@ def q_vocab_learn(spark, sf):
     return voc
 
 
+@register("vocab_learn_html", "M2 M1 (HTML corpus)")
+def q_vocab_learn_html(spark, sf):
+    """The vocabulary learned from page HTML, as the LM blocks use it."""
+    return learned_vocab(spark, sf, SPEC, source="pages", text="html")
+
+
 @register("tokenize", "T9 T7")
 def q_tokenize(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
@@ -92,7 +98,7 @@ def q_vocab_triage(spark, sf):
 @register("lm_blocks", "C3 S5 P1 T9 E1 E2 E3 P2")
 def q_lm_blocks(spark, sf):
     html = fx.table(spark, sf, "pages").select("page_id", "html")  # S5: only the html column is read
-    voc = learned_vocab(spark, sf)
+    voc = learned_vocab(spark, sf, SPEC, source="pages", text="html")  # an HTML vocabulary for HTML blocks
     tok = V.tokenize(html, voc, SPEC, text="html").drop("html", "tokens")
     batched = B.with_batches(tok, "page_id", buckets=LM_BUCKETS)
     blocks = B.pack_blocks(batched, SEQ_LEN)
