@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.hashing import DEFAULT_SEED, row_hash
 
+# Fixed value from the reference: rows per batch for tokenizing, packing and padding.
 BATCH_SIZE = 256
 
 

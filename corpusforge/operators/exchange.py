@@ -21,6 +21,7 @@ from corpusforge.functions.charset import resolve_text
 from corpusforge.functions.html import fetch_time_seconds, header_value, looks_like_html, parse_warc_date
 from corpusforge.functions.text import strip_trailing_nul
 
+# Fixed values from the reference: the record types that form one exchange.
 REC_TYPES = ("request", "response", "metadata")
 _RECORD = ("ordinal", "target_uri", "warc_date", "http_headers", "payload")
 

@@ -19,6 +19,8 @@ from corpusforge.functions.hashing import DEFAULT_SEED, row_hash
 
 DIGIT_BITS = 16
 HASH_BITS = 64
+# Fixed value from the reference: the share held out by the automatic split (half validation, half test).
+HELD_FRACTION = 1 / 8
 
 
 def shuffle(df: DataFrame, key: str, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -83,7 +85,7 @@ def holdout(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED, name: str
     return df.withColumn("split", F.when(_le(h, F.col(key), th), F.lit(name)).otherwise(F.lit(rest)))
 
 
-def auto_split(df: DataFrame, key: str, mode: str = "exact", seed: int = DEFAULT_SEED, held_fraction: float = 1 / 8) -> DataFrame:
+def auto_split(df: DataFrame, key: str, mode: str = "exact", seed: int = DEFAULT_SEED, held_fraction: float = HELD_FRACTION) -> DataFrame:
     """train / validation / test = 7/8, 1/16, 1/16.
 
     ``exact``: held-out = ceil(n/8) rows, test = ceil(held/2) of them, by two salted hashes.

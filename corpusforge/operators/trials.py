@@ -19,6 +19,7 @@ from corpusforge.functions.student_t import t_cdf, t_fit
 from corpusforge.plans.joins import join_checked
 
 MAX_COHORTS = 1_000_000
+# Fixed value from the reference: outlier confidence (p at or below it flags a trial).
 DEFAULT_CONF = 0.15
 
 

@@ -13,6 +13,7 @@ from corpusforge.plans.registry import register
 
 BUCKETS = 4  # pinned so the oracle SQL can spell the bucket rule; the library default follows the session
 BLOCK = 512
+# Fixed values from the reference: the block lengths compared across model sizes (256 doubled three times).
 SIZES = (256, 512, 1024, 2048)
 MAX_LEN = 128
 HOLDOUT = 4096

@@ -21,6 +21,7 @@ TRIAGE_SPECS = ("cc-html1K", "cc-html1K,sd=t")
 SEQ_LEN = 512
 CLS_MAX_LEN = 128
 LM_BUCKETS = None  # the session's shuffle partition count (no oracle pins these queries)
+# Fixed value from the reference: LM blocks held out for evaluation.
 LM_HOLDOUT = 4096
 
 
