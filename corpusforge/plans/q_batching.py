@@ -16,7 +16,7 @@ BLOCK = 512
 # Fixed values from the reference: the block lengths compared across model sizes (256 doubled three times).
 SIZES = (256, 512, 1024, 2048)
 MAX_LEN = 128
-HOLDOUT = 4096
+HOLDOUT = 4096  # fixed value from the reference: the exact-count holdout
 
 _TOK = f"""
 tok AS ({fx.WORD_TOKENS_SQL.strip()}),
