@@ -43,7 +43,9 @@ def ship_package(spark: SparkSession) -> None:
 
     Task-side functions (Arrow UDFs, grouped maps, the archive source) import the
     package on executors; the driver's ``sys.path`` does not reach them, so the
-    package is zipped from its source files and added with ``addPyFile``.
+    package is zipped from its source files and added with ``addPyFile``.  The zip
+    on the driver is only the source Spark's file server ships; no job reads or
+    writes shared state there.
     """
     sc = spark.sparkContext
     key = sc.applicationId
