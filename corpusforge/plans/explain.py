@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import sys
 
-SKIP = {"vocab_learn", "vocab_triage", "text_classifier", "stream_trials"}
+SKIP = {"vocab_learn", "vocab_learn_html", "vocab_triage", "text_classifier", "stream_trials"}
 
 
 def summarize(df) -> dict:
