@@ -7,17 +7,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from corpusforge.operators.batching import pack_blocks, with_batches
 from corpusforge.operators.crawl import crawl_size_from_archives
+from corpusforge.operators.split import holdout
 from corpusforge.operators.exchange import html_exchange_dataset
-from corpusforge.operators.vocab import learn_vocab
+from corpusforge.operators.vocab import learn_vocab, tokenize
 from corpusforge.sources import sinks
 from corpusforge.sources.crawl_index import read_crawl_index
 from corpusforge.sources.warc import read_archive_list, read_manifest
 
-# Fixed values from the reference builds: the row count of the crawl-size table
-# and the number of archive files taken from the manifest.
+# Fixed values from the reference builds: the row count of the crawl-size table,
+# the number of archive files taken from the manifest, and the LM blocks held out.
 CRAWL_SIZE_ROWS = 180_000
 HTML_FIRST_FILES = 1
+LM_TEST_BLOCKS = 4096
 
 
 def crawl_size(spark: SparkSession, index_root: str, crawl: str, archives_base: str, dst: str,
@@ -48,6 +53,18 @@ def vocabulary(spark: SparkSession, name: str, corpus: DataFrame, root: str, tex
     return sinks.materialize(spark, path, lambda: learn_vocab(corpus, name, text))
 
 
+def lm_blocks(spark: SparkSession, pages: DataFrame, vocab: DataFrame, spec: str, dst: str,
+              block_sizes=(512,), key: str = "page_id", text: str = "html", test_blocks: int = LM_TEST_BLOCKS) -> DataFrame:
+    """Pre-training blocks (C3): tokenize, batch, pack into each block size, hold out
+    ``test_blocks`` blocks; written once, one folder per block size."""
+    if not sinks._fs_exists(spark, f"{dst.rstrip('/')}/_SUCCESS"):
+        tok = tokenize(pages.select(key, text), vocab, spec, text=text).drop(text, "tokens")
+        blocks = pack_blocks(with_batches(tok, key), list(block_sizes))
+        keyed = blocks.withColumn("block_key", F.concat_ws(":", "block_size", "bucket", "batch", "block"))
+        sinks.write_blocks(holdout(keyed, "block_key", test_blocks, materialize=True), dst, mode="overwrite")
+    return spark.read.parquet(dst)
+
+
 def _build_once(spark, dst, build, schema, compat):
     if sinks._fs_exists(spark, f"{dst.rstrip('/')}/_SUCCESS"):
         return spark.read.parquet(dst)

@@ -165,3 +165,17 @@ def test_write_blocks_partitioned(spark):
     assert {"block_size=256", "block_size=512"} <= set(os.listdir(os.path.join(d, "blocks")))
     back = spark.read.parquet(os.path.join(d, "blocks")).where("block_size = 512")
     assert back.count() == 2 and "PartitionFilters: [isnotnull(block_size" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_api_lm_blocks(spark):
+    from corpusforge import api
+    from corpusforge.plans.q_vocab import SPEC, learned_vocab
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    pages = fx.table(spark, SF_SMALL, "pages")
+    voc = learned_vocab(spark, SF_SMALL, SPEC, source="pages", text="html")
+    out = api.lm_blocks(spark, pages, voc, SPEC, os.path.join(d, "blocks"), block_sizes=(256, 512), test_blocks=10)
+    sizes = {r["block_size"]: r["n"] for r in out.groupBy("block_size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(sizes) == {256, 512} and sizes[256] >= sizes[512] > 0
+    assert out.where("split = 'test'").count() == 10
+    assert out.where(F.size("input_ids") > F.col("block_size")).count() == 0
