@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusforge.operators.batching import pack_blocks, with_batches
+from corpusforge.operators.batching import pack_blocks, truncate_pad, with_batches
+from corpusforge.operators.labels import labelled_dataset
 from corpusforge.operators.crawl import crawl_size_from_archives
 from corpusforge.operators.split import holdout
 from corpusforge.operators.exchange import html_exchange_dataset
@@ -65,6 +66,19 @@ def lm_blocks(spark: SparkSession, pages: DataFrame, vocab: DataFrame, spec: str
     return spark.read.parquet(dst)
 
 
+def classification_table(spark: SparkSession, df: DataFrame, key: str, text: str, label_name: str,
+                         vocab: DataFrame, spec: str, dst: str, max_length: int = 512, pad_to: str = "batch",
+                         pad_id: int = 3) -> DataFrame:
+    """Fine-tuning table (C4): labels encoded through a dictionary, auto split when no
+    validation split is given, tokens cut to ``max_length`` and padded; written once."""
+    if not sinks._fs_exists(spark, f"{dst.rstrip('/')}/_SUCCESS"):
+        data, _dictionary = labelled_dataset(df, key, text, label_name)
+        tok = tokenize(data, vocab, spec, text="sentence", max_length=max_length).drop("sentence", "tokens", "attention_mask")
+        padded = truncate_pad(with_batches(tok, key), max_length, pad_to=pad_to, pad_id=pad_id)
+        padded.select(key, "label", "label_name", "split", "input_ids", "attention_mask").write.mode("overwrite").parquet(dst)
+    return spark.read.parquet(dst)
+
+
 def _build_once(spark, dst, build, schema, compat):
     if sinks._fs_exists(spark, f"{dst.rstrip('/')}/_SUCCESS"):
         return spark.read.parquet(dst)

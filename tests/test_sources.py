@@ -179,3 +179,17 @@ def test_api_lm_blocks(spark):
     assert set(sizes) == {256, 512} and sizes[256] >= sizes[512] > 0
     assert out.where("split = 'test'").count() == 10
     assert out.where(F.size("input_ids") > F.col("block_size")).count() == 0
+
+
+def test_api_classification_table(spark):
+    from corpusforge import api
+    from corpusforge.plans.q_batching import _labelled_src
+    from corpusforge.plans.q_vocab import SPEC, learned_vocab
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    out = api.classification_table(spark, _labelled_src(spark, SF_SMALL), "doc_id", "text", "label_name",
+                                   learned_vocab(spark, SF_SMALL), SPEC, os.path.join(d, "cls"), max_length=32)
+    rows = out.collect()
+    assert len(rows) == _labelled_src(spark, SF_SMALL).count()
+    assert {r["split"] for r in rows} == {"train", "validation", "test"}
+    assert all(len(r["input_ids"]) == len(r["attention_mask"]) <= 32 for r in rows)
