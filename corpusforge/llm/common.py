@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusforge.session import prepare
 
-#: Unicode ``White_Space`` (fixed values): what the tokenizer libraries call white space.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+#: Unicode ``White_Space`` as a regular-expression class body (fixed values): what the tokenizer libraries call white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
