@@ -49,3 +49,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+#: host, path and verdict of the rules that the query is asked to judge by (fixed values)
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.quality_rules import judge_quality
+
+    rows, name = judge_quality(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    wanted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return rows.select("doc_id", *(F.col(f"`{name[c]}`").alias(c) for c in wanted))
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.url_filter import html_links, judge_urls
+
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(spark, pages, rules, html_links(pages))
