@@ -71,3 +71,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(spark, pages, rules, html_links(pages))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.simhash import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
