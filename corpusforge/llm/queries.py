@@ -78,3 +78,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm.simhash import near_duplicates
 
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.language_id import held_out, learn, predicted
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted(learn(docs)).alias("p"))
+    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
