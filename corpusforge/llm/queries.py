@@ -87,3 +87,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted(learn(docs)).alias("p"))
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query("op7_pii_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.pii import detected, learn
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", detected(learn(docs)).alias("p"))
+    return rows.select("doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone", F.sha2("p.base", 256).alias("base_sha256"), F.col("p.spans").alias("spans"))
