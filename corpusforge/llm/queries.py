@@ -96,3 +96,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", detected(learn(docs)).alias("p"))
     return rows.select("doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone", F.sha2("p.base", 256).alias("base_sha256"), F.col("p.spans").alias("spans"))
+
+
+@query("op2_page_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.page_text import main_text
+
+    return main_text(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op4_cross_polytope")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.cross_polytope import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(spark, vectors, F.col("vec_id") % 50 == 0)
