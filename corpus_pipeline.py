@@ -1,28 +1,81 @@
-"""The training-data pipeline: stages over ``documents``, each one written as Parquet and read again."""
+"""The training-data pipeline: stages over ``documents``, each one written as Parquet and read again.
+
+Every stage takes all its predecessor kept, and all but the last return the columns of
+``documents``.  Rows with a null id or a null text pass through every stage's operator as its
+docstring says: a null text is rejected by language ID, a null id is nobody's duplicate.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-ORACLE_SQL = None  # trained models and merge vocabularies: no stage can be expressed in SQL as a whole
+from corpusforge.llm import language_id, packing, pii, quality_rules, simhash
+from corpusforge.llm.common import fresh, table, written
+from corpusforge.llm.queries import vocabulary
+from corpusforge.session import prepare
 
+#: Trained networks and merge vocabularies: the rows of the last stage cannot be expressed in SQL.
+ORACLE_SQL = None
+
+#: A document whose best language has less than this mean probability is rejected.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labelled ones are in; those without a letter, or between all languages, go."""
+    prepare(spark)
+    name = fresh(docs, "language")
+    found = docs.withColumn(name, language_id.predicted(language_id.learn(docs)))
+    kept = found.where((F.col(f"{name}.lang") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE))
+    return kept.select(*docs.columns)
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base check and are more likely good than not."""
+    prepare(spark)
+    judged, name = quality_rules.judge_quality(spark, docs)
+    return judged.where(F.col(f"`{name['kept']}`")).select(*docs.columns)
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as pieces of packed sequences."""
-    from corpusforge.llm.packing import pack_documents
-    from corpusforge.llm.queries import vocabulary
 
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; one of the rows that repeat an id."""
+    prepare(spark)
+    found = written(spark, simhash.near_duplicates(spark, docs.select("doc_id", "text")))
+    found = found.where("doc_id is not null")
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = written(spark, found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    single = docs.join(dropped, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
+    once = docs.join(repeated, "doc_id", "left_semi").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return single.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
-STAGES = [("packing", packing)]
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by its kind; ``n_chars`` counts the new text."""
+    prepare(spark)
+    out = docs.withColumn("text", pii.masked(pii.learn(docs)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as pieces of packed sequences."""
+    prepare(spark)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("quality", judge_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the checkpoint folder for the next one."""
-    from corpusforge.llm.common import table
-    from corpusforge.llm.common import written
-
     docs = table(spark, sf_dir, "documents")
     for k, (_name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
