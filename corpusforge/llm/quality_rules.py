@@ -68,19 +68,19 @@ def _matched(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the counts as further columns, and their names there (other than wanted, if taken)."""
+def with_counts(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The columns of ``docs`` (or those to ``carry``) with the counts as further ones, and their names there (other than wanted, if taken)."""
     wanted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_stops", "n_marks", "n_separators"]
     name = {c: fresh(docs, c) for c in [*wanted, "_words", "_lines", "_bits", "_high", "_low", "_again", "_spaced"]}
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    keep = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    step = docs.select(*keep, F.translate(text, _SPACE, " " * len(_SPACE)).alias(name["_spaced"]))
-    spaced = F.col(f"`{name['_spaced']}`")
     line = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    step = docs.select(*keep, F.translate(text, _SPACE, " " * len(_SPACE)).alias(name["_spaced"]), line.alias(name["_lines"]))
+    spaced = F.col(f"`{name['_spaced']}`")
     step = step.select(
         *keep,
         F.array_remove(F.split(spaced, " "), "").alias(name["_words"]),
-        line.alias(name["_lines"]),
+        F.col(f"`{name['_lines']}`"),
         F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias(name["word_chars"]),
         _taken(spaced, SYMBOLS).alias(name["n_symbols"]),
         _matched(spaced, "[A-Z\u00c0-\u00d6\u00d8-\u00de]+").alias(name["n_upper"]),
@@ -177,9 +177,9 @@ def estimate(patterns: DataFrame, steps: int = STEPS) -> Estimates:
     return now
 
 
-def judge_quality(spark: SparkSession, docs: DataFrame, text_col: str = "text", keep_from: float = KEEP_FROM) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with counts, base_failed, quality (the posterior) and kept; and the names these columns have there."""
-    counted, name = with_counts(docs, text_col)
+def judge_quality(spark: SparkSession, docs: DataFrame, text_col: str = "text", keep_from: float = KEEP_FROM, carry: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` (or its columns to ``carry``) with counts, base_failed, quality (the posterior) and kept; and the names these columns have there."""
+    counted, name = with_counts(docs, text_col, carry)
     counted = written(spark, counted)
     votes = {r: _vote(rule, name) for r, rule in RULES.items()}
     patterns = counted.select(*(v.alias(r) for r, v in votes.items())).groupBy(*RULES).agg(F.count("*").alias("n")).coalesce(1).checkpoint()

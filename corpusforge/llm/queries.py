@@ -59,7 +59,7 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm.quality_rules import judge_quality
 
-    rows, name = judge_quality(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, name = judge_quality(spark, table(spark, sf_dir, "documents"), carry=["doc_id"])
     wanted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
     return rows.select("doc_id", *(F.col(f"`{name[c]}`").alias(c) for c in wanted))
 

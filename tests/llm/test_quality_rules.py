@@ -91,3 +91,10 @@ def test_estimation_finds_planted_accuracies(spark):
     assert found.good == pytest.approx(0.7, abs=0.03)
     assert all(found.accuracy[r] == pytest.approx(truth[r], abs=0.03) for r in RULES)
     assert patterns.select(posterior(START, {r: F.lit(0) for r in RULES}).alias("p")).first().p == pytest.approx(0.8)
+
+
+def test_carries_only_what_is_asked_for(spark):
+    docs = spark.createDataFrame([(1, "a b c d " * 20, 7), (2, None, 8)], "doc_id long, text string, other int")
+    out, name = judge_quality(spark, docs, carry=["doc_id"])
+    assert "text" not in out.columns and "other" not in out.columns
+    assert sorted((r.doc_id, r[name["n_words"]]) for r in out.collect()) == [(1, 80), (2, 0)]
