@@ -2,19 +2,20 @@
 within one archive file (J1, J2, E6) and project them to the HTML exchange
 table (B2-B4, B7-B9, T1; pipeline C2).
 
-Clean mode numbers the records of each (file, uri, type) by ordinal
-(``generation``) and groups by (file, uri, generation): one shuffle, and the
-group-by merges partially, so nothing is gathered per key.  Exact mode keeps
-the reference's overwrite rule (a repeated type before completion replaces the
-earlier record): the records of one (file, uri) go through one grouped Arrow
-call that numbers the exchanges in ordinal order, again one shuffle.  One
-(file, uri) group is bounded by the records of one archive file.
+Records of a file are read in their order.  A record opens an exchange of its
+URI or joins the open one; a type that repeats before the exchange is complete
+replaces the earlier record; with all three types the exchange is emitted.  No
+state crosses a file, so an archive scan (one partition for each file, in order)
+is paired in its own tasks without a shuffle; other tables are dealt out by file
+first.  A task holds the open exchanges of one file.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.charset import resolve_text
@@ -23,9 +24,9 @@ from corpusforge.functions.text import strip_trailing_nul
 
 # Fixed values from the reference: the record types that form one exchange.
 REC_TYPES = ("request", "response", "metadata")
-_RECORD = ("ordinal", "target_uri", "warc_date", "http_headers", "payload")
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _EXACT_COLS = ("file", "target_uri", "rec_type", "ordinal", "warc_date", "http_headers", "payload")
 _SLOT_FIELDS = (("ordinal", "long"), ("warc_date", "string"), ("http_headers", "string"), ("payload", "binary"))
 _EXACT_SCHEMA = "file string, uri string, generation int, n_records long, " + ", ".join(
@@ -33,45 +34,51 @@ _EXACT_SCHEMA = "file string, uri string, generation int, n_records long, " + ",
 )
 
 
-def _exact_exchanges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential pairing with overwrite inside one (file, uri): one row per completed
-    exchange, plus one incomplete row for whatever is still open at the end."""
-    pdf = pdf.sort_values("ordinal")
-    file, uri = pdf["file"].iloc[0], pdf["target_uri"].iloc[0]
-    rows, open_, gen = [], {}, 0
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair records that come file by file in ordinal order; what a file leaves open comes out incomplete."""
+    schema = pa.schema([(n, _ARROW[ty]) for n, ty in (c.split(" ") for c in _EXACT_SCHEMA.split(", "))])
+    file, open_, done, rows = None, {}, {}, []
 
-    def emit(slots: dict, generation: int):
-        row = {"file": file, "uri": uri, "generation": generation, "n_records": len(slots)}
-        for t in REC_TYPES:
-            rec = slots.get(t)
-            for f, _ in _SLOT_FIELDS:
-                row[f"{t}_{f}"] = None if rec is None else rec[f]
+    def emit(uri, slots: dict) -> None:
+        done[uri] = done.get(uri, 0) + 1
+        row = {"file": file, "uri": uri, "generation": done[uri], "n_records": len(slots)}
+        for t, rec in slots.items():
+            row.update({f"{t}_{f}": rec[f] for f, _ in _SLOT_FIELDS})
         rows.append(row)
 
-    for rec in pdf.to_dict("records"):
-        open_[rec["rec_type"]] = rec  # a repeated type before completion overwrites
-        if len(open_) == len(REC_TYPES):
-            gen += 1
-            emit(open_, gen)
-            open_ = {}
-    if open_:
-        emit(open_, gen + 1)
-    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _EXACT_SCHEMA.split(", ")])
-
-
-def _numbered(records: DataFrame) -> DataFrame:
-    # hash by (file, uri) once: the numbering window (file, uri, type) and the
-    # group-by (file, uri, generation) are both clustered by it, so one shuffle serves both
-    wanted = records.where(F.col("rec_type").isin(*REC_TYPES))
-    w = Window.partitionBy("file", "target_uri", "rec_type").orderBy("ordinal")
-    return wanted.repartition("file", "target_uri").withColumn("generation", F.row_number().over(w))
-
-
-def _exact_groups(records: DataFrame) -> DataFrame:
-    """Exchanges in overwrite mode: the records of one (file, uri) go through one grouped
-    Arrow call in ordinal order, which emits the finished groups (one shuffle, no group-by after)."""
+    def close() -> None:
+        for uri, slots in open_.items():
+            emit(uri, slots)
+        open_.clear()
+        done.clear()
+
+    def batch() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pylist(rows, schema)
+        rows.clear()
+        return out
+
+    for records in batches:
+        for rec in records.to_pylist():
+            if rec["file"] != file:
+                close()
+                file = rec["file"]
+            uri = rec["target_uri"]
+            slots = open_.setdefault(uri, {})
+            slots[rec["rec_type"]] = rec
+            if len(slots) == len(REC_TYPES):
+                emit(uri, open_.pop(uri))
+        if rows:
+            yield batch()
+    close()
+    if rows:
+        yield batch()
+
+
+def _groups(records: DataFrame, in_order: bool) -> DataFrame:
     wanted = records.where(F.col("rec_type").isin(*REC_TYPES)).select(*_EXACT_COLS)
-    flat = wanted.groupBy("file", "target_uri").applyInPandas(_exact_exchanges, _EXACT_SCHEMA)
+    if not in_order:
+        wanted = wanted.repartition("file").sortWithinPartitions("file", "ordinal")
+    flat = wanted.mapInArrow(_pair, _EXACT_SCHEMA)
 
     def rec(t: str):
         return F.when(
@@ -84,23 +91,17 @@ def _exact_groups(records: DataFrame) -> DataFrame:
     return flat.select("file", "uri", "generation", "n_records", *[rec(t).alias(t) for t in REC_TYPES])
 
 
-def assemble_exchanges(records: DataFrame, on_unpaired: str = "error", exact: bool = False) -> DataFrame:
+def assemble_exchanges(records: DataFrame, on_unpaired: str = "error", in_order: bool = False) -> DataFrame:
     """One row per (file, uri, generation) with ``request``/``response``/``metadata`` structs.
 
     ``on_unpaired``: ``error`` fails the job on an incomplete group, ``drop``
     keeps complete ones, ``report`` returns only the incomplete groups with the
-    types they miss.
+    types they miss.  ``in_order`` says that every partition holds whole files in
+    ordinal order, as the archive scan gives them: nothing is shuffled then.
     """
     if on_unpaired not in ("error", "drop", "report"):
         raise ValueError(f"unknown on_unpaired {on_unpaired!r}")
-    if exact:
-        groups = _exact_groups(records)
-    else:
-        rec = F.struct(*[F.col(c) for c in _RECORD])
-        aggs = [F.max(F.when(F.col("rec_type") == t, rec)).alias(t) for t in REC_TYPES]
-        groups = _numbered(records).groupBy("file", F.col("target_uri").alias("uri"), "generation").agg(
-            F.count(F.lit(1)).alias("n_records"), *aggs
-        )
+    groups = _groups(records, in_order)
     complete = F.col("request").isNotNull() & F.col("response").isNotNull() & F.col("metadata").isNotNull()
     if on_unpaired == "report":
         missing = F.array_compact(F.array(*[F.when(F.col(t).isNull(), F.lit(t)) for t in REC_TYPES]))
@@ -117,6 +118,12 @@ def _content_type(headers: F.Column) -> F.Column:
     return header_value(headers, "content-type")
 
 
+def _fields(payload: F.Column) -> F.Column:
+    """The header fields of a metadata record: its text up to the first blank line; bytes that are no UTF-8 become U+FFFD."""
+    text = F.make_valid_utf8(payload.cast("string"))
+    return F.regexp_extract(text, r"(?s)^(.*?)(?:\r?\n\r?\n|\z)", 1)
+
+
 def project_exchanges(exchanges: DataFrame, scoring: str = "compat") -> DataFrame:
     """(html, uri, req, res, when, duration) for exchanges whose response sniffs as HTML
     and whose decoded body holds no NUL after trailing NULs are stripped."""
@@ -130,11 +137,11 @@ def project_exchanges(exchanges: DataFrame, scoring: str = "compat") -> DataFram
         F.concat(F.coalesce(req["http_headers"], F.lit("")), F.lit("\r\n"), strip_trailing_nul(req_body)).alias("req"),
         F.coalesce(res["http_headers"], F.lit("")).alias("res"),
         parse_warc_date(req["warc_date"]).alias("when"),
-        fetch_time_seconds(F.decode(meta["payload"], "UTF-8")).alias("duration"),
+        fetch_time_seconds(_fields(meta["payload"])).alias("duration"),
     )
     return out.where(~F.contains(F.col("html"), F.lit("\u0000")))
 
 
-def html_exchange_dataset(records: DataFrame, on_unpaired: str = "error", exact: bool = False) -> DataFrame:
+def html_exchange_dataset(records: DataFrame, on_unpaired: str = "error", in_order: bool = False) -> DataFrame:
     """Pipeline C2: records -> complete exchanges -> HTML exchange rows."""
-    return project_exchanges(assemble_exchanges(records, on_unpaired, exact))
+    return project_exchanges(assemble_exchanges(records, on_unpaired, in_order))

@@ -9,21 +9,33 @@ from corpusforge.operators import exchange as X
 from corpusforge.plans import fixtures as fx
 from corpusforge.plans.registry import register
 
+# The pairing rule record by record: st is what is open after each record of a (file, URI).
 _GROUPS = f"""
-WITH rec AS ({fx.ARCHIVE_RECORDS_SQL.strip()}),
-w AS (SELECT * FROM rec WHERE rec_type IN ('request', 'response', 'metadata')),
-g AS (SELECT *, row_number() OVER (PARTITION BY file, target_uri, rec_type ORDER BY ordinal) AS generation FROM w),
-x AS (SELECT file, target_uri AS uri, CAST(generation AS INTEGER) AS generation, CAST(count(*) AS BIGINT) AS n_records,
-        max(CASE WHEN rec_type = 'request' THEN ordinal END) AS req_ordinal,
-        max(CASE WHEN rec_type = 'response' THEN ordinal END) AS res_ordinal,
-        max(CASE WHEN rec_type = 'metadata' THEN ordinal END) AS meta_ordinal,
-        max(CASE WHEN rec_type = 'request' THEN http_headers END) AS req_headers,
-        max(CASE WHEN rec_type = 'request' THEN payload_text END) AS req_body,
-        max(CASE WHEN rec_type = 'request' THEN warc_date END) AS req_date,
-        max(CASE WHEN rec_type = 'response' THEN http_headers END) AS res_headers,
-        max(CASE WHEN rec_type = 'response' THEN payload_text END) AS res_body,
-        max(CASE WHEN rec_type = 'metadata' THEN payload_text END) AS meta_body
-      FROM g GROUP BY file, target_uri, generation)
+WITH RECURSIVE rec AS ({fx.ARCHIVE_RECORDS_SQL.strip()}),
+w AS (SELECT *, row_number() OVER (PARTITION BY file, target_uri ORDER BY ordinal) AS r,
+        count(*) OVER (PARTITION BY file, target_uri) AS last_r
+      FROM rec WHERE rec_type IN ('request', 'response', 'metadata')),
+st AS (
+  SELECT file, target_uri, r, last_r, 1 AS generation,
+    CASE WHEN rec_type = 'request' THEN ordinal END AS q,
+    CASE WHEN rec_type = 'response' THEN ordinal END AS s,
+    CASE WHEN rec_type = 'metadata' THEN ordinal END AS m
+  FROM w WHERE r = 1
+  UNION ALL
+  SELECT w.file, w.target_uri, w.r, w.last_r,
+    st.generation + CASE WHEN q IS NOT NULL AND s IS NOT NULL AND m IS NOT NULL THEN 1 ELSE 0 END,
+    CASE WHEN rec_type = 'request' THEN ordinal WHEN q IS NOT NULL AND s IS NOT NULL AND m IS NOT NULL THEN NULL ELSE q END,
+    CASE WHEN rec_type = 'response' THEN ordinal WHEN q IS NOT NULL AND s IS NOT NULL AND m IS NOT NULL THEN NULL ELSE s END,
+    CASE WHEN rec_type = 'metadata' THEN ordinal WHEN q IS NOT NULL AND s IS NOT NULL AND m IS NOT NULL THEN NULL ELSE m END
+  FROM st JOIN w ON w.file = st.file AND w.target_uri = st.target_uri AND w.r = st.r + 1),
+g AS (SELECT * FROM st WHERE r = last_r OR (q IS NOT NULL AND s IS NOT NULL AND m IS NOT NULL)),
+x AS (SELECT g.file, g.target_uri AS uri, CAST(generation AS INTEGER) AS generation,
+        CAST((q IS NOT NULL)::INT + (s IS NOT NULL)::INT + (m IS NOT NULL)::INT AS BIGINT) AS n_records,
+        q AS req_ordinal, s AS res_ordinal, m AS meta_ordinal,
+        a.http_headers AS req_headers, a.payload_text AS req_body, a.warc_date AS req_date,
+        b.http_headers AS res_headers, b.payload_text AS res_body, c.payload_text AS meta_body
+      FROM g LEFT JOIN w a ON a.file = g.file AND a.ordinal = q LEFT JOIN w b ON b.file = g.file AND b.ordinal = s
+        LEFT JOIN w c ON c.file = g.file AND c.ordinal = m)
 """
 _COMPLETE = "req_ordinal IS NOT NULL AND res_ordinal IS NOT NULL AND meta_ordinal IS NOT NULL"
 
@@ -78,16 +90,3 @@ FROM x WHERE {_COMPLETE} AND regexp_matches(substr(res_body, 1, 1445), '{SNIFF_R
 @register("exchange_projection", "C2 B2 B3 B7 B8 B9 T1", _GROUPS + _PROJECTION_BODY)
 def q_exchange_projection(spark, sf):
     return X.html_exchange_dataset(_records(spark, sf), on_unpaired="drop")
-
-
-# The fixture never interleaves a repeated type inside one exchange, so the overwrite mode
-# must give exactly the generation-mode exchanges: the same oracle applies.
-@register(
-    "exchange_exact",
-    "J1 (overwrite mode)",
-    _GROUPS + f"SELECT file, uri, generation, req_ordinal, res_ordinal, meta_ordinal FROM x WHERE {_COMPLETE}",
-)
-def q_exchange_exact(spark, sf):
-    ex = X.assemble_exchanges(_records(spark, sf), on_unpaired="drop", exact=True)
-    return ex.select("file", "uri", F.col("generation").cast("int").alias("generation"), F.col("request.ordinal").alias("req_ordinal"),
-                     F.col("response.ordinal").alias("res_ordinal"), F.col("metadata.ordinal").alias("meta_ordinal"))
