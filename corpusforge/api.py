@@ -19,15 +19,15 @@ from corpusforge.sources import sinks
 from corpusforge.sources.crawl_index import read_crawl_index
 from corpusforge.sources.warc import read_archive_list, read_manifest
 
-# Fixed values from the reference builds: the row count of the crawl-size table,
-# the number of archive files taken from the manifest, and the LM blocks held out.
+# Fixed values from the reference builds, for callers that want its tables: the row count of the
+# crawl-size table and the number of archive files taken from the manifest; and the LM blocks held out.
 CRAWL_SIZE_ROWS = 180_000
 HTML_FIRST_FILES = 1
 LM_TEST_BLOCKS = 4096
 
 
 def crawl_size(spark: SparkSession, index_root: str, crawl: str, archives_base: str, dst: str,
-               limit: int | None = CRAWL_SIZE_ROWS, compat: bool = True) -> DataFrame:
+               limit: int | None = None, compat: bool = False) -> DataFrame:
     """(sentence, label, hostname) for hosts with a root page, written to ``dst``."""
 
     def build() -> DataFrame:
@@ -38,12 +38,12 @@ def crawl_size(spark: SparkSession, index_root: str, crawl: str, archives_base:
 
 
 def html_exchanges(spark: SparkSession, manifest: str, archives_base: str, dst: str,
-                   first: int | None = HTML_FIRST_FILES, on_unpaired: str = "error", compat: bool = True) -> DataFrame:
-    """(html, uri, req, res, when, duration) from the first ``first`` archives of a manifest."""
+                   first: int | None = None, on_unpaired: str = "error", compat: bool = False) -> DataFrame:
+    """(html, uri, req, res, when, duration) from the archives of a manifest, or its first ``first``."""
 
     def build() -> DataFrame:
         paths = [os.path.join(archives_base, r["path"]) for r in read_manifest(spark, manifest, first).collect()]
-        return html_exchange_dataset(read_archive_list(spark, paths), on_unpaired=on_unpaired)
+        return html_exchange_dataset(read_archive_list(spark, paths), on_unpaired=on_unpaired, in_order=True)
 
     return _build_once(spark, dst, build, sinks.HTML_EXCHANGE_SCHEMA, compat)
 

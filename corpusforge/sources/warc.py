@@ -1,8 +1,9 @@
 """Web-archive sources.
 
 ``format("warc")`` is a Python DataSource: one input partition per archive
-file; a task streams the file's gzip members one at a time (each record is its
-own member), so no archive is ever held in memory.  Record types outside
+file, opened through pyarrow's filesystems (a URI of a shared store, or a path
+that every executor sees); a task streams the file's gzip members one at a time,
+so no archive is ever held in memory.  Record types outside
 request/response/metadata are skipped (B4) unless ``types`` says otherwise.
 
 ``fetch_records`` is the random-access form: locations (file, offset, length)
@@ -12,8 +13,8 @@ once and reads only the requested byte ranges.
 
 from __future__ import annotations
 
-import glob
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -60,44 +61,134 @@ def _members(f) -> Iterator[tuple[int, int, bytes]]:
 
 
 def parse_record(data: bytes) -> dict | None:
-    """One WARC record: version line, headers, blank line, block of Content-Length bytes."""
-    head_end = data.find(b"\r\n\r\n")
-    if head_end < 0:
-        return None
-    lines = data[:head_end].decode("utf-8", "replace").split("\r\n")
-    headers: dict[str, str] = {}
-    for line in lines[1:]:
-        if ":" in line:
-            k, v = line.split(":", 1)
-            headers.setdefault(k.strip(), v.strip())
-    n = int(headers.get("Content-Length", "0") or 0)
-    block = data[head_end + 4 : head_end + 4 + n]
-    rec_type = headers.get("WARC-Type", "")
-    http, payload = None, block
-    ctype = headers.get("Content-Type", "")
-    if rec_type in ("request", "response") and ctype.startswith("application/http"):
-        split = block.find(b"\r\n\r\n")
-        if split >= 0:
-            http = block[: split + 2].decode("iso-8859-1")
-            payload = block[split + 4 :]
-    return {
-        "rec_type": rec_type,
-        "target_uri": headers.get("WARC-Target-URI"),
-        "warc_date": headers.get("WARC-Date"),
-        "warc_headers": headers,
-        "http_headers": http,
-        "payload": payload,
-    }
+    """The first WARC record of ``data``; None if there is none."""
+    return next(parse_records(data), None)
+
+
+def parse_records(data: bytes) -> Iterator[dict]:
+    """All WARC records of a member: version line, headers, blank line, block of Content-Length bytes.
+
+    Header names are matched in any case.  Anything else than records, and the line ends
+    around them, raises: a malformed archive is not passed over in silence.
+    """
+    at = 0
+    while True:
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(data):
+            return
+        head_end = data.find(b"\r\n\r\n", at)
+        if head_end < 0 or not data.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record at byte {at} of a member of {len(data)} bytes")
+        headers: dict[str, str] = {}
+        for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
+            if ":" in line:
+                k, v = line.split(":", 1)
+                headers.setdefault(k.strip(), v.strip())
+        field = {k.lower(): v for k, v in reversed(headers.items())}.get
+        n = int(field("content-length", "0") or 0)
+        block = data[head_end + 4 : head_end + 4 + n]
+        if len(block) < n:
+            raise ValueError(f"a WARC record of {n} bytes ends after {len(block)}")
+        at = head_end + 4 + n
+        rec_type = field("warc-type", "")
+        http, payload = None, block
+        if rec_type in ("request", "response") and field("content-type", "").lower().startswith("application/http"):
+            split = block.find(b"\r\n\r\n")
+            if split >= 0:
+                http = block[: split + 2].decode("iso-8859-1")
+                payload = decoded_content(http, block[split + 4 :])
+        yield {
+            "rec_type": rec_type,
+            "target_uri": field("warc-target-uri"),
+            "warc_date": field("warc-date"),
+            "warc_headers": headers,
+            "http_headers": http,
+            "payload": payload,
+        }
+
+
+def decoded_content(http_headers: str, body: bytes) -> bytes:
+    """The body without its chunked transfer coding and its gzip or deflate content coding.
+
+    What does not decode (many archives store decoded bodies under the original headers) stays as it is.
+    """
+    field = {}
+    for line in http_headers.split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        field[name.strip().lower()] = value.strip().lower()
+    if "chunked" in field.get("transfer-encoding", ""):
+        body = _unchunked(body)
+    for coding in reversed([c.strip() for c in field.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for wbits in (31,) if "gzip" in coding else (15, -15):
+                try:
+                    body = zlib.decompressobj(wbits).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+    return body
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        line_end = body.find(b"\r\n", at)
+        try:
+            n = int(body[at:line_end].split(b";")[0], 16) if line_end >= 0 else -1
+        except ValueError:
+            n = -1
+        if n < 0 or line_end + 2 + n > len(body):
+            return body  # no chunks after all
+        if n == 0:
+            return b"".join(out)
+        out.append(body[line_end + 2 : line_end + 2 + n])
+        at = line_end + 2 + n + 2
+
+
+def _store(path: str):
+    """(filesystem, path inside it): any URI that pyarrow knows, else a path that every executor sees."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def _open(path: str):
+    store, inside = _store(path)
+    return store.open_input_file(inside)
+
+
+def _listed(pattern: str) -> list[str]:
+    """Files that match a pattern with wildcards in its last part, in name order, as URIs if it is one."""
+    from fnmatch import fnmatch
+
+    from pyarrow import fs
+
+    folder, _, name = pattern.rpartition("/")
+    if not re.search(r"[*?\[]", pattern):
+        store, inside = _store(pattern)
+        info = store.get_file_info(inside)
+        if info.type == fs.FileType.File:
+            return [pattern]
+        if info.type == fs.FileType.NotFound:
+            return []
+        folder, name = pattern.rstrip("/"), "*"
+    store, inside = _store(folder or "/")
+    found = store.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+    return sorted(f"{folder}/{f.base_name}" for f in found if f.type == fs.FileType.File and fnmatch(f.base_name, name))
 
 
 def _scan_file(path: str, types: tuple[str, ...] | None) -> Iterator[tuple]:
-    with open(path, "rb") as f:
-        for ordinal, (off, length, data) in enumerate(_members(f)):
-            rec = parse_record(data)
-            if rec is None or (types is not None and rec["rec_type"] not in types):
-                continue
-            yield (path, ordinal, off, length, rec["rec_type"], rec["target_uri"], rec["warc_date"],
-                   rec["warc_headers"], rec["http_headers"], rec["payload"])
+    ordinal = -1
+    with _open(path) as f:
+        for off, length, data in _members(f):
+            for rec in parse_records(data):
+                ordinal += 1
+                if types is None or rec["rec_type"] in types:
+                    yield (path, ordinal, off, length, rec["rec_type"], rec["target_uri"], rec["warc_date"],
+                           rec["warc_headers"], rec["http_headers"], rec["payload"])
 
 
 class _FilePartition(InputPartition):
@@ -119,28 +210,21 @@ class _WarcReader(DataSourceReader):
 
 
 class _WarcStreamReader(DataSourceStreamReader):
-    """Archive files as a stream: the offset is the number of files listed so far.
-
-    Files are taken in name order, so new archives must sort after the ones
-    already read (the usual sequential naming of crawl segments).
-    """
+    """Archive files as a stream: the offset names the files listed so far, whatever order they appear in."""
 
     def __init__(self, pattern: str, types):
         self.pattern = pattern
         self.types = types
 
-    def _files(self) -> list[str]:
-        return sorted(glob.glob(self.pattern))
-
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(self._files())}
+        return {"files": _listed(self.pattern)}
 
     def partitions(self, start: dict, end: dict):
-        files = self._files()[start["files"]: end["files"]]
-        return [_FilePartition(p) for p in files]
+        before = set(start["files"])
+        return [_FilePartition(p) for p in end["files"] if p not in before]
 
     def read(self, partition):
         yield from _scan_file(partition.path, self.types)
@@ -165,10 +249,7 @@ class WarcDataSource(DataSource):
         if listed:  # an explicit, ordered list (e.g. the first n files of a manifest)
             return _WarcReader([p for p in listed.split("\n") if p], self._types())
         path = self.options.get("path")
-        paths = sorted(glob.glob(path)) if path else []
-        if path and not paths and os.path.exists(path):
-            paths = [path]
-        return _WarcReader(paths, self._types())
+        return _WarcReader(_listed(path) if path else [], self._types())
 
     def _types(self):
         types = self.options.get("types", ",".join(WANTED))
@@ -225,7 +306,7 @@ def _fetch_task(base: str, carry: list[str]):
                         if handle is not None:
                             handle.close()
                         name = fn
-                        handle = open(os.path.join(base, fn), "rb")
+                        handle = _open(os.path.join(base, fn))
                     handle.seek(int(off))
                     rec = parse_record(zlib.decompress(handle.read(int(length)), 31)) or {}
                     recs.append([rec.get(f) for f, _ in _FETCHED])
