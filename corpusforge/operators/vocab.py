@@ -3,16 +3,15 @@ jobs (M1, M2), tokenization (T9, T7), id lookups (J5), detokenization (T10),
 special-token audit (J6) and vocabulary triage (A18).
 
 Learning (Kudo, 2018), all distributed except the piece table, whose size is
-bounded by ``seed_factor * vocab_size``:
+bounded by ``seed_size`` or four times the target:
 
 1. normalize and pre-split documents natively into units, count units
    (partial + final aggregate), checkpoint the counts;
-2. seed pieces: every unit substring up to ``seed_len`` characters is counted
-   by an aggregate, the top ``seed_factor * size`` by frequency x length are
-   kept, plus the characters that cover 99.95 % of the text;
+2. seed pieces: every unit substring up to the longest piece is counted by an
+   aggregate, the top ``seed_size`` by frequency x length are kept, plus the characters that cover 99.95 % of the text;
 3. EM: the piece table is broadcast, each task runs forward-backward over its
    units (mapInPandas) and emits expected counts, merged by a group-by; the
-   M-step is a native projection;
+   M-step runs on the driver over the bounded piece table;
 4. prune the 25 % of pieces whose removal loses least likelihood (computed
    by a distributed pass over the piece table), until the target size.
 """
@@ -34,9 +33,7 @@ from pyspark.sql import types as T
 
 from corpusforge.functions.text import MAX_SENTENCE_BYTES, btrim, has_reserved_mark
 from corpusforge.functions.unigram import Lattice
-from corpusforge.plans.joins import join_checked
 from corpusforge.operators.vocab_stats import avg_token_len as vocab_avg_token_len
-from corpusforge.plans.partitioning import spread_for_python
 
 # Fixed values from the reference: the vocabulary-name grammar (switches in this
 # order), pieces per "K", maximum piece length, the space marker, and the special
@@ -62,6 +59,10 @@ def _digamma(x: float) -> float:
     f = 1.0 / (x * x)
     return r + math.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
 SHRINK = 0.75
+#: Candidate pieces that learning starts from.
+SEED_SIZE = 1 << 15
+#: Cost of an unknown character below the least likely piece, in nats.
+UNK_PENALTY = 10.0
 VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, type STRING"
 
 
@@ -103,7 +104,8 @@ def unit_pattern(spec: VocabSpec, user_symbols: Sequence[str] = ()) -> str:
     own wherever they occur, and a space marker right before one stands alone, as
     the SentencePiece encoder matches them.
     """
-    num = r"\p{N}" if spec.split_digits else r"\p{N}+"
+    # possessive repeats: the matcher runs over them in a loop, without a stack frame for each character
+    num = r"\p{N}" if spec.split_digits else r"\p{N}++"
     named = "".join(_SCRIPTS)
     guard = ""
     if user_symbols:
@@ -113,15 +115,15 @@ def unit_pattern(spec: VocabSpec, user_symbols: Sequence[str] = ()) -> str:
         letters = [f"[{s}\\p{{M}}]" for s in _SCRIPTS] + [f"[\\p{{L}}&&[^{named}]]"]
         if not spec.split_by_number and not spec.split_digits:
             letters = [c[:-1] + r"\p{N}]" for c in letters]
-        classes = [f"(?:{guard}{c})+" for c in letters] + [f"(?:{guard}[^\\p{{L}}\\p{{M}}\\p{{N}}\\s▁])+"]
+        classes = [f"(?:{guard}{c})++" for c in letters] + [f"(?:{guard}[^\\p{{L}}\\p{{M}}\\p{{N}}\\s▁])++"]
     else:
         cls = r"[^\p{N}\s▁]" if (spec.split_by_number or spec.split_digits) else r"[^\s▁]"
-        classes = [f"(?:{guard}{cls})+"]
+        classes = [f"(?:{guard}{cls})++"]
     if spec.split_by_number or spec.split_digits or spec.split_by_unicode_script:
         classes.append(num)
     if not spec.split_by_whitespace:
         # units may cross the space marker, but never a class boundary
-        alts = [f"{SPACE}?{c}(?:{SPACE}{c})*{SPACE}?" if spec.whitespace_as_suffix else f"{SPACE}?{c}(?:{SPACE}{c})*" for c in classes]
+        alts = [f"{SPACE}?{c}(?:{SPACE}{c})*+{SPACE}?" if spec.whitespace_as_suffix else f"{SPACE}?{c}(?:{SPACE}{c})*+" for c in classes]
     elif spec.whitespace_as_suffix:
         alts = [f"{c}{SPACE}?" for c in classes]
     else:
@@ -148,7 +150,12 @@ def corpus_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def unit_counts(docs: DataFrame, spec: VocabSpec, text: str = "text") -> DataFrame:
-    units = corpus_text(spread_for_python(docs.select(text)), text).select(F.explode(presplit(F.col("text"), spec)).alias("unit"))
+    """Counts of the units, cut at the longest piece: no piece can be longer, and units that cross spaces would be whole texts."""
+    cut = F.transform(
+        presplit(F.col("text"), spec),
+        lambda u: F.transform(F.sequence(F.lit(0), ((F.length(u) - 1) / MAX_PIECE_LEN).cast("int")), lambda k: F.substring(u, k * MAX_PIECE_LEN + 1, F.lit(MAX_PIECE_LEN))),
+    )
+    units = corpus_text(docs.select(text), text).select(F.explode(F.flatten(cut)).alias("unit"))
     return units.where(F.length("unit") > 0).groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("c"))
 
 
@@ -181,7 +188,7 @@ def _chars(counts: DataFrame) -> list[tuple[str, float]]:
     return kept
 
 
-def seed_pieces(counts: DataFrame, seed_size: int, seed_len: int = 16) -> list[tuple[str, float]]:
+def seed_pieces(counts: DataFrame, seed_size: int, seed_len: int = MAX_PIECE_LEN) -> list[tuple[str, float]]:
     subs = counts.select(F.explode(_substrings(F.col("unit"), seed_len)).alias("piece"), "c")
     top = (
         subs.groupBy("piece").agg(F.sum("c").alias("f"))
@@ -234,9 +241,13 @@ def _to_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(p, float(s)) for p, s in scores.items()], "piece string, score double")
 
 
-def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed_factor: int = 4,
+def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed_size: int = SEED_SIZE,
                 em_iters: int = 2, max_rounds: int = 24) -> DataFrame:
-    """Learn a unigram vocabulary of ``spec.size`` pieces (specials included)."""
+    """Learn a unigram vocabulary of at most ``spec.size`` pieces (specials included).
+
+    ``seed_size`` candidates are considered, four times the target at least.  Raises if
+    ``max_rounds`` prunings do not reach the target.
+    """
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -248,7 +259,7 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
     if len(chars) > n_normal:
         raise ValueError(f"{len(chars)} characters needed for coverage exceed the vocabulary size {spec.size}")
     t0 = time.perf_counter()
-    freq = dict(seed_pieces(counts, seed_factor * spec.size))
+    freq = dict(seed_pieces(counts, max(seed_size, 4 * spec.size)))
     log.info("seeded %d pieces, %d chars in %.1fs", len(freq), len(chars), time.perf_counter() - t0)
     freq.update({c: f for c, f in chars})
     total = sum(freq.values())
@@ -275,6 +286,8 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
             log.info("round %d EM: %d pieces at %.1fs", _round, len(scores), time.perf_counter() - t0)
         if len(scores) <= n_normal:
             break
+        if _round == max_rounds - 1:
+            raise RuntimeError(f"{max_rounds} prunings left {len(scores)} pieces of {n_normal} wanted")
         keep = max(n_normal, int(len(scores) * SHRINK))
         bc = sc.broadcast({p: (0, s) for p, s in scores.items()})
         table = spark.createDataFrame(
@@ -335,6 +348,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     def encode(units: pd.Series) -> pd.DataFrame:
         lat = _LATTICES.get(key)
         if lat is None:
+            _LATTICES.clear()  # one vocabulary per worker
             lat = _LATTICES[key] = Lattice(bc.value, max_len=MAX_PIECE_LEN)
         toks, ids = [], []
         unk = lat.unk_id
@@ -355,7 +369,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
 
     user = [p for p, (i, sc) in pieces.items() if p in user_defined]
     enc = encode(presplit(t, spec, user))
-    out = spread_for_python(docs).withColumn("_enc", enc)
+    out = docs.withColumn("_enc", enc)
     ids = F.col("_enc.ids") if max_length is None else F.slice("_enc.ids", 1, max_length)
     toks = F.col("_enc.tokens") if max_length is None else F.slice("_enc.tokens", 1, max_length)
     return (
@@ -366,33 +380,42 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     )
 
 
+def _looked_up(df: DataFrame, table: dict, key: str, column: str, out: str, kind: str) -> DataFrame:
+    """(key, out): each array's elements looked up in their place; no row is exploded, shuffled or lost."""
+    bc = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf(f"array<{kind}>")
+    def look(rows: pd.Series) -> pd.Series:
+        get, missing = bc.value.get, bc.value.get(None)
+        return pd.Series([None if r is None else [get(x, missing) for x in r] for r in rows], dtype=object)
+
+    return df.select(key, look(column).alias(out))
+
+
+def _bounded(vocab: DataFrame, max_pieces: int) -> list:
+    rows = vocab.select("piece", "id").limit(max_pieces + 1).collect()
+    if len(rows) > max_pieces:
+        raise ValueError(f"vocabulary exceeds the broadcast bound {max_pieces}")
+    return rows
+
+
 def pieces_to_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", unk_id: int = 0,
                   max_pieces: int = 2_000_000) -> DataFrame:
-    """(key, ids): id of each piece in order, unknown pieces map to ``unk_id``.
-
-    Pieces are exploded with their position, joined to the size-checked
-    vocabulary, and re-assembled per key in position order.
-    """
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "piece"))
-    j = join_checked(ex, vocab.select("piece", F.col("id").alias("pid")), ["piece"], "left", max_pieces)
-    return j.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("pid", F.lit(unk_id)).alias("id")))),
-                    lambda s: s["id"]).alias("ids")
-    )
+    """(key, ids): id of each piece in order, unknown pieces map to ``unk_id`` (J5); empty stays empty, null stays null."""
+    table = {r["piece"]: r["id"] for r in _bounded(vocab, max_pieces)}
+    return _looked_up(df, {**table, None: unk_id}, key, tokens, "ids", "int")
 
 
 def ids_to_pieces(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", max_pieces: int = 2_000_000) -> DataFrame:
-    """(key, pieces): id outside the vocabulary gives a null piece."""
-    ex = df.select(key, F.posexplode(ids).alias("pos", "id"))
-    j = join_checked(ex, vocab.select("id", "piece"), ["id"], "left", max_pieces)
-    return j.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]).alias("pieces")
-    )
+    """(key, pieces): id outside the vocabulary gives a null piece (J5); empty stays empty, null stays null."""
+    table = {r["id"]: r["piece"] for r in _bounded(vocab, max_pieces)}
+    return _looked_up(df, {**table, None: None}, key, ids, "pieces", "string")
 
 
-def detokenize(pieces: Column) -> Column:
-    """Concatenate, turn space markers into spaces, drop the leading space."""
-    return F.ltrim(F.replace(F.array_join(pieces, ""), F.lit(SPACE), F.lit(" ")))
+def detokenize(pieces: Column, whitespace_as_suffix: bool = False) -> Column:
+    """Concatenate, turn space markers into spaces, drop the one space that normalization added in front (or behind)."""
+    text = F.replace(F.array_join(pieces, ""), F.lit(SPACE), F.lit(" "))
+    return F.regexp_replace(text, r" \z" if whitespace_as_suffix else r"\A ", "")
 
 
 # ------------------------------------------------------------------ specials
@@ -429,18 +452,26 @@ def audit_specials(vocab: DataFrame, expected: Sequence[tuple[str | None, str]]
 
 # ------------------------------------------------------------------ triage
 def vocab_triage(docs: DataFrame, vocabs: dict[str, DataFrame], text: str = "text") -> DataFrame:
-    """Bits per character and tokens per character of each vocabulary on ``docs``."""
+    """Bits per character and tokens per character of each vocabulary on ``docs``.
+
+    A token costs its piece's score; an unknown character costs what the encoder charged for it,
+    ``UNK_PENALTY`` below the least likely piece, so a vocabulary gains nothing by not knowing a text.
+    """
     out = None
     for name, voc in vocabs.items():
         toks = tokenize(docs.select(text), voc, name, text)
-        scores = voc.select("id", F.col("score").cast("double").alias("score"))
-        ex = toks.select(F.length(text).alias("chars"), "input_ids")
-        per_doc = ex.select("chars", F.explode("input_ids").alias("id"))
-        scored = join_checked(per_doc, scores, ["id"], "left", 2_000_000)
-        chars = ex.agg(F.sum("chars")).collect()[0][0] or 1
+        usable = ~F.col("type").isin("CONTROL", "UNKNOWN")
+        unk = F.broadcast(voc.where(usable).agg((F.coalesce(F.min(F.col("score").cast("double")), F.lit(0.0)) - UNK_PENALTY).alias("unk")))
+        scores = voc.where(usable).select("id", F.col("score").cast("double").alias("score"))
+        pairs = toks.select(F.explode(F.arrays_zip("tokens", "input_ids")).alias("p")).select("p.tokens", F.col("p.input_ids").alias("id"))
+        # few distinct ids: sum counts and unknown characters before the join
+        sums = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("tokens")).alias("length"))
+        scored = sums.join(scores, "id", "left").crossJoin(unk)  # one row
+        cost = F.when(F.col("score").isNull(), -F.col("unk") * F.col("length")).otherwise(-F.col("score") * F.col("n"))
+        chars = F.lit(float(docs.agg(F.sum(F.length(text))).first()[0] or 1))
         r = scored.agg(
-            (F.sum(-F.col("score")) / F.lit(math.log(2.0)) / F.lit(float(chars))).alias("bits_per_char"),
-            (F.count(F.lit(1)) / F.lit(float(chars))).alias("tokens_per_char"),
+            (F.sum(cost) / F.lit(math.log(2.0)) / chars).alias("bits_per_char"),
+            (F.sum("n") / chars).alias("tokens_per_char"),
         ).select(F.lit(name).alias("vocab"), "*")
         out = r if out is None else out.unionByName(r)
     return out

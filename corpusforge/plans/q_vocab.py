@@ -20,16 +20,21 @@ SPEC = "cc-html1K"
 TRIAGE_SPECS = ("cc-html1K", "cc-html1K,sd=t")
 SEQ_LEN = 512
 CLS_MAX_LEN = 128
-LM_BUCKETS = None  # the session's shuffle partition count (no oracle pins these queries)
+LM_BUCKETS = None  # by the number of rows
 # Fixed value from the reference: LM blocks held out for evaluation.
 LM_HOLDOUT = 4096
 
 
+def _spread(df):
+    """Over all cores before Python work: the small tables come in fewer splits."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def learned_vocab(spark, sf, spec: str = SPEC, source: str = "documents", text: str = "text"):
     """Vocabulary learned from a table, written once to the checkpoint folder and reused (K2)."""
     key = hashlib.md5(f"{sf}|{source}|{text}|{spec}".encode()).hexdigest()[:16]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vocab/{key}"
-    return materialize(spark, path, lambda: V.learn_vocab(fx.table(spark, sf, source), spec, text))
+    return materialize(spark, path, lambda: V.learn_vocab(_spread(fx.table(spark, sf, source).select(text)), spec, text))
 
 
 @register("vocab_learn", "M2 M1 T8 J6 K2 K3")
@@ -46,7 +51,7 @@ def q_vocab_learn_html(spark, sf):
 
 @register("tokenize", "T9 T7")
 def q_tokenize(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = _spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     tok = V.tokenize(docs, learned_vocab(spark, sf), SPEC, max_length=SEQ_LEN)
     return tok.select("doc_id", F.size("input_ids").alias("n_tokens"), "input_ids")
 
@@ -81,7 +86,7 @@ def q_token_ids(spark, sf):
 @register(
     "detokenize",
     "T10",
-    f"""SELECT doc_id, ltrim(replace(array_to_string(list_transform(string_split(text, ' '), lambda w: '{V.SPACE}' || w), ''), '{V.SPACE}', ' ')) AS text
+    f"""SELECT doc_id, substr(replace(array_to_string(list_transform(string_split(text, ' '), lambda w: '{V.SPACE}' || w), ''), '{V.SPACE}', ' '), 2) AS text
 FROM documents""",
 )
 def q_detokenize(spark, sf):
@@ -98,7 +103,7 @@ def q_vocab_triage(spark, sf):
 
 @register("lm_blocks", "C3 S5 P1 T9 E1 E2 E3 P2")
 def q_lm_blocks(spark, sf):
-    html = fx.table(spark, sf, "pages").select("page_id", "html")  # S5: only the html column is read
+    html = _spread(fx.table(spark, sf, "pages").select("page_id", "html"))  # S5: only the html column is read
     voc = learned_vocab(spark, sf, SPEC, source="pages", text="html")  # an HTML vocabulary for HTML blocks
     tok = V.tokenize(html, voc, SPEC, text="html").drop("html", "tokens")
     batched = B.with_batches(tok, "page_id", buckets=LM_BUCKETS)
