@@ -1,7 +1,6 @@
 """Fixed-size batching, block packing and truncate/pad.
 
-Batches are deterministic: rows are hashed into ``buckets`` (set it to the
-cluster's task count at scale), numbered inside their bucket by (hash, key),
+Batches are deterministic: rows are hashed into ``buckets``, numbered inside their bucket by (hash, key),
 and cut every ``batch_size`` rows.  Every later window and aggregate is
 clustered by (bucket, batch, ...), which the bucket hash partitioning already
 satisfies, so the whole chain costs one shuffle.
@@ -22,17 +21,19 @@ from corpusforge.functions.hashing import DEFAULT_SEED, row_hash
 
 # Fixed value from the reference: rows per batch for tokenizing, packing and padding.
 BATCH_SIZE = 256
+#: Rows that share a bucket on average when the number of buckets is not given.
+BUCKET_ROWS = 1 << 16
 
 
 def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets: int | None = None,
                  seed: int = DEFAULT_SEED) -> DataFrame:
     """Add (h, bucket, rn, batch): rn counts from 1 inside a bucket in (h, key) order.
 
-    ``buckets`` defaults to the session's shuffle partition count, so each bucket's
-    numbering sort is one task's share of the rows.
+    ``buckets`` defaults to one for each ``BUCKET_ROWS`` rows: the batches depend on the
+    rows alone, not on the session, and a bucket's numbering sort stays small.
     """
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, -(-df.count() // BUCKET_ROWS))
     h = row_hash(F.col(key), seed)
     out = df.withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
     w = Window.partitionBy("bucket").orderBy("h", key)

@@ -1,9 +1,9 @@
 """Crawl-size dataset: host tally over a crawl index, first root page per host,
 record fetch by (file, offset), sniff, decode and filter.
 
-Plan shape (late materialization): the index is aggregated on narrow key
-columns first (partial + final hash aggregate, so a host holding a third of
-the rows is pre-aggregated map-side), and only one location per host meets
+Plan shape (late materialization): the index is counted on the host column
+(partial + final hash aggregate, so a host holding a third of the rows is
+pre-aggregated map-side), root rows alone are searched for the first, and only one location per host meets
 the record bodies in an equi-join on (file, offset).
 """
 
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from corpusforge.functions.charset import resolve_text
 from corpusforge.functions.html import is_root_page, looks_like_html
 from corpusforge.functions.text import has_interior_nul, strip_trailing_nul
-from corpusforge.plans.joins import join_checked
 
 INDEX_COLUMNS = ("url", "url_host_name", "warc_filename", "warc_record_offset", "warc_record_length")
 LOCATION = ("url", "warc_filename", "warc_record_offset", "warc_record_length")
@@ -31,22 +30,22 @@ def root_pages(index: DataFrame) -> DataFrame:
 def host_summary(index: DataFrame, order_by: Sequence[str] = ("url", "warc_filename", "warc_record_offset")) -> DataFrame:
     """Per host: record count over all rows, root-page count, and the first root page by ``order_by``.
 
-    ``min`` over a struct whose leading fields are the order keys picks the first
-    root row; it merges partially like ``count``, so no group is ever collected.
+    The counts are a hash aggregate over the host column.  Only root rows, about one
+    for each host, meet the aggregate that picks the first of them by a struct (which
+    Spark sorts for), and its result joins the counts on the host.  A stream keeps both in
+    the state of one aggregate.
     """
     order = list(order_by)
     root = is_root_page(F.col("url"))
-    first = F.min(F.when(root, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], *[F.col(c) for c in LOCATION])))
-    return (
-        index.select(*INDEX_COLUMNS)
-        .groupBy(F.col("url_host_name").alias("hostname"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(root).alias("n_root"),
-            first.alias("first"),
-        )
-        .select("hostname", "n", "n_root", *[F.col(f"first.{c}").alias(c) for c in LOCATION])
-    )
+    host = F.col("url_host_name").alias("hostname")
+    counts = index.select(host, root.alias("root")).groupBy("hostname").agg(F.count(F.lit(1)).alias("n"), F.count_if("root").alias("n_root"))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], *[F.col(c) for c in LOCATION])
+    first = index.select(*INDEX_COLUMNS).where(root).groupBy(host).agg(F.min(key).alias("first"))
+    if index.isStreaming:
+        both = index.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.count_if(root).alias("n_root"), F.min(F.when(root, key)).alias("first"))
+        return both.select("hostname", "n", "n_root", *[F.col(f"first.{c}").alias(c) for c in LOCATION])
+    joined = counts.alias("c").join(first.alias("f"), F.col("c.hostname").eqNullSafe(F.col("f.hostname")), "left")
+    return joined.select("c.hostname", "n", "n_root", *[F.col(f"first.{c}").alias(c) for c in LOCATION])
 
 
 def first_root_page(index: DataFrame, **kw) -> DataFrame:
@@ -54,14 +53,12 @@ def first_root_page(index: DataFrame, **kw) -> DataFrame:
     return host_summary(index, **kw).where(F.col("n_root") > 0)
 
 
-def fetch_records(locations: DataFrame, records: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def fetch_records(locations: DataFrame, records: DataFrame) -> DataFrame:
     """Equi-join one location per host onto the record table on (file, offset).
 
-    The location side is bounded by the number of hosts, so it is broadcast only
-    after its row count is checked; beyond that both sides shuffle on the key.
+    Spark broadcasts the locations if their bytes stay under its threshold; else both sides shuffle.
     """
-    keys = ["warc_filename", "warc_record_offset"]
-    return join_checked(records, locations, keys, "inner", max_broadcast_rows)
+    return records.join(locations, ["warc_filename", "warc_record_offset"])
 
 
 def crawl_size_dataset(index: DataFrame, records: DataFrame, limit: int | None = None, **kw) -> DataFrame:
@@ -105,23 +102,27 @@ def _accepted(fetched: DataFrame, limit: int | None) -> DataFrame:
     return out
 
 
-def limit_by_host(df: DataFrame, n: int, key: str = "hostname", materialize: bool = False) -> DataFrame:
+def limit_by_host(df: DataFrame, n: int, key: str = "hostname", materialize: bool = True) -> DataFrame:
     """First ``n`` rows in key order without moving bodies through one task (L1).
 
     The n-th key is found by a TakeOrdered over the key column only, then a plain
-    filter keeps rows up to it.  Finding the key evaluates ``df`` once more;
-    ``materialize`` checkpoints it first when recomputing it (fetch, decode)
-    costs more than writing it.
+    filter keeps rows before it and, of the rows with that key, as many as are
+    still wanted.  Null keys come first.  ``df`` is checkpointed to the reliable
+    folder, so an expensive input is computed once; ``materialize=False`` leaves
+    that out for a plain scan.
     """
     if n <= 0:
         return df.limit(0)
     if materialize:
         df = df.checkpoint(eager=True)
-    keys = df.select(key).orderBy(key).limit(n)
-    threshold = keys.agg(F.max(key).alias("t")).collect()[0]["t"]
-    if threshold is None:
+    keys = df.select(key).orderBy(F.col(key).asc_nulls_first()).limit(n)
+    found = keys.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("t")).first()
+    if found["n"] < n:
         return df
-    return df.where(F.col(key) <= F.lit(threshold))
+    last = F.lit(found["t"])
+    before = F.lit(False) if found["t"] is None else F.col(key).isNull() | (F.col(key) < last)
+    ahead = df.where(before)
+    return ahead.unionByName(df.where(F.col(key).eqNullSafe(last)).limit(n - ahead.count()))
 
 
 def nul_free(df: DataFrame, col: str = "text") -> DataFrame:

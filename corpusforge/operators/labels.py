@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.split import auto_split
-from corpusforge.plans.joins import join_checked
 
 MAX_CLASSES = 1 << 16
 
@@ -20,7 +19,7 @@ def label_dictionary(df: DataFrame, name: str = "label_name", order: Sequence[st
     """
     spark = df.sparkSession
     if order is None:
-        names = df.select(F.col(name).alias("label_name")).distinct()
+        names = df.select(F.col(name).alias("label_name")).where(F.col("label_name").isNotNull()).distinct()
         n = names.count()
         if n > MAX_CLASSES:
             raise ValueError(f"{n} classes exceed the label dictionary bound {MAX_CLASSES}")
@@ -29,9 +28,9 @@ def label_dictionary(df: DataFrame, name: str = "label_name", order: Sequence[st
 
 
 def encode_labels(df: DataFrame, dictionary: DataFrame, name: str = "label_name") -> DataFrame:
-    """Attach ``label`` = label_id (a dimension join; the dictionary is size-checked)."""
+    """Attach ``label`` = label_id (a dimension join); rows with a null or unknown name stay, with a null label."""
     d = dictionary.select(F.col("label_name").alias(name), F.col("label_id").alias("label"))
-    return join_checked(df, d, [name], "inner", MAX_CLASSES)
+    return df.join(d, [name], "left")
 
 
 def labelled_dataset(df: DataFrame, key: str, text: str, name: str, split_col: str | None = None,
@@ -48,10 +47,10 @@ def labelled_dataset(df: DataFrame, key: str, text: str, name: str, split_col: s
     if split_col is None:
         out = auto_split(out, key, mode=mode)
     else:
-        present = {r["split"] for r in out.select("split").distinct().limit(8).collect()}
-        if "train" not in present:
+        has = out.agg(*(F.bool_or(F.col("split") == s).alias(s) for s in ("train", "validation"))).first()
+        if not has["train"]:
             raise ValueError("a labelled dataset needs a train split")
-        if "validation" not in present:
+        if not has["validation"]:
             train = auto_split(out.where(F.col("split") == "train").drop("split"), key, mode=mode)
-            out = train.unionByName(out.where(F.col("split") != "train"))
+            out = train.unionByName(out.where(~F.col("split").eqNullSafe("train")))
     return out, dictionary

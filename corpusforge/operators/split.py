@@ -64,6 +64,13 @@ def _narrow(df: DataFrame, key: str, seed) -> DataFrame:
     return df.select(row_hash(F.col(key), seed).alias("h"), F.col(key).alias("key")).checkpoint(eager=True)
 
 
+def _unique(narrow: DataFrame) -> None:
+    """Exact counts need every key once: rows of one key cannot be told apart."""
+    twice = narrow.groupBy("key").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"an exact split needs unique keys; {twice[0]['key']!r} occurs {twice[0]['count']} times")
+
+
 def _le(h: F.Column, key: F.Column, th) -> F.Column:
     th_h, th_k = th
     return (h < F.lit(th_h)) | ((h == F.lit(th_h)) & (key <= F.lit(th_k)))
@@ -78,7 +85,11 @@ def holdout(df: DataFrame, key: str, n: int, seed: int = DEFAULT_SEED, name: str
     """
     if materialize:
         df = df.checkpoint(eager=True)
-    th = kth_smallest(_narrow(df, key, seed), n)
+    if n <= 0:
+        return df.withColumn("split", F.lit(rest))
+    narrow = _narrow(df, key, seed)
+    _unique(narrow)
+    th = kth_smallest(narrow, n)
     h = row_hash(F.col(key), seed)
     if th is None:  # n >= row count: everything is held out
         return df.withColumn("split", F.lit(name))
@@ -102,6 +113,7 @@ def auto_split(df: DataFrame, key: str, mode: str = "exact", seed: int = DEFAULT
     if mode != "exact":
         raise ValueError(f"unknown mode {mode!r}")
     narrow = df.select(h1.alias("h"), h2.alias("h2"), F.col(key).alias("key")).checkpoint(eager=True)
+    _unique(narrow)
     n = narrow.count()
     held = math.ceil(n * held_fraction)
     n_test = math.ceil(held / 2)

@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.student_t import t_cdf, t_fit
-from corpusforge.plans.joins import join_checked
 
-MAX_COHORTS = 1_000_000
 # Fixed value from the reference: outlier confidence (p at or below it flags a trial).
 DEFAULT_CONF = 0.15
 
@@ -32,8 +30,8 @@ def latest_per_trial(series: DataFrame) -> DataFrame:
 
 
 def best_trial(series: DataFrame, mode: str = "max") -> DataFrame:
-    """Per cohort the trial whose latest metric is best; ties go to the smaller trial_id."""
-    latest = latest_per_trial(series)
+    """Per cohort the trial whose latest metric is best, among finite ones; ties go to the smaller trial_id."""
+    latest = latest_per_trial(series).where(F.abs("metric") < float("inf"))  # neither null, NaN nor infinite
     if mode == "max":
         key = F.struct(F.col("metric"), -F.col("trial_id"))
     elif mode == "min":
@@ -59,14 +57,14 @@ def common_snapshot(series: DataFrame, roster: DataFrame | None = None) -> DataF
         if "active" in roster.columns:
             roster = roster.where(F.col("active"))
         roster = roster.select("cohort", "trial_id")
-        series = join_checked(series, roster, ["cohort", "trial_id"], "left_semi", MAX_COHORTS)
+        series = series.join(roster, ["cohort", "trial_id"], "left_semi")
     last = series.groupBy("cohort", "trial_id").agg(F.max("t").alias("last_t"))
     if roster is not None:
         last = roster.join(last, ["cohort", "trial_id"], "left")
     x = last.groupBy("cohort").agg(
         F.min("last_t").alias("x"), F.count_if(F.col("last_t").isNull()).alias("waiting")
     ).where(F.col("waiting") == 0).select("cohort", "x")
-    joined = join_checked(series, x, ["cohort"], "inner", MAX_COHORTS)
+    joined = series.join(x, "cohort")
     first = F.min_by(F.struct("t", "metric"), F.struct("t", "seq"))
     return (
         joined.where(F.col("t") >= F.col("x"))
@@ -189,7 +187,7 @@ def final_metrics(log: DataFrame, strict: bool = False) -> DataFrame:
     run needs an evaluation pass.
     """
     last = log.groupBy("run_id").agg(F.max("step").alias("last_step"))
-    at_last = join_checked(log, last, ["run_id"], "inner", MAX_COHORTS).where(F.col("step") == F.col("last_step"))
+    at_last = log.join(last, "run_id").where(F.col("step") == F.col("last_step"))
     agg = at_last.groupBy("run_id", "last_step").agg(
         F.count_if(F.col("train_loss").isNotNull()).alias("n_train"),
         F.count_if(F.col("eval_loss").isNotNull()).alias("n_eval"),

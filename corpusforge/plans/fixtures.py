@@ -220,24 +220,20 @@ SELECT event_type AS cohort, user_id AS trial_id, event_id AS seq, ts AS t, valu
 
 
 # ---------------------------------------------------------------- F-SCORE
-SCORE_WIDTH = 4
-
-
-def scored_predictions(spark: SparkSession, sf_dir: str, width: int = SCORE_WIDTH) -> DataFrame:
-    """Prediction scores: the first ``width`` embedding values; reference = label mod width."""
+def scored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction scores: the whole embedding; reference = label mod its length."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id"),
-        F.transform(F.slice("embedding", 1, width), lambda v: v.cast("double")).alias("scores"),
-        (F.col("label") % width).cast("int").alias("ref"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("scores"),
+        (F.col("label") % F.size("embedding")).cast("int").alias("ref"),
         (F.col("label") % 3).cast("int").alias("grp"),
     )
 
 
-def scored_predictions_sql(width: int = SCORE_WIDTH) -> str:
-    return f"""
-SELECT vec_id, list_transform(embedding[1:{width}], lambda v: CAST(v AS DOUBLE)) AS scores,
-  CAST(label % {width} AS INTEGER) AS ref, CAST(label % 3 AS INTEGER) AS grp
+SCORED_PREDICTIONS_SQL = """
+SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS scores,
+  CAST(label % len(embedding) AS INTEGER) AS ref, CAST(label % 3 AS INTEGER) AS grp
 FROM embeddings
 """
 

@@ -9,8 +9,8 @@ from corpusforge.operators import metrics as M
 from corpusforge.plans import fixtures as fx
 from corpusforge.plans.registry import register
 
-W = fx.SCORE_WIDTH
-_S = {"s": fx.scored_predictions_sql(W)}
+W = 64  # components of an embedding
+_S = {"s": fx.SCORED_PREDICTIONS_SQL}
 
 _SOFT_SQL = """
 sm AS (SELECT vec_id, ref, grp, list_transform(scores, lambda v: exp(v - list_max(scores))) AS e FROM s),
@@ -41,7 +41,7 @@ FROM (
 
 
 def _scores(spark, sf):
-    return fx.scored_predictions(spark, sf, W)
+    return fx.scored_predictions(spark, sf)
 
 
 @register("softmax", "T11", _q(_SOFT_SQL, "SELECT vec_id, list_transform(p, lambda v: round(v, 6)) AS probs FROM p"))
