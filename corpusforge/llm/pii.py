@@ -366,7 +366,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         return pd.Series(out)
 
     rows = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("learn")).alias("h"), text.alias("t"))
-    few = rows.orderBy("h", F.md5("t")).limit(sample).select(taken("t").alias("places")).collect()
+    # only hashes are ordered; then one row of each hash up to the bound is looked at
+    bound = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if bound is None:
+        return train([])
+    few = rows.where(F.col("h") <= bound).groupBy("h").agg(F.min("t").alias("t")).select(taken("t").alias("places")).collect()
     found = []
     for r in few:
         for place in r["places"]:
