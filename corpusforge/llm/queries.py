@@ -64,7 +64,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col(f"`{name[c]}`").alias(c) for c in wanted))
 
 
-@query("op9_url_filter")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _place_sql(url: str) -> str:
+    """host and path of a URL expression."""
+    return rf"""coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+    coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path"""
+
+
+def _node_sql(url: str) -> str:
+    return rf"""CASE WHEN contains({url}, '://') THEN lower(regexp_extract({url}, '(?s)^(.*?)://', 1)) || '://'
+    || translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"""
+
+
+# rules by suffix and prefix; links to canonical and refresh targets; what each node reaches over them, to and fro
+URL_FILTER_SQL = rf"""
+WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+pg AS (SELECT page_id, {_node_sql("url")} AS node, {_place_sql("url")} FROM pages),
+targets AS (
+  SELECT url, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM pages
+  UNION ALL
+  SELECT url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\bcontent\s*=\s*["'']?\s*\d+\s*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages),
+whole AS (
+  SELECT url, replace(CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t WHEN contains(t, '://') THEN t END, '&amp;', '&') AS t
+  FROM targets WHERE t <> ''),
+links AS (SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM whole),
+both_ways AS (SELECT a, b FROM links WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM links WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+places AS (SELECT host, path FROM pg UNION SELECT host, path FROM (SELECT {_place_sql("b")} FROM reach)),
+ruled AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path),
+spread AS (
+  SELECT a, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked
+  FROM (SELECT a, {_place_sql("b")} FROM reach) JOIN ruled USING (host, path) GROUP BY a)
+SELECT page_id, pg.host, pg.path, ruled.rule, coalesce(ruled.verdict, CASE WHEN spread.blocked THEN 'block' END, 'allow') AS verdict
+FROM pg LEFT JOIN ruled ON pg.host = ruled.host AND pg.path = ruled.path LEFT JOIN spread ON pg.node = spread.a
+"""
+
+
+@query("op9_url_filter", URL_FILTER_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm.url_filter import html_links, judge_urls
 

@@ -73,3 +73,15 @@ def test_blocks_spread_over_redirects_and_canonical_links(spark):
     out = judge_urls(spark, without, rules, html_links(without)).collect()
     assert {r.page_id: r.verdict for r in out} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", None: "allow"}
     assert judge_urls(spark, pages.limit(0), rules, html_links(pages.limit(0))).count() == 0
+
+
+def test_query_matches_its_sql(spark):
+    import duckdb
+
+    from corpusforge.llm.queries import QUERIES, URL_FILTER_SQL
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op9_url_filter"](spark, folder).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert [x for x in got if x[3]] and got == sorted(con.execute(URL_FILTER_SQL).fetchall())
