@@ -1,21 +1,25 @@
 """Trial-series triage.
 
 A series table is (cohort, trial_id, seq, t, metric).  Every step is a
-partial-merging aggregate keyed by cohort or (cohort, trial); the per-cohort
-snapshot time is joined back after a size check.  Only the Student t fit runs
-in Python: one grouped Arrow call per cohort over one value per trial.
+partial-merging aggregate keyed by cohort or (cohort, trial), also those of the
+Student t fit; its parameters, a few numbers for each cohort, are followed on the
+driver, and only the distribution function of the values runs in Python (Arrow).
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.functions.student_t import t_cdf, t_fit
+from corpusforge.functions.student_t import t_cdf
+
+log = logging.getLogger(__name__)
 
 # Fixed value from the reference: outlier confidence (p at or below it flags a trial).
 DEFAULT_CONF = 0.15
@@ -74,98 +78,92 @@ def common_snapshot(series: DataFrame, roster: DataFrame | None = None) -> DataF
     )
 
 
-def _flag_cohort(mode: str, conf: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = t_fit(pdf["metric"].tolist())
-        if fit is None:
-            p = [None] * len(pdf)
-        else:
-            df_, loc, scale = fit
-            p = [t_cdf(v, df_, loc, scale) for v in pdf["metric"]]
-            if mode == "min":
-                p = [1.0 - v for v in p]
-        out = pdf[["cohort", "trial_id", "metric"]].copy()
-        out["p"] = p
-        out["outlier"] = [v is not None and v <= conf for v in p]
-        return out
-
-    return run
+#: Degrees of freedom tried at a time, their range, and how often the range is narrowed to the best one's neighbours.
+GRID, NU_RANGE, ROUNDS = 8, (0.05, 1e6), 4
+#: Steps of a round at most, and the relative change at which it ends.
+STEPS, SETTLED = 15, 1e-4
 
 
-_FLAGS = "cohort string, trial_id long, metric double, p double, outlier boolean"
-# log-spaced degrees of freedom searched by the distributed fit
-NU_GRID = [math.exp(math.log(0.1) + i * (math.log(1e4) - math.log(0.1)) / 47) for i in range(48)]
+def _fit_cohorts(rows: DataFrame) -> DataFrame:
+    """(cohort, nu, loc, scale): maximum-likelihood Student t of each cohort's values.
 
-
-def flag_outliers(series: DataFrame, mode: str = "max", conf: float = DEFAULT_CONF,
-                  roster: DataFrame | None = None, max_in_task: int = 200_000) -> DataFrame:
-    """(cohort, trial_id, metric, p, outlier): fit Student t on the snapshot values of each cohort.
-
-    A cohort of up to ``max_in_task`` trials is fitted in one grouped Arrow call
-    (one value per trial).  Larger cohorts are fitted by distributed EM: each
-    iteration is one partial aggregate over the cohort's rows for every grid
-    value of the degrees of freedom at once, so no task holds a whole cohort.
+    For every cohort a grid of degrees of freedom is followed at once.  One step is one
+    aggregate over the rows, three sums for each grid value, merged before the shuffle, so a
+    cohort of any size is spread over all tasks; the steps are those of the parameter-expanded
+    EM (Kent, Tyler and Vardi, 1994).  After each round the grid is narrowed to the
+    neighbours of the likeliest value.  Cohorts with fewer than 3 values or without spread have no fit.
     """
-    snap = common_snapshot(series, roster).select("cohort", "trial_id", "metric").checkpoint(eager=True)
-    sizes = snap.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
-    big = [r["cohort"] for r in sizes.where(F.col("n") > max_in_task).select("cohort").collect()]
-    small = snap.where(~F.col("cohort").isin(big)) if big else snap
-    out = small.groupBy("cohort").applyInPandas(_flag_cohort(mode, conf), _FLAGS)
-    if big:
-        out = out.unionByName(_flag_distributed(snap.where(F.col("cohort").isin(big)), mode, conf))
-    return out
+    spark = rows.sparkSession
+    start = rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.avg("metric").alias("mu"), F.stddev_pop("metric").alias("sd")).where("n >= 3 and sd > 0").collect()
+    fits = "cohort string, nu double, loc double, scale double"
+    if not start:
+        return spark.createDataFrame([], fits)
+    names = [r["cohort"] for r in start]
+    n = np.array([r["n"] for r in start], float)[:, None]
+    mu, sd = (np.repeat(np.array([r[c] for r in start], float)[:, None], GRID, axis=1) for c in ("mu", "sd"))
+    low, high = (np.full(len(names), math.log(v)) for v in NU_RANGE)
+    spread = sd.copy()
+    y = F.col("metric")
+
+    def sums(*terms) -> list[np.ndarray]:
+        """Sums over each cohort's rows of the terms of every grid value."""
+        given = [(c, *(x.tolist() for x in (nu[k], mu[k], sd[k]))) for k, c in enumerate(names)]
+        given = spark.createDataFrame(given, "cohort string, nu array<double>, mu array<double>, sd array<double>")
+        joined = rows.join(given, "cohort")
+        aggregates = []
+        for g in range(GRID):
+            z2 = ((y - F.col("mu")[g]) / F.col("sd")[g]) ** 2
+            aggregates += [F.sum(term(F.col("nu")[g], z2)) for term in terms]
+        found = {r[0]: r[1:] for r in joined.groupBy("cohort").agg(*aggregates).collect()}
+        out = np.array([found[c] for c in names], float).reshape(len(names), GRID, len(terms))
+        return [out[:, :, k] for k in range(len(terms))]
+
+    def weight(nu_, z2):
+        return (nu_ + 1) / (nu_ + z2)
+
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    at = np.arange(len(names))
+    for _round in range(ROUNDS):
+        log_nu = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, GRID)[None, :]
+        nu = np.exp(log_nu)
+        for _ in range(STEPS):
+            s0, s1, s2 = sums(weight, lambda v, z: weight(v, z) * y, lambda v, z: weight(v, z) * y * y)
+            new_mu = s1 / s0
+            new_sd = np.sqrt(np.maximum(s2 - new_mu * s1, 1e-300) / s0)
+            alive = new_sd > 1e-6 * spread  # else the likelihood grows without bound around a repeated value
+            moved = np.where(alive, np.maximum(np.abs(new_mu - mu) / sd, np.abs(new_sd / sd - 1)), 0).max()
+            mu, sd = new_mu, new_sd
+            if moved < SETTLED:
+                break
+        else:
+            log.info("round %d of the fit still moved by %g after %d steps", _round, moved, STEPS)
+        (tails,) = sums(lambda v, z: F.log1p(z / v))
+        likely = n * (lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(nu * math.pi) - np.log(sd)) - (nu + 1) / 2 * tails
+        # a scale that shrinks onto one value has unbounded likelihood and is no fit
+        best = np.where(sd > 1e-6 * spread, likely, -np.inf).argmax(axis=1)
+        low, high = log_nu[at, np.maximum(best - 1, 0)], log_nu[at, np.minimum(best + 1, GRID - 1)]
+        result = [(c, float(nu[k, b]), float(mu[k, b]), float(sd[k, b])) for k, (c, b) in enumerate(zip(names, best, strict=True))]
+        mu, sd = (np.repeat(x[at, best][:, None], GRID, axis=1) for x in (mu, sd))
+    return spark.createDataFrame(result, fits)
 
 
 @F.pandas_udf(T.DoubleType())
 def _t_cdf_udf(x: pd.Series, nu: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
-    return pd.Series([None if n is None or math.isnan(n) else t_cdf(v, n, m, s) for v, n, m, s in zip(x, nu, loc, scale)])
+    p = pd.Series(t_cdf(x, nu, loc, scale))
+    return p.where(p.notna(), None)
 
 
-def _flag_distributed(rows: DataFrame, mode: str, conf: float, iters: int = 120, tol: float = 1e-9) -> DataFrame:
-    spark = rows.sparkSession
-    init = rows.groupBy("cohort").agg(F.avg("metric").alias("mu"), F.stddev_pop("metric").alias("sd")).collect()
-    params = {(r["cohort"], g): (r["mu"], r["sd"] or 0.0) for r in init for g in range(len(NU_GRID))}
-    live = {k for k, v in params.items() if v[1] > 0}
-
-    def with_params(keys):
-        p = spark.createDataFrame([(c, g, NU_GRID[g], *params[(c, g)]) for c, g in keys],
-                                  "cohort string, g int, nu double, mu double, sigma double")
-        return rows.join(F.broadcast(p), "cohort")  # bounded: (#large cohorts) x grid rows
+def flag_outliers(series: DataFrame, mode: str = "max", conf: float = DEFAULT_CONF,
+                  roster: DataFrame | None = None) -> DataFrame:
+    """(cohort, trial_id, metric, p, outlier): fit Student t on the finite snapshot values of each cohort.
 
-    y = F.col("metric")
-    for _ in range(iters):
-        if not live:
-            break
-        j = with_params(sorted(live))
-        z2 = ((y - F.col("mu")) / F.col("sigma")) ** 2
-        w = (F.col("nu") + 1) / (F.col("nu") + z2)
-        agg = j.groupBy("cohort", "g").agg(F.sum(w).alias("s0"), F.sum(w * y).alias("s1"), F.sum(w * y * y).alias("s2"),
-                                           F.count(F.lit(1)).alias("n")).collect()
-        for r in agg:
-            key = (r["cohort"], r["g"])
-            mu_old, sd_old = params[key]
-            mu = r["s1"] / r["s0"]
-            var = max((r["s2"] - 2 * mu * r["s1"] + mu * mu * r["s0"]) / r["n"], 1e-300)
-            params[key] = (mu, math.sqrt(var))
-            if abs(mu - mu_old) <= tol * (1 + abs(mu_old)) and abs(math.sqrt(var) - sd_old) <= tol * sd_old:
-                live.discard(key)
-    keys = sorted(k for k, v in params.items() if v[1] > 0)
-    best: dict[str, tuple[float, float, float, float]] = {}
-    if keys:
-        j = with_params(keys)
-        z2 = ((y - F.col("mu")) / F.col("sigma")) ** 2
-        sums = j.groupBy("cohort", "g").agg(F.sum(F.log1p(z2 / F.col("nu"))).alias("q"), F.count(F.lit(1)).alias("n")).collect()
-        for r in sums:
-            nu = NU_GRID[r["g"]]
-            mu, sd = params[(r["cohort"], r["g"])]
-            ll = r["n"] * (math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(sd)) \
-                - (nu + 1) / 2 * r["q"]
-            if r["cohort"] not in best or ll > best[r["cohort"]][0]:
-                best[r["cohort"]] = (ll, nu, mu, sd)
-    fits = spark.createDataFrame([(c, v[1], v[2], v[3]) for c, v in best.items()] or [("", None, None, None)],
-                                 "cohort string, nu double, loc double, scale double")
-    scored = rows.join(F.broadcast(fits), "cohort", "left")
-    p = _t_cdf_udf(F.col("metric"), F.col("nu"), F.col("loc"), F.col("scale"))
+    Values without a fit, and values that are not finite, have a null p and are no outliers.
+    """
+    snap = common_snapshot(series, roster).select("cohort", "trial_id", "metric").checkpoint(eager=True)
+    finite = F.abs("metric") < float("inf")
+    fits = _fit_cohorts(snap.where(finite).select(F.col("cohort").cast("string").alias("cohort"), "metric"))
+    scored = snap.join(fits, snap["cohort"].cast("string") == fits["cohort"], "left").drop(fits["cohort"])
+    p = _t_cdf_udf(F.when(finite, F.col("metric")), F.col("nu"), F.col("loc"), F.col("scale"))
     p = (F.lit(1.0) - p) if mode == "min" else p
     return scored.select("cohort", "trial_id", "metric", p.alias("p")).withColumn(
         "outlier", F.coalesce(F.col("p") <= F.lit(conf), F.lit(False))

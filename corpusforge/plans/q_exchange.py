@@ -90,3 +90,16 @@ FROM x WHERE {_COMPLETE} AND regexp_matches(substr(res_body, 1, 1445), '{SNIFF_R
 @register("exchange_projection", "C2 B2 B3 B7 B8 B9 T1", _GROUPS + _PROJECTION_BODY)
 def q_exchange_projection(spark, sf):
     return X.html_exchange_dataset(_records(spark, sf), on_unpaired="drop")
+
+
+@register(
+    "exchange_exact",
+    "J1 (records in file order)",
+    _GROUPS + f"SELECT file, uri, generation, req_ordinal, res_ordinal, meta_ordinal FROM x WHERE {_COMPLETE}",
+)
+def q_exchange_exact(spark, sf):
+    """The form an archive scan takes: whole files in order in each partition, paired without a further shuffle."""
+    records = _records(spark, sf).repartition("file").sortWithinPartitions("file", "ordinal")
+    ex = X.assemble_exchanges(records, on_unpaired="drop", in_order=True)
+    return ex.select("file", "uri", F.col("generation").cast("int").alias("generation"), F.col("request.ordinal").alias("req_ordinal"),
+                     F.col("response.ordinal").alias("res_ordinal"), F.col("metadata.ordinal").alias("meta_ordinal"))

@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -35,18 +35,31 @@ def _stream_dir(spark: SparkSession, name: str) -> str:
 
 
 def run_available_now(sdf: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a streaming frame over everything available into a memory table and return it."""
+    """Run a streaming frame over everything available into a Parquet table under the checkpoint folder and return it.
+
+    Each micro-batch overwrites its own folder, so a retry repeats nothing; in ``complete`` mode the
+    newest batch is the table.
+    """
     spark = sdf.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
+    root = _stream_dir(spark, name)
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/table/epoch={epoch}")
+
     q = (
-        sdf.writeStream.format("memory").queryName(table).outputMode(output_mode)
-        .option("checkpointLocation", _stream_dir(spark, name))
+        sdf.writeStream.foreachBatch(store).outputMode(output_mode)
+        .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.table(table)
+    epochs = _committed_epochs(spark, f"{root}/table")
+    if output_mode == "complete":
+        epochs = epochs[-1:]
+    if not epochs:
+        return spark.createDataFrame([], sdf.schema)
+    return spark.read.schema(sdf.schema).parquet(*(f"{root}/table/epoch={e}" for e in epochs))
 
 
 # ------------------------------------------------------------------ W1
@@ -76,6 +89,8 @@ def _pair_records(timeout_ms: int | None):
             (gen, *vals) = state.get
             slots = dict(zip([f"{p}_{f}" for p, _ in _SLOTS for f in _FIELDS], vals))
             state.remove()
+            if all(slots[f"{p}_ordinal"] is None for p, _ in _SLOTS):
+                return
             yield pd.DataFrame([{"file": file, "uri": uri, "generation": gen + 1, "status": "unpaired", **slots}])
             return
         if state.exists:
@@ -96,12 +111,11 @@ def _pair_records(timeout_ms: int | None):
                 gen += 1
                 out.append({"file": file, "uri": uri, "generation": gen, "status": "complete", **slots})
                 slots = _empty_slots()
-        if any(slots[f"{p}_ordinal"] is not None for p, _ in _SLOTS):
+        # the generation counter stays in state until the timeout, so a later batch goes on with it
+        if gen or any(slots[f"{p}_ordinal"] is not None for p, _ in _SLOTS):
             state.update((gen, *[slots[f"{p}_{f}"] for p, _ in _SLOTS for f in _FIELDS]))
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
-            state.remove()
         if out:
             yield pd.DataFrame(out)
 
@@ -170,17 +184,22 @@ class TrialMonitor:
     def flags(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/flags")
 
+    def _no_decrease(self, rows: DataFrame) -> None:
+        bad = rows.where(F.col("t") < F.col("prev_t")).limit(1).collect()
+        if bad:
+            raise ValueError(f"time decreased for trial {bad[0]['trial_id']} in cohort {bad[0]['cohort']}")
+
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         cols = ["cohort", "trial_id", "seq", "t", "metric"]
         new = batch.select(*cols)
+        back = F.lag("t").over(Window.partitionBy("cohort", "trial_id").orderBy("seq"))
+        self._no_decrease(new.withColumn("prev_t", back))
         prev = self.state(before=epoch)
         removed = self._removed(before=epoch)
         if prev is not None:
             new = new.join(removed, ["cohort", "trial_id"], "left_anti")
             last = prev.groupBy("cohort", "trial_id").agg(F.max("t").alias("prev_t"))
-            bad = new.join(last, ["cohort", "trial_id"]).where(F.col("t") < F.col("prev_t")).limit(1).collect()
-            if bad:
-                raise ValueError(f"time decreased for trial {bad[0]['trial_id']} in cohort {bad[0]['cohort']}")
+            self._no_decrease(new.join(last, ["cohort", "trial_id"]))
             series = prev.unionByName(new)
         else:
             series = new

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,18 +177,38 @@ def test_final_metrics_status(spark):
     assert got == {1: ("ok", "ok", 0.7), 2: ("ok", "missing", None), 3: ("ambiguous", "missing", None)}
 
 
-def test_distributed_t_fit_agrees_with_in_task_fit(spark):
-    from corpusforge.plans import fixtures as fx
-    from tests.conftest import SF_SMALL
-
-    series = fx.trial_series(spark, SF_SMALL)
-    local = {(r["cohort"], r["trial_id"]): (r["p"], r["outlier"]) for r in TR.flag_outliers(series).collect()}
-    dist = {(r["cohort"], r["trial_id"]): (r["p"], r["outlier"]) for r in TR.flag_outliers(series, max_in_task=10).collect()}
-    assert local.keys() == dist.keys()
-    close = sum(1 for k in local if local[k][0] is not None and abs(local[k][0] - dist[k][0]) < 0.02)
-    assert close >= 0.95 * len(local)
-    same = sum(1 for k in local if local[k][1] == dist[k][1])
-    assert same >= 0.95 * len(local)
+def fitted(values):
+    """Maximum likelihood by a fine scan of the degrees of freedom, for comparison."""
+    y = np.array(values)
+
+    def profile(nu):
+        mu, sd = np.median(y), y.std()
+        for _ in range(500):
+            w = (nu + 1) / (nu + ((y - mu) / sd) ** 2)
+            mu = (w * y).sum() / w.sum()
+            sd = math.sqrt((w * (y - mu) ** 2).sum() / len(y))
+        z = (y - mu) / sd
+        one = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(sd)
+        return len(y) * one - (nu + 1) / 2 * np.log1p(z * z / nu).sum(), mu, sd
+
+    best = max(np.exp(np.linspace(math.log(0.05), math.log(1e6), 400)), key=lambda nu: profile(nu)[0])
+    return best, *profile(best)[1:]
+
+
+def test_t_fit_is_the_likeliest_at_any_size(spark):
+    rng = np.random.default_rng(8)
+    cohorts = {"heavy": rng.standard_t(2.5, 60) * 3 + 5, "light": rng.normal(1, 0.1, 300), "few": np.array([1.0, 2.0, 4.0])}
+    rows = [(c, k, k, 1.0, float(v)) for c, vs in cohorts.items() for k, v in enumerate(vs)]
+    rows += [("two", 1, 1, 1.0, 1.0), ("two", 2, 2, 1.0, 2.0), ("flat", 1, 1, 1.0, 3.0), ("flat", 2, 2, 1.0, 3.0), ("flat", 3, 3, 1.0, 3.0), ("heavy", 99, 1, 1.0, float("nan"))]
+    series = spark.createDataFrame(rows, "cohort string, trial_id long, seq long, t double, metric double")
+    got = {(r.cohort, r.trial_id): r for r in TR.flag_outliers(series).collect()}
+    assert len(got) == len(rows)
+    for c in ("heavy", "light"):
+        want = t_cdf(cohorts[c], *fitted(cohorts[c]))
+        for k, p in enumerate(want):
+            assert abs(got[c, k].p - p) < 2e-3
+            assert got[c, k].outlier == (got[c, k].p <= 0.15)
+    assert got["heavy", 99].p is None and got["two", 1].p is None and not got["flat", 2].outlier
 
 
 def test_one_hot(spark):

@@ -73,7 +73,9 @@ def test_trial_monitor_is_idempotent_and_resumes(spark):
     mon(batch, 0)
     mon(batch.limit(0), 1)
     mon(batch.limit(0), 1)  # a retried epoch rewrites the same folders
-    assert mon.flags().count() == 2 * 4
+    # the trials that the first epoch flags are gone in the second
+    flagged = mon.flags().where("epoch = 0 and outlier").count()
+    assert flagged < 4 and mon.flags().count() == 4 + (4 - flagged)
     again = W.TrialMonitor(spark, root=mon.root)  # a restarted driver resumes from the files
     assert again.state().count() == mon.state().count()
 
