@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 
 def fit_text_classifier(train: DataFrame, tokens: str = "tokens", label: str = "label",
-                        vocab_size: int = 1 << 16, max_iter: int = 50, reg: float = 0.01) -> PipelineModel:
-    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=2.0)
+                        vocab_size: int = 1 << 20, max_iter: int = 50, reg: float = 0.01) -> PipelineModel:
+    """One feature for each piece of the training rows; ``vocab_size`` bounds them far above any learned vocabulary."""
+    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=1.0)
     lr = LogisticRegression(featuresCol="_tf", labelCol=label, family="multinomial", maxIter=max_iter, regParam=reg)
     return Pipeline(stages=[cv, lr]).fit(train.select(tokens, F.col(label).cast("double").alias(label)))
 

@@ -47,7 +47,8 @@ def trim_calibration(docs: DataFrame, raw_avg: float, seq_len: int, q: float = 0
     """Smallest multiplier that keeps the first ``seq_len`` word tokens for a ``q`` share of documents.
 
     Per document the needed characters are those of its first ``seq_len`` words;
-    the quantile is ``percentile_approx`` (bounded memory, exact below ``accuracy`` rows).
+    the quantile is ``percentile_approx``: bounded memory, and a rank off by at most one
+    part in ``accuracy`` of the rows.
     """
     first = F.array_join(F.slice(F.split(F.col(text), " "), 1, seq_len), " ")
     ratio = F.length(first).cast("double") / F.lit(seq_len * raw_avg)

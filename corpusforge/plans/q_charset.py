@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.functions.charset import decode_score, detect_charsets, resolve_text, winning_detector
-from corpusforge.functions.html import content_type_charset
+from corpusforge.functions.charset import decode_score, detect_charsets, resolve_text
+from corpusforge.operators.charset_study import charset_study
 from corpusforge.plans import fixtures as fx
 from corpusforge.plans.registry import register
 
@@ -51,8 +51,9 @@ FROM p)
 @register("charset_resolve", "T1 T3 T4", _RESOLVED + "SELECT page_id, charset, CAST(n_chars AS INTEGER) AS n_chars, CAST(-n_chars AS DOUBLE) AS score FROM r")
 def q_charset_resolve(spark, sf):
     p = _pages(spark, sf)
-    r = resolve_text(F.col("body"), F.col("content_type"))
-    return p.select("page_id", r["charset"].alias("charset"), F.length(r["text"]).alias("n_chars"), r["score"].alias("score"))
+    # the struct is bound once, so the decode runs once for each row
+    r = p.select("page_id", resolve_text(F.col("body"), F.col("content_type")).alias("r"))
+    return r.select("page_id", "r.charset", F.length("r.text").alias("n_chars"), "r.score")
 
 
 @register(
@@ -77,12 +78,5 @@ FROM r JOIN p USING (page_id) GROUP BY ALL""",
 )
 def q_charset_study(spark, sf):
     p = _pages(spark, sf)
-    r = resolve_text(F.col("body"), F.col("content_type"))
-    study = p.select(
-        r["charset"].alias("charset"), r["score"].alias("score"), F.octet_length("body").alias("bytes"),
-        content_type_charset(F.col("content_type")).alias("declared"), "body", "content_type",
-    ).select("charset", "score", "bytes", "declared",
-             winning_detector(F.col("body"), F.col("charset"), F.col("content_type")).alias("detector"))
-    return study.groupBy("charset", "detector", "declared").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.avg("bytes"), 6).alias("avg_bytes")
-    )
+    study = charset_study(p)
+    return study.withColumns({"avg_score": F.round("avg_score", 6), "avg_bytes": F.round("avg_bytes", 6)})
