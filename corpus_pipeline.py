@@ -18,8 +18,8 @@ from corpusforge.session import prepare
 #: Trained networks and merge vocabularies: the rows of the last stage cannot be expressed in SQL.
 ORACLE_SQL = None
 
-#: A document whose best language has less than this mean probability is rejected.
-LEAST_SCORE = 0.4
+#: A document whose best language has less than this mean probability is rejected (short clean ones come down to 0.37).
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import written
 
-#: Measured with these against brute force: recall@5 of 0.94 to 0.98 on the test tables of 500 to 51,000 vectors.
+#: Measured with these against brute force: recall@5 of 0.94 on 500 vectors, 0.97 on 2,000, 0.99 on 10,256 and on 51,282;
+#: a query is compared with half of all rows then, as the test vectors are close to random.
 TABLES, PROBES, SEED = 8, 12, 20240501
 #: Rows and queries of a block.
 BLOCK, QUERY_BLOCK = 2048, 1024
