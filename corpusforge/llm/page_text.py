@@ -12,9 +12,11 @@ header, footer, sidebar, notice, advert, form or comments are frame whatever the
 blocks of an ``article`` or ``main`` element stay even if the neighbour repeats them (copies of an
 article are articles), and with such an element nothing outside it is main text.
 
-Pages are dealt out by host and, within large hosts, by shards of about ``SHARD_PAGES`` pages and
-``SHARD_BYTES`` bytes drawn by hash, so a host with a third of all pages is spread over many tasks;
-inside a task rows stream in order, and two pages and a run of copies are held at a time.
+Pages in order of host, path, URL, id and hash are cut into contiguous runs of about the same weight,
+so a host with a third of all pages is spread over many tasks.  A first pass, without the html in its
+shuffle, finds where runs start and the nearest pages outside each run that are no copies of its ends;
+these are handed to the run as well, so cuts change no text.  Inside a task rows stream in order, and
+two pages and a run of copies are held at a time.
 
 Null html is empty and gives an empty text; null URLs share an empty host.  Rows with null ids and
 repeated rows give their own rows.  Only the id, URL and html columns are read, so further columns
@@ -23,17 +25,22 @@ cannot clash; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType, StringType
 
 from corpusforge.llm.common import written
 from corpusforge.llm.url_filter import host_of, path_of
 
-SHARD_PAGES, SHARD_BYTES = 256, 4 << 20
+#: Runs for each shuffle partition.
+RUNS = 4
 
 # fixed values of the HTML standard: elements without content, with raw text, and inside a line of text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,10 +219,10 @@ def _agreeing(a: str, b: str) -> int:
 
 
 class _Page:
-    __slots__ = ("page_id", "url", "group", "path", "lines", "places")
+    __slots__ = ("page_id", "url", "group", "path", "own", "lines", "places")
 
-    def __init__(self, page_id, url, group, path, source):
-        self.page_id, self.url, self.group, self.path = page_id, url, group, path
+    def __init__(self, page_id, url, group, path, own, source):
+        self.page_id, self.url, self.group, self.path, self.own = page_id, url, group, path, own
         found = blocks(source)
         self.lines, self.places = [x for x, _ in found], [p for _, p in found]
 
@@ -229,16 +236,105 @@ class _Page:
         return self.page_id, self.url, text, len(text), len(self.lines), len(shared)
 
 
+_KEY = ["_host", "_path", "_url", "_order", "_hash"]
+
+
+def _sortable(key: tuple) -> tuple:
+    """Orders as Spark does: nulls first."""
+    return tuple((x is not None, x) for x in key)
+
+
+def _cuts(slim: DataFrame, tasks: int) -> list[dict]:
+    """The runs in order: first and last key, lines of both, and the keys next to the first and last run of copies inside."""
+    total = slim.agg(F.count("*").alias("n"), F.sum("_chars").alias("chars")).first()
+    if not total["n"]:
+        return []
+    # half by pages, half by characters
+    page = max(total["chars"] / total["n"], 1.0)
+    most = 2 * page * total["n"] / (RUNS * tasks)
+    order = slim.schema["_order"].dataType
+    key = pa.struct([("_host", pa.string()), ("_path", pa.string()), ("_url", pa.string()), ("_order", to_arrow_type(order)), ("_hash", pa.int64())])
+    kinds = {"first": key, "head": pa.binary(), "after": key, "last": key, "tail": pa.binary(), "ahead": key}
+
+    def summed(batches):
+        now, weight = None, 0.0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own, lines = {k: row[k] for k in _KEY}, row["_lines"]
+                if now is not None and weight + page + row["_chars"] > most and own != now["last"]:
+                    out.append(now)
+                    now = None
+                if now is None:
+                    now, weight = {"first": own, "head": lines, "after": None, "last": own, "tail": lines, "ahead": None}, 0.0
+                weight += page + row["_chars"]
+                if (own["_host"], lines) != (now["last"]["_host"], now["tail"]):
+                    now["after"] = now["after"] or own
+                    now["ahead"] = now["last"]
+                now["last"], now["tail"] = own, lines
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([now], pa.schema(kinds))
+
+    struct = f"struct<_host string, _path string, _url string, _order {order.simpleString()}, _hash long>"
+    ranged = slim.repartitionByRange(tasks, *_KEY).sortWithinPartitions(*_KEY)
+    found = ranged.mapInArrow(summed, f"first {struct}, head binary, after {struct}, last {struct}, tail binary, ahead {struct}")
+    rows = [r.asDict() for r in found.collect()]  # bounded: a few for each partition
+    return sorted(rows, key=lambda r: _sortable(r["first"]))
+
+
+def _borders(runs: list[dict]) -> dict[tuple, list[int]]:
+    """Keys of pages that are handed to further runs, and these runs."""
+    out: dict[tuple, list[int]] = {}
+    for step, near, near_lines, far, far_lines, inside in ((1, "first", "head", "last", "tail", "ahead"), (-1, "last", "tail", "first", "head", "after")):
+        known = None  # the border of the run passed last
+        passed = None
+        for k in range(len(runs))[::step]:
+            own, border = runs[k], None
+            if passed is not None:
+                if (passed[far][0], passed[far_lines]) != (own[near][0], own[near_lines]):
+                    border = passed[far]
+                else:  # copies go on beyond the cut, perhaps over whole runs
+                    border = passed[inside] or known
+                if border is not None and border[0] != own[near][0]:
+                    border = None
+            if border is not None:
+                out.setdefault(tuple(border), []).append(k)
+            known, passed = border, own
+    return out
+
+
 def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: the id, url, text, n_chars, and of the method n_lines and n_shared (lines that the neighbour has too)."""
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), url.alias("_url"), F.col(f"`{html_col}`").cast("string").alias("_html"), host_of(url).alias("_host"), path_of(url).alias("_path"))
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.length("_html")).alias("chars"))
-    shards = F.greatest(F.ceil(F.col("n") / SHARD_PAGES), F.ceil(F.coalesce("chars", F.lit(0)) / SHARD_BYTES)).cast("int")
-    large = written(spark, sizes.select(F.col("_host"), shards.alias("_shards")).where("_shards > 1"))
-    shard = F.pmod(F.xxhash64("_path", "_id"), F.coalesce("_shards", F.lit(1))).cast("int")
-    dealt = rows.join(large, "_host", "left").withColumn("_shard", shard).drop("_shards")
-    ordered = dealt.repartition("_host", "_shard").sortWithinPartitions("_host", "_shard", "_path", "_url", "_id")
+    # pages of one URL are ordered by id, and pages of one id by their html
+    order = F.col("_id") if isinstance(rows.schema["_id"].dataType, (IntegralType, StringType)) else F.col("_id").cast("string")
+    rows = rows.withColumn("_order", order).withColumn("_hash", F.xxhash64("_html"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def digest(batches):
+        for batch in batches:
+            found = [hashlib.blake2b("\n".join(x for x, _ in blocks(t.as_py())).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], names=[*batch.schema.names[1:], "_lines"])
+
+    slim = rows.select("_html", *_KEY, F.coalesce(F.length("_html"), F.lit(0)).cast("long").alias("_chars"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
+    runs = _cuts(written(spark, slim.mapInArrow(digest, f"{kinds}, _lines binary")), tasks)
+    starts = [_sortable(r["first"]) for r in runs]
+    borders = _borders(runs)
+
+    @F.arrow_udf("array<int>")
+    def dealt(host: pa.Array, path: pa.Array, url: pa.Array, order: pa.Array, hash: pa.Array) -> pa.Array:
+        out = []
+        for key in zip(*(x.to_pylist() for x in (host, path, url, order, hash)), strict=True):
+            out.append([max(bisect_right(starts, _sortable(key)) - 1, 0), *borders.get(key, ())])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    # a page's own run comes first
+    spread = rows.withColumn("_runs", dealt(*_KEY)).select("*", F.posexplode("_runs").alias("_place", "_run"))
+    ordered = spread.repartitionById(tasks, F.col("_run") % tasks).sortWithinPartitions("_run", *_KEY)
 
     def run(batches):
         before = None
@@ -253,10 +349,10 @@ def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for page_id, url_, source, host, path, shard_ in zip(*(batch.column(k) for k in range(6)), strict=True):
-                behind = _Page(page_id.as_py(), url_.as_py(), (host.as_py(), shard_.as_py()), path.as_py(), source.as_py())
+            for page_id, url_, source, host, path, run_, place in zip(*(batch.column(k) for k in range(7)), strict=True):
+                behind = _Page(page_id.as_py(), url_.as_py(), (host.as_py(), run_.as_py()), path.as_py(), place.as_py() == 0, source.as_py())
                 if copies and (behind.group != copies[0].group or behind.lines != copies[0].lines):
-                    out += [p.row(before, behind) for p in copies]
+                    out += [p.row(before, behind) for p in copies if p.own]
                     before = copies[-1]
                     copies = []
                 if copies:
@@ -265,9 +361,9 @@ def main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
             yield batch_of()
             out.clear()
         if copies:
-            out += [p.row(before, None) for p in copies]
+            out += [p.row(before, None) for p in copies if p.own]
             yield batch_of()
 
-    ordered = ordered.select("_id", "_url", "_html", "_host", "_path", "_shard")
+    ordered = ordered.select("_id", "_url", "_html", "_host", "_path", "_run", "_place")
     out = ordered.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _url string, text string, n_chars long, n_lines long, n_shared long")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -79,6 +79,35 @@ def test_frame_is_found_by_the_neighbour(spark):
     assert main_text(spark, pages.limit(0)).count() == 0
 
 
+def test_cuts_change_no_text(spark):
+    """A host of 1,500 pages without article or main: every page is set against its nearest URL, over all cuts and runs of copies."""
+    rows = []
+    for section in range(300):
+        menu = "".join(f"<li>section {section} item {k}</li>" for k in range(3))
+        for k in range(5):
+            rows.append((5 * section + k, f"http://hot.example/s{section:03d}/p{k}", f"<ul><li>Home</li>{menu}</ul><p>story {section} {k}</p><p>All rights reserved</p>"))
+    rows += [(10000 + k, "http://hot.example/s150/p2x", "<p>Home</p><p>copied</p>") for k in range(400)]
+    rows += [(20000 + k, f"http://h{k}.example/", f"<p>alone {k}</p>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in main_text(spark, pages).collect()}
+    assert len(got) == len(rows)
+
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3], r[1], r[0]))
+    lines = [[x for x, _ in blocks(r[2])] for r in order]
+    for k, (i, address, _) in enumerate(order):
+        host, path = address.split("/")[2], "/" + address.split("/", 3)[3]
+        near = []
+        for steps in (range(k - 1, -1, -1), range(k + 1, len(order))):
+            j = next((j for j in steps if lines[j] != lines[k] or order[j][1].split("/")[2] != host), None)
+            if j is not None and order[j][1].split("/")[2] == host:
+                near.append(j)
+        near.sort(key=lambda j: -page_text._agreeing("/" + order[j][1].split("/", 3)[3], path))
+        shared = {a for a, _ in common(lines[k], lines[near[0]])} if near else set()
+        assert got[i].text == "\n".join(x for n, x in enumerate(lines[k]) if n not in shared)
+        assert got[i].n_shared == len(shared)
+    assert all(got[5 * s + k].text == f"story {s} {k}" for s in range(300) if s != 150 for k in range(5))
+
+
 def test_query_gives_every_article_whole(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in main_text(spark, pages).collect()}
