@@ -5,12 +5,14 @@ stays.  The field looks for further spans of the same kinds that the patterns mi
 without a plus, with other separators, with the sign spelled out).  It scores whole candidate
 spans: the features of a span are its shape, its groups of digits, its separators, its sums
 and what stands beside it.  Dynamic programming over spans of at most ``LONGEST`` tokens picks
-boundaries and kinds together; a token outside all spans is a segment of its own.
+boundaries and kinds together; a token outside all spans is a segment of its own.  A sign that is
+spelled out is one token with its brackets and the spaces beside it, and an address of more
+tokens, however many names and host labels it has, is a candidate as a whole.
 
 The field is trained with numpy on the driver from at most ``SAMPLE`` documents (those of least
 hash among the texts that hold a digit or an at sign) and at most ``PER_DOCUMENT`` places of each;
 base spans are the labels, and rewritten copies of them, in forms the patterns do not know,
-teach what else a span may look like.  Forms that patterns refuse (a card number that fails its
+teach what else a span may look like; none is left out for its length.  Forms that patterns refuse (a card number that fails its
 check sum, numbers and hexadecimal strings) are its counter-examples.
 
 A candidate holds a digit or an at sign, written out or not, so only the neighbourhoods of
@@ -38,7 +40,7 @@ from pyspark.sql.functions import pandas_udf
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that are learned from, and places of each.
 SAMPLE, PER_DOCUMENT = 150, 6
-#: Most tokens of a span that the field finds.
+#: Most tokens of a candidate other than a whole address.
 LONGEST = 20
 #: Training steps, step size, and pull towards zero.
 STEPS, RATE, DECAY = 50, 0.3, 1e-3
@@ -102,7 +104,11 @@ def shown(spans: list[Span]) -> str:
 # a place: words with a trigger and the word on either side, within a line
 _TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
 _GAP = re.compile(r"[^ ]+")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
+_TOKEN = re.compile(r" ?[\[({<](?:at|dot)[\])}>] ?|[^\W\d_]+|[0-9]+|\s|.", re.DOTALL | re.IGNORECASE)
+# an address with its signs written out or not, as long as it goes on
+_SIGN = r"[\[({<]%s[\])}>]"
+_DOT = rf"(?:\.| ?{_SIGN % 'dot'} ?)"
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|{_SIGN % 'at'}) ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.IGNORECASE | re.ASCII)
 
 
 def places(text: str) -> list[tuple[int, int]]:
@@ -234,8 +240,8 @@ class SpanField:
 _UNSEEN = [-1.0] * len(KINDS)
 
 
-def candidates_of(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """Token bounds of a place, and its candidate spans with their features."""
+def candidates_of(text: str, start: int, end: int, known: list[Span] = ()) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+    """Token bounds of a place, and its candidate spans with their features; whole addresses and known spans may be longer than the others."""
     bounds = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
     out = []
     for i in range(len(bounds) - 1):
@@ -247,6 +253,13 @@ def candidates_of(text: str, start: int, end: int) -> tuple[list[int], list[tupl
             names = features(text, bounds[i], bounds[j])
             if names is not None:
                 out.append((i, j, names))
+    place = {b: k for k, b in enumerate(bounds)}
+    longer = {(m.start(), m.end()) for m in _ADDRESS.finditer(text, start, end)} | {(a, b) for _, a, b in known}
+    for a, b in sorted(longer):
+        if a in place and b in place and place[b] - place[a] > LONGEST:
+            names = features(text, a, b)
+            if names is not None:
+                out.append((place[a], place[b], names))
     return bounds, out
 
 
@@ -266,7 +279,7 @@ def rewritten(kind: str, span: str, draw: random.Random) -> str:
 
 
 #: Examples to start from (fixed values, reserved for documentation), used beside what the sample holds.
-EXAMPLES = [("email", "ann.lee@mail.example.com"), ("email", "j_roe7@example.org"), ("ip", "192.0.2.17"), ("ip", "198.51.100.203"), ("card", "4111111111111111"), ("card", "5500005555555559"), ("phone", "+1 (212) 555-0147"), ("phone", "+44 20 7946 0958")]
+EXAMPLES = [("email", "ann.lee@mail.example.com"), ("email", "j_roe7@example.org"), ("email", "max-k.poe21@a.b.dept.mail2.example.co.uk"), ("ip", "192.0.2.17"), ("ip", "198.51.100.203"), ("card", "4111111111111111"), ("card", "5500005555555559"), ("phone", "+1 (212) 555-0147"), ("phone", "+44 20 7946 0958")]
 
 
 def train(found: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int = 3) -> SpanField:
@@ -293,11 +306,11 @@ def train(found: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int = 3
     number: dict[str, int] = {}
     data = []
     for text, spans in examples:
-        bounds, candidates = candidates_of(text, 0, len(text))
+        bounds, candidates = candidates_of(text, 0, len(text), spans)
         place = {b: k for k, b in enumerate(bounds)}
         gold = {(place[a], place[b]): KINDS.index(k) for k, a, b in spans if a in place and b in place}
         if len(gold) < len(spans):
-            continue  # longer than a place's tokens allow
+            continue  # it begins or ends inside a token
         inside, last = set(), -1
         for a, b in sorted(gold):
             if a < last:

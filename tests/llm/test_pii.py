@@ -59,6 +59,28 @@ def test_finds_forms_the_patterns_miss_and_leaves_numbers_alone(field):
         assert field.spans(text, base_spans(text)) == []
 
 
+def test_spelled_out_addresses_are_found_whole(field):
+    """Dotted names, several host labels, and more tokens than other candidates may have."""
+    for address in ("ann.lee@mail.example.com", "name.17@mail3.example.com", "j_roe7@example.org", "ann.b.lee-smith+news_2024@a.b-c.mail3.dept.example.co.uk", ".".join("abcdefghijkl") + "@" + ".".join(f"x{k}" for k in range(9)) + ".example.com"):
+        name, host = address.split("@")
+        for at, dot in ((" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(AT)", "."), (" [at] ", ".")):
+            form = name + at + host.replace(".", dot)
+            text = f"write {form} today"
+            assert base_spans(text) == []
+            assert [(k, text[a:b]) for k, a, b in field.spans(text, [])] == [("email", form)]
+
+
+def test_long_examples_are_learned_from():
+    """A base span of more tokens than candidates have is a candidate where it is known."""
+    card = "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"
+    base = base_spans(card)
+    bounds, candidates = candidates_of(card, 0, len(card), base)
+    assert base == [("card", 0, len(card))] and len(bounds) - 1 > LONGEST
+    assert (0, len(bounds) - 1) in {(i, j) for i, j, _ in candidates}
+    for text in ("a." * 2000, "a@b." * 500, "a [at] " * 500, "x" * 300000 + " (at) b"):
+        assert candidates_of(text, 0, len(text), [])
+
+
 def test_best_segmentation_is_the_best_of_all(field):
     """Dynamic programming against the enumeration of all sets of spans that do not overlap."""
 
