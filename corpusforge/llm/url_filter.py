@@ -45,17 +45,55 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without its ``.`` and ``..`` segments."""
+    none = F.array().cast("array<string>")
+
+    def step(out: Column, part: Column) -> Column:
+        shorter = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(part == "..", shorter).when(part == ".", out).otherwise(F.concat(out, F.array(part)))
+
+    kept = F.aggregate(F.slice(F.split(path, "/", -1), 2, 1 << 30), none, step)
+    ends = F.concat(kept, F.when(path.rlike(r"/\.{1,2}\z"), F.array(F.lit(""))).otherwise(none))
+    return F.when(path.rlike(r"/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(ends, "/"))).otherwise(path)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The URL that a reference on the page ``base`` names, without its fragment; null if it names no ``://`` URL."""
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    own = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    query = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    whole = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, to))
+    # root, path and query of the target
+    place = F.struct(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1).alias("root"), path_of(whole).alias("path"), F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1).alias("query"))
+    path, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    below = F.when(path.startswith("/"), path).when(path != "", F.concat(F.regexp_extract(own, r"(?s)^(.*/)", 1), path)).otherwise(own)
+    near = F.struct(root.alias("root"), below.alias("path"), F.when((path == "") & (rest == ""), query).otherwise(rest).alias("query"))
+    target = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://|^//"), place).when(~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), near)
+    return _let(F.when(base.contains("://"), target), lambda t: F.concat(t["root"], _let(t["path"], _without_dots), t["query"]))
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``a, b`` from pages to their canonical link and to the target of an immediate refresh, if absolute or rooted."""
+    """Edges ``a, b`` from pages to all their canonical links and targets of refreshes; relative ones start from the page's URL."""
     url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
     quoted = r"[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), rf"(?i)<link\b{quoted}", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?i)\bcontent\s*=\s*[\"']?\s*\d+\s*;\s*url\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    links = pages.select(url.alias("a"), F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
-    root = F.regexp_extract("a", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("a", r"(?s)^(.*?:)//", 1)
-    to = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(root, "to")).when(F.col("to").contains("://"), F.col("to"))
-    return links.select(node_of(F.col("a")).alias("a"), node_of(F.regexp_replace(to, "&amp;", "&")).alias("b")).where("a is not null and b is not null and a <> b")
+
+    def all_of(tag: str, target: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
+
+    canonical = all_of(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", rf"(?i)<link\b{quoted}")
+    refresh = all_of(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?i)\bcontent\s*=\s*[\"']?\s*\d+\s*;\s*url\s*=\s*[\"']?([^\"'\s>]+)")
+    links = pages.select(url.alias("a"), F.explode(F.concat(canonical, refresh)).alias("to")).where("to <> ''")
+    # exploded, so that a later filter does not work it out again
+    target = _let(resolved(F.col("a"), F.regexp_replace("to", "&amp;", "&")), node_of)
+    links = links.select(node_of(F.col("a")).alias("a"), F.explode(F.array(target)).alias("b"))
+    return links.where("a is not null and b is not null and a <> b")
 
 
 def rule_for(spark: SparkSession, places: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.components import connected_components
 from corpusforge.llm.queries import URL_RULES
-from corpusforge.llm.url_filter import html_links, judge_urls
+from corpusforge.llm.url_filter import html_links, judge_urls, resolved
 
 NO_LINKS = "a string, b string"
 
@@ -75,6 +75,43 @@ def test_blocks_spread_over_redirects_and_canonical_links(spark):
     assert judge_urls(spark, pages.limit(0), rules, html_links(pages.limit(0))).count() == 0
 
 
+def test_references_resolve_as_the_standard_says(spark):
+    """RFC 3986, 5.4, with ``http`` and without fragments."""
+    page = "http://a/b/c/d;p?q"
+    want = {
+        "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q", "g#s": "/b/c/g", "g?y#s": "/b/c/g?y", ";x": "/b/c/;x",
+        "": "/b/c/d;p?q", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../g": "/g", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.",
+        "..g": "/b/c/..g", "./../g": "/b/g", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "g;x=1/../y": "/b/c/y", "g?y/../x": "/b/c/g?y/../x", "g#s/../x": "/b/c/g", "p?u=http://x/": "/b/c/p?u=http://x/",
+    }
+    whole = {"//g": "http://g", "http://h/x/../y?z": "http://h/y?z", "mailto:a@b": None, **{t: "http://a" + p for t, p in want.items()}}
+    rows = [(page, t) for t in whole] + [("http://e.org", "x"), ("http://e.org?q", "x"), ("no url", "x")]
+    got = spark.createDataFrame(rows, "a string, t string").select("a", "t", resolved(F.col("a"), F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in got if r.a == page} == whole
+    assert {r.a: r.u for r in got if r.a != page} == {"http://e.org": "http://e.org/x", "http://e.org?q": "http://e.org/x", "no url": None}
+
+
+def test_relative_and_repeated_links(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://one.org/x/y/a?k=1", '<link rel=canonical href="../b">'),
+            (2, "http://one.org/x/b", '<meta http-equiv="refresh" content="0; url=?id=1&amp;n=2"><meta http-equiv=refresh content="3;url=page.html">'),
+            (3, "http://one.org/x/page.html", '<link rel="canonical" href="http://plain.org/"><link rel="canonical" href="http://bad.net/es/1">'),
+            (4, "http://one.org/x/b?id=1&n=2", None),
+            (5, "http://one.org/x/other", '<link rel="canonical" href="mailto:x@bad.net">'),
+            (7, "http://plain.org/", ""),
+        ],
+        "page_id long, url string, html string",
+    )
+    links = html_links(pages)
+    assert {tuple(r) for r in links.collect()} == {
+        ("http://one.org/x/y/a?k=1", "http://one.org/x/b"), ("http://one.org/x/b", "http://one.org/x/b?id=1&n=2"), ("http://one.org/x/b", "http://one.org/x/page.html"),
+        ("http://one.org/x/page.html", "http://plain.org/"), ("http://one.org/x/page.html", "http://bad.net/es/1"),
+    }
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    verdicts = {r.page_id: r.verdict for r in judge_urls(spark, pages, rules, links).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 7: "block"}
+
+
 def test_query_matches_its_sql(spark):
     import duckdb
 
