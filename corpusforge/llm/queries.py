@@ -152,3 +152,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(spark, vectors, F.col("vec_id") % 50 == 0)
+
+
+#: words one by one with the window that starts there; a word goes if a covered window starts at most 49 words before it
+BLOCK_REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (
+  SELECT doc_id, w[k] AS word, k, CASE WHEN k + 49 <= len(w) THEN md5(array_to_string(w[k:k + 49], ' ')) END AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+low AS (SELECT h, min(doc_id) AS low FROM word WHERE h IS NOT NULL GROUP BY h),
+marked AS (SELECT doc_id, word, k, max(CASE WHEN doc_id > low THEN k END) OVER (PARTITION BY doc_id ORDER BY k) AS last FROM word LEFT JOIN low USING (h)),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY k) AS kept FROM marked WHERE coalesce(k - last >= 50, true) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op13_block_repeats", BLOCK_REPEATS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.block_repeats import remove_repeats
+
+    rows = remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
