@@ -174,3 +174,48 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = remove_repeats(spark, table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _codebook_sql(rounds: int = 4) -> str:
+    """Every part against every entry of its codebook, round by round."""
+    steps = [
+        """WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS p FROM (SELECT vec_id, v, unnest(range(0, 4)) AS part FROM kept)),
+c0 AS MATERIALIZED (SELECT part, entry, p AS c FROM (SELECT part, p, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry FROM cut) WHERE entry < 256)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min([list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i]))), entry]) AS best
+  FROM cut JOIN c{k} USING (part) GROUP BY vec_id, part)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""s{k} AS (SELECT part, entry, list(CAST(floor(total / CAST(n AS DOUBLE)) AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT part, best[2] AS entry, i, sum(p[i]) AS total, count(*) AS n FROM (SELECT part, best, p, unnest(range(1, len(p) + 1)) AS i FROM a{k} JOIN cut USING (vec_id, part))
+  GROUP BY part, best[2], i) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.part, c{k}.entry, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} ON c{k}.part = s{k}.part AND c{k}.entry = s{k}.entry)"""
+            )
+    final = f"""coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', CAST(best[2] AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+  FROM a{rounds} JOIN kept USING (vec_id) GROUP BY vec_id, label),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book"""
+    return ",\n".join([*steps, final])
+
+
+@query("op11_slice_codes", _codebook_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from corpusforge.llm.common import written
+    from corpusforge.llm.slice_codes import compress
+
+    rows, books = compress(spark, table(spark, sf_dir, "embeddings"), carry=("label",))
+    rows = written(spark, rows)
+    digest = hashlib.sha256(",".join(str(v) for b in books for v in b.ravel()).encode()).hexdigest()
+    sums = rows.groupBy(F.col("label").alias("same")).agg(F.sum("error").alias("label_error"))
+    out = rows.join(sums, F.col("label").eqNullSafe(F.col("same")))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
