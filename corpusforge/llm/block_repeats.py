@@ -8,15 +8,17 @@ its anchor; neighbouring windows mostly share one, and only distinct anchors of
 shuffled, about a tenth of its windows.  An anchor that is a block's and is met by another
 document is a hit.
 
-Hits are extended word by word: the windows of ``window`` words that reach over a hit are compared
-by 128 bits of their words' hashes, over all documents, and a window that a smaller id has is
-covered.  Overlapping covered windows make up the maximal exact repeats; their words go.  Windows are
-judged on the input, not on what is left.
-
-Nothing is paired: an anchor or a window keeps its least and greatest id only, merged before the
-shuffle, and meets its own rows in a join that Spark may split, so a passage in a third of all
-documents is no larger a group than any other.  Hash collisions: 64 bits only pick what is
-compared; a false cover needs equal 128 bits (of 64-bit word hashes) of different windows.
+Hits are extended to both sides as long as the anchors of the neighbouring rolling windows are
+shared as well; the windows of ``window`` words inside are compared by 95 bits of their words'
+hashes, over all documents, and a window that a smaller id has is covered.  Overlapping covered
+windows make up the maximal exact repeats; their words go.  Windows are judged on the input, not on
+what is left.
+
+Nothing is paired.  Equal texts are one text: its smallest id takes part, the others lose all.  An
+anchor keeps two of its texts only, merged before the shuffle.  A task settles the windows that it
+has under a smaller id by itself and sends on one row for each window, so a passage in a third of
+all documents gives a group of as many rows as tasks.  Hash collisions: 64 bits only pick what is
+compared; a false cover needs equal 95 bits of different windows (or equal MD5 of texts).
 
 Null and empty texts have no words; texts shorter than the window lose nothing.  A row with a null
 id neither covers nor loses words.  Rows that repeat an id are judged each on its own, against
@@ -30,13 +32,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import byte_slices, keyed_text, written
+from corpusforge.llm.common import byte_slices, keyed_text
 
 WINDOW = 50
 BATCH_BYTES = 2 << 20
+#: Windows a task holds before it sends them on.
+HELD = 1 << 21
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
 
@@ -124,33 +128,30 @@ class Windows:
     def __init__(self, texts: pa.Array, window: int):
         self.window = window
         self.block = (window + 1) // 2
-        self.shingle = max(1, self.block // 3)
+        self.shingle = max(1, self.block // 4)
         self.words, self.first = word_hashes(texts)
         lengths = np.diff(self.first)
         self.row = np.repeat(np.arange(len(lengths)), lengths)
         self.place = np.arange(len(self.words)) - self.first[self.row]
         self.left = lengths[self.row] - self.place  # words from here to the end of the text
-        self.long = (lengths >= window)[self.row]
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions that hold the least shingle of some rolling window, the shingles' hashes, and each block's anchor by its start (others 0)."""
-        if not len(self.words):
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-        shingles = np.where(self.left >= self.shingle, rolling(self.words, self.shingle) >> np.uint64(1), _TOP) | np.uint64(1)
-        span = self.block - self.shingle + 1
-        valid = self.long & (self.left >= self.block)
-        least = np.where(valid, _sliding(shingles, span, np.minimum), np.uint64(0))
-        greatest = _sliding(least[::-1], span, np.maximum)[::-1]  # over the windows that reach back from each position
-        at = np.nonzero(self.long & (greatest == shingles))[0]
-        return at, shingles, np.where(self.place % self.block == 0, least, np.uint64(0))
-
-    def around(self, at: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold the whole shingle at one of the given positions."""
-        flags = np.zeros(len(self.words) + 1, np.int64)
-        flags[at + 1] = 1
-        upto = np.cumsum(flags)
+        # the anchor of the rolling window of a block's length from each word; 0 where there is none
+        shingles = rolling(self.words, self.shingle) >> np.uint64(1) | np.uint64(1)
+        least = _sliding(shingles, self.block - self.shingle + 1, np.minimum)
+        self.anchor = np.where((lengths >= window)[self.row] & (self.left >= self.block), least, np.uint64(0)).view(np.int64)
+        self.in_block = (self.anchor > 0) & (self.place % self.block == 0)
+
+    def candidates(self, hits: list[np.ndarray]) -> np.ndarray:
+        """Starts of the windows that cover a hit and have nothing but shared anchors; ``hits`` has each text's shared anchors, those of blocks negative."""
+        shared, block = np.zeros((2, len(self.words) + 1), np.int64)
+        for k, own in enumerate(hits):
+            mine = slice(self.first[k], self.first[k + 1])
+            anchors = self.anchor[mine]
+            block[1:][mine] = np.isin(anchors, -own[own < 0])
+            shared[1:][mine] = np.isin(anchors, np.abs(own))
+        shared, block = np.cumsum(shared), np.cumsum(block)
         starts = np.nonzero(self.left >= self.window)[0]
-        return starts[upto[starts + self.window - self.shingle + 1] > upto[starts]]
+        stop = starts + self.window - self.block + 1
+        return starts[(shared[stop] - shared[starts] == stop - starts) & (block[stop] > block[starts])]
 
 
 def _anchor_rows(window: int):
@@ -160,43 +161,78 @@ def _anchor_rows(window: int):
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 w = Windows(part.column(1), window)
-                at, shingles, blocks = w.anchors()
-                own = np.nonzero(blocks)[0]
-                row = np.concatenate([w.row[own], w.row[at]])
-                value = np.concatenate([blocks[own], shingles[at]])
-                is_block = np.arange(len(row)) < len(own)
-                order = np.lexsort((~is_block, value, row))
-                row, value, is_block = row[order], value[order], is_block[order]
-                new = np.ones(len(row), bool)
+                change = w.anchor > 0
+                change[1:] &= (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1]) | w.in_block[1:]
+                at = np.nonzero(change)[0]
+                at = at[np.lexsort((~w.in_block[at], w.anchor[at], w.row[at]))]
+                row, value = w.row[at], w.anchor[at]
+                new = np.ones(len(at), bool)
                 new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-                ids = part.column(0).take(pa.array(row[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), ids, pa.array(is_block[new])], names=["anchor", "_id", "block"])
+                take = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value[new]), part.column(0).take(take), part.column(2).take(take), pa.array(w.in_block[at[new]])],
+                    names=["anchor", "_id", "_sum", "block"],
+                )
 
     return run
 
 
-def _window_rows(window: int):
-    """Windows around the hits of each text: 128 bits of their words, the text's key and the word they start at."""
+class _Held:
+    """Candidate windows of some texts, each window of each id once; those that a smaller id here has are settled."""
+
+    names = ("h1", "h2", "settled", "_id", "_sum", "starts")
+
+    def __init__(self):
+        self.ids, self.sums, self.parts, self.size = [], [], [], 0
+
+    def add(self, part: pa.RecordBatch, w: Windows, starts: np.ndarray) -> None:
+        one = rolling(w.words, w.window, _ODD)[starts].view(np.int64)
+        two = (rolling(w.words, w.window, _OTHER)[starts] >> np.uint64(33)).astype(np.int64)
+        self.parts.append((one, two, w.row[starts] + len(self.ids), w.place[starts]))
+        self.ids += part.column(0).to_pylist()
+        self.sums += part.column(2).to_pylist()
+        self.size += len(starts)
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        one, two, row, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        _, rank = np.unique(np.array(self.ids, dtype=object), return_inverse=True)
+        order = np.lexsort((place, row, rank[row], two, one))
+        one, two, row, place = one[order], two[order], row[order], place[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        lowest = rank[row][new][np.cumsum(new) - 1]
+        settled = rank[row] > lowest
+        # a row for each open window and text, and one for all settled windows of a text, filed under the text
+        order = np.lexsort((place, np.where(settled, 0, np.arange(len(row))), row, settled))
+        one, two, row, place, settled, new = (c[order] for c in (one, two, row, place, settled, new))
+        one[settled], two[settled] = np.array(self.sums, np.int64)[row[settled]], row[settled]
+        first = np.ones(len(row), bool)
+        first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (row[1:] != row[:-1]) | (settled[1:] != settled[:-1])
+        at = np.nonzero(first)[0]
+        # starts as bytes: half the room of an array of integers in a shuffle
+        offsets = np.append(at, len(row)).astype(np.int32) * 4
+        lists = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(place.astype(np.int32))])
+        own = row[at]
+        columns = [pa.array(one[at]), pa.array(two[at], pa.int32()), pa.array(settled[at]), pa.array([self.ids[k] for k in own], kind), pa.array([self.sums[k] for k in own], pa.int64()), lists]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=list(self.names))
+
+
+def _window_rows(window: int, most: int):
+    """Candidate windows of each text: 95 bits of their words, the text's key and the words they start at."""
 
     def run(batches):
+        held = _Held()
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 w = Windows(part.column(1), window)
-                at, shingles, _ = w.anchors()
-                hits = part.column(3)
-                value, row = shingles[at].view(np.int64), w.row[at]
-                bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-                keep = np.zeros(len(at), bool)
-                for k in range(part.num_rows):
-                    mine = slice(bounds[k], bounds[k + 1])
-                    keep[mine] = np.isin(value[mine], np.asarray(hits[k].values))
-                starts = w.around(at[keep])
-                take = pa.array(w.row[starts])
-                one, two = (rolling(w.words, window, base)[starts].view(np.int64) for base in (_ODD, _OTHER))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), part.column(0).take(take), part.column(2).take(take), pa.array(w.place[starts].astype(np.int32))],
-                    names=["h1", "h2", "_id", "_sum", "start"],
-                )
+                starts = w.candidates([np.asarray(own.values) for own in part.column(3)])
+                if len(starts):
+                    held.add(part, w, starts)
+                if held.size >= most:
+                    yield held.rows(part.schema.field(0).type)
+        if held.size:
+            yield held.rows(part.schema.field(0).type)
 
     return run
 
@@ -208,11 +244,13 @@ def _kept_rows(window: int):
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 n_words, n_removed, runs, kept = [], [], [], []
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                for text, starts, copy in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     words = _WORD.findall(text or "")
-                    at = np.empty(0, np.int64) if not starts.is_valid else np.unique(np.asarray(starts.values)).astype(np.int64)
+                    at = np.unique(np.frombuffer(b"".join(starts or ()), np.int32)).astype(np.int64)
                     own = []
-                    if len(at):
+                    if copy and len(words) >= window:
+                        own = [(0, len(words))]
+                    elif len(at):
                         cut = np.nonzero(np.diff(at) > window)[0] + 1
                         own = list(zip(at[np.concatenate([[0], cut])].tolist(), (at[np.concatenate([cut - 1, [len(at) - 1]])] + window).tolist(), strict=True))
                     left, done = [], 0
@@ -237,16 +275,24 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """One row per row of ``docs``: the id, n_words, n_removed, removed (runs of words, stop exclusive), kept (the words left, joined by one space)."""
     if window < 1:
         raise ValueError("a window has one word at least")
-    slim = keyed_text(docs, id_col, text_col)
+    slim = keyed_text(docs, id_col, text_col).select("_id", "_text", F.xxhash64("_text").alias("_sum"))
     kind = slim.schema["_id"].dataType.simpleString()
+    given = slim.where("_id is not null and _text is not null")
+    same = given.select("_id", "_sum", F.md5("_text").alias("md5"))
+    first = same.groupBy("md5").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("md5", "low")
+    copies = same.join(first, "md5").where("_id > low").select("_id", "_sum").distinct()
     # read twice: anchors cost less to make again than to write
-    anchors = slim.where("_id is not null and _text is not null").mapInArrow(_anchor_rows(window), f"anchor long, _id {kind}, block boolean")
-    hits = anchors.groupBy("anchor").agg(F.max("block").alias("block"), F.min("_id").alias("low"), F.max("_id").alias("high")).where("block and low < high").select("anchor")
-    hits = anchors.select("anchor", "_id").join(hits, "anchor").groupBy("_id").agg(F.collect_list("anchor").alias("_hits"))
-    keyed = slim.select("_id", "_text", F.xxhash64("_text").alias("_sum"))
-    windows = written(spark, keyed.join(hits, "_id").mapInArrow(_window_rows(window), f"h1 long, h2 long, _id {kind}, _sum long, start int"))
-    least = windows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    covered = windows.join(least, ["h1", "h2"]).where("_id > low").groupBy("_id", "_sum").agg(F.collect_list("start").alias("_starts"))
-    joined = keyed.join(covered, ["_id", "_sum"], "left").select("_id", "_text", "_starts")
+    anchors = given.mapInArrow(_anchor_rows(window), f"anchor long, _id {kind}, _sum long, block boolean")
+    shared = anchors.groupBy("anchor").agg(F.max("block").alias("block"), F.min("_sum").alias("low"), F.max("_sum").alias("high")).where("low < high")
+    shared = shared.select("anchor", F.when(F.col("block"), -F.col("anchor")).otherwise(F.col("anchor")).alias("hit"))
+    hits = anchors.select("anchor", "_id").join(shared, "anchor").groupBy("_id").agg(F.collect_list("hit").alias("_hits")).where(F.exists("_hits", lambda h: h < 0))
+    hits = hits.join(copies.groupBy("_id").agg(F.collect_set("_sum").alias("_copies")), "_id", "left")
+    text = given.join(hits, "_id").where(~F.coalesce(F.array_contains("_copies", F.col("_sum")), F.lit(False))).select("_id", "_text", "_sum", "_hits")
+    windows = text.mapInArrow(_window_rows(window, HELD), f"h1 long, h2 int, settled boolean, _id {kind}, _sum long, starts binary")
+    low = F.min("_id").over(Window.partitionBy("h1", "h2", "settled"))
+    covered = windows.withColumn("low", low).where("settled or _id > low").select("_id", "_sum", "starts", F.lit(False).alias("copy"))
+    marks = covered.unionByName(copies.select("_id", "_sum", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("copy")))
+    marks = marks.groupBy("_id", "_sum").agg(F.collect_list("starts").alias("starts"), F.max("copy").alias("copy"))
+    joined = slim.join(marks, ["_id", "_sum"], "left").select("_id", "_text", "starts", "copy")
     out = joined.mapInArrow(_kept_rows(window), f"_id {kind}, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
     return out.withColumnRenamed("_id", id_col)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusforge.llm import block_repeats
 from corpusforge.llm.block_repeats import Windows, remove_repeats, rolling, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,9 +69,19 @@ def test_every_rolling_window_has_the_anchor_of_the_block_with_its_words():
     for shift in range(12):
         # the same words behind other ones: blocks of the first are rolling windows of the second
         w = Windows(pa.array([text, "z " * shift + text]), 11)
-        at, shingles, blocks = w.anchors()
-        own = {int(b) for b in blocks[w.row == 0] if b}
-        assert own and own <= {int(s) for s in shingles[at[w.row[at] == 1]]}
+        own = set(w.anchor[w.in_block & (w.row == 0)].tolist())
+        assert own and own <= set(w.anchor[w.row == 1].tolist())
+        hits = [np.array([-a for a in own])] * 2
+        assert set(w.candidates(hits).tolist()) <= set(range(len(w.words)))
+
+
+@pytest.mark.parametrize("held", [1, 1 << 21])
+def test_settled_windows_do_not_depend_on_how_many_are_held(spark, monkeypatch, held):
+    monkeypatch.setattr(block_repeats, "HELD", held)
+    rng = random.Random(9)
+    passage = " ".join(f"w{rng.randrange(9)}" for _ in range(40))
+    rows = [(i % 30, f"{'a ' * (i % 7)}{passage} b{i % 3}") for i in range(50)]
+    assert found(spark, rows, 9) == brute(rows, 9)
 
 
 @pytest.mark.parametrize("window", [1, 2, 7, 50])
