@@ -98,7 +98,7 @@ def _root(squares: np.ndarray) -> np.ndarray:
 def _integers(column: pa.Array, width: int, scale: int) -> np.ndarray:
     """Rows of ``width`` whole numbers, as 64-bit or as Python integers."""
     x = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale).astype(np.int64)
-    x = x.reshape(len(column), -1)
+    x = x.reshape(len(column), -1) if len(column) else x.reshape(0, width)
     x = np.concatenate([x, np.zeros((len(x), width - x.shape[1]), np.int64)], axis=1)
     return x if not x.size or np.abs(x).max() <= SMALL else x.astype(object)
 
