@@ -219,3 +219,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = rows.groupBy(F.col("label").alias("same")).agg(F.sum("error").alias("label_error"))
     out = rows.join(sums, F.col("label").eqNullSafe(F.col("same")))
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+@query("op12_lanczos_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.lanczos_whitening import whiten
+
+    return whiten(spark, table(spark, sf_dir, "embeddings"))
