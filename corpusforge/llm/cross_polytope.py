@@ -5,6 +5,8 @@ falls to the nearest of the signed axes: its bucket in one table.  Each of ``TAB
 its own signs.  A query looks into its ``PROBES`` nearest axes in every table.  What meets
 there is compared by the exact cosine in double precision, on the vectors as they came.
 
+A query that met fewer than k candidates goes on against all rows, so it finds k, or all there are.
+
 A bucket is dealt out in blocks of about ``BLOCK`` rows, and so are its queries; each pair of
 blocks is one bounded matrix product, of which each query keeps its nearest only.  So a bucket
 that holds a third of all rows is spread over many tasks, and pairs are never rows of a table.
@@ -113,26 +115,35 @@ def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k nearest rows of the block with another id, ties to smaller ids: query positions, row positions, scores."""
+    """For each query its k nearest other ids of the block, ties to smaller ids: query positions, row positions, scores."""
     out_q, out_x, out_s = [], [], []
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
+    # rows of one id are one candidate
+    first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
     ux = _unit(x)
     for at in range(0, len(q), 256):
         part = slice(at, at + 256)
         rough = _unit(q[part]) @ ux.T
         rough[query_ids[part][:, None] == ids[None, :]] = -np.inf
-        if len(x) > k:
-            bound = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+        each = np.maximum.reduceat(rough, first, axis=1)
+        if len(first) > k:
+            bound = np.partition(each, len(first) - k, axis=1)[:, len(first) - k]
         else:
             bound = np.full(len(rough), -2.0)
         # a matrix product rounds otherwise than the exact measure: keep what may still be among the nearest
         qi, xi = np.nonzero((rough >= bound[:, None] - 1e-9) & (rough > -np.inf))
         score = exact_cosine(q[part][qi], x[xi])
+        order = np.lexsort((-score, ids[xi], qi))
+        qi, xi, score = qi[order], xi[order], score[order]
+        once = np.ones(len(qi), bool)
+        once[1:] = (qi[1:] != qi[:-1]) | (ids[xi[1:]] != ids[xi[:-1]])
+        qi, xi, score = qi[once], xi[once], score[once]
         order = np.lexsort((ids[xi], -score, qi))
         qi, xi, score = qi[order], xi[order], score[order]
-        first = np.searchsorted(qi, qi)
-        best = np.arange(len(qi)) - first < k
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
         out_q.append(qi[best] + at)
-        out_x.append(xi[best])
+        out_x.append(by_id[xi[best]])
         out_s.append(score[best])
     return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)
 
@@ -142,18 +153,8 @@ def _parts(spark: SparkSession, rows: DataFrame, block: int, name: str) -> DataF
     return spark.createDataFrame([(r["bucket"], -(-r["count"] // block)) for r in counts], f"bucket int, {name} int")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest found for each row of ``vectors`` where ``is_query`` holds."""
-    slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), is_query.alias("q"))
-    sizes = slim.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    result = "query_id long, vec_id long, score double"
-    if not sizes or not sizes[0]["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension = sizes[0]["n"]
-    filed = "bucket int, id long, v binary"
-    base = slim.select("id", "v").mapInArrow(_buckets(dimension, tables, 1, seed), filed)
-    query = slim.where("q").select("id", "v").mapInArrow(_buckets(dimension, tables, probes, seed), filed)
-    base, query = written(spark, base), written(spark, query)
+def _compared(spark: SparkSession, base: DataFrame, query: DataFrame, dimension: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: pairs of the same bucket, of which each query keeps its k nearest in each block."""
     parts = written(spark, _parts(spark, base, BLOCK, "parts").join(_parts(spark, query, QUERY_BLOCK, "query_parts"), "bucket"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     own_query = F.pmod(F.xxhash64("id"), F.col("query_parts")).cast("int")
@@ -176,7 +177,30 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
         return pa.table([pa.array(query_ids[qi]), pa.array(ids[xi]), pa.array(score)], names=names)
 
     cell = ["bucket", "part", "query_part"]
-    found = base.groupBy(*cell).cogroup(query.groupBy(*cell)).applyInArrow(compare, result)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = base.groupBy(*cell).cogroup(query.groupBy(*cell)).applyInArrow(compare, "query_id long, vec_id long, score double")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest found for each row of ``vectors`` where ``is_query`` holds."""
+    slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), is_query.alias("q"))
+    sizes = slim.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    if not sizes or not sizes[0]["n"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dimension = sizes[0]["n"]
+    filed = "bucket int, id long, v binary"
+    base = slim.select("id", "v").mapInArrow(_buckets(dimension, tables, 1, seed), filed)
+    query = slim.where("q").select("id", "v").mapInArrow(_buckets(dimension, tables, probes, seed), filed)
+    base, query = written(spark, base), written(spark, query)
+    found = written(spark, _compared(spark, base, query, dimension, k))
+    # queries that met fewer than k go on against every row, in the same blocks; one table holds each row once
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    once = slim.where("q").select("id", "v").mapInArrow(_buckets(dimension, 1, 1, seed), filed).join(enough, "id", "left_anti")
+    short = written(spark, once.select(F.lit(-1).alias("bucket"), "id", "v"))
+    if not short.isEmpty():
+        axes_of_one = 2 << max(0, dimension - 1).bit_length()
+        every = base.where(F.col("bucket") < axes_of_one).withColumn("bucket", F.lit(-1))
+        ids = short.select(F.col("id").alias("query_id")).distinct()
+        found = found.join(ids, "query_id", "left_anti").unionByName(_compared(spark, every, short, dimension, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

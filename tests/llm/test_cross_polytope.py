@@ -61,3 +61,28 @@ def test_edges(spark):
     assert {x[0] for x in out} == {0, 50} and all(x[2] in (0, 1, 2, 9, 50) for x in out)
     assert nearest(spark, vectors.limit(0), F.col("vec_id") == 0).count() == 0
     assert nearest(spark, vectors, F.col("vec_id") == 4).count() == 0
+
+
+def test_repeats_crowd_out_no_neighbour(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    rows = [(0, base.tolist())] + [(7, (base + 0.01 * rng.normal(size=64)).tolist()) for _ in range(8)]
+    rows += [(k, (base + 0.3 * rng.normal(size=64)).tolist()) for k in range(100, 122)]
+    got = nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert len(got) == 5 and got[0].vec_id == 7 and len({r.vec_id for r in got}) == 5
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    qi, xi, score = cross_polytope.nearest_in_block(np.array([0]), x[:1], ids, x, 5)
+    want = {}
+    for i, s in zip(ids, exact_cosine(np.broadcast_to(x[0], x.shape), x), strict=True):
+        want[i] = max(want.get(i, -2), s)
+    want = sorted((-s, i) for i, s in want.items() if i)[:5]
+    assert [(int(ids[k]), s) for k, s in zip(xi, score, strict=True)] == [(i, -s) for s, i in want]
+
+
+@pytest.mark.parametrize("n", [2, 4, 6])
+def test_all_candidates_if_there_are_fewer(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(50 * i, rng.normal(size=64).tolist()) for i in range(n)]
+    got = nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = brute(rows, rows)
+    assert {q: [(i, round(s, 12)) for i, s in v] for q, v in want.items()} == {q: [(r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want}
