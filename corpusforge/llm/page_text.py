@@ -9,9 +9,13 @@ the next pages before and behind that are none.
 
 Markup says more where there is some.  Blocks in elements whose name, role or class says menu,
 header, footer, sidebar, notice, advert, form or comments are frame whatever the neighbour has;
-blocks of an ``article`` or ``main`` element stay even if the neighbour repeats them (copies of an
+a class that only holds such a word among others (``has-sidebar``) does not decide alone, see ``_decide``.
+Blocks of an ``article`` or ``main`` element stay even if the neighbour repeats them (copies of an
 article are articles), and with such an element nothing outside it is main text.
 
+Of alignments of the same length any may be taken, so of equal lines of a page, of which the neighbour
+has fewer, it is not fixed which are deleted; how many are is.
+
 Pages in order of host, path, URL, id and hash are cut into contiguous runs of about the same weight,
 so a host with a third of all pages is spread over many tasks.  A first pass, without the html in its
 shuffle, finds where runs start and the nearest pages outside each run that are no copies of its ends;
@@ -52,33 +56,98 @@ FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dial
 FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal newsletter subscribe subscription sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended comment comments disqus replies widget widgets toolbar pagination pager skip".split())
 MAIN_NAMES = frozenset(("article", "main"))
 
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*>)")
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# a quote opens a value only behind an equals sign; one that nothing closes is taken as a character
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"']?))*+)>|[!?/][^>]*>)")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
 FRAME, OTHER, MAIN = 0, 1, 2
+WEAK, STRONG, CERTAIN = 1, 2, 3
 
 
-def _says_frame(name: str, attributes: str, in_main: bool) -> bool:
+def _says_frame(name: str, attributes: str, in_main: bool) -> int:
+    """How surely an element says that it is frame: by its name or role, by a whole class or id, or by a word of one (0: not at all)."""
     if name in FRAME_NAMES or name == "header" and not in_main:
-        return True
-    if name in ("html", "body", *MAIN_NAMES) or not attributes.strip():
-        return False
+        return CERTAIN
+    if name in ("html", "body") or not attributes.strip():
+        return 0
+    sure = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "role" and value.strip() in FRAME_ROLES:
-            return True
-        if key in ("class", "id") and not FRAME_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return CERTAIN
+        if key in ("class", "id"):
+            for each in value.split():
+                words = _WORD.findall(each)
+                if words and FRAME_WORDS.issuperset(words):
+                    sure = STRONG
+                elif not FRAME_WORDS.isdisjoint(words) and name not in MAIN_NAMES:
+                    sure = max(sure, WEAK)
+    return sure
+
+
+class _Claim:
+    """An element whose class or id says frame: what it holds decides whether that stands."""
+
+    __slots__ = ("sure", "around", "holds_article", "holds_main", "chars", "stands", "framed")
+
+    def __init__(self, sure: int, around: _Claim | None):
+        self.sure, self.around = sure, around
+        self.holds_article, self.holds_main, self.chars, self.stands, self.framed = False, False, 0, True, True
+
+
+class _Main:
+    """An article or main element with its own claim and the main element around it."""
+
+    __slots__ = ("claim", "around")
+
+    def __init__(self, claim: _Claim | None, around: _Main | None):
+        self.claim, self.around = claim, around
+
+
+def _decide(lines: list[tuple], claims: list[_Claim]) -> list[tuple[str, int]]:
+    """A word of a class stands for frame unless the element holds an article or most of the text, a whole class unless it holds a
+    main element; if that leaves nothing, no element with most of the text is frame."""
+    half = sum(len(x) for x, frame, _, _ in lines if not frame) / 2
+    for c in reversed(claims):
+        if c.around is not None:
+            c.around.chars += c.chars
+            c.around.holds_article |= c.holds_article
+            c.around.holds_main |= c.holds_main
+
+    def places() -> list[int]:
+        for c in claims:
+            c.framed = c.stands or c.around is not None and c.around.framed
+        out = []
+        for _, frame, claim, main in lines:
+            if frame or claim is not None and claim.framed:
+                out.append(FRAME)
+                continue
+            while main is not None and main.claim is not None and main.claim.stands:
+                main = main.around
+            out.append(OTHER if main is None else MAIN)
+        return out
+
+    for c in claims:
+        c.stands = not c.holds_main and (c.sure == STRONG or not c.holds_article and c.chars <= half)
+    found = places()
+    if claims and max(found, default=FRAME) == FRAME:
+        for c in claims:
+            c.stands = c.stands and c.chars <= half
+        found = places()
+    return [(x[0], p) for x, p in zip(lines, found, strict=True)]
 
 
 def blocks(source: str | None) -> list[tuple[str, int]]:
     """Lines of a page in order, each with its place: in the frame, in a main element, or elsewhere."""
-    out: list[tuple[str, int]] = []
+    lines: list[tuple] = []  # text, certain frame, innermost claim and main element around it
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, frame, main
-    frame = main = 0
+    # open elements: name, certain frame, its claim, main element
+    stack: list[tuple[str, bool, _Claim | None, bool]] = []
+    claims: list[_Claim] = []
+    claim: _Claim | None = None
+    main: _Main | None = None
+    frame = 0
     source = source or ""
 
     def close() -> None:
@@ -87,13 +156,18 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
             line = " ".join(references.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, FRAME if frame else MAIN if main else OTHER))
+                lines.append((line, frame > 0, claim, main))
+                if not frame and claim is not None:
+                    claim.chars += len(line)
 
     def pop() -> None:
-        nonlocal frame, main
-        _, f, m = stack.pop()
+        nonlocal frame, claim, main
+        _, f, c, m = stack.pop()
         frame -= f
-        main -= m
+        if c is not None:
+            claim = c.around
+        if m:
+            main = main.around
 
     at, end = 0, len(source)
     while at < end:
@@ -115,7 +189,7 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
             close()
         if tag[2]:
             if any(s[0] == name for s in stack):
-                if any(s[0] == name and s[1] for s in stack):
+                if any(s[0] == name and (s[1] or s[2]) for s in stack):
                     close()
                 while stack[-1][0] != name:
                     pop()
@@ -134,15 +208,24 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
         # a paragraph or list item ends where the next block starts
         if name not in INLINE and stack and stack[-1][0] in ("p", "li") and (stack[-1][0] == "p" or name == "li"):
             pop()
-        says, is_main = _says_frame(name, tag[4], main > 0), name in MAIN_NAMES or bool(re.search(r"\brole\s*=\s*[\"']?main\b", tag[4]))
+        says = _says_frame(name, tag[4], main is not None)
+        is_main = name in MAIN_NAMES or bool(re.search(r"\brole\s*=\s*[\"']?main\b", tag[4]))
         if says:
             close()
         if says or name not in INLINE:
-            stack.append((name, says, is_main))
-            frame += says
-            main += is_main
+            if is_main and not frame and claim is not None:
+                claim.holds_article = True
+                claim.holds_main |= name != "article"
+            own = _Claim(says, claim) if says in (WEAK, STRONG) else None
+            stack.append((name, says == CERTAIN, own, is_main))
+            frame += says == CERTAIN
+            if own is not None:
+                claims.append(own)
+                claim = own
+            if is_main:
+                main = _Main(own, main)
     close()
-    return out
+    return _decide(lines, claims)
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:

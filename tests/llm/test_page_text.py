@@ -42,6 +42,21 @@ def test_common_is_a_longest_common_subsequence(monkeypatch, bits):
         ("<span class='ad'>x</span>y<form>f<input>g</form>h", [("x", FRAME), ("y", OTHER), ("f", FRAME), ("g", FRAME), ("h", OTHER)]),
         ("a < b and c > d", [("a < b and c > d", OTHER)]),
         ("<div title='a>b'>q</div></div></p>r", [("q", OTHER), ("r", OTHER)]),
+        ("<a href=\"x\"\">link</a>", [("link", OTHER)]),
+        ("<div title=\"a>bad</div>", [("bad", OTHER)]),
+        ("<div \"title=a>one</div><p class='x' \"'>two", [("one", OTHER), ("two", OTHER)]),
+        ("<p data-x=a\"b>q</p>", [("q", OTHER)]),
+        ("<div id='content-sidebar-wrap'><article>a</article><div class=sidebar>s</div></div>", [("a", MAIN), ("s", FRAME)]),
+        ("<div class='layout has-sidebar'><main>a</main><aside>s</aside></div>", [("a", MAIN), ("s", FRAME)]),
+        ("<div class='post no-comments'><p>long text of the post<p>more of it</div><div class=footer>f</div>", [("long text of the post", OTHER), ("more of it", OTHER), ("f", FRAME)]),
+        ("<div class='navbar-fixed page'><p>text of the page</p></div>", [("text of the page", OTHER)]),
+        ("<div class='top-menu-bar'>home</div><p>the only text of this page</p>", [("home", FRAME), ("the only text of this page", OTHER)]),
+        ("<article>post</article><article class='comment'>c</article><article class='ad'>x</article>", [("post", MAIN), ("c", FRAME), ("x", FRAME)]),
+        ("<article class='post share-enabled'>a</article><article class='post has-comments'>b</article>", [("a", MAIN), ("b", MAIN)]),
+        ("<article class='social'>the story</article><nav>n</nav>", [("the story", MAIN), ("n", FRAME)]),
+        ("<div class='page sidebar'><main>a</main></div>", [("a", MAIN)]),
+        ("<p>short</p><div id=comments><article>first comment, which is long</article></div>", [("short", OTHER), ("first comment, which is long", FRAME)]),
+        ("<div class='social'>all there is</div>", [("all there is", OTHER)]),
     ],
 )
 def test_blocks(source, want):
@@ -49,7 +64,7 @@ def test_blocks(source, want):
 
 
 def test_long_and_broken_pages_take_linear_time():
-    for source in ("<p>x" * 100000, "<div>" * 50000 + "x", "<" * 50000, "&" * 200000, "<script>" * 20000, "x" * 3000000):
+    for source in ("<div class=ad>" * 3000 + "x" * 10, "<a b=\"c>" * 30000, "<a b='c>d" * 30001, "<p>x" * 100000, "<div>" * 50000 + "x", "<" * 50000, "&" * 200000, "<script>" * 20000, "x" * 3000000):
         blocks(source)
     a = [str(k) for k in range(4000)]
     assert len(common(a, a[::2])) == 2000
