@@ -29,7 +29,6 @@ from __future__ import annotations
 import math
 import random
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,7 +102,7 @@ def shown(spans: list[Span]) -> str:
 
 # a place: words with a trigger and the word on either side, within a line
 _TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
-_GAP = re.compile(r"[^ ]+")
+_BREAK = re.compile(r"[ \n]")
 _TOKEN = re.compile(r" ?[\[({<](?:at|dot)[\])}>] ?|[^\W\d_]+|[0-9]+|\s|.", re.DOTALL | re.IGNORECASE)
 # an address with its signs written out or not, as long as it goes on
 _SIGN = r"[\[({<]%s[\])}>]"
@@ -114,17 +113,18 @@ _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|{_SIGN %
 def places(text: str) -> list[tuple[int, int]]:
     """Neighbourhoods of all triggers: runs of words with one, and the word before and behind, in order, apart."""
     out: list[list[int]] = []
-    end = -1
+    start = end = 0  # the last word with a trigger: nothing before it is searched again
     for m in _TRIGGER.finditer(text):
-        if m.start() < end:
+        if out and m.start() < end:
             continue
-        start = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
-        stops = [x for x in (text.find(" ", m.end()), text.find("\n", m.end())) if x >= 0]
-        end = min(stops, default=len(text))
+        before = max(text.rfind(" ", end, m.start()), text.rfind("\n", end, m.start()))
+        last, start = start, before + 1 if before >= 0 else 0
+        stop = _BREAK.search(text, m.end())
+        end = stop.start() if stop else len(text)
         # the word before, and the word behind
-        left = max(text.rfind(" ", 0, max(start - 1, 0)), text.rfind("\n", 0, max(start - 1, 0))) + 1 if start else 0
-        stops = [x for x in (text.find(" ", end + 1), text.find("\n", end + 1)) if x >= 0]
-        right = min(stops, default=len(text))
+        left = max(text.rfind(" ", last, max(start - 1, 0)), text.rfind("\n", last, max(start - 1, 0))) + 1 or last
+        stop = _BREAK.search(text, end + 1)
+        right = stop.start() if stop else len(text)
         if out and left <= out[-1][1]:
             out[-1][1] = right
         else:
@@ -132,7 +132,6 @@ def places(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-
 def _bucket(n: int, *edges: int) -> int:
     return sum(n >= e for e in edges)
 
@@ -176,12 +175,18 @@ def features(text: str, start: int, end: int) -> list[str] | None:
     return out
 
 
-@dataclass
+#: Shapes whose scores a field keeps (about 300 bytes each).
+SHAPES = 50_000
+_SHAPE = str.maketrans("123456789", "000000000")
+
+
 class SpanField:
     """Weights of (kind, feature); a token outside spans scores nothing."""
 
-    weights: dict[str, list[float]]
-    margin: float = MARGIN
+    def __init__(self, weights: dict[str, list[float]], margin: float = MARGIN):
+        self.weights, self.margin = weights, margin
+        self._shapes: dict[str, tuple[int, int]] = {}
+        self._scores: dict[tuple, list[float] | None] = {}
 
     def score(self, names: list[str]) -> list[float]:
         total = [0.0] * len(KINDS)
@@ -193,19 +198,53 @@ class SpanField:
                 total[k] += w
         return total
 
-    def best(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[Span]:
-        """The best-scoring segmentation of a place, without spans that touch what is taken."""
-        bounds, candidates = candidates_of(text, start, end)
-        n = len(bounds) - 1
+    def scored(self, text: str, start: int, end: int) -> list[float] | None:
+        """Scores of a candidate; None if it cannot be a span.  Spans without a sign score alike if their shapes and sums are alike."""
+        s = text[start:end]
+        if s[-1] in " \n\t(+[{<.,;:!?-'\"" or s[0] in " \n\t.,;:-)'\"":
+            return None
+        if "@" in s or "at" in s or "AT" in s or "At" in s or "aT" in s:
+            names = features(text, start, end)
+            return None if names is None else self.score(names)
+        shape = s.translate(_SHAPE)
+        known = self._shapes.get(shape)
+        if known is None:
+            if len(self._scores) > SHAPES or len(self._shapes) > SHAPES:
+                self._shapes.clear()
+                self._scores.clear()
+            known = self._shapes[shape] = (shape.count("0"), len(re.findall("0+", shape)))
+        digits, groups = known
+        if digits < 4:
+            return None
+        exact = luhn("".join(re.findall("[0-9]", s))) if 13 <= digits <= 19 else None
+        octets = all(len(g) < 4 and int(g) < 256 for g in re.findall("[0-9]+", s)) if groups == 4 else None
+        before, behind = text[start - 1 : start], text[end : end + 1]
+        key = (shape, exact, octets, before.isalnum() or before in "@.+-_" and before != "", behind.isalnum() or behind in "@-_" and behind != "")
+        if key not in self._scores:
+            names = features(text, start, end)
+            self._scores[key] = None if names is None else self.score(names)
+        return self._scores[key]
+
+    def _run(self, text: str, bounds: list[int], low: int, high: int, longer: list[tuple[int, int]]) -> list[Span]:
+        """The best-scoring segmentation of the tokens from ``low`` to ``high``."""
+        n = high - low
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         by_end: dict[int, list] = {}
-        for i, j, names in candidates:
-            if not any(bounds[i] < b and a < bounds[j] for a, b in taken):
-                by_end.setdefault(j, []).append((i, names))
+        for i, j in longer:
+            by_end.setdefault(j - low, []).append((i - low, self.scored(text, bounds[i], bounds[j])))
+        for i in range(n):
+            if text[bounds[low + i]] in " \n\t.,;:-)":
+                continue
+            for j in range(i + 1, min(i + LONGEST, n) + 1):
+                if text[bounds[low + j] - 1] == "\n":
+                    break
+                own = self.scored(text, bounds[low + i], bounds[low + j])
+                if own is not None and max(own) > self.margin:
+                    by_end.setdefault(j, []).append((i, own))
         for j in range(1, n + 1):
             best[j] = best[j - 1]
-            for i, names in by_end.get(j, ()):
-                for k, s in enumerate(self.score(names)):
+            for i, own in sorted(by_end.get(j, ()), key=lambda c: c[0]):
+                for k, s in enumerate(own or ()):
                     if best[i] + s - self.margin > best[j]:
                         best[j], back[j] = best[i] + s - self.margin, (i, k)
         out, j = [], n
@@ -214,26 +253,56 @@ class SpanField:
                 j -= 1
             else:
                 i, k = back[j]
-                out.append((KINDS[k], bounds[i], bounds[j]))
+                out.append((KINDS[k], bounds[low + i], bounds[low + j]))
                 j = i
         return out[::-1]
 
+    def best(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[Span]:
+        """The best-scoring segmentation of a place, without spans that touch what is taken (disjoint, in order)."""
+        bounds = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
+        place = {b: k for k, b in enumerate(bounds)}
+        longer = []
+        for m in _ADDRESS.finditer(text, start, end):
+            i, j = place.get(m.start()), place.get(m.end())
+            if i is not None and j is not None and j - i > LONGEST:
+                longer.append((i, j))
+        # what is taken parts the place
+        out: list[Span] = []
+        low = k = at = 0
+        n = len(bounds) - 1
+        for t in range(n + 1):
+            while k < len(taken) and t < n and taken[k][1] <= bounds[t]:
+                k += 1
+            if t == n or k < len(taken) and taken[k][0] < bounds[t + 1]:
+                if t > low:
+                    own = []
+                    while at < len(longer) and longer[at][0] < t:
+                        if longer[at][0] >= low and longer[at][1] <= t:
+                            own.append(longer[at])
+                        at += 1
+                    out += self._run(text, bounds, low, t, own)
+                low = t + 1
+        return out
+
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Base spans and what the field adds outside them."""
         if not self.weights or not _TRIGGER.search(text):
             return base
-        taken = sorted((a, b) for _, a, b in base)
+        taken: list[list[int]] = []
+        for a, b in sorted((a, b) for _, a, b in base):
+            if taken and a < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], b)
+            else:
+                taken.append([a, b])
         out = list(base)
         k = 0
         for start, end in places(text):
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            here = []
-            for a, b in taken[k:]:
-                if a >= end:
-                    break
-                here.append((a, b))
-            out += self.best(text, start, end, here)
+            stop = k
+            while stop < len(taken) and taken[stop][0] < end:
+                stop += 1
+            out += self.best(text, start, end, taken[k:stop])
         return out
 
 

@@ -1,11 +1,12 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm.pii import KINDS, LONGEST, SpanField, base_spans, candidates_of, detected, learn, luhn, masked, places, shown, train
+from corpusforge.llm.pii import KINDS, LONGEST, SpanField, base_spans, candidates_of, detected, features, learn, luhn, masked, places, shown, train
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -132,3 +133,31 @@ def test_query_and_edges(spark, field):
     assert isinstance(learned, SpanField) and learned.weights
     assert learn(docs.limit(0)).weights
     assert docs.limit(0).select(detected(field).alias("p")).count() == 0
+
+
+def test_long_texts_take_linear_time(field):
+    """A megabyte of numbers on one line, taken or not, and of log lines."""
+    draw = random.Random(2)
+    phones = " ".join(f"+1 ({draw.randrange(200, 999)}) 555-{draw.randrange(10000):04d}" for _ in range(55_000))
+    numbers = " ".join(f"{draw.randrange(200, 999)}-{draw.randrange(10000):04d}" for _ in range(110_000))
+    log = "\n".join(f"2024-01-{k % 18 + 10} 12:{k % 49 + 10}:07 INFO 10.{k % 256}.1.7 GET /a/{draw.randrange(10**6)} 200 user{k % 99}@ex.org" for k in range(14_000))
+    for text in (phones, numbers, log):
+        assert len(text) > 900_000
+        start = time.process_time()
+        base = base_spans(text)
+        found = field.spans(text, base)
+        assert time.process_time() - start < 30
+        assert set(base) <= set(found)
+        part = text[: text.rindex(" ", 0, 3000)]
+        assert {s for s in found if s[2] < 2900} == {s for s in field.spans(part, base_spans(part)) if s[2] < 2900}
+
+
+def test_shapes_score_as_their_spans(field):
+    """Scores that are kept by shape are those of the features; a small bound on kept shapes changes nothing."""
+    draw = random.Random(6)
+    for _ in range(3000):
+        text = "".join(draw.choice(["1", "29", "256", "4111", "0", "-", ".", " ", "(", ")", "+", "a", "at", "@", "é"]) for _ in range(draw.randint(1, 14)))
+        a = draw.randrange(len(text))
+        b = draw.randrange(a + 1, len(text) + 1)
+        names = features(text, a, b)
+        assert field.scored(text, a, b) == (None if names is None else field.score(names))
