@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusforge.functions._util import as_col
+from corpusforge.functions.text import let
 
 
 def softmax(scores) -> Column:
     """exp(v - max) / sum(exp(v - max)), elementwise over an array<double>."""
     p = as_col(scores)
-    m = F.array_max(p)
-    e = F.transform(p, lambda v: F.exp(v - m))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / total)
+    # the maximum and the sum are bound once: an expression inside a lambda is evaluated for every element
+    e = let(F.array_max(p), lambda m: F.transform(p, lambda v: F.exp(v - m)))
+    return let(e, lambda x: let(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(x, lambda v: v / total)))
 
 
 def argmax(scores) -> Column:

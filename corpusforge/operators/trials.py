@@ -2,24 +2,21 @@
 
 A series table is (cohort, trial_id, seq, t, metric).  Every step is a
 partial-merging aggregate keyed by cohort or (cohort, trial), also those of the
-Student t fit; its parameters, a few numbers for each cohort, are followed on the
-driver, and only the distribution function of the values runs in Python (Arrow).
+Student t fit; its parameters, a few numbers for each cohort, stay a DataFrame.  In
+Python (Arrow) run the fit of a cohort's bounded summary, the Newton steps from
+merged sums and the distribution function of the values.
 """
 
 from __future__ import annotations
 
-import logging
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.functions.student_t import t_cdf
-
-log = logging.getLogger(__name__)
+from corpusforge.functions.student_t import NU_RANGE, fit_weighted, newton_step, t_cdf
 
 # Fixed value from the reference: outlier confidence (p at or below it flags a trial).
 DEFAULT_CONF = 0.15
@@ -78,73 +75,85 @@ def common_snapshot(series: DataFrame, roster: DataFrame | None = None) -> DataF
     )
 
 
-#: Degrees of freedom tried at a time, their range, and how often the range is narrowed to the best one's neighbours.
-GRID, NU_RANGE, ROUNDS = 8, (0.05, 1e6), 4
-#: Steps of a round at most, and the relative change at which it ends.
-STEPS, SETTLED = 15, 1e-4
+#: Bins of the summary for each unit of asinh(distance from the median in robust scales).
+BINS = 256
+#: Newton steps over all values behind the fit of the summary, and the largest last step of a settled fit.
+POLISH, SETTLED = 3, 1e-6
+_PARAMETERS = "nu double, loc double, scale double, free boolean, moved double"
+_PARAMETER_TYPE = T.StructType([T.StructField(c, T.BooleanType() if c == "free" else T.DoubleType()) for c in ("nu", "loc", "scale", "free", "moved")])
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    """(cohort, n, m, v): counts, means and variances of each cohort's values in bins around its median.
 
+    The bins are narrow against the cohort's spread and grow with the distance, so a cohort of any size
+    has a few thousand; equal values give their own count and no variance.
+    """
+    spread = rows.groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_pop("metric").alias("sd"), F.percentile_approx("metric", [0.25, 0.5, 0.75], 1000).alias("q")
+    ).where("n >= 3 and sd > 0")
+    robust = (F.col("q")[2] - F.col("q")[0]) / 1.349
+    spread = spread.select("cohort", F.col("q")[1].alias("middle"), F.when(robust > 0, robust).otherwise(F.col("sd")).alias("width"))
+    place = F.floor(F.asinh((F.col("metric") - F.col("middle")) / F.col("width")) * BINS)
+    bins = rows.join(spread, "cohort").groupBy("cohort", place.alias("bin"))
+    return bins.agg(F.count(F.lit(1)).alias("n"), F.avg("metric").alias("m"), F.var_pop("metric").alias("v")).drop("bin")
+
+
+def _fit_summary(table: pa.Table) -> pa.Table:
+    """The fit of one cohort's bins; a bin with a variance stands for two values around its mean."""
+    n, m, v = (np.asarray(table.column(c).combine_chunks(), dtype=float) for c in ("n", "m", "v"))
+    apart = np.sqrt(np.maximum(v, 0.0))
+    single = apart == 0
+    y = np.concatenate([m[single], (m - apart)[~single], (m + apart)[~single]])
+    count = np.concatenate([n[single], n[~single] / 2, n[~single] / 2])
+    found = fit_weighted(y, count)
+    columns = [table.column("cohort").slice(0, 0 if found is None else 1)]
+    columns += [pa.array([] if found is None else [x], kind) for x, kind in zip(found or (0.0,) * 4, (pa.float64(),) * 3 + (pa.bool_(),), strict=True)]
+    return pa.table([*columns, pa.array([None] * len(columns[1]), pa.float64())], names=["cohort", "nu", "loc", "scale", "free", "moved"])
+
+
+@F.pandas_udf(_PARAMETER_TYPE)
+def _stepped(n: pd.Series, wz: pd.Series, wqz: pd.Series, q: pd.Series, wq: pd.Series, logs: pd.Series,
+             nu: pd.Series, loc: pd.Series, scale: pd.Series, free: pd.Series) -> pd.DataFrame:
+    step, peak = newton_step(n, wz, wqz, q, wq, logs, scale, nu, free)
+    size = np.abs(step).max(axis=1)
+    step = step * np.where(peak, np.minimum(1.0, 1.0 / np.maximum(size, 1e-300)), 0.0)[:, None]
+    return pd.DataFrame({
+        "nu": np.clip(nu * np.exp(step[:, 2]), *NU_RANGE), "loc": loc + step[:, 0] * scale, "scale": scale * np.exp(step[:, 1]),
+        "free": free, "moved": np.where(peak, size, np.inf),
+    })
+
+
+def _polished(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """One Newton step of every cohort from sums over all its values, merged before the shuffle."""
+    z = (F.col("metric") - F.col("loc")) / F.col("scale")
+    terms = rows.join(fits, "cohort").withColumn("z", z).withColumn("r", F.col("z") * F.col("z") / F.col("nu")).withColumn("w", 1 / (1 + F.col("r")))
+    w, q = F.col("w"), 1 - F.col("w")
+    sums = terms.groupBy("cohort", "nu", "loc", "scale", "free").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * q * F.col("z")).alias("wqz"),
+        F.sum(q).alias("q"), F.sum(w * q).alias("wq"), F.sum(F.log1p("r")).alias("logs"),
+    )
+    new = _stepped("n", "wz", "wqz", "q", "wq", "logs", "nu", "loc", "scale", "free")
+    return sums.select("cohort", new.alias("f")).select("cohort", "f.*")
 
-def _fit_cohorts(rows: DataFrame) -> DataFrame:
-    """(cohort, nu, loc, scale): maximum-likelihood Student t of each cohort's values.
 
-    For every cohort a grid of degrees of freedom is followed at once.  One step is one
-    aggregate over the rows, three sums for each grid value, merged before the shuffle, so a
-    cohort of any size is spread over all tasks; the steps are those of the parameter-expanded
-    EM (Kent, Tyler and Vardi, 1994).  After each round the grid is narrowed to the
-    neighbours of the likeliest value.  Cohorts with fewer than 3 values or without spread have no fit.
+def fit_cohorts(rows: DataFrame) -> DataFrame:
+    """(cohort, nu, loc, scale, status): maximum-likelihood Student t of each cohort's finite values (cohort, metric).
+
+    A mergeable summary of each cohort, a few thousand bins whatever its size, is fitted inside one
+    task for each cohort.  Newton steps over all values follow, so the result is the fit of the values
+    themselves; each is one aggregate of six sums, and the parameters stay a DataFrame.  ``status``:
+    ``converged``; ``boundary``, the degrees of freedom are at an end of their range (the upper one is the
+    normal distribution for all purposes); ``unconverged``, the last step was larger than ``SETTLED``.
+    Cohorts with fewer than 3 values, without spread, or with no maximum but around a repeated value
+    have no row.
     """
-    spark = rows.sparkSession
-    start = rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.avg("metric").alias("mu"), F.stddev_pop("metric").alias("sd")).where("n >= 3 and sd > 0").collect()
-    fits = "cohort string, nu double, loc double, scale double"
-    if not start:
-        return spark.createDataFrame([], fits)
-    names = [r["cohort"] for r in start]
-    n = np.array([r["n"] for r in start], float)[:, None]
-    mu, sd = (np.repeat(np.array([r[c] for r in start], float)[:, None], GRID, axis=1) for c in ("mu", "sd"))
-    low, high = (np.full(len(names), math.log(v)) for v in NU_RANGE)
-    spread = sd.copy()
-    y = F.col("metric")
-
-    def sums(*terms) -> list[np.ndarray]:
-        """Sums over each cohort's rows of the terms of every grid value."""
-        given = [(c, *(x.tolist() for x in (nu[k], mu[k], sd[k]))) for k, c in enumerate(names)]
-        given = spark.createDataFrame(given, "cohort string, nu array<double>, mu array<double>, sd array<double>")
-        joined = rows.join(given, "cohort")
-        aggregates = []
-        for g in range(GRID):
-            z2 = ((y - F.col("mu")[g]) / F.col("sd")[g]) ** 2
-            aggregates += [F.sum(term(F.col("nu")[g], z2)) for term in terms]
-        found = {r[0]: r[1:] for r in joined.groupBy("cohort").agg(*aggregates).collect()}
-        out = np.array([found[c] for c in names], float).reshape(len(names), GRID, len(terms))
-        return [out[:, :, k] for k in range(len(terms))]
-
-    def weight(nu_, z2):
-        return (nu_ + 1) / (nu_ + z2)
-
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
-    at = np.arange(len(names))
-    for _round in range(ROUNDS):
-        log_nu = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, GRID)[None, :]
-        nu = np.exp(log_nu)
-        for _ in range(STEPS):
-            s0, s1, s2 = sums(weight, lambda v, z: weight(v, z) * y, lambda v, z: weight(v, z) * y * y)
-            new_mu = s1 / s0
-            new_sd = np.sqrt(np.maximum(s2 - new_mu * s1, 1e-300) / s0)
-            alive = new_sd > 1e-6 * spread  # else the likelihood grows without bound around a repeated value
-            moved = np.where(alive, np.maximum(np.abs(new_mu - mu) / sd, np.abs(new_sd / sd - 1)), 0).max()
-            mu, sd = new_mu, new_sd
-            if moved < SETTLED:
-                break
-        else:
-            log.info("round %d of the fit still moved by %g after %d steps", _round, moved, STEPS)
-        (tails,) = sums(lambda v, z: F.log1p(z / v))
-        likely = n * (lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(nu * math.pi) - np.log(sd)) - (nu + 1) / 2 * tails
-        # a scale that shrinks onto one value has unbounded likelihood and is no fit
-        best = np.where(sd > 1e-6 * spread, likely, -np.inf).argmax(axis=1)
-        low, high = log_nu[at, np.maximum(best - 1, 0)], log_nu[at, np.minimum(best + 1, GRID - 1)]
-        result = [(c, float(nu[k, b]), float(mu[k, b]), float(sd[k, b])) for k, (c, b) in enumerate(zip(names, best, strict=True))]
-        mu, sd = (np.repeat(x[at, best][:, None], GRID, axis=1) for x in (mu, sd))
-    return spark.createDataFrame(result, fits)
+    kind = rows.schema["cohort"].dataType.simpleString()
+    fits = _summary(rows).groupBy("cohort").applyInArrow(_fit_summary, f"cohort {kind}, {_PARAMETERS}")
+    for _ in range(POLISH):
+        fits = _polished(rows, fits)
+    status = F.when(F.col("moved") > SETTLED, "unconverged").when(F.col("free"), "converged").otherwise("boundary")
+    return fits.select("cohort", "nu", "loc", "scale", status.alias("status"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -155,19 +164,21 @@ def _t_cdf_udf(x: pd.Series, nu: pd.Series, loc: pd.Series, scale: pd.Series) ->
 
 def flag_outliers(series: DataFrame, mode: str = "max", conf: float = DEFAULT_CONF,
                   roster: DataFrame | None = None) -> DataFrame:
-    """(cohort, trial_id, metric, p, outlier): fit Student t on the finite snapshot values of each cohort.
+    """(cohort, trial_id, metric, p, outlier, status): fit Student t on the finite snapshot values of each cohort.
 
-    Values without a fit, and values that are not finite, have a null p and are no outliers.
+    ``status`` is that of the cohort's fit, or ``no fit``.  Values without a settled fit, and values that
+    are not finite, have a null p and are no outliers.
     """
     snap = common_snapshot(series, roster).select("cohort", "trial_id", "metric").checkpoint(eager=True)
     finite = F.abs("metric") < float("inf")
-    fits = _fit_cohorts(snap.where(finite).select(F.col("cohort").cast("string").alias("cohort"), "metric"))
-    scored = snap.join(fits, snap["cohort"].cast("string") == fits["cohort"], "left").drop(fits["cohort"])
-    p = _t_cdf_udf(F.when(finite, F.col("metric")), F.col("nu"), F.col("loc"), F.col("scale"))
+    fits = fit_cohorts(snap.where(finite).select("cohort", "metric"))
+    scored = snap.join(fits, "cohort", "left")
+    status = F.coalesce("status", F.lit("no fit"))
+    settled = finite & status.isin("converged", "boundary")
+    p = _t_cdf_udf(F.when(settled, F.col("metric")), F.col("nu"), F.col("loc"), F.col("scale"))
     p = (F.lit(1.0) - p) if mode == "min" else p
-    return scored.select("cohort", "trial_id", "metric", p.alias("p")).withColumn(
-        "outlier", F.coalesce(F.col("p") <= F.lit(conf), F.lit(False))
-    )
+    flags = scored.select("cohort", "trial_id", "metric", p.alias("p"), status.alias("status"))
+    return flags.select("cohort", "trial_id", "metric", "p", F.coalesce(F.col("p") <= F.lit(conf), F.lit(False)).alias("outlier"), "status")
 
 
 def triage_trials(series: DataFrame, mode: str = "max", conf: float = DEFAULT_CONF) -> DataFrame:

@@ -17,7 +17,7 @@ State and checkpoints live under the reliable checkpoint folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -163,8 +163,12 @@ class TrialMonitor:
     (idempotent), and a restarted driver resumes from the newest committed state.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, mode: str = "max", conf: float = 0.15):
+    def __init__(self, spark: SparkSession, root: str | None = None, mode: str = "max", conf: float = 0.15,
+                 roster: Callable[[], DataFrame] | None = None):
+        """``roster`` is asked in every micro-batch for the trials (cohort, trial_id, active) known by then: a cohort has no
+        snapshot before each active trial has a point, and trials that are no longer active (errored, removed) leave."""
         self.spark = spark
+        self.roster = roster
         self.root = root or _stream_dir(spark, "trials")
         self.mode = mode
         self.conf = conf
@@ -204,15 +208,23 @@ class TrialMonitor:
         else:
             series = new
         series = series.checkpoint(eager=True)
-        flags = flag_outliers(series, self.mode, self.conf).withColumn("epoch", F.lit(epoch))
+        roster = None
+        if self.roster is not None:
+            roster = self.roster().where("active").select("cohort", "trial_id").distinct()
+            if removed is not None:
+                roster = roster.join(removed, ["cohort", "trial_id"], "left_anti")
+            roster = roster.checkpoint(eager=True)
+        flags = flag_outliers(series, self.mode, self.conf, roster)
         best = best_trial(series, self.mode).select("cohort", F.col("trial_id").alias("best_trial_id"))
-        flags = flags.join(best, "cohort", "left").drop("epoch").checkpoint(eager=True)
+        flags = flags.join(best, "cohort", "left").checkpoint(eager=True)
         flags.write.mode("overwrite").parquet(f"{self.root}/flags/epoch={epoch}")
         flagged = flags.where("outlier").select("cohort", "trial_id")
         gone = flagged if removed is None else removed.unionByName(flagged).distinct()
         gone.write.mode("overwrite").parquet(f"{self.root}/removed/epoch={epoch}")
         # bounded state: keep points at or after the snapshot time (each trial's newest point included)
-        snap = common_snapshot(series).select("cohort", "x").distinct()
+        if roster is not None:
+            roster = roster.join(flagged, ["cohort", "trial_id"], "left_anti")
+        snap = common_snapshot(series, roster).select("cohort", "x").distinct()
         kept = series.join(flagged, ["cohort", "trial_id"], "left_anti").join(snap, "cohort", "left")
         kept = kept.where(F.col("x").isNull() | (F.col("t") >= F.col("x"))).drop("x")
         kept.write.mode("overwrite").parquet(f"{self.root}/state/epoch={epoch}")

@@ -245,3 +245,106 @@ def test_final_metrics_strict_fails_on_ambiguous_run(spark):
     log = spark.createDataFrame([(3, 2, 0.3, None), (3, 2, 0.2, None)], "run_id long, step int, train_loss double, eval_loss double")
     with pytest.raises(Exception, match="no single final train row"):
         TR.final_metrics(log, strict=True).collect()
+
+
+def test_digamma_and_trigamma_are_derivatives():
+    from corpusforge.functions.student_t import digamma, trigamma
+
+    for x in (0.03, 0.5, 1.0, 7.9, 8.1, 1e4):
+        h = 1e-5 * max(x, 1e-1)
+        assert digamma(x)[0] == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rel=1e-5, abs=1e-5)
+        assert trigamma(x)[0] == pytest.approx((digamma(x + h)[0] - digamma(x - h)[0]) / (2 * h), rel=1e-5)
+    assert digamma(1.0)[0] == pytest.approx(-0.5772156649015329, abs=1e-12)
+    assert trigamma(1.0)[0] == pytest.approx(math.pi**2 / 6, abs=1e-12)
+
+
+def reference_fit(y):
+    """Likeliest t by a simplex search from several starts, on plain sums."""
+    def cost(v):
+        mu, s, t = v
+        if not math.log(0.05) <= t <= math.log(1e6):
+            return math.inf
+        nu, sd = math.exp(t), math.exp(s)
+        z = (y - mu) / sd
+        one = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - s
+        return -(len(y) * one - (nu + 1) / 2 * np.log1p(z * z / nu).sum())
+
+    best = None
+    for nu0 in (1.0, 5.0, 50.0):
+        points = [np.array([np.median(y), math.log(y.std()), math.log(nu0)])]
+        for round_ in range(6):
+            size = 0.3 * 0.1**round_
+            points = [points[0]] + [points[0] + size * e * [y.std(), 1, 1] for e in np.eye(3)]
+            values = [cost(p) for p in points]
+            for _ in range(400):
+                order = np.argsort(values)
+                points, values = [points[k] for k in order], [values[k] for k in order]
+                mid = sum(points[:3]) / 3
+                away = 2 * mid - points[3]
+                f = cost(away)
+                if f < values[0]:
+                    far = 3 * mid - 2 * points[3]
+                    g = cost(far)
+                    points[3], values[3] = (far, g) if g < f else (away, f)
+                elif f < values[2]:
+                    points[3], values[3] = away, f
+                else:
+                    near = (mid + points[3]) / 2
+                    g = cost(near)
+                    if g < values[3]:
+                        points[3], values[3] = near, g
+                    else:
+                        points = [points[0]] + [(points[0] + p) / 2 for p in points[1:]]
+                        values = [values[0]] + [cost(p) for p in points[1:]]
+        if best is None or min(values) < best[0]:
+            best = (min(values), points[int(np.argmin(values))])
+    mu, s, t = best[1]
+    return math.exp(t), mu, math.exp(s)
+
+
+def test_p_equals_a_reference_optimizer(spark):
+    rng = np.random.default_rng(21)
+    cohorts = {"t3": rng.standard_t(3, 400) * 2 - 1, "cauchy": rng.standard_cauchy(900), "t8": 5 + 0.01 * rng.standard_t(8, 3000), "ties": np.round(rng.standard_t(4, 500), 1)}
+    rows = [(c, k, k, 1.0, float(v)) for c, vs in cohorts.items() for k, v in enumerate(vs)]
+    series = spark.createDataFrame(rows, "cohort string, trial_id long, seq long, t double, metric double").repartition(6)
+    flags = TR.flag_outliers(series)
+    assert flags.columns == ["cohort", "trial_id", "metric", "p", "outlier", "status"]
+    got = {(r.cohort, r.trial_id): r for r in flags.collect()}
+    for c, vs in cohorts.items():
+        want = t_cdf(vs, *reference_fit(vs))
+        for k, p in enumerate(want):
+            assert got[c, k].status == "converged" and abs(got[c, k].p - p) < 1e-6
+
+
+def test_fit_states_and_a_large_cohort(spark):
+    rng = np.random.default_rng(3)
+    rows = [("flat", k, k, 1.0, 1.0) for k in range(9)] + [("two", k, k, 1.0, float(k)) for k in range(2)]
+    rows += [("uniform", k, k, 1.0, float(v)) for k, v in enumerate(rng.random(200))]
+    rows += [("spike", k, k, 1.0, float(max(0, k - 40))) for k in range(80)]
+    series = spark.createDataFrame(rows, "cohort string, trial_id long, seq long, t double, metric double")
+    status = {r.cohort: r.status for r in TR.flag_outliers(series).select("cohort", "status").distinct().collect()}
+    assert status["flat"] == status["two"] == "no fit" and status["uniform"] == "boundary" and status["spike"] in ("no fit", "unconverged", "boundary", "converged")
+    many = spark.range(400_000).select(F.lit("all").alias("cohort"), (F.tan((F.rand(5) - 0.5) * math.pi) * 3 + 1).alias("metric")).checkpoint()
+    summary = TR._summary(many)
+    assert summary.agg(F.sum("n")).first()[0] == 400_000 and summary.count() < 12_000
+    fit = TR.fit_cohorts(many).first()
+    assert fit.status == "converged" and fit.nu == pytest.approx(1, abs=0.02) and fit.loc == pytest.approx(1, abs=0.05) and fit.scale == pytest.approx(3, abs=0.05)
+
+
+def test_softmax_cost_grows_with_the_length(spark):
+    import time
+
+    from corpusforge.functions.arrays import softmax
+
+    def seconds(width):
+        rows = spark.range(4000).select(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.sin(k + F.col("id"))).alias("v")).checkpoint()
+        run = rows.select(F.aggregate(softmax("v"), F.lit(0.0), lambda a, b: a + b).alias("s")).agg(F.sum("s"))
+        run.collect()
+        best = math.inf
+        for _ in range(3):
+            t = time.perf_counter()
+            assert run.first()[0] == pytest.approx(4000)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert seconds(128) < 10 * max(seconds(16), 0.05)

@@ -99,3 +99,24 @@ def test_host_tally_merges_across_micro_batches(spark):
             last[r["hostname"]] = r
     batch = {r["hostname"]: r for r in crawl.host_summary(idx).collect()}
     assert {h: (r["n"], r["n_root"], r["url"]) for h, r in last.items()} == {h: (r["n"], r["n_root"], r["url"]) for h, r in batch.items()}
+
+
+def test_monitor_waits_for_the_roster_and_lets_trials_leave(spark):
+    """No snapshot before every active trial has a point; errored trials leave the cohort, completed ones stay."""
+    rows = {0: [("c", k, 1, 1.0, float(k)) for k in range(5)], 1: [("c", 5, 1, 1.0, 2.5), ("c", 0, 2, 2.0, 0.5)], 2: [("c", k, 3, 3.0, float(k)) for k in range(1, 6)]}
+    active = {0: range(6), 1: range(6), 2: range(1, 6)}
+    now = [0]
+    schema = "cohort string, trial_id long, seq long, t double, metric double"
+
+    def roster():
+        return spark.createDataFrame([("c", k, k in active[now[0]]) for k in range(6)], "cohort string, trial_id long, active boolean")
+
+    mon = W.TrialMonitor(spark, conf=0.0, roster=roster)
+    flags = []
+    for epoch, batch in rows.items():
+        now[0] = epoch
+        mon(spark.createDataFrame(batch, schema), epoch)
+        flags.append({r.trial_id: r.metric for r in spark.read.parquet(f"{mon.root}/flags/epoch={epoch}").collect()})
+    # trial 5 has no point yet; then all have; then trial 0 is gone and the others' newest common time is 3
+    assert flags == [{}, {0: 0.0, 1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0, 5: 2.5}, {k: float(k) for k in range(1, 6)}]
+    assert {r.t for r in mon.state().where("trial_id > 0").collect()} == {3.0}
