@@ -39,15 +39,22 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; one of the rows that repeat an id."""
+    """Of each group of near texts the one with the smallest id stays, and one of the rows that repeat an id with its text.
+
+    A row is judged by its id and text, so different texts under one id do not stand for each other.
+    """
     prepare(spark)
-    found = written(spark, simhash.near_duplicates(spark, docs.select("doc_id", "text")))
-    found = found.where("doc_id is not null")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = written(spark, found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    single = docs.join(dropped, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
-    once = docs.join(repeated, "doc_id", "left_semi").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).unionByName(once.select(*docs.columns))
+    own = fresh(docs, "text_hash")
+    docs = docs.withColumn(own, F.xxhash64("text"))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), F.col(own).alias("text_hash")))
+    found = written(spark, simhash.near_duplicates(spark, docs.select(key.alias("key"), "text"), id_col="key")).where("key is not null")
+    pair = [F.col("key.doc_id").alias("doc_id"), F.col("key.text_hash").alias(own)]
+    dropped = found.where("key <> component_id").select(*pair).distinct()
+    repeated = written(spark, found.groupBy("key").count().where("count > 1").select(*pair))
+    left = docs.join(dropped, ["doc_id", own], "left_anti")
+    single = left.join(repeated, ["doc_id", own], "left_anti")
+    once = left.join(repeated, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own])
+    return single.unionByName(once).select(*(c for c in docs.columns if c != own))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
