@@ -82,3 +82,18 @@ def test_null_ids_and_further_columns(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 7), (False, 9), (True, 0), (True, 0)]
     assert pipeline.judge_quality(spark, docs, "").columns == docs.columns
     assert language_id.UNKNOWN == "und"
+
+
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    """Rows are dropped for their own text; one text of an id does not stand for another."""
+    def text(seed):
+        return " ".join(f"w{seed}x{k}" for k in range(80))
+
+    a, b, c, d = (text(s) for s in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, d + " end"), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").withColumn("text_hash", F.lit("x"))
+    out = pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert [x for x in got if x[0] < 5 and x[1] != d + " end"] == [(1, a), (2, b), (3, c), (3, d)]
+    assert len([x for x in got if x[0] == 5]) == 1
