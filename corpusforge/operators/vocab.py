@@ -2,28 +2,17 @@
 jobs (M1, M2), tokenization (T9, T7), id lookups (J5), detokenization (T10),
 special-token audit (J6) and vocabulary triage (A18).
 
-Learning (Kudo, 2018), all distributed except the piece table, whose size is
-bounded by ``seed_size`` or four times the target:
-
-1. normalize and pre-split documents natively into units, count units
-   (partial + final aggregate), checkpoint the counts;
-2. seed pieces: every unit substring up to the longest piece is counted by an
-   aggregate, the top ``seed_size`` by frequency x length are kept, plus the characters that cover 99.95 % of the text;
-3. EM: the piece table is broadcast, each task runs forward-backward over its
-   units (mapInPandas) and emits expected counts, merged by a group-by; the
-   M-step runs on the driver over the bounded piece table;
-4. prune the 25 % of pieces whose removal loses least likelihood (computed
-   by a distributed pass over the piece table), until the target size.
+Learning: documents are normalized as the library does by default, pre-split natively into units,
+units are counted by a partial + final aggregate, and ``unigram_learner`` makes a vocabulary of
+them.
 """
 
 from __future__ import annotations
 
-import logging
 import math
 import re
-import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -32,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.text import MAX_SENTENCE_BYTES, btrim, has_reserved_mark
+from corpusforge.functions.normalizer import normalize_text
 from corpusforge.functions.unigram import Lattice
+from corpusforge.operators.unigram_learner import SEED_SIZE, UNK_PENALTY, learn_pieces, repeated_substrings
 from corpusforge.operators.vocab_stats import avg_token_len as vocab_avg_token_len
 
 # Fixed values from the reference: the vocabulary-name grammar (switches in this
@@ -44,25 +35,7 @@ MAX_PIECE_LEN = 64
 SPACE = "▁"
 SPECIALS = [("<unk>", "UNKNOWN"), ("<s>", "CONTROL"), ("</s>", "CONTROL"), ("<pad>", "CONTROL"), ("<mask>", "USER_DEFINED")]
 
-log = logging.getLogger(__name__)
-
 CHAR_COVERAGE = 0.9995
-MIN_EXPECTED = 0.5  # pieces expected less often than this are dropped after an M-step (characters stay)
-
-
-def _digamma(x: float) -> float:
-    """psi(x) for x > 0: recurrence up to 6, then the asymptotic series."""
-    r = 0.0
-    while x < 6.0:
-        r -= 1.0 / x
-        x += 1.0
-    f = 1.0 / (x * x)
-    return r + math.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
-SHRINK = 0.75
-#: Candidate pieces that learning starts from.
-SEED_SIZE = 1 << 15
-#: Cost of an unknown character below the least likely piece, in nats.
-UNK_PENALTY = 10.0
 VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, type STRING"
 
 
@@ -75,6 +48,9 @@ class VocabSpec:
     whitespace_as_suffix: bool = False
     whitespace_only_pieces: bool = False
     split_digits: bool = False
+    #: Not part of the name: whether runs of white space become one mark, as they do by default.  Without runs there
+    #: is nothing for ``whitespace_only_pieces`` to change.
+    join_spaces: bool = True
 
     @staticmethod
     def parse(name: str) -> "VocabSpec":
@@ -128,14 +104,28 @@ def unit_pattern(spec: VocabSpec, user_symbols: Sequence[str] = ()) -> str:
         alts = [f"{c}{SPACE}?" for c in classes]
     else:
         alts = [f"{SPACE}?{c}" for c in classes]
+    if not spec.join_spaces:
+        # marks before (behind) the one of a word: a unit together, or one by one
+        run = f"{SPACE}++" if spec.whitespace_only_pieces else SPACE
+        if spec.whitespace_as_suffix or not spec.split_by_whitespace:
+            alts.append(run)
+        elif spec.whitespace_only_pieces:
+            alts += [f"{SPACE}+(?={SPACE}[^{SPACE}])", run]
+        else:
+            alts.append(f"{SPACE}(?=[{SPACE}])")
+            alts.append(run)
     if user_symbols:
         alts = [alts_u, f"{SPACE}(?={alts_u})"] + alts
     return "|".join(alts)
 
 
 def normalize(text: Column, spec: VocabSpec) -> Column:
-    """Whitespace runs become one space marker; a marker is added before (or after) the text."""
-    t = F.regexp_replace(F.trim(text), r"\s+", SPACE)
+    """The library's default normalization; white-space runs become one space marker, and one is added before (or after) the text."""
+    t = normalize_text(text)
+    if spec.join_spaces:
+        t = F.regexp_replace(F.regexp_replace(t, r"\A[ \t\n\f\r]++|[ \t\n\f\r]++\z", ""), r"[ \t\n\f\r]++", SPACE)
+    else:
+        t = F.regexp_replace(t, r"[ \t\n\f\r]", SPACE)
     return F.concat(t, F.lit(SPACE)) if spec.whitespace_as_suffix else F.concat(F.lit(SPACE), t)
 
 
@@ -150,27 +140,12 @@ def corpus_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def unit_counts(docs: DataFrame, spec: VocabSpec, text: str = "text") -> DataFrame:
-    """Counts of the units, cut at the longest piece: no piece can be longer, and units that cross spaces would be whole texts."""
-    cut = F.transform(
-        presplit(F.col("text"), spec),
-        lambda u: F.transform(F.sequence(F.lit(0), ((F.length(u) - 1) / MAX_PIECE_LEN).cast("int")), lambda k: F.substring(u, k * MAX_PIECE_LEN + 1, F.lit(MAX_PIECE_LEN))),
-    )
-    units = corpus_text(docs.select(text), text).select(F.explode(F.flatten(cut)).alias("unit"))
+    """(unit, c): how often each unit occurs."""
+    units = corpus_text(docs.select(text), text).select(F.explode(presplit(F.col("text"), spec)).alias("unit"))
     return units.where(F.length("unit") > 0).groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("c"))
 
 
 # ------------------------------------------------------------------ seeding
-def _substrings(unit: Column, max_len: int) -> Column:
-    n = F.length(unit)
-    inner = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(max_len), n - i + 1)), lambda k: F.substring(unit, i, k)),
-        )
-    )
-    return F.when(n >= 2, inner).otherwise(F.array().cast("array<string>"))
-
-
 def _chars(counts: DataFrame) -> list[tuple[str, float]]:
     chars = (
         counts.select(F.explode(F.split(F.col("unit"), "(?!^)")).alias("ch"), "c")
@@ -188,119 +163,38 @@ def _chars(counts: DataFrame) -> list[tuple[str, float]]:
     return kept
 
 
-def seed_pieces(counts: DataFrame, seed_size: int, seed_len: int = MAX_PIECE_LEN) -> list[tuple[str, float]]:
-    subs = counts.select(F.explode(_substrings(F.col("unit"), seed_len)).alias("piece"), "c")
-    top = (
-        subs.groupBy("piece").agg(F.sum("c").alias("f"))
-        .where(F.col("f") >= 2)
-        .orderBy(F.desc(F.col("f") * F.length("piece")), "piece")
-        .limit(seed_size)
-        .collect()
-    )
-    return [(r["piece"], r["f"]) for r in top]
-
-
-# ------------------------------------------------------------------ EM
-_STATS = "piece string, expected double, vfreq double, loglik double"
-
-
-def _em_task(bc, viterbi: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lat = Lattice(bc.value, max_len=MAX_PIECE_LEN)
-        acc: dict[str, list[float]] = {}
-        ll = 0.0
-        for pdf in batches:
-            for u, c in zip(pdf["unit"], pdf["c"]):
-                ll += lat.expected_counts(u, float(c), acc, viterbi)
-        if acc:
-            yield pd.DataFrame({
-                "piece": list(acc), "expected": [v[0] for v in acc.values()],
-                "vfreq": [v[1] for v in acc.values()], "loglik": [ll] + [0.0] * (len(acc) - 1),
-            })
-
-    return run
-
-
-def _prune_task(bc):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lat = Lattice(bc.value, max_len=MAX_PIECE_LEN)
-        for pdf in batches:
-            losses = []
-            for p, sc, vf in zip(pdf["piece"], pdf["score"], pdf["vfreq"]):
-                if len(p) == 1:
-                    losses.append(float("inf"))
-                    continue
-                _t, _i, alt = lat.viterbi(p, exclude=p)
-                losses.append(vf * (sc - alt) if alt != float("-inf") else float("inf"))
-            yield pd.DataFrame({"piece": pdf["piece"], "loss": losses})
-
-    return run
-
-
-def _to_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame([(p, float(s)) for p, s in scores.items()], "piece string, score double")
+def seed_pieces(counts: DataFrame, spec: VocabSpec, seed_size: int = SEED_SIZE, partitions: int = 8) -> list[tuple[str, float]]:
+    """The ``seed_size`` repeated substrings of the units with the largest count x length (ties go to the smaller), in any order."""
+    found = repeated_substrings(counts, MAX_PIECE_LEN, partitions).where(F.length("piece") > 1)
+    if spec.whitespace_only_pieces:
+        # marks together are a piece, or one is part of a word's
+        found = found.where(~F.col("piece").rlike(f"{SPACE}{{2}}[^{SPACE}]|[^{SPACE}]{SPACE}{{2}}"))
+    found = found.checkpoint(eager=True)
+    if found.count() > seed_size:
+        found = found.orderBy(F.desc(F.col("f") * F.length("piece")), "piece").limit(seed_size)
+    top = found.toArrow()
+    return list(zip(top.column("piece").to_pylist(), top.column("f").to_pylist(), strict=True))
 
 
 def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed_size: int = SEED_SIZE,
-                em_iters: int = 2, max_rounds: int = 24) -> DataFrame:
+                em_iters: int = 2, max_rounds: int = 60) -> DataFrame:
     """Learn a unigram vocabulary of at most ``spec.size`` pieces (specials included).
 
-    ``seed_size`` candidates are considered, four times the target at least.  Raises if
-    ``max_rounds`` prunings do not reach the target.
+    Up to ``seed_size`` candidates are considered, whatever the size.  Raises if ``max_rounds`` prunings do not
+    reach the target.
     """
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    tasks = 2 * sc.defaultParallelism  # EM passes are CPU-bound Python: two tasks per core
-    # spread the distinct units over all tasks: every EM pass is a Python map over them
+    tasks = 2 * spark.sparkContext.defaultParallelism  # passes are CPU-bound Python: two tasks per core
+    # spread the distinct units over all tasks: every pass is a map over them
     counts = unit_counts(docs, spec, text).repartition(tasks).checkpoint(eager=True)
     n_normal = spec.size - len(SPECIALS)
     chars = _chars(counts)
     if len(chars) > n_normal:
         raise ValueError(f"{len(chars)} characters needed for coverage exceed the vocabulary size {spec.size}")
-    t0 = time.perf_counter()
-    freq = dict(seed_pieces(counts, max(seed_size, 4 * spec.size)))
-    log.info("seeded %d pieces, %d chars in %.1fs", len(freq), len(chars), time.perf_counter() - t0)
-    freq.update({c: f for c, f in chars})
-    total = sum(freq.values())
-    scores = {p: math.log(f) - math.log(total) for p, f in freq.items()}
+    learned = learn_pieces(counts, seed_pieces(counts, spec, seed_size, tasks), chars, n_normal, em_iters, max_rounds, tasks)
     char_set = {c for c, _ in chars}
-    vfreq: dict[str, float] = {}
-    for _round in range(max_rounds):
-        for it in range(em_iters):
-            bc = sc.broadcast({p: (i, s) for i, (p, s) in enumerate(scores.items(), start=len(SPECIALS))})
-            # best-path counts feed only the pruning step: compute them on the last sub-iteration
-            stats = counts.mapInPandas(_em_task(bc, it == em_iters - 1), _STATS).groupBy("piece").agg(
-                F.sum("expected").alias("expected"), F.sum("vfreq").alias("vfreq")
-            )
-            rows = stats.where(F.col("expected") >= MIN_EXPECTED).select("piece", "expected", "vfreq").collect()
-            bc.unpersist()
-            # Bayesian M-step: score = digamma(count) - digamma(total)
-            d_total = _digamma(sum(r["expected"] for r in rows) or 1.0)
-            new = {r["piece"]: _digamma(r["expected"]) - d_total for r in rows}
-            vfreq = {r["piece"]: r["vfreq"] for r in rows}
-            floor = min(new.values()) if new else -30.0
-            for c in char_set:
-                new.setdefault(c, floor - 1.0)
-            scores = new
-            log.info("round %d EM: %d pieces at %.1fs", _round, len(scores), time.perf_counter() - t0)
-        if len(scores) <= n_normal:
-            break
-        if _round == max_rounds - 1:
-            raise RuntimeError(f"{max_rounds} prunings left {len(scores)} pieces of {n_normal} wanted")
-        keep = max(n_normal, int(len(scores) * SHRINK))
-        bc = sc.broadcast({p: (0, s) for p, s in scores.items()})
-        table = spark.createDataFrame(
-            [(p, float(s), float(vfreq.get(p, 0.0))) for p, s in scores.items()], "piece string, score double, vfreq double"
-        ).repartition(tasks)
-        losses = table.mapInPandas(_prune_task(bc), "piece string, loss double").collect()
-        bc.unpersist()
-        # characters always stay; the rest compete for the remaining places by loss
-        ranked = sorted((r for r in losses if r["piece"] not in char_set), key=lambda r: (-r["loss"], r["piece"]))
-        kept = {r["piece"] for r in ranked[: max(0, keep - len(char_set))]} | char_set
-        scores = {p: s for p, s in scores.items() if p in kept}
-        log.info("round %d pruned to %d at %.1fs", _round, len(scores), time.perf_counter() - t0)
-    normal = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
+    normal = sorted(learned, key=lambda kv: (-kv[1], kv[0]))
     chars_first = [kv for kv in normal if kv[0] in char_set]
     others = [kv for kv in normal if kv[0] not in char_set][: max(0, n_normal - len(chars_first))]
     final = sorted(chars_first + others, key=lambda kv: (-kv[1], kv[0]))
