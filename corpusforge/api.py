@@ -43,7 +43,7 @@ def html_exchanges(spark: SparkSession, manifest: str, archives_base: str, dst:
 
     def build() -> DataFrame:
         paths = [os.path.join(archives_base, r["path"]) for r in read_manifest(spark, manifest, first).collect()]
-        return html_exchange_dataset(read_archive_list(spark, paths), on_unpaired=on_unpaired, in_order=True)
+        return html_exchange_dataset(read_archive_list(spark, paths), on_unpaired=on_unpaired, in_order=True)  # whole files
 
     return _build_once(spark, dst, build, sinks.HTML_EXCHANGE_SCHEMA, compat)
 

@@ -9,7 +9,8 @@ the record bodies in an equi-join on (file, offset).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +65,8 @@ def fetch_records(locations: DataFrame, records: DataFrame) -> DataFrame:
 def crawl_size_dataset(index: DataFrame, records: DataFrame, limit: int | None = None, **kw) -> DataFrame:
     """(sentence, label, hostname): decoded root page of each host, label = record count."""
     hosts = first_root_page(index, **kw).select("hostname", "n", "warc_filename", "warc_record_offset")
-    fetched = fetch_records(hosts, records.select("warc_filename", "warc_record_offset", "http_headers", "payload"))
-    return _accepted(fetched, limit)
+    slim = records.select("warc_filename", "warc_record_offset", "http_headers", "payload")
+    return first_accepted(hosts, lambda some: accepted(fetch_records(some, slim)), limit)
 
 
 def crawl_size_from_archives(index: DataFrame, base: str, limit: int | None = None, **kw) -> DataFrame:
@@ -77,10 +78,40 @@ def crawl_size_from_archives(index: DataFrame, base: str, limit: int | None = No
     from corpusforge.sources.warc import fetch_records as fetch_ranges
 
     hosts = first_root_page(index, **kw).select("hostname", "n", "warc_filename", "warc_record_offset", "warc_record_length")
-    return _accepted(fetch_ranges(hosts, base), limit)
+    return first_accepted(hosts, lambda some: accepted(fetch_ranges(some, base)), limit)
 
 
-def _accepted(fetched: DataFrame, limit: int | None) -> DataFrame:
+def first_accepted(hosts: DataFrame, accept: Callable[[DataFrame], DataFrame], n: int | None, key: str = "hostname") -> DataFrame:
+    """The first ``n`` rows that ``accept`` makes of the hosts, in host order; all of them without ``n`` (L1).
+
+    Hosts (one row each) are taken in ranges of their order until n rows are accepted: the first range
+    has n hosts, and each further one as many as the acceptance so far lets expect, so little
+    more is fetched than is wanted.  A range is found on the host column alone; null comes first.  What
+    a range gives is checkpointed, so it is fetched once.
+    """
+    if n is None:
+        return accept(hosts)
+    if n <= 0:
+        return accept(hosts.limit(0))
+    hosts = hosts.checkpoint(eager=True)
+    out, have, seen, rest = None, 0, 0, hosts
+    while True:
+        want = n - have if not seen else math.ceil((n - have) * 1.1 * seen / max(have, 1))
+        found = rest.select(key).orderBy(F.col(key).asc_nulls_first()).limit(want).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last")).first()
+        last = F.lit(found["last"])
+        inside = F.col(key).isNull() if found["last"] is None else F.col(key).isNull() | (F.col(key) <= last)
+        got = accept(rest.where(inside)).checkpoint(eager=True)
+        count = got.count()
+        if have + count >= n:
+            got = limit_by_host(got, n - have, key, materialize=False)
+        out = got if out is None else out.unionByName(got)
+        have, seen = have + count, seen + found["n"]
+        if have >= n or found["n"] < want:
+            return out
+        rest = rest.where(~inside)
+
+
+def accepted(fetched: DataFrame) -> DataFrame:
     """Sniff, decode, strip and filter fetched (hostname, n, http_headers, payload) rows.
 
     The sniff is computed in the same projection as the decode (a non-deterministic
@@ -92,14 +123,11 @@ def _accepted(fetched: DataFrame, limit: int | None) -> DataFrame:
         "hostname", "n", looks_like_html(F.col("payload")).alias("is_html"),
         resolve_text(F.col("payload"), ctype)["text"].alias("raw"),
     )
-    out = (
+    return (
         decoded.where(F.col("is_html"))
         .select(strip_trailing_nul(F.col("raw")).alias("sentence"), F.col("n").cast("double").alias("label"), "hostname")
         .where(~F.contains(F.col("sentence"), F.lit("\u0000")))
     )
-    if limit is not None:
-        out = limit_by_host(out, limit)
-    return out
 
 
 def limit_by_host(df: DataFrame, n: int, key: str = "hostname", materialize: bool = True) -> DataFrame:

@@ -2,12 +2,15 @@
 within one archive file (J1, J2, E6) and project them to the HTML exchange
 table (B2-B4, B7-B9, T1; pipeline C2).
 
-Records of a file are read in their order.  A record opens an exchange of its
-URI or joins the open one; a type that repeats before the exchange is complete
-replaces the earlier record; with all three types the exchange is emitted.  No
-state crosses a file, so an archive scan (one partition for each file, in order)
-is paired in its own tasks without a shuffle; other tables are dealt out by file
-first.  A task holds the open exchanges of one file.
+A record opens an exchange of its URI or joins the open one; a type that repeats
+before the exchange is complete replaces the earlier record; with all three types
+the exchange is emitted.  No state crosses a file.
+
+Pairing needs no payload: (file, URI, type, ordinal) alone are dealt out by file and
+URI, so a large file is spread over many tasks, and read in ordinal order with one open
+exchange.  Payloads of complete exchanges meet their pairs by (file, ordinal) afterwards.  An archive scan
+of whole files is paired in its own tasks instead, without a shuffle; a task then holds the open
+exchanges of one file.
 """
 
 from __future__ import annotations
@@ -74,10 +77,55 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _groups(records: DataFrame, in_order: bool) -> DataFrame:
+def _pair_ordinals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair (file, target_uri, rec_type, ordinal) rows that come in order of the first two and the ordinal: one exchange is open at a time."""
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * len(REC_TYPES)]
+    place = {t: k for k, t in enumerate(REC_TYPES)}
+    now, done, open_, rows = None, 0, [None] * len(REC_TYPES), []
+
+    def close() -> None:
+        if any(o is not None for o in open_):
+            rows.append((*now, done + 1, *open_))
+
+    for records in batches:
+        for file, uri, kind, ordinal in zip(*(c.to_pylist() for c in records.columns), strict=True):
+            if (file, uri) != now:
+                close()
+                now, done, open_ = (file, uri), 0, [None] * len(REC_TYPES)
+            open_[place[kind]] = ordinal
+            if None not in open_:
+                done += 1
+                rows.append((*now, done, *open_))
+                open_ = [None] * len(REC_TYPES)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "uri", "generation", *REC_TYPES])
+            rows = []
+    close()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "uri", "generation", *REC_TYPES])
+
+
+def pair_records(records: DataFrame) -> DataFrame:
+    """(file, uri, generation, request, response, metadata): the ordinals of each exchange, null where a record is missing."""
+    keys = records.where(F.col("rec_type").isin(*REC_TYPES)).select("file", "target_uri", "rec_type", "ordinal")
+    keys = keys.repartition("file", "target_uri").sortWithinPartitions("file", "target_uri", "ordinal")
+    return keys.mapInArrow(_pair_ordinals, "file string, uri string, generation int, " + ", ".join(f"{t} long" for t in REC_TYPES))
+
+
+def _with_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Each exchange's ordinals replaced by structs of its records, met once by (file, ordinal)."""
+    members = F.explode(F.array(*[F.struct(F.lit(t).alias("slot"), F.col(t).alias("ordinal")) for t in REC_TYPES])).alias("m")
+    wanted = pairs.select("file", "uri", "generation", members).select("file", "uri", "generation", "m.slot", "m.ordinal").where("ordinal is not null")
+    own = records.select(F.col("file").alias("f"), F.col("ordinal").alias("o"), "warc_date", "http_headers", "payload")
+    met = wanted.join(own, F.col("file").eqNullSafe(F.col("f")) & (F.col("ordinal") == F.col("o")))
+    record = F.struct("ordinal", F.col("uri").alias("target_uri"), "warc_date", "http_headers", "payload")
+    return met.groupBy("file", "uri", "generation").agg(
+        F.count(F.lit(1)).alias("n_records"), *[F.first(F.when(F.col("slot") == t, record), ignorenulls=True).alias(t) for t in REC_TYPES]
+    )
+
+
+def _groups_in_order(records: DataFrame) -> DataFrame:
     wanted = records.where(F.col("rec_type").isin(*REC_TYPES)).select(*_EXACT_COLS)
-    if not in_order:
-        wanted = wanted.repartition("file").sortWithinPartitions("file", "ordinal")
     flat = wanted.mapInArrow(_pair, _EXACT_SCHEMA)
 
     def rec(t: str):
@@ -97,21 +145,22 @@ def assemble_exchanges(records: DataFrame, on_unpaired: str = "error", in_order:
     ``on_unpaired``: ``error`` fails the job on an incomplete group, ``drop``
     keeps complete ones, ``report`` returns only the incomplete groups with the
     types they miss.  ``in_order`` says that every partition holds whole files in
-    ordinal order, as the archive scan gives them: nothing is shuffled then.
+    ordinal order, as the archive scan of whole files gives them: nothing is shuffled then.
     """
     if on_unpaired not in ("error", "drop", "report"):
         raise ValueError(f"unknown on_unpaired {on_unpaired!r}")
-    groups = _groups(records, in_order)
-    complete = F.col("request").isNotNull() & F.col("response").isNotNull() & F.col("metadata").isNotNull()
+    groups = _groups_in_order(records) if in_order else pair_records(records)
+    missing = F.array_compact(F.array(*[F.when(F.col(t).isNull(), F.lit(t)) for t in REC_TYPES]))
+    complete = F.size(missing) == 0
     if on_unpaired == "report":
-        missing = F.array_compact(F.array(*[F.when(F.col(t).isNull(), F.lit(t)) for t in REC_TYPES]))
-        return groups.where(~complete).select("file", "uri", "generation", "n_records", missing.alias("missing"))
-    if on_unpaired == "drop":
-        return groups.where(complete)
-    check = F.when(complete, F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("unpaired records for "), F.col("uri"), F.lit(" in "), F.col("file")))
-    )
-    return groups.where(check.cast("boolean"))
+        n_records = (F.lit(len(REC_TYPES)) - F.size(missing)).cast("long")
+        return groups.where(~complete).select("file", "uri", "generation", n_records.alias("n_records"), missing.alias("missing"))
+    if on_unpaired == "error":
+        complete = F.when(complete, F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("unpaired records for "), F.col("uri"), F.lit(" in "), F.col("file")))
+        ).cast("boolean")
+    groups = groups.where(complete)
+    return groups if in_order else _with_records(groups, records)
 
 
 def _content_type(headers: F.Column) -> F.Column:

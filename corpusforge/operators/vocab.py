@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,36 +275,39 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     )
 
 
-def _looked_up(df: DataFrame, table: dict, key: str, column: str, out: str, kind: str) -> DataFrame:
-    """(key, out): each array's elements looked up in their place; no row is exploded, shuffled or lost."""
-    bc = df.sparkSession.sparkContext.broadcast(table)
+#: Rows whose lookups are answered together.
+LOOKUP_ROWS = 4096
 
-    @F.pandas_udf(f"array<{kind}>")
-    def look(rows: pd.Series) -> pd.Series:
-        get, missing = bc.value.get, bc.value.get(None)
-        return pd.Series([None if r is None else [get(x, missing) for x in r] for r in rows], dtype=object)
 
-    return df.select(key, look(column).alias(out))
+def _looked_up(df: DataFrame, table: DataFrame, key: str, column: str, out: str, kind: str, missing) -> DataFrame:
+    """(key, out): each array's elements looked up in ``table`` (k, v) in their place, whatever its size.
 
+    Rows are dealt into blocks.  The distinct elements of a block meet the table in a shuffled join, and
+    the block's rows get the answers back, so a task holds one block and its own part of the table.
+    """
+    blocks = max(1, -(-df.count() // LOOKUP_ROWS))
+    rows = df.select(F.col(key).alias("key"), F.col(column).alias("given"), F.pmod(F.xxhash64(F.col(key), F.col(column)), F.lit(blocks)).alias("block"))
+    wanted = rows.select("block", F.explode("given").alias("k")).where("k is not null").distinct()
+    answers = wanted.join(table, "k").select(F.col("block").alias("own"), "k", "v")
+    arrow = pa.list_(pa.int32() if kind == "int" else pa.string())
+
+    def answer(own: pa.Table, found: pa.Table) -> pa.Table:
+        get = dict(zip(found.column("k").to_pylist(), found.column("v").to_pylist(), strict=True)).get
+        values = [None if r is None else [get(x, missing) for x in r] for r in own.column("given").to_pylist()]
+        return pa.table([own.column("key"), pa.array(values, arrow)], names=[key, out])
 
-def _bounded(vocab: DataFrame, max_pieces: int) -> list:
-    rows = vocab.select("piece", "id").limit(max_pieces + 1).collect()
-    if len(rows) > max_pieces:
-        raise ValueError(f"vocabulary exceeds the broadcast bound {max_pieces}")
-    return rows
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{out}` array<{kind}>"
+    return rows.groupBy("block").cogroup(answers.groupBy("own")).applyInArrow(answer, schema)
 
 
-def pieces_to_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", unk_id: int = 0,
-                  max_pieces: int = 2_000_000) -> DataFrame:
+def pieces_to_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", unk_id: int = 0) -> DataFrame:
     """(key, ids): id of each piece in order, unknown pieces map to ``unk_id`` (J5); empty stays empty, null stays null."""
-    table = {r["piece"]: r["id"] for r in _bounded(vocab, max_pieces)}
-    return _looked_up(df, {**table, None: unk_id}, key, tokens, "ids", "int")
+    return _looked_up(df, vocab.select(F.col("piece").alias("k"), F.col("id").alias("v")), key, tokens, "ids", "int", unk_id)
 
 
-def ids_to_pieces(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", max_pieces: int = 2_000_000) -> DataFrame:
+def ids_to_pieces(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids") -> DataFrame:
     """(key, pieces): id outside the vocabulary gives a null piece (J5); empty stays empty, null stays null."""
-    table = {r["id"]: r["piece"] for r in _bounded(vocab, max_pieces)}
-    return _looked_up(df, {**table, None: None}, key, ids, "pieces", "string")
+    return _looked_up(df, vocab.select(F.col("id").alias("k"), F.col("piece").alias("v")), key, ids, "pieces", "string", None)
 
 
 def detokenize(pieces: Column, whitespace_as_suffix: bool = False) -> Column:

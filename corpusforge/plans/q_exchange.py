@@ -50,11 +50,9 @@ def _records(spark, sf):
     _GROUPS + f"SELECT file, uri, generation, req_ordinal, res_ordinal, meta_ordinal FROM x WHERE {_COMPLETE}",
 )
 def q_exchange_assembly(spark, sf):
-    ex = X.assemble_exchanges(_records(spark, sf), on_unpaired="drop")
-    return ex.select(
-        "file", "uri", F.col("generation").cast("int").alias("generation"),
-        F.col("request.ordinal").alias("req_ordinal"), F.col("response.ordinal").alias("res_ordinal"),
-        F.col("metadata.ordinal").alias("meta_ordinal"),
+    pairs = X.pair_records(_records(spark, sf)).where("request is not null and response is not null and metadata is not null")
+    return pairs.select(
+        "file", "uri", "generation", F.col("request").alias("req_ordinal"), F.col("response").alias("res_ordinal"), F.col("metadata").alias("meta_ordinal")
     )
 
 

@@ -83,6 +83,26 @@ def q_token_ids(spark, sf):
     return ids.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
+@register(
+    "token_pieces",
+    "J5",
+    f"""WITH {_WORD_VOCAB.strip()},
+once AS (SELECT id, min(piece) AS piece FROM voc GROUP BY id),
+ex AS (SELECT doc_id, i, ids[i] AS id FROM (SELECT doc_id, list_append(list_transform(string_split(text, ' '), lambda w: CAST(('0x' || substr(md5(w), 1, 7)) AS BIGINT)), -1) AS ids FROM documents),
+  LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i))
+SELECT doc_id, md5(array_to_string(list(coalesce(once.piece, '?') ORDER BY i), ' ')) AS pieces_md5, count(once.piece) AS n_known
+FROM ex LEFT JOIN once USING (id) GROUP BY doc_id""",
+)
+def q_token_pieces(spark, sf):
+    """Ids of all words, also of those outside the vocabulary and of one no vocabulary has, looked up as pieces."""
+    number = lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint")
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.array_append(F.transform(F.split("text", " "), number), F.lit(-1).cast("bigint")).alias("ids"))
+    voc = word_vocab(spark, sf).groupBy("id").agg(F.min("piece").alias("piece"))
+    got = V.ids_to_pieces(docs, voc, "doc_id", "ids")
+    known = F.size(F.filter("pieces", lambda p: p.isNotNull())).cast("bigint")
+    return got.select("doc_id", F.md5(F.array_join("pieces", " ", "?")).alias("pieces_md5"), known.alias("n_known"))
+
+
 @register(
     "detokenize",
     "T10",

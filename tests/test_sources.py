@@ -4,6 +4,7 @@ import gzip
 import os
 import tempfile
 
+import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -193,3 +194,74 @@ def test_api_classification_table(spark):
     assert len(rows) == _labelled_src(spark, SF_SMALL).count()
     assert {r["split"] for r in rows} == {"train", "validation", "test"}
     assert all(len(r["input_ids"]) == len(r["attention_mask"]) <= 32 for r in rows)
+
+
+def test_ranges_read_every_record_once(spark, tmp_path):
+    """However a file is cut, each record comes once, with the same ordinal; several tasks read one file."""
+    rng = np.random.default_rng(4)
+    records = [{"type": ["request", "response", "metadata"][k % 3], "headers": {"WARC-Target-URI": f"http://h/{k}"}, "block": bytes(rng.integers(0, 256, 700, dtype=np.uint8)) + b"\x1f\x8b\x08 no member"} for k in range(300)]
+    spans = W.write_archive(str(tmp_path / "a.warc.gz"), records)
+    want = None
+    for split in (0, 1, 333, 4096, 1 << 20):
+        df = W.read_archives(spark, str(tmp_path / "*.warc.gz"), split_bytes=split) if split != 1 else W.read_archives(spark, str(tmp_path / "*.warc.gz"), split_bytes=901)
+        rows = sorted((r.ordinal, r.offset, r.length, r.rec_type, r.target_uri, bytes(r.payload)) for r in df.collect())
+        assert [(o, n) for _, o, n, *_ in rows] == spans
+        assert want is None or rows == want
+        want = rows
+    cut = W.read_archives(spark, str(tmp_path / "*.warc.gz"), split_bytes=4096)
+    assert cut.rdd.getNumPartitions() > 10
+    assert cut.select(F.spark_partition_id().alias("p"), "ordinal").groupBy("p").count().count() > 10
+
+
+def test_one_large_member_is_streamed(spark, tmp_path):
+    """A file that is one gzip member with many records: a task holds a record at a time."""
+    import gzip
+    import tracemalloc
+
+    path = tmp_path / "one.warc.gz"
+    block = b"x" * 100_000
+    with gzip.open(path, "wb", 1) as f:
+        for k in range(600):
+            f.write(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: u{k}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    tracemalloc.start()
+    n = sum(b.num_rows for b in W._scan(str(path), 0, None, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 600 and peak < 40 << 20
+    rows = W.read_archives(spark, str(path), types="*").select("ordinal", "target_uri", "length").orderBy("ordinal").collect()
+    assert [r.target_uri for r in rows] == [f"u{k}" for k in range(600)]
+    assert [r.length is None for r in rows] == [True] * 599 + [False] and rows[-1].length == path.stat().st_size
+
+
+def test_written_archives_round_trip(spark, tmp_path):
+    rows = [("a", 2, "response", "http://x/", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n", "é".encode()), ("a", 1, "request", "http://x/", None, "GET / HTTP/1.1\r\n", b""), ("b", 1, "metadata", "http://y/", None, None, b"fetchTimeMs: 5\r\n"), ("b", 2, "warcinfo", None, None, None, None)]
+    df = spark.createDataFrame(rows, "file string, ordinal long, rec_type string, target_uri string, warc_date string, http_headers string, payload binary")
+    out = str(tmp_path / "out")
+    W.write_archives(df, out)
+    assert [r.path for r in W.read_manifest(spark, f"{out}/manifest.gz").orderBy("ordinal").collect()] == ["a.warc.gz", "b.warc.gz"]
+    got = W.read_archives(spark, f"{out}/*.warc.gz", types="*").orderBy("file", "ordinal").collect()
+    want = sorted(rows)
+    assert [(r.rec_type, r.target_uri, r.warc_date, r.http_headers, bytes(r.payload)) for r in got] == [(t, u, d, h, bytes(p or b"")) for _, _, t, u, d, h, p in want]
+    places = spark.createDataFrame([("a.warc.gz", r.offset, r.length) for r in got[:2]], "warc_filename string, warc_record_offset long, warc_record_length long")
+    assert sorted(r.rec_type for r in W.fetch_records(places, out).collect()) == ["request", "response"]
+    assert not (tmp_path / "out" / "_parts").exists() or not list((tmp_path / "out" / "_parts").iterdir())
+
+
+def test_limit_stops_early(spark):
+    """Rows as without early stop, and little more is fetched than wanted."""
+    from corpusforge.operators import crawl as C
+
+    hosts = spark.createDataFrame([(f"h{k:04d}" if k else None, k) for k in range(2000)], "hostname string, n long")
+    fetched = []
+
+    def accept(some):
+        fetched.append(some.count())
+        return some.where(F.col("n") % 10 < 7)
+
+    whole = [r.n for r in hosts.where(F.col("n") % 10 < 7).orderBy(F.col("hostname").asc_nulls_first()).collect()]
+    for n in (1, 50, 700, 1400, 5000):
+        fetched.clear()
+        got = sorted(r.n for r in C.first_accepted(hosts, accept, n).collect())
+        assert got == sorted(whole[:n])
+        assert sum(fetched) <= max(1.5 * n / 0.7, 20) and sum(fetched) <= 2000
+    assert C.first_accepted(hosts, accept, 0).count() == 0
