@@ -28,8 +28,6 @@ from pyspark.sql.functions import pandas_udf
 
 #: Documents of each language that are learned from, windows of each, characters of a window before training cuts it.
 SAMPLE, PER_DOCUMENT, WINDOW_CHARS = 300, 8, 128
-#: Most languages that are told apart; more are an error.
-LANGUAGES = 200
 #: Bytes of a window, hidden units of a direction, windows of a block.
 WINDOW, HIDDEN, BLOCK = 128, 12, 2048
 #: Training: windows of a step, their bytes, steps, step size.
@@ -232,9 +230,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     doc_id, text, label = (F.col(f"`{c}`") for c in (id_col, text_col, label_col))
     own = docs.where(doc_id.isNotNull() & ~held_out(doc_id) & label.isNotNull() & text.rlike(r"\p{L}"))
     own = own.select(label.cast("string").alias("label"), text.alias("text"), F.xxhash64(doc_id.cast("string"), F.lit("learn")).alias("h"), doc_id.cast("string").alias("id"))
-    counts = own.groupBy("label").count().orderBy(F.desc("count")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = own.groupBy("label").count().orderBy(F.desc("count"), "label").collect()  # one for each language, as the model
     if not counts:
         return LanguageModel.start([])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["label"], min(1.0, 4.0 * sample / r["count"] + 64.0 / r["count"]))))

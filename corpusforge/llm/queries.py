@@ -78,18 +78,35 @@ def _node_sql(url: str) -> str:
     || translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"""
 
 
-# rules by suffix and prefix; links to canonical and refresh targets; what each node reaches over them, to and fro
+_ROOT, _QUERY = r"(?s)^(.*?://[^/?#]*)", r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)"
+
+# rules by suffix and prefix; all links to canonical and refresh targets, resolved against the page's URL; what each node reaches over them, to and fro
 URL_FILTER_SQL = rf"""
 WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 pg AS (SELECT page_id, {_node_sql("url")} AS node, {_place_sql("url")} FROM pages),
 targets AS (
-  SELECT url, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM pages
-  UNION ALL
-  SELECT url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\bcontent\s*=\s*["'']?\s*\d+\s*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages),
-whole AS (
-  SELECT url, replace(CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t WHEN contains(t, '://') THEN t END, '&amp;', '&') AS t
+  SELECT url, replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+      lambda tag: regexp_extract(tag, '(?i)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+      lambda tag: regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?\s*\d+\s*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1)))), '&amp;', '&') AS t
+  FROM pages WHERE contains(url, '://')),
+cut AS (
+  SELECT url, t, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t END AS whole,
+    coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') AS own,
+    regexp_extract(t, '(?s)^([^?#]*)', 1) AS path, regexp_extract(t, '(?s)^[^?#]*(\?[^#]*)', 1) AS rest
   FROM targets WHERE t <> ''),
+aimed AS (
+  SELECT url, CASE WHEN whole IS NOT NULL THEN regexp_extract(whole, '{_ROOT}', 1) ELSE regexp_extract(url, '{_ROOT}', 1) END AS root,
+    CASE WHEN whole IS NOT NULL THEN regexp_extract(whole, '(?s)^.*?://[^/?#]*([^?#]*)', 1) WHEN starts_with(path, '/') THEN path
+      WHEN path <> '' THEN regexp_extract(own, '(?s)^(.*/)', 1) || path ELSE own END AS path,
+    CASE WHEN whole IS NOT NULL THEN regexp_extract(whole, '{_QUERY}', 1) WHEN path = '' AND rest = '' THEN regexp_extract(url, '{_QUERY}', 1) ELSE rest END AS query
+  FROM cut WHERE whole IS NOT NULL OR NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:')),
+whole AS (
+  SELECT url, root || CASE WHEN regexp_matches(path, '/\.{{1,2}}(/|$)') THEN coalesce(nullif(
+      list_reduce(string_split(path, '/')[2:], lambda kept, part: CASE WHEN part = '..' THEN regexp_replace(kept, '/[^/]*$', '') WHEN part = '.' THEN kept ELSE kept || '/' || part END, '')
+      || CASE WHEN regexp_matches(path, '/\.{{1,2}}$') THEN '/' ELSE '' END, ''), '/') ELSE path END || query AS t
+  FROM aimed),
 links AS (SELECT {_node_sql("url")} AS a, {_node_sql("t")} AS b FROM whole),
 both_ways AS (SELECT a, b FROM links WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM links WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),

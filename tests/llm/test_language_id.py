@@ -65,3 +65,54 @@ def test_edges(spark):
     assert docs.limit(0).select(predicted(model).alias("q")).count() == 0
     unlearned = docs.select(predicted(learn(docs.limit(0))).alias("q")).collect()
     assert {r.q.lang for r in unlearned} == {UNKNOWN}
+
+
+def slow(model, text):
+    """The network byte by byte, in double precision: mean probabilities of a text."""
+    def logistic(v):
+        return 1 / (1 + np.exp(-v))
+
+    def states(d, window):
+        size, h, out = d.candidate.shape[0], np.zeros(d.candidate.shape[0]), []
+        for b in window:
+            x = d.table[b].astype(np.float64)
+            z, r = np.split(logistic(x[: 2 * size] + h @ d.gates), 2)
+            c = np.tanh(x[2 * size :] + (r * h) @ d.candidate)
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    total = np.zeros(len(model.languages))
+    for at in range(0, len(text), WINDOW):
+        w = text[at : at + WINDOW]
+        for a, b in zip(states(model.forward, w), states(model.backward, w[::-1])[::-1], strict=True):
+            logits = np.concatenate([a, b]) @ model.weights + model.bias
+            p = np.exp(logits - logits.max())
+            total += p / p.sum()
+    return total / len(text)
+
+
+def test_query_against_a_network_run_byte_by_byte(spark):
+    from corpusforge.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = learn(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = QUERIES["op10_language_id"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        text = texts[r.doc_id]
+        if not text or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == (UNKNOWN, 0.0)
+            continue
+        p = slow(model, text.encode())
+        assert r.score == pytest.approx(p.max(), abs=1e-3)
+        assert r.lang_pred == model.languages[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 2e-3
+
+
+def test_any_number_of_languages(spark):
+    rows = [(k, f"word{k} " * 3, f"l{k % 230}") for k in range(460)]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) > 200

@@ -122,3 +122,23 @@ def test_query_matches_its_sql(spark):
     con.execute(f"create view pages as select * from '{folder}/pages.parquet'")
     got = sorted(tuple(r) for r in QUERIES["op9_url_filter"](spark, folder).select("page_id", "host", "path", "rule", "verdict").collect())
     assert [x for x in got if x[3]] and got == sorted(con.execute(URL_FILTER_SQL).fetchall())
+
+
+def test_sql_follows_the_same_links(spark, tmp_path):
+    """The query and its SQL on pages that hold absolute, rooted, relative, repeated and odd references."""
+    import duckdb
+
+    from corpusforge.llm.queries import QUERIES, URL_FILTER_SQL
+
+    hrefs = ["g", "./g", "g/", "/g", "//h.org/x/../y?z", "?y", "g?y", "#s", "g#s", ";x", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h",
+             "mailto:a@b", "http://bad.net/es/1", "HTTPS://Www.Ok.com/q/../x#f", "p?u=http://x/", "a&amp;b", "http://e.net/fr/x?y=1", "x.net/es/"]
+    rows = [(k, f"http://one{k % 4}.org/b/c/d;p?q{k % 3}", f'<link rel="canonical" href="{h}"><p>x</p><meta http-equiv=refresh content="3; url={hrefs[(k * 7 + 3) % len(hrefs)]}">') for k, h in enumerate(hrefs)]
+    rows += [(100 + k, u, None) for k, u in enumerate(["http://one0.org/b/c/g", "http://one1.org/b/g", "http://h.org/y?z", "http://one2.org/", "no url", None, "http://plain.org"])]
+    rows += [(200, "http://plain.org", '<LINK REL=canonical HREF=x><link rel=canonical href=http://bad.net/es/1>'), (201, "http://plain.org/x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in QUERIES["op9_url_filter"](spark, str(tmp_path)).collect()), key=str)
+    want = sorted(con.execute(URL_FILTER_SQL).fetchall(), key=str)
+    assert got == want and sum(r[4] == "block" for r in got) > 10
