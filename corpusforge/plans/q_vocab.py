@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusforge.operators import batching as B
@@ -154,3 +155,64 @@ def q_text_classifier(spark, sf):
     model = fit_text_classifier(tok.where(F.col("split") == "train"))
     scored = predict_scores(model, tok)
     return M.evaluate(scored, scores="scores", ref="label", by=["split"])
+
+
+#: Units end at white space only, so SQL can cut them.
+PLANTED_SPEC = "cc-html1K,su=f,sn=f"
+
+# A vocabulary by rule: every character of the text, and the starts of two to four characters of units seen twice; scores are whole numbers.
+_PLANTED = f"""
+unit AS (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)), '[ \\t\\n\\f\\r]+', ' ', 'g'), ' '), lambda w: '{V.SPACE}' || w)) AS u FROM documents),
+word AS (SELECT u, count(*) AS c FROM unit GROUP BY u),
+piece AS (SELECT DISTINCT p FROM (
+  SELECT unnest(string_split(u, '')) AS p FROM word
+  UNION ALL SELECT unnest([substr(u, 1, 2), substr(u, 1, 3), substr(u, 1, 4), substr(u, 2, 3)]) FROM word WHERE c >= 2 AND length(u) >= 4)),
+voc AS MATERIALIZED (SELECT map(list(p), list(-1.0 - CAST(('0x' || substr(md5(p), 1, 1)) AS INTEGER))) AS m FROM piece),
+best AS (
+  SELECT u, c, 0 AS k, [CAST(0 AS DOUBLE)] AS top FROM word
+  UNION ALL
+  SELECT u, c, k + 1, list_append(top, list_max(list_filter(list_transform(range(greatest(1, k - 2), k + 2), lambda s: top[s] + m[substr(u, s, k + 2 - s)]), lambda x: x IS NOT NULL)))
+  FROM best, voc WHERE k < length(u)),
+scored AS (SELECT u, c, top[k + 1] AS score FROM best WHERE k = length(u))
+"""
+
+
+def planted_vocab(spark, sf):
+    """(id, piece, score, type) by the rule of ``_PLANTED``."""
+    units = V.presplit(F.col("text"), V.VocabSpec.parse(PLANTED_SPEC))
+    word = fx.table(spark, sf, "documents").select(F.explode(units).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    chars = word.select(F.explode(F.split("u", "(?!^)")).alias("piece"))
+    starts = F.array(*[F.substring("u", a, n) for a, n in ((1, 2), (1, 3), (1, 4), (2, 3))])
+    piece = chars.unionByName(word.where("c >= 2 and length(u) >= 4").select(F.explode(starts).alias("piece"))).distinct()
+    score = -1.0 - F.conv(F.substring(F.md5("piece"), 1, 1), 16, 10).cast("float")
+    special = spark.createDataFrame([(i, p, 0.0, t) for i, (p, t) in enumerate(V.SPECIALS)], V.VOCAB_SCHEMA)
+    number = (F.row_number().over(Window.orderBy("piece")) + len(V.SPECIALS) - 1).cast("int")  # a vocabulary has one task's size
+    return special.unionByName(piece.select(number.alias("id"), "piece", score.cast("float").alias("score"), F.lit("NORMAL").alias("type")))
+
+
+@register(
+    "tokenize_planted",
+    "T9 T8",
+    f"""WITH RECURSIVE {_PLANTED.strip()}
+SELECT doc_id, sum(score) AS score, CAST(sum(length(unit.u)) AS BIGINT) AS n_chars FROM unit JOIN scored ON unit.u = scored.u GROUP BY doc_id""",
+)
+def q_tokenize_planted(spark, sf):
+    """The score of every document's segmentation under a planted vocabulary: the best path, found in SQL by recursion."""
+    voc = planted_vocab(spark, sf).checkpoint(eager=True)
+    tok = V.tokenize(_spread(fx.table(spark, sf, "documents").select("doc_id", "text")), voc, PLANTED_SPEC)
+    pairs = tok.select("doc_id", F.explode(F.arrays_zip("tokens", "input_ids")).alias("p")).select("doc_id", F.length("p.tokens").alias("n"), F.col("p.input_ids").alias("id"))
+    scored = pairs.join(voc.select("id", F.col("score").cast("double").alias("score")), "id")
+    return scored.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").cast("bigint").alias("n_chars"))
+
+
+@register(
+    "vocab_triage_planted",
+    "A18",
+    f"""WITH RECURSIVE {_PLANTED.strip()}
+SELECT '{PLANTED_SPEC}' AS vocab, round(-sum(score * c) / ln(2.0) / (SELECT sum(length(text)) FROM documents), 9) AS bits_per_char FROM scored""",
+)
+def q_vocab_triage_planted(spark, sf):
+    """Bits per character of a planted vocabulary."""
+    docs = fx.table(spark, sf, "documents").select("text")
+    got = V.vocab_triage(docs, {PLANTED_SPEC: planted_vocab(spark, sf).checkpoint(eager=True)})
+    return got.select("vocab", F.round("bits_per_char", 9).alias("bits_per_char"))
