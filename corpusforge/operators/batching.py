@@ -1,7 +1,8 @@
 """Fixed-size batching, block packing and truncate/pad.
 
-Batches are deterministic: rows are hashed into ``buckets``, numbered inside their bucket by (hash, key),
-and cut every ``batch_size`` rows.  Every later window and aggregate is
+Batches are deterministic: rows are hashed into buckets, numbered inside their bucket by (hash, key),
+and cut every ``batch_size`` rows.  Buckets are the leaves of an extendible-hash directory: a bucket that
+outgrows its bound is split by the next bit of the hash, and the others stay as they are.  Every later window and aggregate is
 clustered by (bucket, batch, ...), which the bucket hash partitioning already
 satisfies, so the whole chain costs one shuffle.
 
@@ -12,30 +13,69 @@ a group, so a group holds at most ``block_size`` tokens.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.hashing import DEFAULT_SEED, row_hash
+from corpusforge.functions.hashing import DEFAULT_SEED, HASH_HEX_DIGITS, row_hash
 
 # Fixed value from the reference: rows per batch for tokenizing, packing and padding.
 BATCH_SIZE = 256
-#: Rows that share a bucket on average when the number of buckets is not given.
+#: Most rows that share a bucket when the number of buckets is not given.
 BUCKET_ROWS = 1 << 16
+#: Bits of the hash that may tell buckets apart.
+_BITS, _MOST_BITS = 4 * HASH_HEX_DIGITS, 30
+
+
+def _directory(hashes: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]]]:
+    """Bits of a prefix, and (prefix, bucket): a bucket is a hash prefix with at most ``rows`` rows, one bit longer than one with more.
+
+    A bucket's number is its prefix behind a leading one.  Rows of one hash cannot be told apart and stay together.
+    """
+    bits = 0
+    while True:
+        prefix = F.shiftright("h", _BITS - bits).cast("int") if bits else F.lit(0)
+        # bounded: a few for each bucket
+        count = {r["p"]: r["n"] for r in hashes.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        most = max(count.values(), default=0)
+        if most <= rows or bits == _MOST_BITS:
+            break
+        bits = min(_MOST_BITS, bits + max(1, math.ceil(math.log2(most / rows))))
+    level, counts = bits, {bits: count}
+    while level:
+        up: dict[int, int] = {}
+        for p, n in counts[level].items():
+            up[p >> 1] = up.get(p >> 1, 0) + n
+        level -= 1
+        counts[level] = up
+    out = []
+    for p in sorted(count):
+        depth = 0
+        while depth < bits and counts[depth][p >> (bits - depth)] > rows:
+            depth += 1
+        out.append((p, (1 << depth) | (p >> (bits - depth))))
+    return bits, out
 
 
 def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets: int | None = None,
-                 seed: int = DEFAULT_SEED) -> DataFrame:
+                 seed: int = DEFAULT_SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add (h, bucket, rn, batch): rn counts from 1 inside a bucket in (h, key) order.
 
-    ``buckets`` defaults to one for each ``BUCKET_ROWS`` rows: the batches depend on the
-    rows alone, not on the session, and a bucket's numbering sort stays small.
+    Without ``buckets`` there are as many as the rows need, with at most ``bucket_rows`` each: the batches
+    depend on the rows alone, not on the session, and further rows change the buckets they fall into and no other.
     """
-    if buckets is None:
-        buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    h = row_hash(F.col(key), seed)
-    out = df.withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
+    out = df.withColumn("h", row_hash(F.col(key), seed))
+    if buckets is not None:
+        out = out.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
+    else:
+        bits, leaves = _directory(out.select("h"), bucket_rows)
+        if bits:
+            leaf = df.sparkSession.createDataFrame(leaves, "_prefix int, bucket int")
+            out = out.withColumn("_prefix", F.shiftright("h", _BITS - bits).cast("int")).join(leaf, "_prefix").drop("_prefix")
+        else:
+            out = out.withColumn("bucket", F.lit(1))
     w = Window.partitionBy("bucket").orderBy("h", key)
     out = out.withColumn("rn", F.row_number().over(w))
     return out.withColumn("batch", ((F.col("rn") - 1) / batch_size).cast("int"))
