@@ -193,12 +193,14 @@ class Block:
         return b, order
 
     def packed(self) -> list[bytes]:
-        # no more edges end at a slot than a piece has characters
-        return [self.lengths.astype(np.int32).tobytes(), self.count.astype(np.uint8).tobytes(), self.width.astype(np.uint8).tobytes(), self.piece.astype(np.int32).tobytes()]
+        # no more edges end at a slot than a piece has characters; piece numbers take two bytes where they fit
+        number = np.uint16 if self.piece.max(initial=0) < 1 << 16 else np.int32
+        return [self.lengths.astype(np.int32).tobytes(), self.count.astype(np.uint8).tobytes(), self.width.astype(np.uint8).tobytes(), self.piece.astype(number).tobytes()]
 
     @staticmethod
     def unpacked(raw: list[bytes]) -> Block:
-        lengths, count, width, piece = (np.frombuffer(x, t) for x, t in zip(raw, (np.int32, np.uint8, np.uint8, np.int32), strict=True))
+        number = np.uint16 if len(raw[3]) == 2 * len(raw[2]) else np.int32
+        lengths, count, width, piece = (np.frombuffer(x, t) for x, t in zip(raw, (np.int32, np.uint8, np.uint8, number), strict=True))
         return Block(lengths.astype(np.int64), count, width, piece)
 
     def _levels(self, slot: np.ndarray):

@@ -186,7 +186,7 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
     """
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
-    tasks = 2 * spark.sparkContext.defaultParallelism  # passes are CPU-bound Python: two tasks per core
+    tasks = spark.sparkContext.defaultParallelism  # units are dealt evenly: one task for each core
     # spread the distinct units over all tasks: every pass is a map over them
     counts = unit_counts(docs, spec, text).repartition(tasks).checkpoint(eager=True)
     n_normal = spec.size - len(SPECIALS)
