@@ -9,8 +9,9 @@ Nearest entry: for each dimension of a codebook the entries' coordinates are sor
 of that order carries the mask of the entries before it, as uint64 words.  The distance to the best
 of a few pilot entries is the initial radius: an entry that is as near lies within it in every
 dimension.  Two searches in the sorted coordinates give a dimension's slice, the exclusive or of two
-prefix masks; the masks of all dimensions are intersected, and what is left holds every nearest
-entry.  These candidates alone are measured, exactly, in integers; ties go to the lower index.
+prefix masks, and the masks of all dimensions are intersected.  Slices of a part of the radius come first:
+the best entry in them makes the radius, whose slices hold every nearest entry, as small as it can be.
+Candidates alone are measured, exactly, in integers; ties go to the lower index.
 
 A round is one pass over the vectors; tasks send sums for each entry (their number depends on the
 codebooks alone), which are merged before the shuffle.  Only codebooks, ``entries`` x dimension
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Entries whose best distance is the initial radius.
-PILOTS = 16
+#: Entries whose best distance is the initial radius, and sixteenths of it that are sliced first.
+PILOTS, NARROW = 16, 8
 #: Vectors that are searched for together.
 BLOCK = 4096
 #: Integers up to this size are squared and summed in 64 bits, greater ones as Python integers.
@@ -58,34 +59,39 @@ class Slices:
             self.prefix[np.arange(self.width), place + 1, entry // 64] |= np.uint64(1) << (entry % 64).astype(np.uint64)
 
     def within(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """Masks of the entries that differ from each row by at most its radius in every dimension."""
-        mask = np.broadcast_to(self.prefix[0, -1], (len(x), self.prefix.shape[2])).copy()
+        """Masks of the entries that differ from each column of ``x`` by at most its radius in every dimension."""
+        mask = np.broadcast_to(self.prefix[0, -1], (x.shape[1], self.prefix.shape[2])).copy()
         for d in range(self.width):
-            low = np.searchsorted(self.sorted[d], x[:, d] - radius, side="left")
-            high = np.searchsorted(self.sorted[d], x[:, d] + radius, side="right")
+            low = np.searchsorted(self.sorted[d], x[d] - radius, side="left")
+            high = np.searchsorted(self.sorted[d], x[d] + radius, side="right")
             mask &= self.prefix[d, high] ^ self.prefix[d, low]
         return mask
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index and squared distance of each row's nearest entry."""
-        best = np.full(len(x), -1, np.int64)
-        bound = np.min([_squared(x, e) for e in self.entries[:PILOTS]], axis=0)
-        mask = self.within(x, _root(bound))
+        """Index and squared distance of each row's nearest entry: the narrow slices first, whose best is the last radius."""
+        x = np.ascontiguousarray(x.T)
+        far = np.array([_squared(x, e) for e in self.entries[:PILOTS]])
+        best, found = far.argmin(axis=0), far.min(axis=0)
+        near = self.within(x, _root(found) * NARROW // 16)
+        self._measure(x, near, best, found)
+        self._measure(x, self.within(x, _root(found)) & ~near, best, found)
+        return best, found
+
+    def _measure(self, x: np.ndarray, mask: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
+        """Measure the entries of each column's mask, and keep the nearest; of the same distance the lower index."""
         bits = np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little")
-        # one above the bound, so that the first entry that reaches it is taken
-        found = bound + 1
         for k in np.nonzero(bits.any(axis=0))[0]:
             rows = np.nonzero(bits[:, k])[0]
-            far = _squared(x[rows], self.entries[k])
-            nearer = far < found[rows]
+            far = _squared(x[:, rows], self.entries[k])
+            nearer = (far < found[rows]) | ((far == found[rows]) & (k < best[rows]))
             rows = rows[nearer]
             best[rows], found[rows] = k, far[nearer]
-        return best, found
 
 
 def _squared(x: np.ndarray, entry: np.ndarray) -> np.ndarray:
-    apart = x - entry
-    return (apart * apart).sum(axis=1)
+    apart = x - entry[:, None]
+    apart *= apart
+    return apart.sum(axis=0)
 
 
 def _root(squares: np.ndarray) -> np.ndarray:

@@ -48,7 +48,7 @@ def test_masks_hold_exactly_the_entries_within_the_radius(entries):
     x = rng.integers(-8, 8, (40, 5))
     radius = rng.integers(0, 6, 40)
     s = Slices(book)
-    bits = np.unpackbits(s.within(x, radius).view(np.uint8), axis=1, bitorder="little")
+    bits = np.unpackbits(s.within(np.ascontiguousarray(x.T), radius).view(np.uint8), axis=1, bitorder="little")
     want = (np.abs(x[:, None] - book[None]) <= radius[:, None, None]).all(axis=2)
     assert (bits[:, :entries] == want).all() and not bits[:, entries:].any()
     far = ((x[:, None] - book[None]) ** 2).sum(axis=2)
