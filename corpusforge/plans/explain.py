@@ -17,7 +17,7 @@ def summarize(df) -> dict:
     return {
         "shuffles": shuffles,
         "broadcasts": sum("BroadcastExchange" in l for l in lines),
-        "python": sorted({m for l in lines for m in re.findall(r"(ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas|PythonDataSourceScan|FlatMapGroupsInPandasWithState)", l)}),
+        "python": sorted({m for l in lines for m in re.findall(r"(ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroupsInArrow|FlatMapCoGroupsInArrow|PythonDataSourceScan)", l)}),
         "scans": sorted({re.sub(r"#\d+L?", "", m) for l in lines for m in re.findall(r"ReadSchema: (struct<[^>]*>?)", l)}),
     }
 
