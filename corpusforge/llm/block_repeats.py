@@ -184,13 +184,21 @@ class _Held:
 
     def __init__(self):
         self.ids, self.sums, self.parts, self.size = [], [], [], 0
+        self.seen: set = set()
 
     def add(self, part: pa.RecordBatch, w: Windows, starts: np.ndarray) -> None:
+        keys = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
+        fresh = np.zeros(len(keys), bool)  # rows that repeat an id with its text have the same windows
+        for k, key in enumerate(keys):
+            if key not in self.seen:
+                self.seen.add(key)
+                fresh[k] = True
+        starts = starts[fresh[w.row[starts]]]
         one = rolling(w.words, w.window, _ODD)[starts].view(np.int64)
         two = (rolling(w.words, w.window, _OTHER)[starts] >> np.uint64(33)).astype(np.int64)
         self.parts.append((one, two, w.row[starts] + len(self.ids), w.place[starts]))
-        self.ids += part.column(0).to_pylist()
-        self.sums += part.column(2).to_pylist()
+        self.ids += [i for i, _ in keys]
+        self.sums += [s for _, s in keys]
         self.size += len(starts)
 
     def rows(self, kind: pa.DataType) -> pa.RecordBatch:
@@ -285,14 +293,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     anchors = given.mapInArrow(_anchor_rows(window), f"anchor long, _id {kind}, _sum long, block boolean")
     shared = anchors.groupBy("anchor").agg(F.max("block").alias("block"), F.min("_sum").alias("low"), F.max("_sum").alias("high")).where("low < high")
     shared = shared.select("anchor", F.when(F.col("block"), -F.col("anchor")).otherwise(F.col("anchor")).alias("hit"))
-    hits = anchors.select("anchor", "_id").join(shared, "anchor").groupBy("_id").agg(F.collect_list("hit").alias("_hits")).where(F.exists("_hits", lambda h: h < 0))
-    hits = hits.join(copies.groupBy("_id").agg(F.collect_set("_sum").alias("_copies")), "_id", "left")
-    text = given.join(hits, "_id").where(~F.coalesce(F.array_contains("_copies", F.col("_sum")), F.lit(False))).select("_id", "_text", "_sum", "_hits")
+    hits = anchors.select("anchor", "_id", "_sum").join(shared, "anchor").groupBy("_id", "_sum").agg(F.collect_set("hit").alias("_hits"))
+    hits = hits.where(F.exists("_hits", lambda h: h < 0)).join(copies, ["_id", "_sum"], "left_anti")
+    text = given.join(hits, ["_id", "_sum"]).select("_id", "_text", "_sum", "_hits")
     windows = text.mapInArrow(_window_rows(window, HELD), f"h1 long, h2 int, settled boolean, _id {kind}, _sum long, starts binary")
     low = F.min("_id").over(Window.partitionBy("h1", "h2", "settled"))
     covered = windows.withColumn("low", low).where("settled or _id > low").select("_id", "_sum", "starts", F.lit(False).alias("copy"))
     marks = covered.unionByName(copies.select("_id", "_sum", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("copy")))
-    marks = marks.groupBy("_id", "_sum").agg(F.collect_list("starts").alias("starts"), F.max("copy").alias("copy"))
+    marks = marks.groupBy("_id", "_sum").agg(F.collect_set("starts").alias("starts"), F.max("copy").alias("copy"))
     joined = slim.join(marks, ["_id", "_sum"], "left").select("_id", "_text", "starts", "copy")
     out = joined.mapInArrow(_kept_rows(window), f"_id {kind}, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
     return out.withColumnRenamed("_id", id_col)

@@ -102,11 +102,12 @@ def test_hot_passage_copies_and_long_texts(spark):
     rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) + " " + passage + f" end{i}") for i in range(400)]
     copy = " ".join(f"c{rng.randrange(1000)}" for _ in range(200))
     rows += [(i, copy) for i in range(1000, 1300)]
+    rows += [(1500, copy + " and more")] * 200  # one row many times
     rows += [(2000, " ".join(f"l{rng.randrange(10**6)}" for _ in range(60_000)) + " " + copy), (2001, "x" * 300_000)]
     got = found(spark, rows, 50)
     assert got == brute(rows, 50)
     removed = {i: n for i, _, n, _ in got}
-    assert removed[0] == 0 and removed[399] == 60 and removed[1000] == 0 and removed[1299] == 200 and removed[2000] == 200
+    assert removed[0] == 0 and removed[399] == 60 and removed[1000] == 0 and removed[1299] == 200 and removed[1500] == 200 and removed[2000] == 200
 
 
 def test_sf_documents_and_empty_table(spark):
