@@ -22,7 +22,8 @@ compared; a false cover needs equal 95 bits of different windows (or equal MD5 o
 
 Null and empty texts have no words; texts shorter than the window lose nothing.  A row with a null
 id neither covers nor loses words.  Rows that repeat an id are judged each on its own, against
-smaller ids only.  Only the id and text columns are read, so further columns cannot clash; an
+smaller ids only; the shared anchors of one id, over its different texts, are gathered in one row, as ids are
+meant to name one text or few.  Only the id and text columns are read, so further columns cannot clash; an
 empty table gives an empty table.
 """
 
@@ -293,9 +294,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     anchors = given.mapInArrow(_anchor_rows(window), f"anchor long, _id {kind}, _sum long, block boolean")
     shared = anchors.groupBy("anchor").agg(F.max("block").alias("block"), F.min("_sum").alias("low"), F.max("_sum").alias("high")).where("low < high")
     shared = shared.select("anchor", F.when(F.col("block"), -F.col("anchor")).otherwise(F.col("anchor")).alias("hit"))
-    hits = anchors.select("anchor", "_id", "_sum").join(shared, "anchor").groupBy("_id", "_sum").agg(F.collect_set("hit").alias("_hits"))
-    hits = hits.where(F.exists("_hits", lambda h: h < 0)).join(copies, ["_id", "_sum"], "left_anti")
-    text = given.join(hits, ["_id", "_sum"]).select("_id", "_text", "_sum", "_hits")
+    hits = anchors.select("anchor", "_id").join(shared, "anchor").groupBy("_id").agg(F.collect_set("hit").alias("_hits")).where(F.exists("_hits", lambda h: h < 0))
+    hits = hits.join(copies.groupBy("_id").agg(F.collect_set("_sum").alias("_copies")), "_id", "left")
+    text = given.join(hits, "_id").where(~F.coalesce(F.array_contains("_copies", F.col("_sum")), F.lit(False))).select("_id", "_text", "_sum", "_hits")
     windows = text.mapInArrow(_window_rows(window, HELD), f"h1 long, h2 int, settled boolean, _id {kind}, _sum long, starts binary")
     low = F.min("_id").over(Window.partitionBy("h1", "h2", "settled"))
     covered = windows.withColumn("low", low).where("settled or _id > low").select("_id", "_sum", "starts", F.lit(False).alias("copy"))
