@@ -172,8 +172,11 @@ class Block:
         self.last = self.first[lengths] + np.arange(len(lengths))
 
     @staticmethod
-    def of(texts: list[str], trie: Trie, whole: bool = True) -> tuple[Block, np.ndarray]:
-        """The block and the order of its texts; ``whole`` false leaves out the piece that is a whole text itself."""
+    def of(texts: list[str], trie: Trie, whole: bool = True, long_first: bool = False) -> tuple[Block, np.ndarray]:
+        """The block and the order of its texts; ``whole`` false leaves out the piece that is a whole text itself.
+
+        ``best`` takes the first of equal edges: the longest with ``long_first``, else the shortest.
+        """
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
@@ -188,10 +191,28 @@ class Block:
         first = np.concatenate([[0], np.cumsum(reach)])
         text = owner[at]
         stop = first[at - begin[text] + width] + text
-        by_stop = np.argsort(stop, kind="stable")
+        by_stop = np.argsort(stop * (trie.longest + 2) - width if long_first else stop, kind="stable")
         b = Block(lengths, np.bincount(stop, minlength=first[-1]), width[by_stop], piece[by_stop])
         return b, order
 
+    def best_paths(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many edges the best path of each text has, and these edges, text by text."""
+        _, back = self.best(score)
+        at = self.last[self.lengths > 0]
+        steps = [np.empty(0, np.int64)]
+        while len(at):
+            edge = back[at]
+            steps.append(edge)
+            at = self.start[edge]
+            at = at[self.place[at] > 0]
+        texts = [self.text[self.stop[edge]] for edge in steps]
+        count = np.bincount(np.concatenate(texts), minlength=len(self.lengths))
+        ends = np.cumsum(count)
+        out = np.empty(int(count.sum()), np.int64)
+        for k, (own, edge) in enumerate(zip(texts[1:], steps[1:], strict=True), 1):
+            out[ends[own] - k] = edge
+        return count, out
+
     def packed(self) -> list[bytes]:
         # no more edges end at a slot than a piece has characters; piece numbers take two bytes where they fit
         number = np.uint16 if self.piece.max(initial=0) < 1 << 16 else np.int32
@@ -273,12 +294,12 @@ class Block:
 _PACKED = "lengths binary, count binary, width binary, piece binary"
 
 
-def _cut(lengths: np.ndarray):
-    """Ranges of texts of about a block's characters."""
+def cut_blocks(lengths: np.ndarray, size: int = BLOCK_CHARS):
+    """Ranges of texts of about ``size`` characters."""
     ends = np.cumsum(lengths)
     low = 0
     while low < len(lengths):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_CHARS, "right")))
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, "right")))
         yield low, high
         low = high
 
@@ -287,7 +308,7 @@ def _lattice_rows(trie):
     def run(batches):
         for batch in batches:
             texts, weight = batch.column(0).to_pylist(), np.asarray(batch.column(1), dtype=float)
-            for low, high in _cut(np.array([len(t) for t in texts], np.int64)):
+            for low, high in cut_blocks(np.array([len(t) for t in texts], np.int64)):
                 block, order = Block.of(texts[low:high], trie.value)
                 columns = [*block.packed(), weight[low:high][order].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["lengths", "count", "width", "piece", "weight"])
@@ -300,7 +321,7 @@ def _piece_rows(trie, pieces):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             own = [pieces.value[k] for k in ids]
-            for low, high in _cut(np.array([len(t) for t in own], np.int64)):
+            for low, high in cut_blocks(np.array([len(t) for t in own], np.int64)):
                 block, order = Block.of(own[low:high], trie.value, whole=False)
                 columns = [*block.packed(), ids[low:high][order].astype(np.int64).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["lengths", "count", "width", "piece", "id"])

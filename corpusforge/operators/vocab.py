@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +21,7 @@ from pyspark.sql import types as T
 
 from corpusforge.functions.text import MAX_SENTENCE_BYTES, btrim, has_reserved_mark
 from corpusforge.functions.normalizer import normalize_text
-from corpusforge.functions.unigram import Lattice
+from corpusforge.operators.unigram_encoder import Encoder
 from corpusforge.operators.unigram_learner import SEED_SIZE, UNK_PENALTY, learn_pieces, repeated_substrings
 from corpusforge.operators.vocab_stats import avg_token_len as vocab_avg_token_len
 
@@ -206,7 +204,6 @@ def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed
 
 # ------------------------------------------------------------------ encoding
 _ENCODED = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-_LATTICES: dict[int, Lattice] = {}
 
 
 def _vocab_dict(vocab: DataFrame, max_pieces: int) -> dict[str, tuple[int, float]]:
@@ -224,43 +221,23 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     """Add tokens, input_ids, attention_mask: best unigram segmentation, no bos/eos.
 
     Normalization and pre-splitting are native; only the unit arrays cross to
-    Python, where each executor keeps one lattice per vocabulary and memoizes
-    units.  With ``max_length`` the text is first cut to the length hint (T7)
+    Python, where the distinct units of an Arrow batch are segmented together
+    and nothing is kept but the vocabulary.  With ``max_length`` the text is first cut to the length hint (T7)
     and the ids to ``max_length``.
     """
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
     pieces = _vocab_dict(vocab, max_pieces)
     user_defined = {r["piece"] for r in vocab.where(F.col("type") == "USER_DEFINED").select("piece").collect()}
-    bc = spark.sparkContext.broadcast(pieces)
-    key = uuid.uuid4().hex
+    bc = spark.sparkContext.broadcast(Encoder(pieces, MAX_PIECE_LEN))
     t = F.col(text)
     if max_length is not None:
         hint = avg_token_len if avg_token_len is not None else vocab_avg_token_len(vocab)
         t = t.substr(F.lit(1), F.ceil(F.lit(float(max_length) * hint)).cast("int"))
 
-    @F.pandas_udf(_ENCODED)
-    def encode(units: pd.Series) -> pd.DataFrame:
-        lat = _LATTICES.get(key)
-        if lat is None:
-            _LATTICES.clear()  # one vocabulary per worker
-            lat = _LATTICES[key] = Lattice(bc.value, max_len=MAX_PIECE_LEN)
-        toks, ids = [], []
-        unk = lat.unk_id
-        for us in units:
-            tk, ii = [], []
-            if us is not None:
-                for u in us:
-                    a, b = lat.encode_word(u)
-                    for piece, pid in zip(a, b):
-                        if pid == unk and ii and ii[-1] == unk:
-                            tk[-1] += piece  # consecutive unknown characters form one unknown token
-                        else:
-                            tk.append(piece)
-                            ii.append(pid)
-            toks.append(tk)
-            ids.append(ii)
-        return pd.DataFrame({"tokens": toks, "ids": ids})
+    @F.arrow_udf(_ENCODED)
+    def encode(units: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return bc.value.encoded(units)
 
     user = [p for p, (i, sc) in pieces.items() if p in user_defined]
     enc = encode(presplit(t, spec, user))

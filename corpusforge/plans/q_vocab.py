@@ -181,9 +181,9 @@ def planted_vocab(spark, sf):
     """(id, piece, score, type) by the rule of ``_PLANTED``."""
     units = V.presplit(F.col("text"), V.VocabSpec.parse(PLANTED_SPEC))
     word = fx.table(spark, sf, "documents").select(F.explode(units).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
-    chars = word.select(F.explode(F.split("u", "(?!^)")).alias("piece"))
     starts = F.array(*[F.substring("u", a, n) for a, n in ((1, 2), (1, 3), (1, 4), (2, 3))])
-    piece = chars.unionByName(word.where("c >= 2 and length(u) >= 4").select(F.explode(starts).alias("piece"))).distinct()
+    often = F.when((F.col("c") >= 2) & (F.length("u") >= 4), starts).otherwise(F.array().cast("array<string>"))
+    piece = word.select(F.explode(F.concat(F.split("u", "(?!^)"), often)).alias("piece")).distinct()  # words are counted once
     score = -1.0 - F.conv(F.substring(F.md5("piece"), 1, 1), 16, 10).cast("float")
     special = spark.createDataFrame([(i, p, 0.0, t) for i, (p, t) in enumerate(V.SPECIALS)], V.VOCAB_SCHEMA)
     number = (F.row_number().over(Window.orderBy("piece")) + len(V.SPECIALS) - 1).cast("int")  # a vocabulary has one task's size
@@ -201,7 +201,8 @@ def q_tokenize_planted(spark, sf):
     voc = planted_vocab(spark, sf).checkpoint(eager=True)
     tok = V.tokenize(_spread(fx.table(spark, sf, "documents").select("doc_id", "text")), voc, PLANTED_SPEC)
     pairs = tok.select("doc_id", F.explode(F.arrays_zip("tokens", "input_ids")).alias("p")).select("doc_id", F.length("p.tokens").alias("n"), F.col("p.input_ids").alias("id"))
-    scored = pairs.join(voc.select("id", F.col("score").cast("double").alias("score")), "id")
+    # every task has the vocabulary as it is; dealt by id, all tokens of a frequent piece would meet in one task
+    scored = pairs.join(F.broadcast(voc.select("id", F.col("score").cast("double").alias("score"))), "id")
     return scored.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").cast("bigint").alias("n_chars"))
 
 
