@@ -14,7 +14,9 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,12 +268,17 @@ def _looked_up(df: DataFrame, table: DataFrame, key: str, column: str, out: str,
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("given"), F.pmod(F.xxhash64(F.col(key), F.col(column)), F.lit(blocks)).alias("block"))
     wanted = rows.select("block", F.explode("given").alias("k")).where("k is not null").distinct()
     answers = wanted.join(table, "k").select(F.col("block").alias("own"), "k", "v")
-    arrow = pa.list_(pa.int32() if kind == "int" else pa.string())
+    arrow = pa.int32() if kind == "int" else pa.string()
 
     def answer(own: pa.Table, found: pa.Table) -> pa.Table:
-        get = dict(zip(found.column("k").to_pylist(), found.column("v").to_pylist(), strict=True)).get
-        values = [None if r is None else [get(x, missing) for x in r] for r in own.column("given").to_pylist()]
-        return pa.table([own.column("key"), pa.array(values, arrow)], names=[key, out])
+        # a block's elements stay in their columns: as Python objects they would take many times their bytes
+        given = own.column("given").combine_chunks()
+        values = found.column("v").combine_chunks().cast(arrow).take(pc.index_in(given.flatten(), value_set=found.column("k").combine_chunks()))
+        if missing is not None:
+            values = values.fill_null(missing)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(given.value_lengths().fill_null(0)), dtype=np.int64)])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=given.is_null())
+        return pa.table([own.column("key"), lists], names=[key, out])
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{out}` array<{kind}>"
     return rows.groupBy("block").cogroup(answers.groupBy("own")).applyInArrow(answer, schema)

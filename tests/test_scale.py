@@ -4,10 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from corpusforge.functions.unigram import Lattice
+from corpusforge.operators import batching as B
 from corpusforge.operators import unigram_encoder as E
+from corpusforge.operators import vocab as V
 from corpusforge.plans.catalog import all_queries
 from tests.conftest import SF_SMALL
 
@@ -55,3 +56,32 @@ def test_a_worker_keeps_no_units():
 def test_tokens_meet_the_planted_vocabulary_without_being_dealt_by_id(spark):
     plan = all_queries()["tokenize_planted"].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("buckets", [3, None])
+def test_rows_are_numbered_leaf_by_leaf(spark, buckets):
+    """Ranks of whole buckets from small ranges of hashes, with keys that repeat and keys that are null."""
+    keys = [*range(700), *range(0, 700, 70), *[None] * 5]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    got = B.with_batches(df, "k", batch_size=16, buckets=buckets, bucket_rows=50)
+    assert got.columns == ["k", "h", "bucket", "rn", "batch"]
+    if buckets:
+        assert "_leaf" in got._jdf.queryExecution().executedPlan().toString().split("Window")[1]
+    found = {}
+    for r in got.collect():
+        assert r.batch == (r.rn - 1) // 16 and (r.h is None or not buckets or r.bucket == r.h % buckets)
+        found.setdefault(r.bucket, []).append((r.rn, r.h, r.k))
+    assert sum(map(len, found.values())) == len(keys) and any(k is None for _, _, k in found[None if buckets else 1])
+    for rows in found.values():
+        assert [n for n, _, _ in sorted(rows, key=lambda r: r[0])] == list(range(1, len(rows) + 1))
+        assert sorted(rows, key=lambda r: r[0]) == sorted(rows, key=lambda r: (r[1] or 0, r[2] or 0, r[0]))
+
+
+def test_lookups_keep_elements_in_columns(spark):
+    """Null and empty arrays, null and unknown elements, in both directions; repeated keys."""
+    voc = spark.createDataFrame([(5, "a"), (6, "b"), (7, "é")], "id int, piece string")
+    df = spark.createDataFrame([(1, ["a", "x", None, "é"], [5, 9, None, 7]), (2, [], []), (3, None, None), (3, ["b"], [6]), (None, ["b", "b"], [6, 6])], "k int, t array<string>, i array<int>")
+    ids = sorted((str(r.k), r.ids or []) for r in V.pieces_to_ids(df, voc, "k", "t").collect())
+    assert ids == [("1", [5, 0, 0, 7]), ("2", []), ("3", []), ("3", [6]), ("None", [6, 6])]
+    rows = V.ids_to_pieces(df, voc, "k", "i").collect()
+    assert sorted((str(r.k), str(r.pieces)) for r in rows) == [("1", "['a', None, None, 'é']"), ("2", "[]"), ("3", "None"), ("3", "['b']"), ("None", "['b', 'b']")]
