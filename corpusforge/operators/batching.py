@@ -59,26 +59,46 @@ def _directory(hashes: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]]
     return bits, out
 
 
+def _with_leaves(df: DataFrame, name: str, bits: int, leaves: list[tuple[int, int]]) -> DataFrame:
+    """``df`` with its hash's leaf of a directory; rows without a hash are in leaf 1."""
+    if not bits:
+        return df.withColumn(name, F.lit(1))
+    leaf = df.sparkSession.createDataFrame(leaves, f"_prefix int, `{name}` int")
+    out = df.withColumn("_prefix", F.shiftright("h", _BITS - bits).cast("int")).join(F.broadcast(leaf), "_prefix", "left").drop("_prefix")
+    return out.withColumn(name, F.coalesce(name, F.lit(1)))
+
+
 def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets: int | None = None,
                  seed: int = DEFAULT_SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add (h, bucket, rn, batch): rn counts from 1 inside a bucket in (h, key) order.
 
     Without ``buckets`` there are as many as the rows need, with at most ``bucket_rows`` each: the batches
     depend on the rows alone, not on the session, and further rows change the buckets they fall into and no other.
+
+    With ``buckets``, however few, a task numbers the rows of one leaf of a bucket, at most ``bucket_rows``, and the
+    counts of the leaves before it are added: leaves are ranges of hashes, so that gives the numbers of the whole bucket.
     """
     out = df.withColumn("h", row_hash(F.col(key), seed))
-    if buckets is not None:
+    bits, leaves = _directory(out.where("h is not null").select("h"), bucket_rows)
+    if buckets is None:
+        out = _with_leaves(out, "bucket", bits, leaves)
+        number = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
+    elif not bits:
         out = out.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
+        number = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
     else:
-        bits, leaves = _directory(out.select("h"), bucket_rows)
-        if bits:
-            leaf = df.sparkSession.createDataFrame(leaves, "_prefix int, bucket int")
-            out = out.withColumn("_prefix", F.shiftright("h", _BITS - bits).cast("int")).join(leaf, "_prefix").drop("_prefix")
-        else:
-            out = out.withColumn("bucket", F.lit(1))
-    w = Window.partitionBy("bucket").orderBy("h", key)
-    out = out.withColumn("rn", F.row_number().over(w))
-    return out.withColumn("batch", ((F.col("rn") - 1) / batch_size).cast("int"))
+        out = _with_leaves(out.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int")), "_leaf", bits, leaves)
+        # one row for each leaf of each bucket; rows without a hash have no bucket and are numbered alone
+        sizes = out.where("h is not null").groupBy("bucket", "_leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low")).collect()
+        before, total = [], {}
+        for r in sorted(sizes, key=lambda r: r["low"]):
+            before.append((r["bucket"], r["_leaf"], total.get(r["bucket"], 0)))
+            total[r["bucket"]] = before[-1][2] + r["n"]
+        start = df.sparkSession.createDataFrame(before, "bucket int, _leaf int, _before long")
+        out = out.join(F.broadcast(start), ["bucket", "_leaf"], "left")
+        number = (F.row_number().over(Window.partitionBy("bucket", "_leaf").orderBy("h", key)) + F.coalesce("_before", F.lit(0))).cast("int")
+    out = out.withColumn("rn", number).withColumn("batch", ((F.col("rn") - 1) / batch_size).cast("int"))
+    return out.select(*df.columns, "h", "bucket", "rn", "batch")
 
 
 def _field(name: str):
