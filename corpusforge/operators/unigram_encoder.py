@@ -11,10 +11,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from corpusforge.operators.unigram_learner import UNK_PENALTY, Block, Trie, cut_blocks
 
-#: Units whose tokens are put together at once, and characters whose lattices are made at once.
+#: Units whose distinct ones are segmented together, units whose tokens are put together, and characters whose lattices are made at once.
+BATCH_UNITS = 1 << 21
 SLICE_UNITS = 1 << 17
 LATTICE_CHARS = 1 << 16
 
@@ -90,15 +92,34 @@ class Encoder:
 
     def encoded(self, batches: Iterable[pa.ListArray]) -> Iterator[pa.Array]:
         """(tokens, ids) of rows of units; no units give no tokens.  What comes out is cut more finely than what goes in."""
-        for rows in batches:
-            sizes = np.asarray(rows.value_lengths().fill_null(0), np.int64)
-            coded = rows.flatten().dictionary_encode()
-            first, count, tokens, extra = self._segmented(coded.dictionary.to_pylist())
-            names = pa.concat_arrays([self.names, pa.array(extra, pa.string())]) if extra else self.names
-            ids = np.append(self.ids, np.full(len(extra), self.unk_id, np.int32))
-            unit, begin = np.asarray(coded.indices), _starts(sizes)
-            for low, high in cut_blocks(sizes, SLICE_UNITS):
-                own = unit[begin[low] : begin[high]]
-                some = count[own]
-                counts = np.diff(_starts(some)[begin[low : high + 1] - begin[low]])
-                yield self._put_together(tokens[_ranges(first[own], some)], counts, names, ids)
+        for batch in batches:
+            sizes = np.asarray(batch.value_lengths().fill_null(0), np.int64)
+            for low, high in cut_blocks(sizes, BATCH_UNITS):
+                yield from self._encoded(batch[low:high], sizes[low:high])
+
+    def _encoded(self, rows: pa.ListArray, sizes: np.ndarray) -> Iterator[pa.Array]:
+        coded = rows.flatten().dictionary_encode()
+        first, count, tokens, extra = self._segmented(coded.dictionary.to_pylist())
+        names = pa.concat_arrays([self.names, pa.array(extra, pa.string())]) if extra else self.names
+        ids = np.append(self.ids, np.full(len(extra), self.unk_id, np.int32))
+        unit, begin = np.asarray(coded.indices), _starts(sizes)
+        for low, high in cut_blocks(sizes, SLICE_UNITS):
+            own = unit[begin[low] : begin[high]]
+            some = count[own]
+            counts = np.diff(_starts(some)[begin[low : high + 1] - begin[low]])
+            yield self._put_together(tokens[_ranges(first[own], some)], counts, names, ids)
+
+    def tallied(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, n, length) of all rows in the first column: how often each id is a token, and these tokens' characters."""
+        found = np.zeros((0, 2), np.int64)
+        keys = np.zeros(0, np.int32)
+        for part in self.encoded(b.column(0) for b in batches):
+            ids = np.asarray(part.field("ids").flatten())
+            lengths = np.asarray(pc.utf8_length(part.field("tokens").flatten()))
+            own, place = np.unique(ids, return_inverse=True)
+            some = np.stack([np.bincount(place, minlength=len(own)), np.bincount(place, lengths, len(own))], 1).astype(np.int64)
+            both, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            total = np.zeros((len(both), 2), np.int64)
+            np.add.at(total, place, np.concatenate([found, some]))
+            keys, found = both, total
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id", "n", "length"])

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ SPACE = "▁"
 SPECIALS = [("<unk>", "UNKNOWN"), ("<s>", "CONTROL"), ("</s>", "CONTROL"), ("<pad>", "CONTROL"), ("<mask>", "USER_DEFINED")]
 
 CHAR_COVERAGE = 0.9995
+#: Most pieces of a vocabulary that every worker gets.
+MAX_PIECES = 2_000_000
 VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, type STRING"
 
 
@@ -217,9 +220,16 @@ def _vocab_dict(vocab: DataFrame, max_pieces: int) -> dict[str, tuple[int, float
     return {r["piece"]: (int(r["id"]), float(r["score"])) for r in usable.collect()}
 
 
+def _encoder(vocab: DataFrame, max_pieces: int) -> tuple[Broadcast, list[str]]:
+    """The vocabulary's encoder for every worker, and its user-defined pieces."""
+    pieces = _vocab_dict(vocab, max_pieces)
+    user_defined = {r["piece"] for r in vocab.where(F.col("type") == "USER_DEFINED").select("piece").collect()}
+    return vocab.sparkSession.sparkContext.broadcast(Encoder(pieces, MAX_PIECE_LEN)), [p for p in pieces if p in user_defined]
+
+
 def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str = "text",
              max_length: int | None = None, avg_token_len: float | None = None,
-             max_pieces: int = 2_000_000) -> DataFrame:
+             max_pieces: int = MAX_PIECES) -> DataFrame:
     """Add tokens, input_ids, attention_mask: best unigram segmentation, no bos/eos.
 
     Normalization and pre-splitting are native; only the unit arrays cross to
@@ -228,10 +238,7 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     and the ids to ``max_length``.
     """
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
-    spark = docs.sparkSession
-    pieces = _vocab_dict(vocab, max_pieces)
-    user_defined = {r["piece"] for r in vocab.where(F.col("type") == "USER_DEFINED").select("piece").collect()}
-    bc = spark.sparkContext.broadcast(Encoder(pieces, MAX_PIECE_LEN))
+    bc, user = _encoder(vocab, max_pieces)
     t = F.col(text)
     if max_length is not None:
         hint = avg_token_len if avg_token_len is not None else vocab_avg_token_len(vocab)
@@ -241,7 +248,6 @@ def tokenize(docs: DataFrame, vocab: DataFrame, spec: str | VocabSpec, text: str
     def encode(units: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return bc.value.encoded(units)
 
-    user = [p for p, (i, sc) in pieces.items() if p in user_defined]
     enc = encode(presplit(t, spec, user))
     out = docs.withColumn("_enc", enc)
     ids = F.col("_enc.ids") if max_length is None else F.slice("_enc.ids", 1, max_length)
@@ -333,21 +339,26 @@ def audit_specials(vocab: DataFrame, expected: Sequence[tuple[str | None, str]]
 
 
 # ------------------------------------------------------------------ triage
+def _tallied(encoder: Broadcast):
+    return lambda batches: encoder.value.tallied(batches)
+
+
 def vocab_triage(docs: DataFrame, vocabs: dict[str, DataFrame], text: str = "text") -> DataFrame:
     """Bits per character and tokens per character of each vocabulary on ``docs``.
 
     A token costs its piece's score; an unknown character costs what the encoder charged for it,
     ``UNK_PENALTY`` below the least likely piece, so a vocabulary gains nothing by not knowing a text.
+    Whole documents are encoded as ``tokenize`` does; a task sums up its tokens by id.
     """
     out = None
     for name, voc in vocabs.items():
-        toks = tokenize(docs.select(text), voc, name, text)
+        bc, user = _encoder(voc, MAX_PIECES)
+        units = docs.select(presplit(F.col(text), VocabSpec.parse(name), user).alias("units"))
         usable = ~F.col("type").isin("CONTROL", "UNKNOWN")
         unk = F.broadcast(voc.where(usable).agg((F.coalesce(F.min(F.col("score").cast("double")), F.lit(0.0)) - UNK_PENALTY).alias("unk")))
         scores = voc.where(usable).select("id", F.col("score").cast("double").alias("score"))
-        pairs = toks.select(F.explode(F.arrays_zip("tokens", "input_ids")).alias("p")).select("p.tokens", F.col("p.input_ids").alias("id"))
-        # few distinct ids: sum counts and unknown characters before the join
-        sums = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("tokens")).alias("length"))
+        tallies = units.mapInArrow(_tallied(bc), "id int, n long, length long")
+        sums = tallies.groupBy("id").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         scored = sums.join(scores, "id", "left").crossJoin(unk)  # one row
         cost = F.when(F.col("score").isNull(), -F.col("unk") * F.col("length")).otherwise(-F.col("score") * F.col("n"))
         chars = F.lit(float(docs.agg(F.sum(F.length(text))).first()[0] or 1))

@@ -1,5 +1,6 @@
 """Work and memory that must not grow with the rows of a batch, of a bucket or of a frequent key."""
 
+import math
 import random
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ def test_batches_are_segmented_as_unit_by_unit(monkeypatch, limits):
     """Whole scores, so many paths are equally good; unknown characters; null rows; pieces that are too long."""
     monkeypatch.setattr(E, "SLICE_UNITS", limits[0])
     monkeypatch.setattr(E, "LATTICE_CHARS", limits[1])
+    monkeypatch.setattr(E, "BATCH_UNITS", 3 * limits[0])
     draw = random.Random(5)
     for size in [0, 3, 30] * 8:
         names = sorted({"".join(draw.choice("abc▁\U0001f600") for _ in range(draw.randint(1, 5))) for _ in range(size)})
@@ -85,3 +87,16 @@ def test_lookups_keep_elements_in_columns(spark):
     assert ids == [("1", [5, 0, 0, 7]), ("2", []), ("3", []), ("3", [6]), ("None", [6, 6])]
     rows = V.ids_to_pieces(df, voc, "k", "i").collect()
     assert sorted((str(r.k), str(r.pieces)) for r in rows) == [("1", "['a', None, None, 'é']"), ("2", "[]"), ("3", "None"), ("3", "['b']"), ("None", "['b', 'b']")]
+
+
+def test_triage_sums_up_tokens_where_they_are_made(spark):
+    """No row for each token: the tallies of a task are those of the tokens themselves, joined unknown characters included."""
+    voc = spark.createDataFrame([(0, "<unk>", 0.0, "UNKNOWN"), *((k + 1, p, -1.0 - k, "NORMAL") for k, p in enumerate(["▁", "a", "b", "ab", "▁a"]))], V.VOCAB_SCHEMA)
+    docs = spark.createDataFrame([("ab xyz ab",), ("xx  yy a",), (None,), ("",), ("a b ab",)], "text string")
+    got = V.vocab_triage(docs, {"cc-html1K": voc})
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [r for d in V.tokenize(docs, voc, "cc-html1K").collect() for r in zip(d.tokens, d.input_ids, strict=True)]
+    bits = sum(15.0 * len(t) if k == 0 else k for t, k in rows) / math.log(2)
+    chars = sum(len(r.text or "") for r in docs.collect())
+    found = got.first()
+    assert found.tokens_per_char == pytest.approx(len(rows) / chars) and found.bits_per_char == pytest.approx(bits / chars)
