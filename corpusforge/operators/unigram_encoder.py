@@ -19,6 +19,8 @@ from corpusforge.operators.unigram_learner import UNK_PENALTY, Block, Trie, cut_
 BATCH_UNITS = 1 << 21
 SLICE_UNITS = 1 << 17
 LATTICE_CHARS = 1 << 16
+#: Rows of tallies that are kept before they are merged.
+MERGE_ROWS = 1 << 18
 
 TOKENS = pa.list_(pa.field("element", pa.string()))
 IDS = pa.list_(pa.field("element", pa.int32()))
@@ -33,6 +35,15 @@ def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(first - _starts(counts)[:-1], counts) + np.arange(int(counts.sum()))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sums) of parts with rows of two numbers for each key."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    rows = np.concatenate([r for _, r in parts])
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(len(keys)))
+    return keys, np.add.reduceat(rows[order], starts) if len(keys) else rows
+
+
 class Encoder:
     """Segmenter over (piece, id, score); an unknown character costs ``UNK_PENALTY`` more than the least likely piece."""
 
@@ -111,15 +122,15 @@ class Encoder:
 
     def tallied(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, n, length) of all rows in the first column: how often each id is a token, and these tokens' characters."""
-        found = np.zeros((0, 2), np.int64)
-        keys = np.zeros(0, np.int32)
+        parts, size, least = [(np.zeros(0, np.int32), np.zeros((0, 2), np.int64))], 0, MERGE_ROWS
         for part in self.encoded(b.column(0) for b in batches):
             ids = np.asarray(part.field("ids").flatten())
             lengths = np.asarray(pc.utf8_length(part.field("tokens").flatten()))
             own, place = np.unique(ids, return_inverse=True)
-            some = np.stack([np.bincount(place, minlength=len(own)), np.bincount(place, lengths, len(own))], 1).astype(np.int64)
-            both, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            total = np.zeros((len(both), 2), np.int64)
-            np.add.at(total, place, np.concatenate([found, some]))
-            keys, found = both, total
+            parts.append((own, np.stack([np.bincount(place, minlength=len(own)), np.bincount(place, lengths, len(own))], 1).astype(np.int64)))
+            size += len(own)
+            if size >= least:  # as much again as all tallies have: each is merged a few times, however many parts there are
+                parts = [_merged(parts)]
+                size, least = 0, max(MERGE_ROWS, len(parts[0][0]))
+        keys, found = _merged(parts)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id", "n", "length"])

@@ -118,7 +118,7 @@ def q_detokenize(spark, sf):
 
 @register("vocab_triage", "A18")
 def q_vocab_triage(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("text")
+    docs = _spread(fx.table(spark, sf, "documents").select("text"))
     return V.vocab_triage(docs, {s: learned_vocab(spark, sf, s) for s in TRIAGE_SPECS})
 
 
@@ -180,7 +180,7 @@ scored AS (SELECT u, c, top[k + 1] AS score FROM best WHERE k = length(u))
 def planted_vocab(spark, sf):
     """(id, piece, score, type) by the rule of ``_PLANTED``."""
     units = V.presplit(F.col("text"), V.VocabSpec.parse(PLANTED_SPEC))
-    word = fx.table(spark, sf, "documents").select(F.explode(units).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    word = _spread(fx.table(spark, sf, "documents").select("text")).select(F.explode(units).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("c"))
     starts = F.array(*[F.substring("u", a, n) for a, n in ((1, 2), (1, 3), (1, 4), (2, 3))])
     often = F.when((F.col("c") >= 2) & (F.length("u") >= 4), starts).otherwise(F.array().cast("array<string>"))
     piece = word.select(F.explode(F.concat(F.split("u", "(?!^)"), often)).alias("piece")).distinct()  # words are counted once
@@ -214,6 +214,6 @@ SELECT '{PLANTED_SPEC}' AS vocab, round(-sum(score * c) / ln(2.0) / (SELECT sum(
 )
 def q_vocab_triage_planted(spark, sf):
     """Bits per character of a planted vocabulary."""
-    docs = fx.table(spark, sf, "documents").select("text")
+    docs = _spread(fx.table(spark, sf, "documents").select("text"))
     got = V.vocab_triage(docs, {PLANTED_SPEC: planted_vocab(spark, sf).checkpoint(eager=True)})
     return got.select("vocab", F.round("bits_per_char", 9).alias("bits_per_char"))

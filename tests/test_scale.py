@@ -5,6 +5,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusforge.functions.unigram import Lattice
 from corpusforge.operators import batching as B
@@ -100,3 +101,36 @@ def test_triage_sums_up_tokens_where_they_are_made(spark):
     chars = sum(len(r.text or "") for r in docs.collect())
     found = got.first()
     assert found.tokens_per_char == pytest.approx(len(rows) / chars) and found.bits_per_char == pytest.approx(bits / chars)
+
+
+def test_a_text_to_rewrite_costs_its_rewritten_characters(monkeypatch):
+    """Characters that stay cost no lookup in the tables."""
+    from corpusforge.functions import normalizer as N
+
+    asked = []
+
+    class Counting(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    one, other, *rest = N._rules()
+    monkeypatch.setattr(N, "_rules", lambda: (Counting(one), Counting(other), *rest))
+    assert N.normalized("ab\u00e9 zo\u00eft " * 1000 + "\uff21 \ufb01") == "ab\u00e9 zo\u00eft " * 1000 + "A fi"
+    assert len(asked) == 2
+
+
+def test_tallies_merge_as_they_grow(monkeypatch):
+    """Sums by id are the same however often the parts are merged, and a merge waits for as many rows as there are sums."""
+    pieces = {chr(0x4E00 + k): (k + 1, -1.0) for k in range(300)}
+    encoder = E.Encoder(pieces, 4)
+    rows = [[chr(0x4E00 + (k * 7 + j) % 310) for j in range(20)] for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["units"])
+    whole = next(encoder.tallied([batch]))
+    merges, merged = [], E._merged
+    monkeypatch.setattr(E, "_merged", lambda parts: merges.append(len(parts)) or merged(parts))
+    monkeypatch.setattr(E, "SLICE_UNITS", 100)
+    monkeypatch.setattr(E, "MERGE_ROWS", 50)
+    assert next(encoder.tallied([batch])).equals(whole)
+    assert sum(whole.column(1).to_pylist()) <= 8000 and sum(whole.column(2).to_pylist()) == 8000
+    assert 2 <= len(merges) < 50  # 80 parts
