@@ -103,6 +103,21 @@ def test_triage_sums_up_tokens_where_they_are_made(spark):
     assert found.tokens_per_char == pytest.approx(len(rows) / chars) and found.bits_per_char == pytest.approx(bits / chars)
 
 
+def test_python_workers_get_batches_of_bounded_bytes(spark):
+    """A batch has a few megabytes, however many and long the rows of a task are."""
+    from corpusforge.session import BATCH_BYTES, prepare
+
+    prepare(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("abcde "), 500).alias("t"))
+    got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 9000 * 3000 and max(got) < 2 * BATCH_BYTES
+
+
 def test_a_text_to_rewrite_costs_its_rewritten_characters(monkeypatch):
     """Characters that stay cost no lookup in the tables."""
     from corpusforge.functions import normalizer as N
