@@ -3,8 +3,8 @@
 Batches are deterministic: rows are hashed into buckets, numbered inside their bucket by (hash, key),
 and cut every ``batch_size`` rows.  Buckets are the leaves of an extendible-hash directory: a bucket that
 outgrows its bound is split by the next bit of the hash, and the others stay as they are.  Every later window and aggregate is
-clustered by (bucket, batch, ...), which the bucket hash partitioning already
-satisfies, so the whole chain costs one shuffle.
+clustered by (bucket, batch, ...).  Block packing deals batches out anew, over as many tasks as the rows need: a
+task's memory does not grow with the table, whatever the session's number of shuffle partitions.
 
 Block packing never gathers a batch: each document is cut into the slices
 that fall into each block of its batch, and only slices of one block meet in
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.hashing import DEFAULT_SEED, HASH_HEX_DIGITS, row_hash
@@ -25,12 +25,19 @@ from corpusforge.functions.hashing import DEFAULT_SEED, HASH_HEX_DIGITS, row_has
 BATCH_SIZE = 256
 #: Most rows that share a bucket when the number of buckets is not given.
 BUCKET_ROWS = 1 << 16
+#: Rows that share a task, about: batches of packing, and leaves of numbering where the number of buckets is given.
+TASK_ROWS = 1 << 12
 #: Bits of the hash that may tell buckets apart.
 _BITS, _MOST_BITS = 4 * HASH_HEX_DIGITS, 30
 
 
-def _directory(hashes: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]]]:
-    """Bits of a prefix, and (prefix, bucket): a bucket is a hash prefix with at most ``rows`` rows, one bit longer than one with more.
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows; all cores get one."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def _directory(hashes: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]], int]:
+    """Bits of a prefix, (prefix, bucket) and the number of all rows: a bucket is a hash prefix with at most ``rows`` rows, one bit longer than one with more.
 
     A bucket's number is its prefix behind a leading one.  Rows of one hash cannot be told apart and stay together.
     """
@@ -56,7 +63,7 @@ def _directory(hashes: DataFrame, rows: int) -> tuple[int, list[tuple[int, int]]
         while depth < bits and counts[depth][p >> (bits - depth)] > rows:
             depth += 1
         out.append((p, (1 << depth) | (p >> (bits - depth))))
-    return bits, out
+    return bits, out, sum(count.values())
 
 
 def _with_leaves(df: DataFrame, name: str, bits: int, leaves: list[tuple[int, int]]) -> DataFrame:
@@ -75,11 +82,12 @@ def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets:
     Without ``buckets`` there are as many as the rows need, with at most ``bucket_rows`` each: the batches
     depend on the rows alone, not on the session, and further rows change the buckets they fall into and no other.
 
-    With ``buckets``, however few, a task numbers the rows of one leaf of a bucket, at most ``bucket_rows``, and the
+    With ``buckets``, however few, a leaf of a bucket, at most ``bucket_rows`` and ``TASK_ROWS``, is numbered alone, and the
     counts of the leaves before it are added: leaves are ranges of hashes, so that gives the numbers of the whole bucket.
     """
     out = df.withColumn("h", row_hash(F.col(key), seed))
-    bits, leaves = _directory(out.where("h is not null").select("h"), bucket_rows)
+    leaf_rows = bucket_rows if buckets is None else min(bucket_rows, TASK_ROWS)
+    bits, leaves, rows = _directory(out.where("h is not null").select("h"), leaf_rows)
     if buckets is None:
         out = _with_leaves(out, "bucket", bits, leaves)
         number = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
@@ -96,6 +104,7 @@ def with_batches(df: DataFrame, key: str, batch_size: int = BATCH_SIZE, buckets:
             total[r["bucket"]] = before[-1][2] + r["n"]
         start = df.sparkSession.createDataFrame(before, "bucket int, _leaf int, _before long")
         out = out.join(F.broadcast(start), ["bucket", "_leaf"], "left")
+        out = out.repartition(_tasks(df.sparkSession, rows), "bucket", "_leaf")
         number = (F.row_number().over(Window.partitionBy("bucket", "_leaf").orderBy("h", key)) + F.coalesce("_before", F.lit(0))).cast("int")
     out = out.withColumn("rn", number).withColumn("batch", ((F.col("rn") - 1) / batch_size).cast("int"))
     return out.select(*df.columns, "h", "bucket", "rn", "batch")
@@ -113,6 +122,8 @@ def pack_blocks(df: DataFrame, block_size: int | Sequence[int], cols: Sequence[s
     tail is dropped); a shorter non-empty batch yields one short block; an empty
     one yields nothing.  ``labels`` is a copy of the first column (E3).
     ``block_size`` may be a list (E4): each size packs the same batches.
+
+    The rows are counted first: a task packs the batches of about ``TASK_ROWS`` of them, in every size.
     """
     group = list(group)
     cols = list(cols)
@@ -122,6 +133,7 @@ def pack_blocks(df: DataFrame, block_size: int | Sequence[int], cols: Sequence[s
     w_all = Window.partitionBy(*group)
     base = (
         df.select(*group, order, *cols)
+        .repartition(_tasks(df.sparkSession, df.select(order).count()), *group)
         .withColumn("_len", n)
         .withColumn("_off", F.coalesce(F.sum("_len").over(w_run), F.lit(0)))
         .withColumn("_total", F.sum("_len").over(w_all))

@@ -103,6 +103,19 @@ def test_triage_sums_up_tokens_where_they_are_made(spark):
     assert found.tokens_per_char == pytest.approx(len(rows) / chars) and found.bits_per_char == pytest.approx(bits / chars)
 
 
+def test_packing_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """However few buckets and shuffle partitions there are, more rows make more tasks, not larger ones."""
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    df = spark.range(6000).select(F.col("id").alias("k"), F.array_repeat(F.lit(7), 3).alias("input_ids"))
+    got = B.with_batches(df, "k", batch_size=10, buckets=2)
+    numbered = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    blocks = B.pack_blocks(got, [5, 6], cols=["input_ids"])
+    packed = blocks.groupBy(F.spark_partition_id()).agg(F.sum(F.size("input_ids")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert numbered <= 600 and packed[0] <= 600 * 3 * 2
+    assert 2 * 6000 * 3 - 2 * 2 * 30 < packed[1] <= 2 * 6000 * 3  # batches of 30 tokens: a tail in the last of a bucket only
+    assert got.agg(F.countDistinct("bucket", "rn")).first()[0] == 6000
+
+
 def test_python_workers_get_batches_of_bounded_bytes(spark):
     """A batch has a few megabytes, however many and long the rows of a task are."""
     from corpusforge.session import BATCH_BYTES, prepare
