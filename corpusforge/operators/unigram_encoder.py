@@ -110,7 +110,7 @@ class Encoder:
 
     def _encoded(self, rows: pa.ListArray, sizes: np.ndarray) -> Iterator[pa.Array]:
         coded = rows.flatten().dictionary_encode()
-        first, count, tokens, extra = self._segmented(coded.dictionary.to_pylist())
+        first, count, tokens, extra = self._segmented(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         names = pa.concat_arrays([self.names, pa.array(extra, pa.string())]) if extra else self.names
         ids = np.append(self.ids, np.full(len(extra), self.unk_id, np.int32))
         unit, begin = np.asarray(coded.indices), _starts(sizes)
@@ -120,14 +120,28 @@ class Encoder:
             counts = np.diff(_starts(some)[begin[low : high + 1] - begin[low]])
             yield self._put_together(tokens[_ranges(first[own], some)], counts, names, ids)
 
+    def parts_at(self, mark: str) -> bool:
+        """Whether no run of unknown characters goes across this character."""
+        return mark in self.names.to_pylist() and not (self.ids == self.unk_id).any()
+
+    def _weighted(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Encoded rows of the first column and how often each of them counts: as the second column has it, or once."""
+        for batch in batches:
+            often = np.asarray(batch.column(1)) if batch.num_columns > 1 else np.ones(batch.num_rows, np.int64)
+            done = 0
+            for part in self.encoded([batch.column(0)]):
+                yield part, often[done : done + len(part)]
+                done += len(part)
+
     def tallied(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, n, length) of all rows in the first column: how often each id is a token, and these tokens' characters."""
+        """(id, n, length) of all rows: how often each id is a token, and these tokens' characters."""
         parts, size, least = [(np.zeros(0, np.int32), np.zeros((0, 2), np.int64))], 0, MERGE_ROWS
-        for part in self.encoded(b.column(0) for b in batches):
+        for part, often in self._weighted(batches):
             ids = np.asarray(part.field("ids").flatten())
             lengths = np.asarray(pc.utf8_length(part.field("tokens").flatten()))
+            often = np.repeat(often, np.asarray(part.field("ids").value_lengths()))
             own, place = np.unique(ids, return_inverse=True)
-            parts.append((own, np.stack([np.bincount(place, minlength=len(own)), np.bincount(place, lengths, len(own))], 1).astype(np.int64)))
+            parts.append((own, np.stack([np.bincount(place, often, len(own)), np.bincount(place, often * lengths, len(own))], 1).astype(np.int64)))
             size += len(own)
             if size >= least:  # as much again as all tallies have: each is merged a few times, however many parts there are
                 parts = [_merged(parts)]

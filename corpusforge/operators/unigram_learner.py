@@ -7,9 +7,10 @@ extension occurs as often.  Each batch of the sorted table is worked on alone; t
 last suffix, whose count may go on in other batches, are summed and judged by a join.
 
 Expectation: a piece trie in flat arrays is walked from all positions of a batch of units at once, and the
-edges found (start, end, piece) are kept as a lattice table of packed blocks, made once and again whenever
-two thirds of its pieces are gone.  A pass computes forward and backward sums of whole blocks, end position by
-end position, in numpy; expected and best-path counts are merged by a group-by.  What a piece is
+edges found (start, end, piece) are kept as a lattice table of packed blocks, made once and reduced whenever
+two thirds of its pieces are gone.  A pass computes the edges' shares of whole blocks, end position by end
+position, in numpy, and deals the texts' weights out by them from the ends back; expected and best-path counts are
+merged by a group-by.  What a piece is
 replaced by when it goes is a pass over the lattices of the pieces themselves.
 
 The driver holds the piece table, at most ``SEED_SIZE`` pieces and the characters, as arrays: it is the model,
@@ -45,52 +46,58 @@ _POINT = 21  # bits of a code point
 
 
 # ------------------------------------------------------------------ seeds
-def _repeated_prefixes(width: int):
+def _repeated_prefixes(batches):
     """Batches of sorted distinct suffixes with counts -> (piece, f, border)."""
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            texts = batch.column(0).to_pylist()
-            weight = np.concatenate([[0.0], np.cumsum(np.asarray(batch.column(1), dtype=float))])
-            codes = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(n, width)
-            length = np.array([len(t) for t in texts])
-            same = codes[1:] == codes[:-1]
-            shared = np.where(same.all(axis=1), width, same.argmin(axis=1)) if n > 1 else np.empty(0, int)
-            shared = np.minimum(shared, np.minimum(length[1:], length[:-1]))
-            pieces, counts, border = [], [], []
-            for k in range(1, width + 1):
-                # runs of suffixes with the same first k characters
-                start = np.concatenate([[0], np.nonzero(shared < k)[0] + 1])
-                stop = np.append(start[1:], n)
-                long = length[start] >= k  # a shorter suffix is a run of its own
-                if not long.any():
-                    break
-                f = weight[stop] - weight[start]
-                # right-maximal: it ends here, or two suffixes part here
-                parts = np.zeros(n, bool)
-                parts[:-1] = shared == k
-                parts |= length == k
-                marks = np.concatenate([[0], np.cumsum(parts)])
-                maximal = marks[stop] > marks[start]
-                edge = (start == 0) | (stop == n)
-                for r in np.nonzero(long & (edge | maximal & (f >= 2)))[0]:
-                    pieces.append(texts[start[r]][:k])
-                    counts.append(f[r])
-                    border.append(bool(edge[r]))
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.float64()), pa.array(border, pa.bool_())], names=["piece", "f", "border"])
-
-    return run
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        texts = batch.column(0).to_numpy(zero_copy_only=False).tolist()
+        weight = np.concatenate([[0.0], np.cumsum(np.asarray(batch.column(1), dtype=float))])
+        length = np.array([len(t) for t in texts])
+        codes = np.array(texts, dtype=f"U{length.max()}").view(np.uint32).reshape(n, -1).T.copy()
+        # characters that a suffix shares with the next one
+        shared, both, pair = np.zeros(n - 1, int), np.minimum(length[1:], length[:-1]), np.arange(n - 1)
+        for k, at in enumerate(codes):
+            pair = pair[(at[pair] == at[pair + 1]) & (both[pair] > k)]
+            if not len(pair):
+                break
+            shared[pair] = k + 1
+        # a suffix that shares less with its neighbours: it occurs as often as it ends here
+        beside = np.maximum(np.append(shared, 0), np.append(0, shared))
+        alone = np.nonzero((beside < length) & (weight[1:] - weight[:-1] >= 2))[0]
+        alone = alone[(alone > 0) & (alone < n - 1)]
+        pieces = [texts[r] for r in alone]
+        counts = (weight[alone + 1] - weight[alone]).tolist()
+        border = [False] * len(alone)
+        for r in {0, n - 1}:  # prefixes of the first and of the last that no neighbour has
+            for k in range(beside[r] + 1, length[r] + 1):
+                pieces.append(texts[r][:k])
+                counts.append(weight[r + 1] - weight[r])
+                border.append(True)
+        pair, k = np.nonzero(shared > 0)[0], 1  # suffixes that share k characters with the next one
+        while len(pair):
+            run = np.concatenate([[0], np.nonzero(np.diff(pair) != 1)[0] + 1])
+            start, stop = pair[run], pair[np.append(run[1:], len(pair)) - 1] + 2
+            f = weight[stop] - weight[start]
+            # right-maximal: two suffixes part here, or the first one ends here
+            maximal = (np.minimum.reduceat(shared[pair], run) == k) | (length[start] == k)
+            edge = (start == 0) | (stop == n)
+            out = np.nonzero(edge | maximal & (f >= 2))[0]
+            pieces += [texts[r][:k] for r in start[out].tolist()]
+            counts += f[out].tolist()
+            border += edge[out].tolist()
+            pair = pair[shared[pair] > k]
+            k += 1
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.float64()), pa.array(border, pa.bool_())], names=["piece", "f", "border"])
 
 
 def repeated_substrings(counts: DataFrame, longest: int, partitions: int) -> DataFrame:
     """(piece, f): right-maximal substrings of the units (unit, c), up to ``longest`` characters, with a count of two or more."""
-    starts = F.sequence(F.lit(1), F.length("unit"))
-    suffixes = counts.where(F.length("unit") > 0).select(F.explode(F.transform(starts, lambda i: F.substring(F.col("unit"), i, F.lit(longest)))).alias("s"), "c")
+    starts = F.explode(F.sequence(F.lit(1), F.length("unit")))
+    suffixes = counts.where(F.length("unit") > 0).select("unit", "c", starts.alias("i")).select(F.substring("unit", F.col("i"), longest).alias("s"), "c")
     ranked = suffixes.groupBy("s").agg(F.sum("c").alias("c")).repartitionByRange(partitions, "s").sortWithinPartitions("s")
-    found = ranked.mapInArrow(_repeated_prefixes(longest), "piece string, f double, border boolean").checkpoint(eager=True)
+    found = ranked.mapInArrow(_repeated_prefixes, "piece string, f double, border boolean").checkpoint(eager=True)
     # prefixes at the ends of batches: whole counts, and whether an extension occurs as often
     ends = found.where("border").groupBy("piece").agg(F.sum("f").alias("f"))
     longer = ends.where(F.length("piece") > 1).select(F.substring("piece", F.lit(1), F.length("piece") - 1).alias("piece"), F.col("f").alias("longer"))
@@ -224,58 +231,72 @@ class Block:
         lengths, count, width, piece = (np.frombuffer(x, t) for x, t in zip(raw, (np.int32, np.uint8, np.uint8, number), strict=True))
         return Block(lengths.astype(np.int64), count, width, piece)
 
-    def _levels(self, slot: np.ndarray):
-        """Runs of edges with one slot (in order), gathered by the slot's place."""
-        if not len(slot):
+    @staticmethod
+    def reduced(raw: list[bytes], number: np.ndarray) -> list[bytes]:
+        """A packed block with pieces numbered anew, without the edges of pieces that have no number (-1)."""
+        known = np.uint16 if len(raw[3]) == 2 * len(raw[2]) else np.int32
+        count, width, piece = (np.frombuffer(x, t) for x, t in zip(raw[1:], (np.uint8, np.uint8, known), strict=True))
+        piece = number[piece]
+        kept = piece >= 0
+        before = np.concatenate([[0], np.cumsum(kept)])
+        ends = np.cumsum(count, dtype=np.int64)
+        count = before[ends] - before[ends - count]
+        piece = piece[kept]
+        small = np.uint16 if piece.max(initial=0) < 1 << 16 else np.int32
+        return [raw[0], count.astype(np.uint8).tobytes(), width[kept].tobytes(), piece.astype(small).tobytes()]
+
+    def _levels(self):
+        """Edges that end at one place, place by place: their range, the slots, and where each slot's edges begin and how many they are."""
+        at = np.nonzero(self.count)[0]
+        if not len(at):
             return
-        run = np.concatenate([[0], np.nonzero(slot[1:] != slot[:-1])[0] + 1])
-        at = slot[run]
+        ends = np.cumsum(self.count, dtype=np.int64)[at]
+        size = self.count[at].astype(np.int64)
         place = self.place[at]
-        cut = np.concatenate([[0], np.nonzero(place[1:] != place[:-1])[0] + 1, [len(run)]])
-        ends = np.append(run, len(slot))
-        for low, high in zip(cut[:-1], cut[1:], strict=True):
-            yield ends[low], ends[high], run[low:high], at[low:high], ends[low + 1 : high + 1]
+        cut = np.concatenate([[0], np.nonzero(place[1:] != place[:-1])[0] + 1, [len(at)]])
+        for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            first = ends[low] - size[low]
+            yield first, ends[high - 1], at[low:high], ends[low:high] - size[low:high] - first, size[low:high]
 
-    def forward(self, score: np.ndarray) -> np.ndarray:
+    def shares(self, score: np.ndarray) -> np.ndarray:
+        """Part of the ways to its end that each edge has, all pieces weighed by their scores."""
         alpha = np.full(self.first[-1], -np.inf)
         alpha[: len(self.lengths)] = 0
-        for a, b, run, at, ends in self._levels(self.stop):
-            v = alpha[self.start[a:b]] + score[self.piece[a:b]]
-            top = np.maximum.reduceat(v, run - a)
-            v = np.exp(v - np.repeat(top, ends - run))
-            alpha[at] = top + np.log(np.add.reduceat(v, run - a))
-        return alpha
-
-    def backward(self, score: np.ndarray) -> np.ndarray:
-        beta = np.full(self.first[-1], -np.inf)
-        beta[self.last] = 0
-        order = np.argsort(-self.start, kind="stable")
-        start, stop, piece = self.start[order], self.stop[order], self.piece[order]
-        for a, b, run, at, ends in self._levels(start):
-            v = beta[stop[a:b]] + score[piece[a:b]]
-            top = np.maximum.reduceat(v, run - a)
-            v = np.exp(v - np.repeat(top, ends - run))
-            beta[at] = top + np.log(np.add.reduceat(v, run - a))
-        return beta
+        share = score[self.piece]
+        for a, b, at, run, size in self._levels():
+            v = share[a:b]
+            v += alpha[self.start[a:b]]
+            top = np.maximum.reduceat(v, run)
+            v -= np.repeat(top, size)
+            np.exp(v, out=v)
+            total = np.add.reduceat(v, run)
+            v /= np.repeat(total, size)
+            alpha[at] = top + np.log(total)
+        return share
 
     def best(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best score up to each slot, and the edge that it comes by."""
         top = np.full(self.first[-1], -np.inf)
         top[: len(self.lengths)] = 0
         back = np.full(self.first[-1], -1, np.int64)
-        for a, b, run, at, ends in self._levels(self.stop):
+        for a, b, at, run, size in self._levels():
             v = top[self.start[a:b]] + score[self.piece[a:b]]
-            most = np.maximum.reduceat(v, run - a)
-            hits = np.nonzero(v == np.repeat(most, ends - run))[0] + a
-            back[at] = hits[np.searchsorted(hits, run)]
+            most = np.maximum.reduceat(v, run)
+            hits = np.nonzero(v == np.repeat(most, size))[0]
+            back[at] = hits[np.searchsorted(hits, run)] + a
             top[at] = most
         return top, back
 
     def expected(self, score: np.ndarray, weight: np.ndarray, pieces: int) -> np.ndarray:
-        alpha, beta = self.forward(score), self.backward(score)
-        own = self.text[self.stop]
-        p = np.exp(alpha[self.start] + score[self.piece] + beta[self.stop] - alpha[self.last][own]) * weight[own]
-        return np.bincount(self.piece, p, pieces + 1)[:pieces]
+        """A text's weight goes back from its end, by every edge its share; what an edge gets is its expected count."""
+        flow = self.shares(score)
+        due = np.zeros(self.first[-1])
+        due[self.last] = weight
+        for a, b, at, _, size in reversed([*self._levels()]):
+            v = flow[a:b]
+            v *= np.repeat(due[at], size)
+            due[self.start[a:b]] += v  # edges to one place and from one slot are of different texts: no slot comes twice
+        return np.bincount(self.piece, flow, pieces + 1)[:pieces]
 
     def best_counts(self, score: np.ndarray, weight: np.ndarray, pieces: int) -> np.ndarray:
         _, back = self.best(score)
@@ -307,7 +328,7 @@ def cut_blocks(lengths: np.ndarray, size: int = BLOCK_CHARS):
 def _lattice_rows(trie):
     def run(batches):
         for batch in batches:
-            texts, weight = batch.column(0).to_pylist(), np.asarray(batch.column(1), dtype=float)
+            texts, weight = batch.column(0).to_numpy(zero_copy_only=False).tolist(), np.asarray(batch.column(1), dtype=float)
             for low, high in cut_blocks(np.array([len(t) for t in texts], np.int64)):
                 block, order = Block.of(texts[low:high], trie.value)
                 columns = [*block.packed(), weight[low:high][order].tobytes()]
@@ -316,6 +337,16 @@ def _lattice_rows(trie):
     return run
 
 
+def _reduced_rows(number):
+    def run(batches):
+        for batch in batches:
+            for *raw, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = [*Block.reduced(raw, number.value), weight]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["lengths", "count", "width", "piece", "weight"])
+
+    return run
+
+
 def _piece_rows(trie, pieces):
     def run(batches):
         for batch in batches:
@@ -388,7 +419,15 @@ def learn_pieces(counts: DataFrame, seeds: list[tuple[str, float]], chars: list[
             if lattice is None or len(pieces) <= built // 3:
                 old = (lattice, of_pieces)
                 trie, names = sc.broadcast(Trie(pieces)), sc.broadcast(pieces)
-                lattice = counts.select("unit", "c").mapInArrow(_lattice_rows(trie), f"{_PACKED}, weight binary").checkpoint(eager=True)
+                if lattice is None:
+                    lattice = counts.select("unit", "c").mapInArrow(_lattice_rows(trie), f"{_PACKED}, weight binary").checkpoint(eager=True)
+                else:
+                    number = np.full(built + 1, -1, np.int32)
+                    number[place] = np.arange(len(pieces))
+                    number[built] = len(pieces)  # the unknown character
+                    number = sc.broadcast(number)
+                    lattice = lattice.mapInArrow(_reduced_rows(number), f"{_PACKED}, weight binary").checkpoint(eager=True)
+                    number.unpersist()
                 of_pieces = spark.range(0, len(pieces), 1, tasks).mapInArrow(_piece_rows(trie, names), f"{_PACKED}, id binary").checkpoint(eager=True)
                 for df in old:
                     if df is not None:

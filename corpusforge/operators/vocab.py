@@ -2,9 +2,9 @@
 jobs (M1, M2), tokenization (T9, T7), id lookups (J5), detokenization (T10),
 special-token audit (J6) and vocabulary triage (A18).
 
-Learning: documents are normalized as the library does by default, pre-split natively into units,
-units are counted by a partial + final aggregate, and ``unigram_learner`` makes a vocabulary of
-them.
+Learning: the words of the documents are counted; distinct words are normalized as the library does by
+default and pre-split natively into units, and ``unigram_learner`` makes a vocabulary of the units and
+their counts.  Where units go across white space, whole documents are normalized and pre-split.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from corpusforge.functions.normalizer import normalize_text
 from corpusforge.operators.unigram_encoder import Encoder
 from corpusforge.operators.unigram_learner import SEED_SIZE, UNK_PENALTY, learn_pieces, repeated_substrings
 from corpusforge.operators.vocab_stats import avg_token_len as vocab_avg_token_len
+from corpusforge.operators.word_counts import word_counts
 
 # Fixed values from the reference: the vocabulary-name grammar (switches in this
 # order), pieces per "K", maximum piece length, the space marker, and the special
@@ -143,10 +144,42 @@ def corpus_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(t.alias("text")).where(~has_reserved_mark(F.col("text")))
 
 
-def unit_counts(docs: DataFrame, spec: VocabSpec, text: str = "text") -> DataFrame:
-    """(unit, c): how often each unit occurs."""
-    units = corpus_text(docs.select(text), text).select(F.explode(presplit(F.col("text"), spec)).alias("unit"))
-    return units.where(F.length("unit") > 0).groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("c"))
+def splits_at_words(spec: VocabSpec, user_symbols: Sequence[str] = ()) -> bool:
+    """Whether the units of a text are those of its words.
+
+    No unit has white space inside, and no rule of the normalizer or of the units looks beyond it; but a mark behind
+    a word may be a unit because of a user-defined symbol behind it.
+    """
+    if spec.whitespace_as_suffix and user_symbols:
+        return False
+    return spec.split_by_whitespace and spec.join_spaces and not any(SPACE in u for u in user_symbols)
+
+
+def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n, kept): how often each word occurs in the texts as they are, and in those of ``corpus_text``.
+
+    A text that ``corpus_text`` leaves as it is is read once for both.
+    """
+    cut = btrim(F.col(text), MAX_SENTENCE_BYTES)
+    rows = docs.select(F.col(text).alias("text"), cut.alias("cut"), (~has_reserved_mark(cut)).alias("fit"))
+    whole = F.col("fit") & (F.col("text") == F.col("cut"))
+    return word_counts(rows.select("text", whole.alias("whole"), F.when(F.col("fit") & ~whole, F.col("cut")).alias("cut")))
+
+
+def _once(texts: DataFrame, text: str, whole: bool) -> DataFrame:
+    """Rows for ``word_counts``: texts that are all kept as they are, or none."""
+    return texts.select(F.col(text).alias("text"), F.lit(whole).alias("whole"), F.lit(None).cast("string").alias("cut"))
+
+
+def unit_counts(docs: DataFrame, spec: VocabSpec, text: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """(unit, c): how often each unit occurs; ``words`` are the documents' ``corpus_words``, if they are known."""
+    texts = corpus_text(docs.select(text), text)
+    if not splits_at_words(spec):
+        rows = texts.select(F.col("text").alias("word"), F.lit(1).cast("long").alias("kept"))
+    else:
+        rows = (word_counts(_once(texts, "text", True)) if words is None else words).where("kept > 0")
+    units = rows.select(F.explode(presplit(F.col("word"), spec)).alias("unit"), "kept")
+    return units.where(F.length("unit") > 0).groupBy("unit").agg(F.sum("kept").cast("double").alias("c"))
 
 
 # ------------------------------------------------------------------ seeding
@@ -177,21 +210,21 @@ def seed_pieces(counts: DataFrame, spec: VocabSpec, seed_size: int = SEED_SIZE,
     if found.count() > seed_size:
         found = found.orderBy(F.desc(F.col("f") * F.length("piece")), "piece").limit(seed_size)
     top = found.toArrow()
-    return list(zip(top.column("piece").to_pylist(), top.column("f").to_pylist(), strict=True))
+    return list(zip(top.column("piece").to_numpy().tolist(), top.column("f").to_numpy().tolist(), strict=True))
 
 
 def learn_vocab(docs: DataFrame, spec: str | VocabSpec, text: str = "text", seed_size: int = SEED_SIZE,
-                em_iters: int = 2, max_rounds: int = 60) -> DataFrame:
+                em_iters: int = 2, max_rounds: int = 60, words: DataFrame | None = None) -> DataFrame:
     """Learn a unigram vocabulary of at most ``spec.size`` pieces (specials included).
 
     Up to ``seed_size`` candidates are considered, whatever the size.  Raises if ``max_rounds`` prunings do not
-    reach the target.
+    reach the target.  ``words`` are the documents' ``corpus_words``, if they are known.
     """
     spec = VocabSpec.parse(spec) if isinstance(spec, str) else spec
     spark = docs.sparkSession
     tasks = spark.sparkContext.defaultParallelism  # units are dealt evenly: one task for each core
     # spread the distinct units over all tasks: every pass is a map over them
-    counts = unit_counts(docs, spec, text).repartition(tasks).checkpoint(eager=True)
+    counts = unit_counts(docs, spec, text, words).repartition(tasks).checkpoint(eager=True)
     n_normal = spec.size - len(SPECIALS)
     chars = _chars(counts)
     if len(chars) > n_normal:
@@ -343,17 +376,27 @@ def _tallied(encoder: Broadcast):
     return lambda batches: encoder.value.tallied(batches)
 
 
-def vocab_triage(docs: DataFrame, vocabs: dict[str, DataFrame], text: str = "text") -> DataFrame:
+def vocab_triage(docs: DataFrame, vocabs: dict[str, DataFrame], text: str = "text", words: DataFrame | None = None) -> DataFrame:
     """Bits per character and tokens per character of each vocabulary on ``docs``.
 
     A token costs its piece's score; an unknown character costs what the encoder charged for it,
     ``UNK_PENALTY`` below the least likely piece, so a vocabulary gains nothing by not knowing a text.
-    Whole documents are encoded as ``tokenize`` does; a task sums up its tokens by id.
+    Whole documents are encoded as ``tokenize`` does: by their distinct words, where no unit and no run of
+    unknown characters goes beyond a word.  A task sums up its tokens by id.  ``words`` are the documents'
+    ``corpus_words``, if they are known.
     """
     out = None
+    chars = F.lit(float(docs.agg(F.sum(F.length(text))).first()[0] or 1))
     for name, voc in vocabs.items():
+        spec = VocabSpec.parse(name)
         bc, user = _encoder(voc, MAX_PIECES)
-        units = docs.select(presplit(F.col(text), VocabSpec.parse(name), user).alias("units"))
+        if splits_at_words(spec, user) and bc.value.parts_at(SPACE):
+            if words is None:
+                words = word_counts(_once(docs, text, False)).checkpoint(eager=True)
+            rows = words.where("n > 0").select(F.col("word").alias("text"), "n")
+        else:
+            rows = docs.select(F.col(text).alias("text"), F.lit(1).cast("long").alias("n"))
+        units = rows.select(presplit(F.col("text"), spec, user).alias("units"), "n")
         usable = ~F.col("type").isin("CONTROL", "UNKNOWN")
         unk = F.broadcast(voc.where(usable).agg((F.coalesce(F.min(F.col("score").cast("double")), F.lit(0.0)) - UNK_PENALTY).alias("unk")))
         scores = voc.where(usable).select("id", F.col("score").cast("double").alias("score"))
@@ -361,7 +404,6 @@ def vocab_triage(docs: DataFrame, vocabs: dict[str, DataFrame], text: str = "tex
         sums = tallies.groupBy("id").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         scored = sums.join(scores, "id", "left").crossJoin(unk)  # one row
         cost = F.when(F.col("score").isNull(), -F.col("unk") * F.col("length")).otherwise(-F.col("score") * F.col("n"))
-        chars = F.lit(float(docs.agg(F.sum(F.length(text))).first()[0] or 1))
         r = scored.agg(
             (F.sum(cost) / F.lit(math.log(2.0)) / chars).alias("bits_per_char"),
             (F.sum("n") / chars).alias("tokens_per_char"),

@@ -31,11 +31,11 @@ def _spread(df):
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def learned_vocab(spark, sf, spec: str = SPEC, source: str = "documents", text: str = "text"):
+def learned_vocab(spark, sf, spec: str = SPEC, source: str = "documents", text: str = "text", words=None):
     """Vocabulary learned from a table, written once to the checkpoint folder and reused (K2)."""
     key = hashlib.md5(f"{sf}|{source}|{text}|{spec}".encode()).hexdigest()[:16]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vocab/{key}"
-    return materialize(spark, path, lambda: V.learn_vocab(_spread(fx.table(spark, sf, source).select(text)), spec, text))
+    return materialize(spark, path, lambda: V.learn_vocab(fx.table(spark, sf, source).select(text), spec, text, words=words))
 
 
 @register("vocab_learn", "M2 M1 T8 J6 K2 K3")
@@ -118,8 +118,9 @@ def q_detokenize(spark, sf):
 
 @register("vocab_triage", "A18")
 def q_vocab_triage(spark, sf):
-    docs = _spread(fx.table(spark, sf, "documents").select("text"))
-    return V.vocab_triage(docs, {s: learned_vocab(spark, sf, s) for s in TRIAGE_SPECS})
+    docs = fx.table(spark, sf, "documents").select("text")
+    words = V.corpus_words(docs).checkpoint(eager=True)  # the vocabularies are learned from and judged by the same words
+    return V.vocab_triage(docs, {s: learned_vocab(spark, sf, s, words=words) for s in TRIAGE_SPECS}, words=words)
 
 
 @register("lm_blocks", "C3 S5 P1 T9 E1 E2 E3 P2")
