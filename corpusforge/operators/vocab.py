@@ -200,6 +200,17 @@ def _chars(counts: DataFrame) -> list[tuple[str, float]]:
     return kept
 
 
+def _largest(found: DataFrame, worth: Column, size: int) -> DataFrame:
+    """The ``size`` rows worth most, ties by piece; only rows that are worth as much as the last one are put in order."""
+    table = found.groupBy(worth.alias("worth")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    each, n = table.column("worth").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(-each)
+    upto = np.cumsum(n[order])
+    last = int(np.searchsorted(upto, size))
+    least, above = F.lit(float(each[order[last]])), int(upto[last] - n[order[last]])
+    return found.where(worth > least).unionByName(found.where(worth == least).orderBy("piece").limit(size - above))
+
+
 def seed_pieces(counts: DataFrame, spec: VocabSpec, seed_size: int = SEED_SIZE, partitions: int = 8) -> list[tuple[str, float]]:
     """The ``seed_size`` repeated substrings of the units with the largest count x length (ties go to the smaller), in any order."""
     found = repeated_substrings(counts, MAX_PIECE_LEN, partitions).where(F.length("piece") > 1)
@@ -208,7 +219,7 @@ def seed_pieces(counts: DataFrame, spec: VocabSpec, seed_size: int = SEED_SIZE,
         found = found.where(~F.col("piece").rlike(f"{SPACE}{{2}}[^{SPACE}]|[^{SPACE}]{SPACE}{{2}}"))
     found = found.checkpoint(eager=True)
     if found.count() > seed_size:
-        found = found.orderBy(F.desc(F.col("f") * F.length("piece")), "piece").limit(seed_size)
+        found = _largest(found, F.col("f") * F.length("piece"), seed_size)
     top = found.toArrow()
     return list(zip(top.column("piece").to_numpy().tolist(), top.column("f").to_numpy().tolist(), strict=True))
 

@@ -93,3 +93,15 @@ def test_reduced_lattices_are_those_of_the_pieces_left():
         score, weight = np.array([draw.uniform(-9, -1) for _ in range(len(left) + 1)]), np.array([draw.uniform(1, 5) for _ in texts])
         assert got.expected(score, weight, len(left)) == pytest.approx(fewer.expected(score, weight, len(left)))
         assert got.best_counts(score, weight, len(left)) == pytest.approx(fewer.best_counts(score, weight, len(left)))
+
+
+def test_seeds_worth_as_much_as_the_last_are_taken_by_piece(spark):
+    """No task gets all rows to choose from: those worth more are taken where they are."""
+    draw = random.Random(2)
+    rows = sorted({"".join(draw.choice("abc") for _ in range(draw.randint(2, 6))) for _ in range(400)})
+    found = [(p, float(draw.randint(2, 5))) for p in rows]
+    df = spark.createDataFrame(found, "piece string, f double").repartition(4)
+    want = sorted(found, key=lambda x: (-x[1] * len(x[0]), x[0]))
+    for size in (1, 50, len(found) - 1):
+        top = V._largest(df, F.col("f") * F.length("piece"), size)
+        assert sorted(top.collect()) == sorted(want[:size])
